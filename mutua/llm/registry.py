@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mutua.llm import decontaminate, pii
+from mutua.llm import decontaminate, pii, simhash
 
-_MODULES = (pii, decontaminate)
+_MODULES = (pii, decontaminate, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
