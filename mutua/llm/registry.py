@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mutua.llm import chat, decontaminate, pii, simhash
+from mutua.llm import chat, decontaminate, pii, secrets, simhash
 
-_MODULES = (pii, decontaminate, simhash, chat)
+_MODULES = (pii, decontaminate, simhash, chat, secrets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
