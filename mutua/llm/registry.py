@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mutua.llm import chat, decontaminate, pii, secrets, simhash, warc
+from mutua.llm import chat, decontaminate, pii, quality, secrets, simhash, warc
 
-_MODULES = (pii, decontaminate, simhash, chat, secrets, warc)
+_MODULES = (pii, decontaminate, simhash, chat, secrets, warc, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
