@@ -4,8 +4,8 @@ The trees learn "good and not toxic" from at most ``MAX_LABELLED`` labelled
 documents (those whose ids hash lowest, a bound on what the driver fits) and score
 every document. The score may only fall as symbols, repeats, capitals, exclamation marks
 and words of the learned lexicon grow: these columns carry monotonic constraints.
-The lexicon holds words that are frequent in toxic labelled documents and rare in
-others.
+The lexicon holds words, and beginnings of words, that are frequent in toxic labelled
+documents and rare in others.
 
 Defined cases: a null text has no words and fails the base rule; a text without
 words has all counts 0; labels of one id that disagree count as not good; labels of
@@ -35,6 +35,8 @@ ORACLE_SQL = None  # the verdict of trained trees has no SQL form; tests hold it
 MAX_LABELLED = 20_000
 #: A lexicon word is in this share of toxic documents at least, and this many times likelier there.
 LEXICON_SHARE, LEXICON_DOCS, LEXICON_RATIO = 0.04, 5, 10.0
+#: Bytes of a word's beginnings that the lexicon may hold, so that inflected forms count.
+BEGINNINGS = (4, 5)
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -93,6 +95,19 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
+def pieces(words: set[bytes]) -> set[bytes]:
+    """Words, and their beginnings marked by a star."""
+    return words.union(w[:k] + b"*" for w in words for k in BEGINNINGS if len(w) >= k)
+
+
+def lexicon_words(words: list[bytes], lexicon: frozenset[bytes]) -> int:
+    """Distinct words that the lexicon has, whole or by their beginning."""
+    distinct = set(words)
+    if lexicon.isdisjoint(pieces(distinct)):
+        return 0
+    return sum(not lexicon.isdisjoint(pieces({w})) for w in distinct)
+
+
 def describe(text: str | None, lexicon: frozenset[bytes] = frozenset()) -> Stats:
     text = text or ""
     data = text.encode("utf-8", "replace")
@@ -103,9 +118,7 @@ def describe(text: str | None, lexicon: frozenset[bytes] = frozenset()) -> Stats
     symbols = without(_SYMBOLS)
     lines = [x for x in data.split(b"\n") if x.strip()]
     repeats = repeated_words(words)
-    plain = alnum_words(text) if lexicon else []
-    listed = lexicon.intersection(plain)
-    hits = sum(w in listed for w in plain) if listed else 0
+    hits = lexicon_words(alnum_words(text), lexicon) if lexicon else 0
     per = 1 / max(n, 1)
     return Stats(
         n,
@@ -156,7 +169,7 @@ def _learn_lexicon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts[toxic].update(set(alnum_words(text)))
+            counts[toxic].update(pieces(set(alnum_words(text))))
     words = list(counts[True].keys())
     if words:
         yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "n_toxic": [counts[True][w] for w in words], "n_other": [counts[False][w] for w in words]})
