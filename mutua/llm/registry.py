@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mutua.llm import chat, decontaminate, ngram_lm, pii, quality, secrets, simhash, warc
+from mutua.llm import chat, decontaminate, html_extract, ngram_lm, pii, quality, secrets, simhash, warc
 
-_MODULES = (pii, decontaminate, simhash, chat, secrets, warc, quality, ngram_lm)
+_MODULES = (pii, decontaminate, simhash, chat, secrets, warc, quality, ngram_lm, html_extract)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
