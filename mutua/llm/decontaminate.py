@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mutua.llm.text import alnum_words
-from mutua.storage import table
+from mutua.storage import materialise, table
 
 QUERY = "op10_decontaminate"
 WINDOW = 13
@@ -229,6 +229,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     ).withColumn("contaminated", is_contaminated())
 
 
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated. Rows are known by id and text, so a null id is no exception."""
+    digest = F.xxhash64("text")
+    keyed = docs.select(F.struct("doc_id", digest.alias("digest")).alias("doc_id"), "text")
+    bad = contamination(keyed, benchmark, window).where("contaminated").select(F.col("doc_id.doc_id").alias("bad_id"), F.col("doc_id.digest").alias("bad_digest"))
+    bad = materialise(bad.distinct(), "contaminated")  # its size then decides how it is joined
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")) & (digest == F.col("bad_digest")), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

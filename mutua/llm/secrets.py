@@ -116,12 +116,12 @@ def _threshold(text: Column) -> Column:
     )
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id``, ``text`` and ``spans`` (start, rank of the kind, end), ordered."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row per input row: ``row`` (all its columns), ``text`` (null as empty) and ``spans`` (start, rank of the kind, end), ordered."""
+    text = F.col("text")
+    kept = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     matched = kept.select(
-        "id",
+        "row",
         "text",
         _spans(F.filter(_located(text, PATTERNS["assign"]), lambda m: m["match"].rlike(_VALUE)), "assign").alias("assign"),
         _spans(F.filter(_located(text, PATTERNS["access"]), lambda m: F.length(m["match"]) >= 20), "access").alias("access"),
@@ -137,7 +137,34 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         apart = ~F.exists("base", lambda b: (b["start"] < m["start"] + F.length(m["match"])) & (m["start"] < b["end"]))
         return ~allowed & apart & (peak_entropy(m["match"]) >= _threshold(m["match"]))
 
-    return base.select("id", "text", F.array_sort(F.concat("base", _spans(F.filter("candidates", suspicious), "entropy"))).alias("spans"))
+    return base.select("row", "text", F.array_sort(F.concat("base", _spans(F.filter("candidates", suspicious), "entropy"))).alias("spans"))
+
+
+MASK = "[SECRET]"
+
+
+def mask_spans(text: Column, spans: Column, mask: str = MASK) -> Column:
+    """``text`` with each span replaced by ``mask``; spans that overlap go as one."""
+    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("done"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substr(text, acc["done"] + 1, s["start"] - acc["done"])
+        out = F.when(s["start"] >= acc["done"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
+        return F.struct(out.alias("out"), F.greatest(acc["done"], s["end"]).alias("done"))
+
+    return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["done"] + 1)))
+
+
+def mask_secrets(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with the secrets in their texts masked, and ``n_chars_col`` counted again where a text changed."""
+    found = find_secrets(docs, text_col)
+    changed = F.size("spans") > 0
+    columns = {c: F.col("row").getField(c) for c in docs.columns}
+    masked = mask_spans(F.col("text"), F.col("spans"))
+    columns[text_col] = F.when(changed, masked).otherwise(columns[text_col])
+    if n_chars_col in columns:
+        columns[n_chars_col] = F.when(changed, F.length(masked).cast(docs.schema[n_chars_col].dataType)).otherwise(columns[n_chars_col])
+    return found.select(*[x.alias(c) for c, x in columns.items()])
 
 
 def _joined(spans: Column) -> Column:
@@ -149,7 +176,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     of = lambda k: F.filter("spans", lambda s: s["rank"] == k)
     return found.select(
-        F.col("id").alias("doc_id"),
+        F.col("row.doc_id").alias("doc_id"),
         *[F.size(of(KINDS.index(k))).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(_joined(F.filter("spans", lambda s: s["rank"] < 3)), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
