@@ -1 +1,76 @@
 """Importing this module registers every query."""
+
+from __future__ import annotations
+
+from mutua.operators import information as info
+from mutua.operators import preprocess as prep
+from mutua.plans.registry import put
+from mutua.sources.views import add_view
+from mutua.sqltext import Op
+
+
+
+def _alias(name: str, of: str, op: Op, placeholder: str = "trace") -> None:
+    """A view made by an operator on another view."""
+    add_view(name, Op(op.text.replace("{" + placeholder + "}", "{" + of + "}")), of)
+
+
+_alias("hour_bins", "hourly", prep.quantile_bins(4))
+_alias("ship_bins", "shipped", prep.quantile_bins(4))
+add_view("roles", Op("SELECT DISTINCT event_type AS var, CASE WHEN event_type IN ('click', 'view') THEN 0 WHEN event_type = 'error' THEN -1 ELSE 1 END AS agent, CASE WHEN event_type IN ('click', 'purchase') THEN 'action' ELSE 'sensor' END AS role FROM {events}"), "events")
+add_view("hour_mask", Op("SELECT trace_id, t, sum(value) >= 1 AS active FROM {hourly} GROUP BY trace_id, t"), "hourly")
+add_view("peeled", Op("SELECT trace_id, max(var) AS var FROM {hourly} GROUP BY trace_id"), "hourly")
+add_view("user_samples", Op("SELECT trace_id, CAST(DAYNO(ts, 2024-01-01) * 24 + hour(ts) AS DOUBLE) AS clock, value FROM {users}"), "users")
+add_view("hour_weights", Op("SELECT trace_id AS grp, var AS item, avg(value) AS w FROM {hourly} GROUP BY trace_id, var"), "hourly")
+_alias("hour_mi", "hour_bins", info.lag_max_mi(3), "bins")
+add_view("hour_sim", Op("SELECT trace_id, i, j, mi AS w FROM {hour_mi}"), "hour_mi")
+#: Now and later of two variables, given two others: for conditional information.
+add_view(
+    "triples",
+    Op("""SELECT concat(a.trace_id, '|', a.var, '|', b.var, '|', c.var) AS keys, a.x AS x, b.x AS y, c.x AS z FROM {binary} AS a JOIN {binary} AS b ON b.trace_id = a.trace_id AND b.t = a.t AND b.var > a.var JOIN {binary} AS c ON c.trace_id = a.trace_id AND c.t = a.t AND c.var <> a.var AND c.var <> b.var"""),
+    "binary",
+)
+add_view(
+    "runs",
+    Op("SELECT a.var AS src, b.var AS dst, concat(a.trace_id, '|', CAST(DIV(a.t, 3) AS STRING)) AS run, CAST(a.t % 3 AS INT) AS step, a.x AS x, b.x AS y FROM {binary} AS a JOIN {binary} AS b ON b.trace_id = a.trace_id AND b.t = a.t AND b.var <> a.var"),
+    "binary",
+)
+
+put("active_variables", prep.ACTIVE, "variance", trace="hourly")
+put("trace_statistics", prep.TRACE_STATISTICS, "least_variance most_variance", trace="hourly")
+put("quantile_bins", prep.quantile_bins(4), trace="hourly")
+put("equal_width_bins", prep.EQUAL_WIDTH_BINS, trace="shipped")
+put("zscore", prep.ZSCORE, "z", trace="hourly")
+put("first_difference", prep.FIRST_DIFFERENCE, "value", trace="hourly")
+put("whitened", prep.PREPROCESS, "w", trace="hourly")
+put("resample_uniform", prep.RESAMPLE_UNIFORM, "clock value", samples="user_samples")
+put("lag1_autocorrelation", prep.LAG1_AUTOCORRELATION, "whole halves", trace="hourly")
+put("edge_shift", prep.edge_shift(2), trace="hourly")
+put("edge_shift_back", prep.edge_shift(-3), trace="hourly")
+put("active_rows", prep.ACTIVE_ROWS, trace="hourly", mask="hour_mask")
+put("peel_mask", prep.PEEL_MASK, trace="hourly", peeled="peeled")
+put("threat_mask", prep.threat_mask(), trace="hourly")
+put("window_samples", prep.window_samples(), "window_mean now previous later", trace="hourly")
+put("prefix_window", prep.prefix_window(100), trace="hourly", variables="roles")
+put("above_or_top", prep.above_or_top(0.5, 2), "w", weights="hour_weights")
+
+put("lagged_mi", info.lagged_mi(3), "mi", bins="hour_bins")
+put("lag_max_mi", info.lag_max_mi(3), "mi", bins="hour_bins")
+put("lag_max_mi_shipped", info.lag_max_mi(3), "mi", bins="ship_bins")
+put("similarity_distance", info.SIMILARITY_DISTANCE, "w distance", similarity="hour_sim")
+put("sync_mi", info.SYNC_MI, "w", bins="hour_bins")
+put("smoothed_cmi", info.smoothed_cmi(), "cmi", "n", observed="triples")
+put("smoothed_cmi_bits", info.smoothed_cmi_bits(), "cmi_bits", "n", observed="triples")
+put("plugin_bits", info.PLUGIN_BITS, "cmi_bits mi_bits entropy_x_bits", observed="triples")
+put("plugin_cmi", info.PLUGIN_CMI, "cmi_bits", observed="triples")
+put("entropy", info.ENTROPY, "bits nats", bins="hour_bins")
+put("binary_entropy", info.BINARY_ENTROPY, "p nats", binary="binary")
+put("joint_labels", info.JOINT_LABELS, ints="label", binary="binary")
+put("transfer_entropy", info.transfer_entropy(), "te", binary="binary")
+put("directed_information", info.directed_information(3), "directed", runs="runs")
+put("lagged_correlation", info.LAGGED_CORRELATION, "w", trace="hourly")
+put("cross_correlation", info.CROSS_CORRELATION, "r", trace="hourly")
+put("scalar_gaussian_cmi", info.SCALAR_GAUSSIAN_CMI, "cmi", trace="hourly")
+put("role_lag_matrix", info.ROLE_LAG_MATRIX, "r", trace="hourly", variables="roles")
+put("change_rate", info.CHANGE_RATE, "rate", binary="binary")
+put("mechanism_agreement", info.mechanism_agreement(), "disagreement predicted", binary="binary")

@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mutua.sources.views import view, view_sql
+from mutua.sqltext import Op
 
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "mi_lagged"
+FLAGSHIP = "lag_max_mi"
+DIGITS = 9
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
 
@@ -24,6 +29,20 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def put(name: str, op: Op, floats: str = "", ints: str = "", **inputs: str) -> None:
+    """Register an operator over views. ``floats`` are rounded and ``ints`` made long, the same way in both engines."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = op(**{k: view(spark, sf_dir, v) for k, v in inputs.items()})
+        changes = {c: F.round(F.col(c).cast("double"), DIGITS) + 0.0 for c in floats.split()} | {c: F.col(c).cast("long") for c in ints.split()}
+        return out.withColumns(changes) if changes else out
+
+    replaced = [f"round(CAST({c} AS DOUBLE), {DIGITS}) + 0.0 AS {c}" for c in floats.split()] + [f"CAST({c} AS BIGINT) AS {c}" for c in ints.split()]
+    inner = op.duckdb(**{k: view_sql(v) for k, v in inputs.items()})
+    _QUERIES[name] = query
+    _ORACLE[name] = f"SELECT * {'REPLACE (' + ', '.join(replaced) + ')' if replaced else ''} FROM ({inner}) AS q"
+
+
 def _load() -> None:
     from mutua.plans import catalog  # noqa: F401  fills the registry
 
