@@ -1,7 +1,7 @@
 """Near-duplicate groups by SimHash with deletion-variant signatures.
 
-1. Every document gets a 64-bit fingerprint over its word shingles; equal
-   fingerprints are one node, so copies are never expanded into pairs.
+1. Every document gets a 64-bit fingerprint over its word shingles (or its distinct
+   words). Equal nodes are merged first, so copies are never expanded into pairs.
 2. The fingerprint is cut into ``max_bits // 2 + 1`` segments. Of two fingerprints
    within ``max_bits`` one segment differs by at most one bit, so each segment is
    indexed once per bit with that bit as a wildcard: equal keys propose a pair.
@@ -11,17 +11,20 @@
    between different groups of the first pass only, so a group of n near copies
    does not give n*n rows. No key is capped or dropped; a hot key is one that the
    adaptive skew join can split.
-4. Components of the links are the groups.
+4. Where a similarity is asked for, proposed links are verified on the texts' five-word
+   shingles; each text moves once to the few links it is in.
+5. Components of the links are the groups.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like
 any other; a text of fewer words than a shingle is one shingle; ties in the bit
-votes give 0; repeated rows are copies of each other; null ids are kept as their
-own smallest id; an empty table gives an empty table; other columns are ignored.
+votes give 0; repeated rows are copies of each other; a null doc_id does not count
+as smallest unless its whole group has none; an empty table gives an empty table;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,39 +40,52 @@ QUERY = "op3_simhash"
 ORACLE_SQL = None  # DuckDB has no XXH64; tests compare with brute force
 SHINGLE_WORDS = 4
 MAX_BITS = 4
+#: Words of the shingles on which a similarity is verified.
+VERIFY_WORDS = 5
 SEED = 42
 BITS = 64
 
 
-def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
-    """Bit b is set if it is set in over half of the shingles' hashes."""
-    words = blank_words(text)
-    n = len(words) - shingle_words + 1
+def _votes(line: bytes, begins: list[int], ends: list[int]) -> int:
+    """Bit b is set if it is set in over half of the hashes of ``line[begin:end]``."""
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(begins, ends)], ">u8")
+    votes = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), 65536):  # 64 bytes a hash at a time
+        votes += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(words: list[bytes], shingle_words: int = SHINGLE_WORDS) -> int:
+    """Over the shingles, repeats included; over the distinct words for ``shingle_words`` 0."""
     if not words:
         return 0
+    if not shingle_words:
+        words, shingle_words = sorted(set(words)), 1
     line = b" ".join(words)
+    n = len(words) - shingle_words + 1
     if n <= 1:
         return xxhash.xxh64_intdigest(line, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate([[0], ends[: n - 1] + 1])
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(begins.tolist(), ends[shingle_words - 1 :].tolist())], ">u8")
-    votes = np.zeros(BITS, np.int64)
-    for k in range(0, n, 65536):  # 64 bytes a shingle at a time
-        votes += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
+    return _votes(line, begins.tolist(), ends[shingle_words - 1 :].tolist())
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(t.as_py(), shingle_words) for t in batch.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
+        prints, digests = [], []
+        for text in batch.column(1):
+            words = blank_words(text.as_py())
+            prints.append(fingerprint(words, shingle_words))
+            digests.append(xxhash.xxh64_intdigest(b" ".join(words)))
+        signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, digests)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *signed], names=["doc_id", "fp", "digest"])
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long."""
+    """``doc_id``, ``fp`` (the fingerprint as a signed long) and ``digest`` of the words."""
     kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(lambda b: _fingerprint_batches(b, shingle_words), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, fp long")
+    return kept.mapInArrow(lambda b: _fingerprint_batches(b, shingle_words), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, fp long, digest long")
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -79,8 +95,8 @@ def segments(max_bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def variant_index(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per fingerprint and wildcard bit: ``bit``, ``rest`` (the segment without that bit) and ``fp``."""
+def variant_index(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row per node and wildcard bit: ``bit``, ``rest`` (the segment without that bit) and the node's columns."""
     variants = F.array(
         *[
             F.struct(F.lit(bit).cast("tinyint").alias("bit"), F.col("fp").bitwiseAND(F.lit(_signed(((1 << width) - 1) << low & ~(1 << bit)))).alias("rest"))
@@ -88,44 +104,83 @@ def variant_index(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             for bit in range(low, low + width)
         ]
     )
-    return prints.select("fp", F.explode(variants).alias("v")).select("v.bit", "v.rest", "fp")
+    return nodes.select("*", F.explode(variants).alias("v")).select("v.bit", "v.rest", *nodes.columns)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Edges ``src``, ``dst`` whose components are those of all links within ``max_bits``.
+Verify = Callable[[DataFrame], DataFrame]
 
-    ``prints`` has a distinct column ``fp``.
+
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, verify: Verify | None = None) -> DataFrame:
+    """Edges ``src``, ``dst`` whose components are those of all links within ``max_bits`` that ``verify`` keeps.
+
+    ``nodes`` has distinct ``node`` and their ``fp``.
     """
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
-    index = variant_index(prints, max_bits)
-    key = Window.partitionBy("bit", "rest").orderBy("fp")
-    ranked = index.select("*", F.lag("fp").over(key).alias("before"), F.lead("fp").over(key).alias("after"))
-    shared = materialise(ranked.where("before is not null or after is not null").select("bit", "rest", "fp", "before"), "variants")
-    first = shared.where(F.col("before").isNotNull() & near("fp", "before")).select(F.col("before").alias("src"), F.col("fp").alias("dst")).distinct()
-    first = materialise(first, "first-links")
-    group = connected_components(first)
-    labelled = shared.select("bit", "rest", "fp").join(group.withColumnRenamed("node", "fp"), "fp", "left").select("bit", "rest", "fp", F.coalesce("component", "fp").alias("grp"))
-    several = materialise(
-        labelled.withColumns({"least": F.min("grp").over(Window.partitionBy("bit", "rest")), "most": F.max("grp").over(Window.partitionBy("bit", "rest"))}).where("least <> most").select("bit", "rest", "fp", "grp"),
-        "mixed-keys",
-    )
-    a, b = several.alias("a"), several.select(F.col("bit").alias("bit_b"), F.col("rest").alias("rest_b"), F.col("fp").alias("fp_b"), F.col("grp").alias("grp_b"))
-    second = a.join(b, (F.col("a.bit") == F.col("bit_b")) & (F.col("a.rest") == F.col("rest_b")) & (F.col("a.grp") < F.col("grp_b")) & near("a.fp", "fp_b"))
-    return first.unionByName(second.select(F.col("a.fp").alias("src"), F.col("fp_b").alias("dst")).distinct())
+    check = verify or (lambda edges: edges)
+    key = Window.partitionBy("bit", "rest")
+    in_order = key.orderBy("fp", "node")
+    chained = variant_index(nodes.select("node", "fp"), max_bits).select("node", "fp", F.lag("node").over(in_order).alias("before"), F.lag("fp").over(in_order).alias("fp_before"))
+    first = chained.where(F.col("before").isNotNull() & near("fp", "fp_before")).select(F.col("before").alias("src"), F.col("node").alias("dst"))
+    first = materialise(check(materialise(first.distinct(), "first-links")), "first-verified") if verify else materialise(first.distinct(), "first-links")
+    labelled = nodes.select("node", "fp").join(connected_components(first).select(F.col("node").alias("member"), "component"), F.col("node") == F.col("member"), "left")
+    labelled = materialise(labelled.select("node", "fp", F.coalesce("component", "node").alias("grp")), "labelled")
+    index = variant_index(labelled, max_bits)
+    mixed = index.withColumns({"least": F.min("grp").over(key), "most": F.max("grp").over(key)}).where("least <> most").drop("least", "most")
+    mixed = materialise(mixed, "mixed-keys")
+    a = mixed.alias("a")
+    b = mixed.select(*[F.col(c).alias(f"{c}_b") for c in mixed.columns])
+    pairs = a.join(b, (F.col("bit") == F.col("bit_b")) & (F.col("rest") == F.col("rest_b")) & (F.col("grp") < F.col("grp_b")) & near("fp", "fp_b"))
+    second = pairs.select(F.col("node").alias("src"), F.col("node_b").alias("dst")).distinct()
+    return first.unionByName(check(materialise(second, "second-links")) if verify else second)
+
+
+def similarity(a: list[bytes], b: list[bytes], shingle_words: int) -> float:
+    """Jaccard similarity of the sets of shingles; of wordless texts 1."""
+    sets = [set(zip(*(w[k:] for k in range(shingle_words)))) if len(w) >= shingle_words else {tuple(w)} for w in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def _similar_batches(batches: Iterator[pa.RecordBatch], least: float, shingle_words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())
+        kept = pa.array([similarity(blank_words(a), blank_words(b), shingle_words) >= least for a, b in texts], pa.bool_())
+        yield batch.select(["src", "dst"]).filter(kept)
+
 
+def similar_texts(docs: DataFrame, nodes: DataFrame, least: float, shingle_words: int) -> Verify:
+    """Keeps the edges whose texts' similarity is at least ``least``; ``nodes`` names a document (``first_id``) for each node."""
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per document: ``doc_id``, ``fp`` and ``component_id``, the smallest doc_id of its group."""
-    prints = materialise(fingerprints(docs, shingle_words), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    group = materialise(connected_components(materialise(links(nodes.select("fp"), max_bits), "links")), "groups")
-    member = nodes.join(group.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("grp"))
+    def verify(edges: DataFrame) -> DataFrame:
+        ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        wanted = nodes.join(ends, "node").select("node", F.col("first_id").alias("wanted_id"))
+        texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted, F.col("doc_id") == F.col("wanted_id"))
+        texts = materialise(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
+        left = texts.select(F.col("node").alias("src"), F.col("text").alias("text_a"))
+        right = texts.select(F.col("node").alias("dst"), F.col("text").alias("text_b"))
+        pairs = edges.join(left, "src").join(right, "dst").select("src", "dst", "text_a", "text_b")
+        return pairs.mapInArrow(lambda b: _similar_batches(b, least, shingle_words), "src long, dst long")
+
+    return verify
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, least_similarity: float | None = None, verify_words: int = VERIFY_WORDS) -> DataFrame:
+    """One row per document: ``doc_id``, ``fp`` and ``component_id``, the smallest doc_id of its group.
+
+    Without ``least_similarity`` fingerprints within ``max_bits`` are links. With it,
+    links also need that Jaccard similarity of their ``verify_words``-word shingles.
+    """
+    by = "fp" if least_similarity is None else "digest"
+    prints = materialise(fingerprints(docs, shingle_words).withColumn("node", F.col(by)), "fingerprints")
+    nodes = materialise(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id")), "nodes")
+    verify = None if least_similarity is None else similar_texts(docs, nodes, least_similarity, verify_words)
+    group = materialise(connected_components(materialise(links(nodes, max_bits, verify), "links")), "groups")
+    member = nodes.join(group.select(F.col("node").alias("member"), "component"), F.col("node") == F.col("member"), "left").select("node", "first_id", F.coalesce("component", "node").alias("grp"))
     least = member.groupBy("grp").agg(F.min("first_id").alias("component_id"))
-    return prints.join(member.join(least, "grp").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(member.join(least, "grp").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
