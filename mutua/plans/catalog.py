@@ -10,9 +10,9 @@ from mutua.sqltext import Op
 
 
 
-def _alias(name: str, of: str, op: Op, placeholder: str = "trace") -> None:
+def _alias(name: str, of: str, op: Op, placeholder: str = "trace", cut: bool = False) -> None:
     """A view made by an operator on another view."""
-    add_view(name, Op(op.text.replace("{" + placeholder + "}", "{" + of + "}")), of)
+    add_view(name, Op(op.text.replace("{" + placeholder + "}", "{" + of + "}")), of, cut=cut)
 
 
 _alias("hour_bins", "hourly", prep.quantile_bins(4))
@@ -22,7 +22,7 @@ add_view("hour_mask", Op("SELECT trace_id, t, sum(value) >= 1 AS active FROM {ho
 add_view("peeled", Op("SELECT trace_id, max(var) AS var FROM {hourly} GROUP BY trace_id"), "hourly")
 add_view("user_samples", Op("SELECT trace_id, CAST(DAYNO(ts, 2024-01-01) * 24 + hour(ts) AS DOUBLE) AS clock, value FROM {users}"), "users")
 add_view("hour_weights", Op("SELECT trace_id AS grp, var AS item, avg(value) AS w FROM {hourly} GROUP BY trace_id, var"), "hourly")
-_alias("hour_mi", "hour_bins", info.lag_max_mi(3), "bins")
+_alias("hour_mi", "hour_bins", info.lag_max_mi(3), "bins", cut=True)
 add_view("hour_sim", Op("SELECT trace_id, i, j, mi AS w FROM {hour_mi}"), "hour_mi")
 #: Now and later of two variables, given two others: for conditional information.
 add_view(
@@ -74,3 +74,71 @@ put("scalar_gaussian_cmi", info.SCALAR_GAUSSIAN_CMI, "cmi", trace="hourly")
 put("role_lag_matrix", info.ROLE_LAG_MATRIX, "r", trace="hourly", variables="roles")
 put("change_rate", info.CHANGE_RATE, "rate", binary="binary")
 put("mechanism_agreement", info.mechanism_agreement(), "disagreement predicted", binary="binary")
+
+# ---- groups of variables, roles and boundaries
+from mutua.operators import directed, grouping, roles  # noqa: E402
+
+add_view("clusters", Op("SELECT trace_id, var, CAST(dense_rank() OVER (PARTITION BY trace_id ORDER BY var) % 2 AS INT) AS cluster FROM (SELECT DISTINCT trace_id, var FROM {hourly}) AS v"), "hourly")
+add_view("cuts", Op("SELECT trace_id, k, var, CAST(place % k AS INT) AS cluster FROM (SELECT trace_id, var, place, SEQ(1, 4) AS k FROM (SELECT trace_id, var, CAST(dense_rank() OVER (PARTITION BY trace_id ORDER BY var) AS INT) AS place FROM (SELECT DISTINCT trace_id, var FROM {hourly}) AS v) AS d) AS e"), "hourly")
+add_view("cluster_series", Op(grouping.CLUSTER_SERIES.text.replace("{trace}", "{hourly}").replace("{labels}", "{clusters}")), "hourly", "clusters")
+_alias("series_bins", "cluster_series", prep.quantile_bins(4))
+_alias("series_auto", "cluster_series", prep.LAG1_AUTOCORRELATION)
+_alias("series_mi", "series_bins", info.lag_max_mi(3), "bins", cut=True)
+_alias("series_entropy", "series_bins", info.ENTROPY, "bins")
+add_view("precursors", Op(grouping.PRECURSOR_STATS.text.replace("{autocorrelation}", "{series_auto}").replace("{information}", "{series_mi}").replace("{entropy}", "{series_entropy}").replace("{labels}", "{clusters}")), "series_auto", "series_mi", "series_entropy", "clusters")
+add_view("chunks", Op("SELECT trace_id, k AS chunk, var FROM {cuts} WHERE cluster = 0"), "cuts")
+add_view("bought", Op("SELECT DISTINCT CAST(o_custkey % 50 AS BIGINT) AS owner, l_partkey % 97 AS item FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey"), "orders", "lineitem")
+add_view("supplied", Op("SELECT DISTINCT CAST(l_suppkey % 20 AS BIGINT) AS owner, l_partkey % 97 AS item FROM {lineitem}"), "lineitem")
+add_view("user_types", Op("SELECT DISTINCT concat(CAST(user_id AS STRING), '|', CAST(HOURNO(ts) AS STRING)) AS owner, event_type AS kind FROM {events}"), "events")
+_alias("joint_states", "binary", info.JOINT_LABELS, "binary")
+add_view("binary_bins", Op("SELECT trace_id, t, var, x AS bin FROM {binary}"), "binary")
+add_view("role_table", Op(roles.classify_roles().text.replace("{bins}", "{hour_bins}").replace("{labels}", "{clusters}")), "hour_bins", "clusters", cut=True)
+add_view("blanket", Op(roles.blanket_test().text.replace("{states}", "{binary_bins}").replace("{roles}", "{role_table}")), "binary_bins", "role_table", cut=True)
+
+put("weak_members", grouping.weak_members(), "mean_w cluster_mean", similarity="hour_sim", labels="clusters")
+put("mdl_score", grouping.mdl_score(), "within score", "k", cuts="cuts", similarity="hour_sim")
+put("cluster_series", grouping.CLUSTER_SERIES, "value", trace="hourly", labels="clusters")
+put("precursor_stats", grouping.PRECURSOR_STATS, "persistence contingency richness", "size", autocorrelation="series_auto", information="series_mi", entropy="series_entropy", labels="clusters")
+put("cluster_rank", grouping.CLUSTER_RANK, "score", "place", labels="clusters", similarity="hour_sim", stats="precursors")
+put("partition_score", grouping.PARTITION_SCORE, "score", stats="precursors")
+put("fusion_edges", grouping.fusion_edges(), "weight", "pairs", chunks="chunks", similarity="hour_sim")
+put("purity_match", grouping.PURITY_MATCH, "recall extra", found="bought", known="supplied")
+put("cluster_kind", grouping.CLUSTER_KIND, "", "size n_agent n_world", labels="clusters", variables="roles")
+put("compress_block", grouping.compress_block(), "lost", "label n", states="joint_states")
+put("recurrent_sets", grouping.recurrent_sets(), "", "times place", members="user_types")
+put("candidates", grouping.CANDIDATES, "w", "place", similarity="hour_sim")
+put("strong_edges", grouping.STRONG_EDGES, "w", similarity="hour_sim")
+put("jaccard", grouping.JACCARD, "jaccard", "shared", members="bought")
+put("external_variables", grouping.EXTERNAL, labels="clusters")
+put("role_classification", roles.classify_roles(), "outside later", bins="hour_bins", labels="clusters")
+put("blanket_test", roles.blanket_test(), "violation", states="binary_bins", roles="role_table")
+put("agency_signature", roles.AGENCY_SIGNATURE, "penalty", "n_sensors n_actions n_internal", roles="role_table")
+put("threshold_sweep", roles.THRESHOLD_SWEEP, "threshold pass_rate", "n", tests="blanket")
+put("select_cluster", roles.SELECT_CLUSTER, "violation", tests="blanket")
+
+# ---- directional scores
+_alias("transfer", "binary", info.transfer_entropy(), "binary", cut=True)
+add_view("flows", Op(directed.PAIRWISE_SCORES.text.replace("{variables}", "{roles}")), "transfer", "roles")
+#: Floors from the same trace turned by some ticks against itself.
+add_view("turned", Op("SELECT b.trace_id, shift, b.var, (b.t + shift * (37 + length(b.var))) % n.n AS t, b.x FROM (SELECT trace_id, t, var, x, SEQ(1, 8) AS shift FROM {binary}) AS b JOIN (SELECT trace_id, max(t) + 1 AS n FROM {binary} GROUP BY trace_id) AS n ON n.trace_id = b.trace_id"), "binary")
+add_view("turned_binary", Op("SELECT concat(trace_id, ':', CAST(shift AS STRING)) AS trace_id, t, var, x FROM {turned}"), "turned")
+_alias("turned_transfer", "turned_binary", info.transfer_entropy(), "binary", cut=True)
+add_view("turned_flows", Op(directed.PAIRWISE_SCORES.text.replace("{variables}", "{roles}").replace("{transfer}", "{turned_transfer}")), "turned_transfer", "roles")
+add_view("candidate_table", directed.ROLE_CANDIDATES, "binary")
+_alias("binary_sync_bins", "binary", Op("SELECT trace_id, t, var, x AS bin FROM {binary}"), "binary")
+_alias("binary_sync", "binary_sync_bins", info.SYNC_MI, "bins", cut=True)
+_alias("rates", "binary", info.CHANGE_RATE, "binary")
+add_view("scored", Op(directed.PASSIVE_SCORE.text.replace("{sync}", "{binary_sync}").replace("{candidates}", "{candidate_table}")), "binary_sync", "transfer", "candidate_table", "rates", cut=True)
+_alias("posterior", "scored", directed.posterior(), "scored", cut=True)
+_alias("masses", "posterior", directed.ROLE_MASS, "posterior")
+add_view("tried", Op("SELECT trace_id, min(var) AS var FROM {binary} GROUP BY trace_id"), "binary")
+
+put("pairwise_scores", directed.PAIRWISE_SCORES, "push_in out_sys out_env polarity total_flow", transfer="transfer", variables="roles")
+put("fused_scores", directed.fused_scores(), "push_in push_out", binary="binary")
+put("best_key_scores", directed.best_key_scores(), "plain best", binary="binary")
+put("changes_within", directed.changes_within(), "rate rate_after_one", binary="binary")
+put("role_candidates", directed.ROLE_CANDIDATES, binary="binary")
+put("passive_score", directed.PASSIVE_SCORE, "score", "place", sync="binary_sync", transfer="transfer", candidates="candidate_table", rates="rates")
+put("posterior", directed.posterior(), "p", "place", scored="scored")
+put("role_mass", directed.ROLE_MASS, "mass", posterior="posterior")
+put("next_operation", directed.NEXT_OPERATION, "mass gain", masses="masses", tried="tried")

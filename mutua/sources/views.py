@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mutua.sqltext import Op
-from mutua.storage import table
+from mutua.storage import materialise, table
 
 #: Hourly counts by event type, filled with zeros; users are dealt over four traces.
 HOURLY = Op("""
@@ -56,12 +56,17 @@ _VIEWS: dict[str, tuple[Op, tuple[str, ...]]] = {
 }
 
 
+#: Views that are written once where a query reads them, so that what follows has a short plan and true sizes.
+_CUT: set[str] = set()
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view, or a table of the folder."""
     if name not in _VIEWS:
         return table(spark, sf_dir, name)
     op, inputs = _VIEWS[name]
-    return op(**{k: view(spark, sf_dir, k) for k in inputs})
+    found = op(**{k: view(spark, sf_dir, k) for k in inputs})
+    return materialise(found, name) if name in _CUT else found
 
 
 def view_sql(name: str) -> str:
@@ -72,5 +77,7 @@ def view_sql(name: str) -> str:
     return op.duckdb(**{k: view_sql(k) for k in inputs})
 
 
-def add_view(name: str, op: Op, *inputs: str) -> None:
+def add_view(name: str, op: Op, *inputs: str, cut: bool = False) -> None:
     _VIEWS[name] = (op, inputs)
+    if cut:
+        _CUT.add(name)
