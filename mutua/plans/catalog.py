@@ -142,3 +142,72 @@ put("passive_score", directed.PASSIVE_SCORE, "score", "place", sync="binary_sync
 put("posterior", directed.posterior(), "p", "place", scored="scored")
 put("role_mass", directed.ROLE_MASS, "mass", posterior="posterior")
 put("next_operation", directed.NEXT_OPERATION, "mass gain", masses="masses", tried="tried")
+
+# ---- influence, nulls, segments and metrics
+from mutua.operators import influence, metrics, segments  # noqa: E402
+
+add_view("series", Op("SELECT trace_id, t, max(CASE WHEN var = 'click' THEN value END) AS action, max(CASE WHEN var = 'error' THEN value END) AS outcome, max(CASE WHEN var = 'view' THEN value END) AS control FROM {hourly} GROUP BY trace_id, t"), "hourly")
+add_view("points", Op("SELECT trace_id AS grp, t AS k, action AS y, control AS x FROM {series}"), "series")
+_alias("influences", "series", influence.partial_influence(), "series")
+_alias("odds", "series", influence.ODDS_RATIO, "series")
+add_view("error_scores", Op("SELECT trace_id % 7 AS grp, round(value) AS score, event_type = 'error' AS label FROM {users}"), "users")
+add_view("steps", Op("SELECT trace_id AS grp, t AS k, event_type AS state FROM {users}"), "users")
+add_view("null_samples", Op("SELECT split_part(trace_id, ':', 1) AS trace_id, var, push_in AS score FROM {turned_flows}"), "turned_flows", cut=True)
+_alias("floors", "null_samples", influence.NULL_FLOORS, "samples")
+add_view("observed_flow", Op("SELECT trace_id, var, push_in AS score FROM {flows}"), "flows", cut=True)
+add_view("busy", Op("SELECT trace_id, t, sum(value) >= 2 AS active FROM {hourly} GROUP BY trace_id, t"), "hourly")
+add_view("activity", Op("SELECT trace_id, t, sum(value) AS value FROM {hourly} GROUP BY trace_id, t"), "hourly")
+add_view("agents", Op("SELECT DISTINCT agent, t FROM {hourly} JOIN {roles} USING (var) WHERE agent >= 0"), "hourly", "roles")
+_alias("segment_table", "busy", segments.active_runs(), "mask")
+add_view("vector_labels", Op("SELECT 'all' AS grp, CASE WHEN ELEMENT(embedding, 1) > 0 THEN 1 ELSE 0 END + CASE WHEN ELEMENT(embedding, 2) > 0 THEN 2 ELSE 0 END AS a, label AS b FROM {embeddings}"), "embeddings")
+add_view("ranked_events", Op("SELECT trace_id AS grp, event_id AS item, value AS score, event_type = 'purchase' AS relevant FROM {users}"), "users")
+add_view("order_scores", Op("SELECT o_orderpriority AS grp, o_totalprice AS score FROM {orders}"), "orders")
+add_view("curve", Op("SELECT l_returnflag AS grp, CAST(l_quantity AS BIGINT) AS size, avg(l_discount) AS metric FROM {lineitem} GROUP BY l_returnflag, CAST(l_quantity AS BIGINT)"), "lineitem")
+add_view("flow_tests", Op("SELECT var AS grp, p, z FROM {flow_p}"), "flow_p")
+add_view("flow_p", Op(influence.NULL_P_VALUE.text.replace("{observed}", "{observed_flow}").replace("{samples}", "{null_samples}")), "observed_flow", "null_samples")
+add_view("cube_rows", Op("SELECT l_returnflag AS a, l_linestatus AS b, l_quantity AS v FROM {lineitem}"), "lineitem")
+add_view("records", Op("SELECT user_id AS id, event_id AS arrival, event_type AS payload FROM {events}"), "events")
+add_view("flags", Op(directed.SIGNATURE_FLAGS.text.replace("{scores}", "{flows}")), "flows", "floors")
+
+put("residuals", influence.RESIDUALS, "residual", points="points")
+put("partial_influence", influence.partial_influence(), "influence", "n", series="series")
+put("odds_ratio", influence.ODDS_RATIO, "odds selectivity", series="series")
+put("bootstrap_odds", influence.bootstrap_odds(), "low middle", "n", series="series")
+put("influence_flag", influence.INFLUENCE_FLAG, "influence odds combined", influence="influences", odds="odds")
+put("regulation", influence.REGULATION, "flatness active compensation regulation", series="series")
+put("auroc", influence.AUROC, "auroc", scored="error_scores")
+put("circular_shift", influence.circular_shift(), "", "perm t", trace="hourly")
+put("scramble", influence.scramble(), "", "t", trace="hourly")
+put("transition_matrix", influence.TRANSITION_MATRIX, "p", "n", steps="steps")
+put("null_floors", influence.NULL_FLOORS, "p95 p995 mean sd", "n", samples="null_samples")
+put("pooled_floors", influence.POOLED_FLOORS, "p95 p995 mean sd", "n", samples="null_samples")
+put("null_p_value", influence.NULL_P_VALUE, "p z", observed="observed_flow", samples="null_samples")
+put("signature_flags", directed.SIGNATURE_FLAGS, "net_in net_out z", scores="flows", floors="floors")
+put("scramble_verdict", directed.SCRAMBLE_VERDICT, "bound", "n n_drives", flags="flags")
+put("active_runs", segments.active_runs(), "", "n", mask="busy")
+put("sliding_segments", segments.sliding_segments(120, 60), mask="busy")
+put("segment_parameters", segments.SEGMENT_PARAMETERS, "threshold", activity="activity")
+put("should_segment", segments.SHOULD_SEGMENT, "share", mask="busy")
+put("episode_mask", segments.episode_mask(), agents="agents")
+put("window_majority", segments.window_majority(), binary="binary")
+put("winner_persistence", segments.WINNER_PERSISTENCE, "stays", "n", trace="hourly")
+put("rank_within", segments.rank_within(), "value", "place", trace="hourly")
+put("sessions", segments.sessions(), "total", "session n", users="users")
+put("segment_totals", segments.range_join(), "total most", "n", segments="segment_table", trace="hourly")
+put("as_of_error", segments.AS_OF, "value last_error_value", "t last_error_t", users="users")
+put("adjusted_rand", metrics.ADJUSTED_RAND, "ari", labelled="vector_labels")
+put("best_jaccard", metrics.BEST_JACCARD, "mean_jaccard recall", labelled="vector_labels")
+put("cluster_purity", metrics.CLUSTER_PURITY, "purity label_entropy", "size", labelled="vector_labels")
+put("recall_at_k", metrics.recall_at(), "recall prec", "first_place", ranked="ranked_events")
+put("fisher_pool", metrics.FISHER_POOL, "mean_p pass_rate median_z combined_p", "n", tests="flow_tests")
+put("leave_one_out", metrics.LEAVE_ONE_OUT, "own others gap", scores="order_scores")
+put("summary", metrics.SUMMARY, "mean sd middle", "n", scores="order_scores")
+put("breaking_point", metrics.breaking_point(0.05), "most", "breaks_at", curve="curve")
+put("verdicts", metrics.VERDICTS, scores="order_scores")
+put("cube", metrics.CUBE, "total", "n", rows="cube_rows")
+put("first_record", metrics.FIRST_RECORD, records="records")
+put("json_field", metrics.JSON_FIELD, "", "k missing", events="events")
+put("validate_trace", metrics.VALIDATE, "", "n repeats n_null n_odd", trace="hourly")
+put("dot_lines", metrics.DOT_LINES, similarity="hour_sim")
+put("widen", metrics.widen(["click", "view", "error"]), trace="hourly")
+put("pad_aligned", metrics.PAD_ALIGNED, "value", "t", trace="hourly")

@@ -27,8 +27,9 @@ MACROS: dict[str, tuple[Render, Render]] = {
     "SETOF": (lambda x: f"array_sort(collect_set({x}))", lambda x: f"list_sort(list(DISTINCT {x}))"),
     "COMMON": (lambda a, b: f"size(array_intersect({a}, {b}))", lambda a, b: f"len(list_intersect({a}, {b}))"),
     "SIZE": (lambda a: f"size({a})", lambda a: f"len({a})"),
-    "JSONINT": (lambda x, k: f"CAST(get_json_object({x}, '$.{k}') AS BIGINT)", lambda x, k: f"CAST(json_extract_string({x}, '$.{k}') AS BIGINT)"),
+    "JSONINT": (lambda x, k: f"CAST(get_json_object({x}, '$.' || {k}) AS BIGINT)", lambda x, k: f"CAST(json_extract_string({x}, '$.' || {k}) AS BIGINT)"),
     "JOINED": (lambda a, s: f"array_join({a}, {s})", lambda a, s: f"array_to_string({a}, {s})"),
+    "ELEMENT": (lambda a, k: f"element_at({a}, {k})", lambda a, k: f"{a}[{k}]"),
     "MATCHES": (lambda a, p: f"({a} rlike {p})", lambda a, p: f"regexp_matches({a}, {p})"),
 }
 _MACRO = re.compile(r"\b(" + "|".join(MACROS) + r")\(")
