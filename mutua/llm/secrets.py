@@ -159,12 +159,12 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", n_chars_col: str | Non
     """``docs`` with the secrets in their texts masked, and ``n_chars_col`` counted again where a text changed."""
     found = find_secrets(docs, text_col)
     changed = F.size("spans") > 0
+    masked = found.select("row", changed.alias("changed"), F.when(changed, mask_spans(F.col("text"), F.col("spans"))).alias("masked"))
     columns = {c: F.col("row").getField(c) for c in docs.columns}
-    masked = mask_spans(F.col("text"), F.col("spans"))
-    columns[text_col] = F.when(changed, masked).otherwise(columns[text_col])
+    columns[text_col] = F.when(F.col("changed"), F.col("masked")).otherwise(columns[text_col])
     if n_chars_col in columns:
-        columns[n_chars_col] = F.when(changed, F.length(masked).cast(docs.schema[n_chars_col].dataType)).otherwise(columns[n_chars_col])
-    return found.select(*[x.alias(c) for c, x in columns.items()])
+        columns[n_chars_col] = F.when(F.col("changed"), F.length("masked").cast(docs.schema[n_chars_col].dataType)).otherwise(columns[n_chars_col])
+    return masked.select(*[x.alias(c) for c, x in columns.items()])
 
 
 def _joined(spans: Column) -> Column:
