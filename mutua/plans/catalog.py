@@ -211,3 +211,56 @@ put("validate_trace", metrics.VALIDATE, "", "n repeats n_null n_odd", trace="hou
 put("dot_lines", metrics.DOT_LINES, similarity="hour_sim")
 put("widen", metrics.widen(["click", "view", "error"]), trace="hourly")
 put("pad_aligned", metrics.PAD_ALIGNED, "value", "t", trace="hourly")
+
+# ---- dense operators: grouped pandas functions, checked in tests
+from mutua.operators import dense, graph  # noqa: E402
+from mutua.plans.registry import register  # noqa: E402
+from mutua.sources.views import view  # noqa: E402
+
+
+@register("cluster_variables")
+def _cluster_variables(spark, sf_dir):
+    return dense.cluster_variables(info.SIMILARITY_DISTANCE(similarity=view(spark, sf_dir, "hour_sim")))
+
+
+@register("gaussian_block_information")
+def _gaussian_block_information(spark, sf_dir):
+    return dense.block_information(dense.moments(view(spark, sf_dir, "hourly")))
+
+
+@register("principal_components")
+def _principal_components(spark, sf_dir):
+    return dense.principal_components(dense.moments(view(spark, sf_dir, "hourly")))
+
+
+@register("match_clusters")
+def _match_clusters(spark, sf_dir):
+    return dense.match_clusters(view(spark, sf_dir, "vector_labels").groupBy("grp", "a", "b").count().withColumnRenamed("count", "n"))
+
+
+@register("phase_surrogate")
+def _phase_surrogate(spark, sf_dir):
+    return dense.phase_surrogate(view(spark, sf_dir, "hourly"))
+
+
+@register("transition_surrogate")
+def _transition_surrogate(spark, sf_dir):
+    return dense.transition_surrogate(view(spark, sf_dir, "steps"))
+
+
+@register("saturating_counters")
+def _saturating_counters(spark, sf_dir):
+    return dense.saturating_counters(view(spark, sf_dir, "binary"))
+
+
+@register(
+    "components",
+    """WITH e AS (SELECT DISTINCT o_custkey % 400 AS c, l_partkey % 400 AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 49 AND l_discount > 0.09),
+edges AS (SELECT c AS a, p AS b FROM e WHERE c <> p UNION SELECT p, c FROM e WHERE c <> p),
+reach AS (SELECT DISTINCT a AS node, a AS root FROM edges UNION SELECT edges.b, reach.root FROM reach JOIN edges ON edges.a = reach.node)
+SELECT node, min(root) AS component FROM reach GROUP BY node""".replace("reach AS", "RECURSIVE_reach AS").replace("WITH e", "WITH RECURSIVE e").replace("RECURSIVE_reach AS", "reach(node, root) AS"),
+)
+def _components(spark, sf_dir):
+    lines, orders = view(spark, sf_dir, "lineitem"), view(spark, sf_dir, "orders")
+    edges = lines.where("l_quantity > 49 AND l_discount > 0.09").join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr("o_custkey % 400 AS src", "l_partkey % 400 AS dst").where("src <> dst").distinct()
+    return graph.connected_components(edges)
