@@ -34,7 +34,7 @@ ORACLE_SQL = None  # the verdict of trained trees has no SQL form; tests hold it
 
 MAX_LABELLED = 20_000
 #: A lexicon word is in this share of toxic documents at least, and this many times likelier there.
-LEXICON_SHARE, LEXICON_DOCS, LEXICON_RATIO = 0.04, 5, 10.0
+LEXICON_SHARE, LEXICON_DOCS, LEXICON_RATIO = 0.015, 4, 20.0
 #: Bytes of a word's beginnings that the lexicon may hold, so that inflected forms count.
 BEGINNINGS = (4, 5)
 WINDOW = 5
