@@ -213,7 +213,7 @@ put("widen", metrics.widen(["click", "view", "error"]), trace="hourly")
 put("pad_aligned", metrics.PAD_ALIGNED, "value", "t", trace="hourly")
 
 # ---- dense operators: grouped pandas functions, checked in tests
-from mutua.operators import dense, graph  # noqa: E402
+from mutua.operators import dense, detector, graph  # noqa: E402
 from mutua.plans.registry import register  # noqa: E402
 from mutua.sources.views import view  # noqa: E402
 
@@ -264,3 +264,13 @@ def _components(spark, sf_dir):
     lines, orders = view(spark, sf_dir, "lineitem"), view(spark, sf_dir, "orders")
     edges = lines.where("l_quantity > 49 AND l_discount > 0.09").join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr("o_custkey % 400 AS src", "l_partkey % 400 AS dst").where("src <> dst").distinct()
     return graph.connected_components(edges)
+
+
+@register("detect")
+def _detect(spark, sf_dir):
+    return detector.detect(view(spark, sf_dir, "hourly"), most=3)
+
+
+@register("choose_k")
+def _choose_k(spark, sf_dir):
+    return detector.choose_k(detector.detect(view(spark, sf_dir, "hourly"), most=3))
