@@ -49,3 +49,21 @@ def choose_k(detected: DataFrame, least_rate: float = 0.5) -> DataFrame:
     good = (F.col("n_valid") > 0) & (F.col("rate") >= least_rate)
     best = rates.groupBy("trace_id").agg(F.max_by(F.struct("k", "n_valid", "rate"), F.struct(good.cast("int"), F.when(good, F.col("k")).otherwise(F.col("n_valid")), F.col("rate"), -F.col("k"))).alias("b"))
     return best.select("trace_id", "b.k", "b.n_valid", "b.rate")
+
+
+def peel(trace: DataFrame, passes: int = 2, **settings: object) -> DataFrame:
+    """Find a cluster in each trace, take its variables out, and look again: one row per trace and pass.
+
+    A pass takes, at the chosen k, the valid tested cluster of the least violation. Peeled variables are left
+    out of later passes altogether. A trace without such a cluster, or with too few variables left, ends.
+    """
+    left, found = trace, None
+    for k in range(1, passes + 1):
+        detected = materialise(detect(left, **settings), "detected")
+        best = detected.join(choose_k(detected).select("trace_id", "k"), ["trace_id", "k"], "left_semi").where("valid")
+        best = best.groupBy("trace_id").agg(F.min_by(F.struct("k", "label", "sensors", "actions", "internal", "violation"), F.struct("violation", "label")).alias("c"))
+        taken = materialise(best.select("trace_id", F.lit(k).alias("pass"), "c.*"), "peeled")
+        found = taken if found is None else found.unionByName(taken)
+        gone = taken.select("trace_id", F.explode(F.concat("sensors", "actions", "internal")).alias("var"))
+        left = materialise(left.join(taken.select("trace_id"), "trace_id", "left_semi").join(gone, ["trace_id", "var"], "left_anti").select("trace_id", "t", "var", "value"), "unpeeled")
+    return found

@@ -37,7 +37,7 @@ add_view(
 )
 
 put("active_variables", prep.ACTIVE, "variance", trace="hourly")
-put("trace_statistics", prep.TRACE_STATISTICS, "least_variance most_variance", trace="hourly")
+put("trace_statistics", prep.TRACE_STATISTICS, "least_variance most_variance", "n_vars n_active", trace="hourly")
 put("quantile_bins", prep.quantile_bins(4), trace="hourly")
 put("equal_width_bins", prep.EQUAL_WIDTH_BINS, trace="shipped")
 put("zscore", prep.ZSCORE, "z", trace="hourly")
@@ -101,7 +101,7 @@ put("cluster_series", grouping.CLUSTER_SERIES, "value", trace="hourly", labels="
 put("precursor_stats", grouping.PRECURSOR_STATS, "persistence contingency richness", "size", autocorrelation="series_auto", information="series_mi", entropy="series_entropy", labels="clusters")
 put("cluster_rank", grouping.CLUSTER_RANK, "score", "place", labels="clusters", similarity="hour_sim", stats="precursors")
 put("partition_score", grouping.PARTITION_SCORE, "score", stats="precursors")
-put("fusion_edges", grouping.fusion_edges(), "weight", "pairs", chunks="chunks", similarity="hour_sim")
+put("fusion_edges", grouping.fusion_edges(), "weight", "pairs a b", chunks="chunks", similarity="hour_sim")
 put("purity_match", grouping.PURITY_MATCH, "recall extra", found="bought", known="supplied")
 put("cluster_kind", grouping.CLUSTER_KIND, "", "size n_agent n_world", labels="clusters", variables="roles")
 put("compress_block", grouping.compress_block(), "lost", "label n", states="joint_states")
@@ -192,7 +192,7 @@ put("episode_mask", segments.episode_mask(), agents="agents")
 put("window_majority", segments.window_majority(), binary="binary")
 put("winner_persistence", segments.WINNER_PERSISTENCE, "stays", "n", trace="hourly")
 put("rank_within", segments.rank_within(), "value", "place", trace="hourly")
-put("sessions", segments.sessions(), "total", "session n", users="users")
+put("sessions", segments.sessions(), "total", "session n first_hour last_hour", users="users")
 put("segment_totals", segments.range_join(), "total most", "n", segments="segment_table", trace="hourly")
 put("as_of_error", segments.AS_OF, "value last_error_value", "t last_error_t", users="users")
 put("adjusted_rand", metrics.ADJUSTED_RAND, "ari", labelled="vector_labels")
@@ -213,7 +213,7 @@ put("widen", metrics.widen(["click", "view", "error"]), trace="hourly")
 put("pad_aligned", metrics.PAD_ALIGNED, "value", "t", trace="hourly")
 
 # ---- dense operators: grouped pandas functions, checked in tests
-from mutua.operators import dense, detector, graph  # noqa: E402
+from mutua.operators import dense, detector, graph, independence  # noqa: E402
 from mutua.plans.registry import register  # noqa: E402
 from mutua.sources.views import view  # noqa: E402
 
@@ -274,3 +274,21 @@ def _detect(spark, sf_dir):
 @register("choose_k")
 def _choose_k(spark, sf_dir):
     return detector.choose_k(detector.detect(view(spark, sf_dir, "hourly"), most=3))
+
+
+put("chi_square", independence.CHI_SQUARE, "chi2", "dof", observed="triples")
+
+
+@register("conditional_independence")
+def _conditional_independence(spark, sf_dir):
+    return independence.conditional_independence(view(spark, sf_dir, "triples"))
+
+
+@register("cross_validated_r2")
+def _cross_validated_r2(spark, sf_dir):
+    return independence.cross_validated_r2(view(spark, sf_dir, "series"), "outcome", ["action", "control"], "trace_id", "t")
+
+
+@register("peel")
+def _peel(spark, sf_dir):
+    return detector.peel(view(spark, sf_dir, "hourly"), passes=2, most=3, tolerance=0.5)

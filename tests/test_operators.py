@@ -180,3 +180,26 @@ def test_counters_saturate(spark):
     got = dense.saturating_counters(spark.createDataFrame(rows, "trace_id string, t long, var string, x int"), 2).orderBy("t").toPandas()
     assert got.counter.tolist() == [1, 2, 2, 1, 0, 0, 0, 1]
     assert isinstance(got, pd.DataFrame)
+
+
+def test_chi_square_tail_and_independence(spark):
+    from mutua.operators import independence
+
+    for x, dof, p in ((3.841458820694124, 1, 0.05), (5.991464547107979, 2, 0.05), (7.814727903251179, 3, 0.05), (16.918977604620448, 9, 0.05)):
+        assert math.isclose(independence.chi_square_tail(x, dof), p, rel_tol=1e-9)
+    rng = np.random.default_rng(7)
+    rows = [("free", int(a), int(b), int(c)) for a, b, c in rng.integers(0, 3, (900, 3))] + [("tied", int(a), int(a), int(c)) for a, c in rng.integers(0, 3, (300, 2))]
+    got = {r["keys"]: r.p for r in independence.conditional_independence(spark.createDataFrame(rows, "keys string, x int, y int, z int")).collect()}
+    assert got["free"] > 0.01 and got["tied"] < 1e-9
+    two = spark.createDataFrame([("k", a, b, 0) for a, b, n in ((0, 0, 10), (0, 1, 20), (1, 0, 30), (1, 1, 40)) for _ in range(n)], "keys string, x int, y int, z int")
+    assert math.isclose(independence.CHI_SQUARE(observed=two).first().chi2, 0.4464285714285714, rel_tol=1e-9)
+
+
+def test_cross_validated_fit(spark):
+    from mutua.operators import independence
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=400)
+    rows = [("fit", k, float(v), float(2 * v + 1 + 0.1 * e)) for k, (v, e) in enumerate(zip(x, rng.normal(size=400)))] + [("noise", k, float(v), float(e)) for k, (v, e) in enumerate(rng.normal(size=(400, 2)))]
+    got = {r.grp: r.r2 for r in independence.cross_validated_r2(spark.createDataFrame(rows, "g string, k long, x double, y double"), "y", ["x"], "g", "k").collect()}
+    assert got["fit"] > 0.99 and abs(got["noise"]) < 0.1

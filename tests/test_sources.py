@@ -49,3 +49,5 @@ def test_detector_finds_planted_clusters(spark):
     out = detector.detect(spark.createDataFrame(rows, "trace_id string, t long, var string, value double"), most=3).where("k = 2").collect()
     members = sorted(sorted([*r.sensors, *r.actions, *r.internal]) for r in out)
     assert members == [["g0v0", "g0v1", "g0v2"], ["g1v0", "g1v1", "g1v2"]]
+    peeled = detector.peel(spark.createDataFrame(rows, "trace_id string, t long, var string, value double"), passes=2, most=2, tolerance=1.0).collect()
+    assert sorted(r["pass"] for r in peeled) in ([1], [1, 2]) and len({v for r in peeled for v in [*r.sensors, *r.actions, *r.internal]}) >= 3
