@@ -50,7 +50,7 @@ FROM k JOIN vars ON vars.trace_id = k.trace_id LEFT JOIN cmi ON cmi.keys = conca
 
 
 #: A cluster looks like an agent when it has every role; the score counts the roles it has.
-AGENCY_SIGNATURE = Op("""
+ROLE_SIGNATURE = Op("""
 SELECT trace_id, cluster, count_if(role = 'S') AS n_sensors, count_if(role = 'A') AS n_actions, count_if(role = 'I') AS n_internal,
   count_if(role = 'S') > 0 AND count_if(role = 'A') > 0 AS passes_soft, count_if(role = 'S') > 0 AND count_if(role = 'A') > 0 AND count_if(role = 'I') > 0 AS passes_strict,
   (CASE WHEN count_if(role = 'S') = 0 THEN 1 ELSE 0 END + CASE WHEN count_if(role = 'A') = 0 THEN 1 ELSE 0 END + CASE WHEN count_if(role = 'I') = 0 THEN 1 ELSE 0 END) / CAST(3 AS DOUBLE) AS penalty

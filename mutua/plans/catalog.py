@@ -112,7 +112,7 @@ put("jaccard", grouping.JACCARD, "jaccard", "shared", members="bought")
 put("external_variables", grouping.EXTERNAL, labels="clusters")
 put("role_classification", roles.classify_roles(), "outside later", bins="hour_bins", labels="clusters")
 put("blanket_test", roles.blanket_test(), "violation", states="binary_bins", roles="role_table")
-put("agency_signature", roles.AGENCY_SIGNATURE, "penalty", "n_sensors n_actions n_internal", roles="role_table")
+put("role_signature", roles.ROLE_SIGNATURE, "penalty", "n_sensors n_actions n_internal", roles="role_table")
 put("threshold_sweep", roles.THRESHOLD_SWEEP, "threshold pass_rate", "n", tests="blanket")
 put("select_cluster", roles.SELECT_CLUSTER, "violation", tests="blanket")
 
