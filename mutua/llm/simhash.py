@@ -11,8 +11,10 @@
    between different groups of the first pass only, so a group of n near copies
    does not give n*n rows. No key is capped or dropped; a hot key is one that the
    adaptive skew join can split.
-4. Where a similarity is asked for, proposed links are verified on the texts' five-word
-   shingles; each text moves once to the few links it is in.
+4. Where a similarity is asked for, a second fingerprint over five-word shingles must be
+   within ``SECOND_BITS`` too, and links are verified on the texts' shingles; each text
+   moves once to the few links it is in. The first pass then also tries, within a key, each node with
+   the one that has most copies: copies of a text are nearer to it than to each other.
 5. Components of the links are the groups.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like
@@ -29,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mutua.llm.text import blank_words
@@ -42,6 +44,8 @@ SHINGLE_WORDS = 4
 MAX_BITS = 4
 #: Words of the shingles on which a similarity is verified.
 VERIFY_WORDS = 5
+#: Differing bits of shingle fingerprints that texts of similarity 0.8 stay within (half of them are within 10).
+SECOND_BITS = 18
 SEED = 42
 BITS = 64
 
@@ -71,21 +75,21 @@ def fingerprint(words: list[bytes], shingle_words: int = SHINGLE_WORDS) -> int:
     return _votes(line, begins.tolist(), ends[shingle_words - 1 :].tolist())
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
+def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle_words: int, second_words: int | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints, digests = [], []
+        rows = []
         for text in batch.column(1):
             words = blank_words(text.as_py())
-            prints.append(fingerprint(words, shingle_words))
-            digests.append(xxhash.xxh64_intdigest(b" ".join(words)))
-        signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, digests)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *signed], names=["doc_id", "fp", "digest"])
+            second = 0 if second_words is None else fingerprint(words, second_words)
+            rows.append((fingerprint(words, shingle_words), second, xxhash.xxh64_intdigest(b" ".join(words))))
+        signed = np.array(rows, np.uint64).reshape(-1, 3).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(signed[:, k]) for k in range(3))], names=["doc_id", "fp", "second", "digest"])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id``, ``fp`` (the fingerprint as a signed long) and ``digest`` of the words."""
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, second_words: int | None = None) -> DataFrame:
+    """``doc_id``, ``fp`` (the fingerprint as a signed long), ``second`` (another one, or 0) and ``digest`` of the words."""
     kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(lambda b: _fingerprint_batches(b, shingle_words), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, fp long, digest long")
+    return kept.mapInArrow(lambda b: _fingerprint_batches(b, shingle_words, second_words), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, fp long, second long, digest long")
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -117,23 +121,33 @@ Verify = Callable[[DataFrame], DataFrame]
 def links(nodes: DataFrame, max_bits: int = MAX_BITS, verify: Verify | None = None) -> DataFrame:
     """Edges ``src``, ``dst`` whose components are those of all links within ``max_bits`` that ``verify`` keeps.
 
-    ``nodes`` has distinct ``node`` and their ``fp``.
+    ``nodes`` has distinct ``node`` and their ``fp``; with ``verify`` also ``second`` and ``copies``.
     """
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
+
+    def near(a: str, b: str) -> Column:
+        close = F.bit_count(F.col(f"fp{a}").bitwiseXOR(F.col(f"fp{b}"))) <= max_bits
+        return close if verify is None else close & (F.bit_count(F.col(f"second{a}").bitwiseXOR(F.col(f"second{b}"))) <= SECOND_BITS)
+
     check = verify or (lambda edges: edges)
+    prints = ["fp"] if verify is None else ["fp", "second"]
     key = Window.partitionBy("bit", "rest")
     in_order = key.orderBy("fp", "node")
-    chained = variant_index(nodes.select("node", "fp"), max_bits).select("node", "fp", F.lag("node").over(in_order).alias("before"), F.lag("fp").over(in_order).alias("fp_before"))
-    first = chained.where(F.col("before").isNotNull() & near("fp", "fp_before")).select(F.col("before").alias("src"), F.col("node").alias("dst"))
-    first = materialise(check(materialise(first.distinct(), "first-links")), "first-verified") if verify else materialise(first.distinct(), "first-links")
-    labelled = nodes.select("node", "fp").join(connected_components(first).select(F.col("node").alias("member"), "component"), F.col("node") == F.col("member"), "left")
-    labelled = materialise(labelled.select("node", "fp", F.coalesce("component", "node").alias("grp")), "labelled")
+    index = variant_index(nodes.select("node", *prints, *(["copies"] if verify else [])), max_bits)
+    chained = index.withColumns({f"{c}_before": F.lag(c).over(in_order) for c in ["node", *prints]})
+    tries = [F.when(F.col("node_before").isNotNull() & near("", "_before"), F.col("node_before"))]
+    if verify is not None:
+        by_copies = key.orderBy(F.desc("copies"), "fp", "node")
+        chained = chained.withColumns({f"{c}_hub": F.first(c).over(by_copies) for c in ["node", *prints]})
+        tries.append(F.when((F.col("node_hub") != F.col("node")) & near("", "_hub"), F.col("node_hub")))
+    first = chained.select("node", F.explode(F.array_compact(F.array(*tries))).alias("other")).select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
+    first = materialise(check(materialise(first, "first-links")), "first-verified") if verify else materialise(first, "first-links")
+    labelled = nodes.select("node", *prints).join(connected_components(first).select(F.col("node").alias("member"), "component"), F.col("node") == F.col("member"), "left")
+    labelled = materialise(labelled.select("node", *prints, F.coalesce("component", "node").alias("grp")), "labelled")
     index = variant_index(labelled, max_bits)
     mixed = index.withColumns({"least": F.min("grp").over(key), "most": F.max("grp").over(key)}).where("least <> most").drop("least", "most")
     mixed = materialise(mixed, "mixed-keys")
-    a = mixed.alias("a")
-    b = mixed.select(*[F.col(c).alias(f"{c}_b") for c in mixed.columns])
-    pairs = a.join(b, (F.col("bit") == F.col("bit_b")) & (F.col("rest") == F.col("rest_b")) & (F.col("grp") < F.col("grp_b")) & near("fp", "fp_b"))
+    other = mixed.select(*[F.col(c).alias(f"{c}_b") for c in mixed.columns])
+    pairs = mixed.join(other, (F.col("bit") == F.col("bit_b")) & (F.col("rest") == F.col("rest_b")) & (F.col("grp") < F.col("grp_b")) & near("", "_b"))
     second = pairs.select(F.col("node").alias("src"), F.col("node_b").alias("dst")).distinct()
     return first.unionByName(check(materialise(second, "second-links")) if verify else second)
 
@@ -174,8 +188,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     links also need that Jaccard similarity of their ``verify_words``-word shingles.
     """
     by = "fp" if least_similarity is None else "digest"
-    prints = materialise(fingerprints(docs, shingle_words).withColumn("node", F.col(by)), "fingerprints")
-    nodes = materialise(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id")), "nodes")
+    second_words = None if least_similarity is None else verify_words
+    prints = materialise(fingerprints(docs, shingle_words, second_words).withColumn("node", F.col(by)), "fingerprints")
+    nodes = materialise(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("second").alias("second"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "nodes")
     verify = None if least_similarity is None else similar_texts(docs, nodes, least_similarity, verify_words)
     group = materialise(connected_components(materialise(links(nodes, max_bits, verify), "links")), "groups")
     member = nodes.join(group.select(F.col("node").alias("member"), "component"), F.col("node") == F.col("member"), "left").select("node", "first_id", F.coalesce("component", "node").alias("grp"))
