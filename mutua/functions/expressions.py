@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def null_for_nan(x: Column) -> Column:
@@ -37,7 +38,7 @@ def noise_after(rates: Column) -> Column:
     return F.aggregate(rates, F.lit(0.0), lambda q, p: q * (1 - p) + (1 - q) * p)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mutual_information(a: pd.Series, b: pd.Series) -> float:
     """Plug-in mutual information in nats as an aggregate of two columns, for groups that fit a task; larger ones go through ``operators.information``."""
     n = pd.crosstab(a, b).to_numpy(float)
