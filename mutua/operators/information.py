@@ -118,10 +118,10 @@ SELECT keys AS pair, cmi AS te FROM cmi""")
 def directed_information(length: int = 3, alpha: float = 1e-6) -> Op:
     """Massey's directed information over realisations (run, step, x, y) of ``length`` steps: sum over t of I(X up to t; Y at t | Y before t)."""
     return Op(f"""
-WITH r AS (SELECT src, dst, run, step, x, y, JOINED(LISTED(x), '') AS xs, JOINED(LISTED(y), '') AS ys FROM {{runs}}),
+WITH r AS (SELECT src, dst, run, step, x, y, {_prefix('x', length)} AS xs, {_prefix('y', length)} AS ys FROM {{runs}}),
 cells AS (SELECT concat(src, '|', dst, '|', CAST(step AS STRING)) AS keys, xs AS x, y, substr(ys, 1, step) AS z, count(*) AS n FROM r GROUP BY concat(src, '|', dst, '|', CAST(step AS STRING)), xs, y, substr(ys, 1, step)),
 {_entropy_terms(alpha)}
-SELECT substr(keys, 1, length(keys) - 2) AS pair, sum(cmi) AS directed FROM cmi GROUP BY substr(keys, 1, length(keys) - 2)""".replace("JOINED(LISTED(x), '')", _prefix("x", length)).replace("JOINED(LISTED(y), '')", _prefix("y", length)))
+SELECT substr(keys, 1, length(keys) - 2) AS pair, sum(cmi) AS directed FROM cmi GROUP BY substr(keys, 1, length(keys) - 2)""")
 
 
 def _prefix(c: str, length: int) -> str:

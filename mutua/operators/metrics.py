@@ -80,10 +80,9 @@ SELECT trace_id, count(*) AS n, count(*) - count(DISTINCT concat(CAST(t AS STRIN
 #: Edges as lines of a graph file.
 DOT_LINES = Op("SELECT trace_id, concat('\"', i, '\" -- \"', j, '\" [weight=', CAST(CAST(round(w * 1000000) AS BIGINT) AS STRING), '];') AS line FROM {similarity}")
 
-#: Trace columns side by side, a fixed list of variables.
-
 
 def widen(variables: list[str]) -> Op:
+    """A fixed list of variables side by side."""
     return Op("SELECT trace_id, t, " + ", ".join(f"max(CASE WHEN var = '{v}' THEN value END) AS {v}_value" for v in variables) + " FROM {trace} GROUP BY trace_id, t")
 
 

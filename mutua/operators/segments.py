@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from mutua.sqltext import Op
 
-#: Runs of consecutive active ticks, of ``least`` at least. ``mask`` has (trace_id, t, active).
-
 
 def active_runs(least: int = 2) -> Op:
+    """Runs of consecutive active ticks, of ``least`` at least. ``mask`` has (trace_id, t, active)."""
     return Op(f"""
 WITH r AS (SELECT trace_id, t, active, row_number() OVER (PARTITION BY trace_id ORDER BY t) - row_number() OVER (PARTITION BY trace_id, active ORDER BY t) AS island FROM {{mask}})
 SELECT trace_id, min(t) AS start_t, max(t) + 1 AS end_t, count(*) AS n FROM r WHERE active GROUP BY trace_id, island HAVING count(*) >= {least}""")
@@ -75,6 +74,6 @@ SELECT c.trace_id, c.start_t, c.end_t, v.var, count(*) AS n, sum(v.value) AS tot
 
 #: Each user's event with the latest error before it: an as-of join by a window over both kinds of row.
 AS_OF = Op("""
-SELECT trace_id, t, value, last_error_t, last_error_value FROM (SELECT trace_id, t, event_type, value, max(CASE WHEN event_type = 'error' THEN t END) OVER w AS last_error_t, last_value(CASE WHEN event_type = 'error' THEN value END) IGNORE_NULLS OVER w AS last_error_value
+SELECT trace_id, t, value, last_error_t, last_error_value FROM (SELECT trace_id, t, event_type, value, max(CASE WHEN event_type = 'error' THEN t END) OVER w AS last_error_t, max_by(value, CASE WHEN event_type = 'error' THEN t END) OVER w AS last_error_value
   FROM {users} WINDOW w AS (PARTITION BY trace_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS a WHERE event_type <> 'error'
-""".replace("last_value(CASE WHEN event_type = 'error' THEN value END) IGNORE_NULLS OVER w", "max_by(value, CASE WHEN event_type = 'error' THEN t END) OVER w"))
+""")
