@@ -73,7 +73,10 @@ def members(read: Callable[[int], bytes], block: int = BLOCK_BYTES) -> Iterator[
             if out:
                 yield out
 
-    while rest[0] or rest.__setitem__(0, read(block)) or rest[0]:
+    while True:
+        rest[0] = rest[0] or read(block)
+        if not rest[0]:
+            return
         yield pieces()
 
 
