@@ -38,7 +38,7 @@ WINDOW = 13
 #: Words of benchmark text that one pass over the documents holds in each task (about 100 MB).
 MAX_QUERY_WORDS = 1_000_000
 #: Words of documents in one shard.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 250_000
 
 
 class Suffixes:
