@@ -16,6 +16,7 @@ from mutua.storage import materialise, table
 
 #: Near duplicates: fingerprints of the distinct words propose, five-word shingles verify.
 NEAR_BITS = 5
+NEAR_PRINTS = 6
 NEAR_SIMILARITY = 0.8
 
 ORACLE_SQL = None  # trained trees and a greedy packing have no SQL form; tests use brute force
@@ -26,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs, shingle_words=0, max_bits=NEAR_BITS, least_similarity=NEAR_SIMILARITY)
+    groups = simhash.near_duplicates(docs, shingle_words=0, max_bits=NEAR_BITS, least_similarity=NEAR_SIMILARITY, n_prints=NEAR_PRINTS)
     kept = groups.where("doc_id = component_id").select(F.col("component_id").alias("kept_id")).distinct()
     one = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null"))

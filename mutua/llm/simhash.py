@@ -11,11 +11,14 @@
    between different groups of the first pass only, so a group of n near copies
    does not give n*n rows. No key is capped or dropped; a hot key is one that the
    adaptive skew join can split.
-4. Where a similarity is asked for, a second fingerprint over five-word shingles must be
+4. With several ``prints`` steps 2 and 3 are done for as many independently seeded
+   fingerprints, one after the other, and what they propose is united: texts that are far
+   apart by one are seldom far apart by all.
+5. Where a similarity is asked for, a second fingerprint over five-word shingles must be
    within ``SECOND_BITS`` too, and links are verified on the texts' shingles; each text
    moves once to the few links it is in. The first pass then also tries, within a key, each node with
    the one that has most copies: copies of a text are nearer to it than to each other.
-5. Components of the links are the groups.
+6. Components of the links are the groups.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like
 any other; a text of fewer words than a shingle is one shingle; ties in the bit
@@ -27,6 +30,7 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 
 from mutua.llm.text import blank_words
 from mutua.operators.graph import connected_components
-from mutua.storage import materialise, table
+from mutua.storage import materialise, release_shuffles, table
 
 QUERY = "op3_simhash"
 ORACLE_SQL = None  # DuckDB has no XXH64; tests compare with brute force
@@ -50,46 +54,68 @@ SEED = 42
 BITS = 64
 
 
-def _votes(line: bytes, begins: list[int], ends: list[int]) -> int:
-    """Bit b is set if it is set in over half of the hashes of ``line[begin:end]``."""
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(begins, ends)], ">u8")
+def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Other hashes of the same things, independent for each seed; seed 0 leaves them."""
+    if not seed:
+        return hashes
+    z = hashes + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _votes(hashes: np.ndarray) -> int:
+    """Bit b is set if it is set in over half of the hashes."""
     votes = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 65536):  # 64 bytes a hash at a time
-        votes += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        votes += np.unpackbits(hashes[k : k + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprint(words: list[bytes], shingle_words: int = SHINGLE_WORDS) -> int:
-    """Over the shingles, repeats included; over the distinct words for ``shingle_words`` 0."""
+def fingerprint_each(words: list[bytes], shingle_words: int = SHINGLE_WORDS, prints: int = 1) -> list[int]:
+    """Over the shingles, repeats included; over the distinct words for ``shingle_words`` 0. One for each of ``prints`` seeds."""
     if not words:
-        return 0
+        return [0] * prints
     if not shingle_words:
         words, shingle_words = sorted(set(words)), 1
     line = b" ".join(words)
     n = len(words) - shingle_words + 1
     if n <= 1:
-        return xxhash.xxh64_intdigest(line, SEED)
+        return [int(_mixed(np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64), k)[0]) for k in range(prints)]
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate([[0], ends[: n - 1] + 1])
-    return _votes(line, begins.tolist(), ends[shingle_words - 1 :].tolist())
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(begins.tolist(), ends[shingle_words - 1 :].tolist())], np.uint64)
+    return [_votes(_mixed(hashes, k)) for k in range(prints)]
+
 
+def fingerprint(words: list[bytes], shingle_words: int = SHINGLE_WORDS) -> int:
+    """The first of ``fingerprint_each``."""
+    return fingerprint_each(words, shingle_words)[0]
+
+
+def print_columns(prints: int) -> list[str]:
+    """``fp`` and, for further seeds, ``fp1``, ``fp2``, ..."""
+    return ["fp", *[f"fp{k}" for k in range(1, prints)]]
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle_words: int, second_words: int | None) -> Iterator[pa.RecordBatch]:
+
+def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle_words: int, second_words: int | None, prints: int) -> Iterator[pa.RecordBatch]:
+    names = [*print_columns(prints), "second", "digest"]
     for batch in batches:
         rows = []
         for text in batch.column(1):
             words = blank_words(text.as_py())
             second = 0 if second_words is None else fingerprint(words, second_words)
-            rows.append((fingerprint(words, shingle_words), second, xxhash.xxh64_intdigest(b" ".join(words))))
-        signed = np.array(rows, np.uint64).reshape(-1, 3).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(signed[:, k]) for k in range(3))], names=["doc_id", "fp", "second", "digest"])
+            rows.append((*fingerprint_each(words, shingle_words, prints), second, xxhash.xxh64_intdigest(b" ".join(words))))
+        signed = np.array(rows, np.uint64).reshape(-1, len(names)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(signed[:, k]) for k in range(len(names)))], names=["doc_id", *names])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, second_words: int | None = None) -> DataFrame:
-    """``doc_id``, ``fp`` (the fingerprint as a signed long), ``second`` (another one, or 0) and ``digest`` of the words."""
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, second_words: int | None = None, prints: int = 1) -> DataFrame:
+    """``doc_id``, the fingerprints (``print_columns``, as signed longs), ``second`` (another one, or 0) and ``digest`` of the words."""
     kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(lambda b: _fingerprint_batches(b, shingle_words, second_words), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, fp long, second long, digest long")
+    longs = ", ".join(f"{c} long" for c in [*print_columns(prints), "second", "digest"])
+    return kept.mapInArrow(lambda b: _fingerprint_batches(b, shingle_words, second_words, prints), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, {longs}")
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -118,38 +144,52 @@ def _signed(x: int) -> int:
 Verify = Callable[[DataFrame], DataFrame]
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS, verify: Verify | None = None) -> DataFrame:
-    """Edges ``src``, ``dst`` whose components are those of all links within ``max_bits`` that ``verify`` keeps.
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, verify: Verify | None = None, prints: int = 1) -> DataFrame:
+    """Edges ``src``, ``dst`` whose components are those of all links within ``max_bits`` by any of the ``prints`` that ``verify`` keeps.
 
-    ``nodes`` has distinct ``node`` and their ``fp``; with ``verify`` also ``second`` and ``copies``.
+    ``nodes`` has distinct ``node`` and their ``print_columns``; with ``verify`` also ``second`` and ``copies``.
     """
+    kept = ["fp"] if verify is None else ["fp", "second"]
+    key = Window.partitionBy("bit", "rest")
 
     def near(a: str, b: str) -> Column:
         close = F.bit_count(F.col(f"fp{a}").bitwiseXOR(F.col(f"fp{b}"))) <= max_bits
         return close if verify is None else close & (F.bit_count(F.col(f"second{a}").bitwiseXOR(F.col(f"second{b}"))) <= SECOND_BITS)
 
-    check = verify or (lambda edges: edges)
-    prints = ["fp"] if verify is None else ["fp", "second"]
-    key = Window.partitionBy("bit", "rest")
-    in_order = key.orderBy("fp", "node")
-    index = variant_index(nodes.select("node", *prints, *(["copies"] if verify else [])), max_bits)
-    chained = index.withColumns({f"{c}_before": F.lag(c).over(in_order) for c in ["node", *prints]})
-    tries = [F.when(F.col("node_before").isNotNull() & near("", "_before"), F.col("node_before"))]
-    if verify is not None:
-        by_copies = key.orderBy(F.desc("copies"), "fp", "node")
-        chained = chained.withColumns({f"{c}_hub": F.first(c).over(by_copies) for c in ["node", *prints]})
-        tries.append(F.when((F.col("node_hub") != F.col("node")) & near("", "_hub"), F.col("node_hub")))
-    first = chained.select("node", F.explode(F.array_compact(F.array(*tries))).alias("other")).select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
-    first = materialise(check(materialise(first, "first-links")), "first-verified") if verify else materialise(first, "first-links")
-    labelled = nodes.select("node", *prints).join(connected_components(first).select(F.col("node").alias("member"), "component"), F.col("node") == F.col("member"), "left")
-    labelled = materialise(labelled.select("node", *prints, F.coalesce("component", "node").alias("grp")), "labelled")
-    index = variant_index(labelled, max_bits)
-    mixed = index.withColumns({"least": F.min("grp").over(key), "most": F.max("grp").over(key)}).where("least <> most").drop("least", "most")
-    mixed = materialise(mixed, "mixed-keys")
-    other = mixed.select(*[F.col(c).alias(f"{c}_b") for c in mixed.columns])
-    pairs = mixed.join(other, (F.col("bit") == F.col("bit_b")) & (F.col("rest") == F.col("rest_b")) & (F.col("grp") < F.col("grp_b")) & near("", "_b"))
-    second = pairs.select(F.col("node").alias("src"), F.col("node_b").alias("dst")).distinct()
-    return first.unionByName(check(materialise(second, "second-links")) if verify else second)
+    def each(table: DataFrame, propose: Callable[[DataFrame], DataFrame], *others: str, label: str) -> DataFrame:
+        """What is proposed by any of the prints, each of them as ``fp``."""
+        found = []
+        for c in print_columns(prints):
+            of_print = table.select("node", F.col(c).alias("fp"), *kept[1:], *others)
+            found.append(materialise(propose(variant_index(of_print, max_bits)), label))
+            if prints > 1:
+                release_shuffles(table.sparkSession)
+        proposed = found[0] if prints == 1 else materialise(reduce(DataFrame.unionByName, found).distinct(), label)
+        return materialise(verify(proposed), f"{label}-verified") if verify else proposed
+
+    def neighbours(index: DataFrame) -> DataFrame:
+        in_order = key.orderBy("fp", "node")
+        chained = index.withColumns({f"{c}_before": F.lag(c).over(in_order) for c in ["node", *kept]})
+        tries = [F.when(F.col("node_before").isNotNull() & near("", "_before"), F.col("node_before"))]
+        if verify is not None:
+            by_copies = key.orderBy(F.desc("copies"), "fp", "node")
+            chained = chained.withColumns({f"{c}_hub": F.first(c).over(by_copies) for c in ["node", *kept]})
+            tries.append(F.when((F.col("node_hub") != F.col("node")) & near("", "_hub"), F.col("node_hub")))
+        ends = chained.select("node", F.explode(F.array_compact(F.array(*tries))).alias("other"))
+        return ends.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
+
+    def between(index: DataFrame) -> DataFrame:
+        mixed = index.withColumns({"least": F.min("grp").over(key), "most": F.max("grp").over(key)}).where("least <> most").drop("least", "most")
+        mixed = materialise(mixed, "mixed-keys")
+        other = mixed.select(*[F.col(c).alias(f"{c}_b") for c in mixed.columns])
+        pairs = mixed.join(other, (F.col("bit") == F.col("bit_b")) & (F.col("rest") == F.col("rest_b")) & (F.col("grp") < F.col("grp_b")) & near("", "_b"))
+        return pairs.select(F.least("node", "node_b").alias("src"), F.greatest("node", "node_b").alias("dst")).distinct()
+
+    first = each(nodes, neighbours, *(["copies"] if verify else []), label="first-links")
+    held = ["node", *print_columns(prints), *kept[1:]]
+    labelled = nodes.select(held).join(connected_components(first).select(F.col("node").alias("member"), "component"), F.col("node") == F.col("member"), "left")
+    labelled = materialise(labelled.select(*held, F.coalesce("component", "node").alias("grp")), "labelled")
+    return first.unionByName(each(labelled, between, "grp", label="second-links"))
 
 
 def similarity(a: list[bytes], b: list[bytes], shingle_words: int) -> float:
@@ -181,18 +221,19 @@ def similar_texts(docs: DataFrame, nodes: DataFrame, least: float, shingle_words
     return verify
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, least_similarity: float | None = None, verify_words: int = VERIFY_WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, least_similarity: float | None = None, verify_words: int = VERIFY_WORDS, n_prints: int = 1) -> DataFrame:
     """One row per document: ``doc_id``, ``fp`` and ``component_id``, the smallest doc_id of its group.
 
     Without ``least_similarity`` fingerprints within ``max_bits`` are links. With it,
-    links also need that Jaccard similarity of their ``verify_words``-word shingles.
+    links also need that Jaccard similarity of their ``verify_words``-word shingles. Any of
+    ``n_prints`` fingerprints can make a link; the first is ``fp``.
     """
     by = "fp" if least_similarity is None else "digest"
     second_words = None if least_similarity is None else verify_words
-    prints = materialise(fingerprints(docs, shingle_words, second_words).withColumn("node", F.col(by)), "fingerprints")
-    nodes = materialise(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("second").alias("second"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "nodes")
+    prints = materialise(fingerprints(docs, shingle_words, second_words, n_prints).withColumn("node", F.col(by)), "fingerprints")
+    nodes = materialise(prints.groupBy("node").agg(*[F.min(c).alias(c) for c in print_columns(n_prints)], F.min("second").alias("second"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "nodes")
     verify = None if least_similarity is None else similar_texts(docs, nodes, least_similarity, verify_words)
-    group = materialise(connected_components(materialise(links(nodes, max_bits, verify), "links")), "groups")
+    group = materialise(connected_components(materialise(links(nodes, max_bits, verify, n_prints), "links")), "groups")
     member = nodes.join(group.select(F.col("node").alias("member"), "component"), F.col("node") == F.col("member"), "left").select("node", "first_id", F.coalesce("component", "node").alias("grp"))
     least = member.groupBy("grp").agg(F.min("first_id").alias("component_id"))
     return prints.join(member.join(least, "grp").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")

@@ -93,6 +93,37 @@ def test_similarity_is_verified(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
 
 
+def _far_pairs(n):
+    """Pairs of similarity 0.8 or more whose first fingerprints of the words differ in more than 5 bits."""
+    rng, pairs = random.Random(8), []
+    vocabulary = [f"w{k}".encode() for k in range(5000)]
+    while len(pairs) < n:
+        a = rng.choices(vocabulary, k=rng.choice([40, 60, 150]))
+        b = a.copy()
+        for _ in range(max(1, len(a) // 60)):
+            b[rng.randrange(len(b))] = rng.choice(vocabulary)
+        if (simhash.fingerprint(a, 0) ^ simhash.fingerprint(b, 0)).bit_count() > 5 and simhash.similarity(a, b, 5) >= 0.8:
+            pairs.append((b" ".join(a).decode(), b" ".join(b).decode()))
+    return pairs
+
+
+def test_the_pipeline_compares_pairs_that_one_fingerprint_misses(spark):
+    import corpus_pipeline
+
+    texts = [t for pair in _far_pairs(30) for t in pair]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == set(range(0, 60, 2))
+
+
+def test_fingerprints_of_several_seeds(spark):
+    words = [b"a%d" % k for k in range(50)]
+    prints = simhash.fingerprint_each(words, 0, 4)
+    assert prints[0] == simhash.fingerprint(words, 0) and len(set(prints)) == 4
+    assert min((a ^ b).bit_count() for a, b in combinations(prints, 2)) > 12
+    assert simhash.fingerprint_each([], 0, 3) == [0, 0, 0]
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
