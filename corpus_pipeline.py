@@ -9,7 +9,6 @@ another's copy and stays in the second stage; the others treat it as any row.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from mutua.llm import decontaminate, packing, quality, secrets, simhash
 from mutua.storage import materialise, table
@@ -27,10 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs, shingle_words=0, max_bits=NEAR_BITS, least_similarity=NEAR_SIMILARITY, n_prints=NEAR_PRINTS)
-    kept = groups.where("doc_id = component_id").select(F.col("component_id").alias("kept_id")).distinct()
-    one = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    return simhash.keep_one(docs, NEAR_SIMILARITY, max_bits=NEAR_BITS, n_prints=NEAR_PRINTS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

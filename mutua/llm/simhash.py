@@ -99,6 +99,11 @@ def print_columns(prints: int) -> list[str]:
     return ["fp", *[f"fp{k}" for k in range(1, prints)]]
 
 
+def row_hash() -> Column:
+    """Of the text as it is, to tell rows of one doc_id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle_words: int, second_words: int | None, prints: int) -> Iterator[pa.RecordBatch]:
     names = [*print_columns(prints), "second", "digest"]
     for batch in batches:
@@ -108,14 +113,15 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle_words: int,
             second = 0 if second_words is None else fingerprint(words, second_words)
             rows.append((*fingerprint_each(words, shingle_words, prints), second, xxhash.xxh64_intdigest(b" ".join(words))))
         signed = np.array(rows, np.uint64).reshape(-1, len(names)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(signed[:, k]) for k in range(len(names)))], names=["doc_id", *names])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(signed[:, k]) for k in range(len(names)))], names=["doc_id", "row_hash", *names])
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, second_words: int | None = None, prints: int = 1) -> DataFrame:
-    """``doc_id``, the fingerprints (``print_columns``, as signed longs), ``second`` (another one, or 0) and ``digest`` of the words."""
-    kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    """``doc_id``, the fingerprints (``print_columns``, as signed longs), ``second`` (another one, or 0), ``digest`` of the words and ``row_hash`` (0 without ``second``)."""
+    text_hash = F.lit(0).cast("long") if second_words is None else row_hash()
+    kept = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_hash.alias("row_hash"))
     longs = ", ".join(f"{c} long" for c in [*print_columns(prints), "second", "digest"])
-    return kept.mapInArrow(lambda b: _fingerprint_batches(b, shingle_words, second_words, prints), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, {longs}")
+    return kept.mapInArrow(lambda b: _fingerprint_batches(b, shingle_words, second_words, prints), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, row_hash long, {longs}")
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -206,12 +212,13 @@ def _similar_batches(batches: Iterator[pa.RecordBatch], least: float, shingle_wo
 
 
 def similar_texts(docs: DataFrame, nodes: DataFrame, least: float, shingle_words: int) -> Verify:
-    """Keeps the edges whose texts' similarity is at least ``least``; ``nodes`` names a document (``first_id``) for each node."""
+    """Keeps the edges whose texts' similarity is at least ``least``; ``nodes`` names a row (``first_id``, ``first_hash``) for each node."""
 
     def verify(edges: DataFrame) -> DataFrame:
         ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        wanted = nodes.join(ends, "node").select("node", F.col("first_id").alias("wanted_id"))
-        texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted, F.col("doc_id") == F.col("wanted_id"))
+        wanted = nodes.join(ends, "node").select("node", F.col("first_id").alias("wanted_id"), F.col("first_hash").alias("wanted_hash"))
+        texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), row_hash().alias("row_hash"))
+        texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("row_hash") == F.col("wanted_hash")))
         texts = materialise(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
         left = texts.select(F.col("node").alias("src"), F.col("text").alias("text_a"))
         right = texts.select(F.col("node").alias("dst"), F.col("text").alias("text_b"))
@@ -221,6 +228,20 @@ def similar_texts(docs: DataFrame, nodes: DataFrame, least: float, shingle_words
     return verify
 
 
+def _grouped(docs: DataFrame, shingle_words: int, max_bits: int, least_similarity: float | None, verify_words: int, n_prints: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints with their ``node``; and each node's group ``grp`` with the first row of the node (``first_id``, ``first_hash``)."""
+    by = "fp" if least_similarity is None else "digest"
+    second_words = None if least_similarity is None else verify_words
+    prints = materialise(fingerprints(docs, shingle_words, second_words, n_prints).withColumn("node", F.col(by)), "fingerprints")
+    first_hash = F.min("row_hash") if least_similarity is None else F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row_hash")))["row_hash"]
+    nodes = prints.groupBy("node").agg(*[F.min(c).alias(c) for c in print_columns(n_prints)], F.min("second").alias("second"), F.min("doc_id").alias("first_id"), first_hash.alias("first_hash"), F.count(F.lit(1)).alias("copies"))
+    nodes = materialise(nodes, "nodes")
+    verify = None if least_similarity is None else similar_texts(docs, nodes, least_similarity, verify_words)
+    group = materialise(connected_components(materialise(links(nodes, max_bits, verify, n_prints), "links")), "groups")
+    member = nodes.join(group.select(F.col("node").alias("member"), "component"), F.col("node") == F.col("member"), "left")
+    return prints, member.select("node", "first_id", "first_hash", F.coalesce("component", "node").alias("grp"))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, least_similarity: float | None = None, verify_words: int = VERIFY_WORDS, n_prints: int = 1) -> DataFrame:
     """One row per document: ``doc_id``, ``fp`` and ``component_id``, the smallest doc_id of its group.
 
@@ -228,17 +249,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     links also need that Jaccard similarity of their ``verify_words``-word shingles. Any of
     ``n_prints`` fingerprints can make a link; the first is ``fp``.
     """
-    by = "fp" if least_similarity is None else "digest"
-    second_words = None if least_similarity is None else verify_words
-    prints = materialise(fingerprints(docs, shingle_words, second_words, n_prints).withColumn("node", F.col(by)), "fingerprints")
-    nodes = materialise(prints.groupBy("node").agg(*[F.min(c).alias(c) for c in print_columns(n_prints)], F.min("second").alias("second"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "nodes")
-    verify = None if least_similarity is None else similar_texts(docs, nodes, least_similarity, verify_words)
-    group = materialise(connected_components(materialise(links(nodes, max_bits, verify, n_prints), "links")), "groups")
-    member = nodes.join(group.select(F.col("node").alias("member"), "component"), F.col("node") == F.col("member"), "left").select("node", "first_id", F.coalesce("component", "node").alias("grp"))
+    prints, member = _grouped(docs, shingle_words, max_bits, least_similarity, verify_words, n_prints)
     least = member.groupBy("grp").agg(F.min("first_id").alias("component_id"))
     return prints.join(member.join(least, "grp").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, least_similarity: float, max_bits: int = MAX_BITS, verify_words: int = VERIFY_WORDS, n_prints: int = 1) -> DataFrame:
+    """One row of each group by distinct words: of the smallest doc_id, then of the least ``row_hash``. Rows without a doc_id all stay.
+
+    A doc_id may repeat: rows of one id and different texts are different rows.
+    """
+    _, member = _grouped(docs, 0, max_bits, least_similarity, verify_words, n_prints)
+    least = member.where("first_id is not null").groupBy("grp").agg(F.min(F.struct("first_id", "first_hash")).alias("kept"))
+    kept = materialise(least.select(F.col("kept.first_id").alias("kept_id"), F.col("kept.first_hash").alias("kept_hash")), "kept")
+    hashed = docs.withColumn("row_hash", row_hash())
+    one = hashed.join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("row_hash") == F.col("kept_hash")), "left_semi").dropDuplicates(["doc_id", "row_hash"])
+    return one.drop("row_hash").unionByName(docs.where("doc_id is null"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -116,6 +116,17 @@ def test_the_pipeline_compares_pairs_that_one_fingerprint_misses(spark):
     assert kept == set(range(0, 60, 2))
 
 
+def test_the_pipeline_keeps_a_row_of_each_group_where_ids_repeat(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    x, y, z = (" ".join(f"{c}{rng.randrange(900)}" for _ in range(60)) for c in "xyz")
+    rows = [(1, x), (1, x), (1, y), (1, y + " end"), (2, x), (3, z), (3, x + " end"), (None, x), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((str(r.doc_id), (r.text or "-")[0]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == [("1", "x"), ("1", "y"), ("3", "z"), ("4", "-"), ("None", "x")]
+
+
 def test_fingerprints_of_several_seeds(spark):
     words = [b"a%d" % k for k in range(50)]
     prints = simhash.fingerprint_each(words, 0, 4)
