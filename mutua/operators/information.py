@@ -115,6 +115,24 @@ cells AS (SELECT concat(s.trace_id, '|', s.var, '|', d.var) AS keys, d.y1 AS x,
 SELECT keys AS pair, cmi AS te FROM cmi""")
 
 
+def turned_transfer(shifts: int = 200, lag: int = 1, alpha: float = 0.1) -> Op:
+    """Transfer entropy into each variable turned by some ticks, from the others as they are: ``shifts`` null samples of each ordered pair.
+
+    A sample's trace is named trace:shift. The offset is a hash of shift and variable, from lag + 1 to
+    n - lag - 2, so that only the variable's own sequence stays. The series of a trace have the same ticks.
+    """
+    return Op(f"""
+WITH span AS (SELECT trace_id, min(t) AS lo, max(t) - min(t) + 1 AS n FROM {{binary}} GROUP BY trace_id),
+b AS (SELECT trace_id, t, var, x, SEQ(1, {shifts}) AS shift FROM {{binary}}),
+turned AS (SELECT b.trace_id, b.var, b.x, b.shift, lo + (b.t - lo + {lag + 1} + (b.shift * 2654435761 + length(b.var) * 40503 + ascii(b.var) * 97) % 2147483647 % greatest(n - {2 * lag + 2}, 1)) % n AS t FROM b JOIN span ON span.trace_id = b.trace_id),
+later AS (SELECT *, lead(x, {lag}) OVER (PARTITION BY trace_id, var, shift ORDER BY t) AS y1 FROM turned),
+counted AS (SELECT d.trace_id, d.shift, s.var AS src, d.var AS dst, d.y1 AS x, s.x AS y, d.x AS z, count(*) AS n FROM {{binary}} AS s JOIN later AS d ON d.trace_id = s.trace_id AND d.t = s.t
+  WHERE s.var <> d.var AND d.y1 IS NOT NULL GROUP BY d.trace_id, d.shift, s.var, d.var, d.y1, s.x, d.x),
+cells AS (SELECT concat(trace_id, ':', CAST(shift AS STRING), '|', src, '|', dst) AS keys, x, y, z, n FROM counted),
+{_entropy_terms(alpha)}
+SELECT keys AS pair, cmi AS te FROM cmi""")
+
+
 def directed_information(length: int = 3, alpha: float = 1e-6) -> Op:
     """Massey's directed information over realisations (run, step, x, y) of ``length`` steps: sum over t of I(X up to t; Y at t | Y before t)."""
     return Op(f"""

@@ -119,11 +119,9 @@ put("select_cluster", roles.SELECT_CLUSTER, "violation", tests="blanket")
 # ---- directional scores
 _alias("transfer", "binary", info.transfer_entropy(), "binary", cut=True)
 add_view("flows", Op(directed.PAIRWISE_SCORES.text.replace("{variables}", "{roles}")), "transfer", "roles")
-#: Floors from the same trace turned by some ticks against itself.
-add_view("turned", Op("SELECT b.trace_id, shift, b.var, (b.t + shift * (37 + length(b.var))) % n.n AS t, b.x FROM (SELECT trace_id, t, var, x, SEQ(1, 8) AS shift FROM {binary}) AS b JOIN (SELECT trace_id, max(t) + 1 AS n FROM {binary} GROUP BY trace_id) AS n ON n.trace_id = b.trace_id"), "binary")
-add_view("turned_binary", Op("SELECT concat(trace_id, ':', CAST(shift AS STRING)) AS trace_id, t, var, x FROM {turned}"), "turned")
-_alias("turned_transfer", "turned_binary", info.transfer_entropy(), "binary", cut=True)
-add_view("turned_flows", Op(directed.PAIRWISE_SCORES.text.replace("{variables}", "{roles}").replace("{transfer}", "{turned_transfer}")), "turned_transfer", "roles")
+#: Floors from each variable turned by some ticks against the others, as often as the reference does it.
+SHIFTS = 200
+_alias("turned_transfer", "binary", info.turned_transfer(SHIFTS), "binary", cut=True)
 add_view("candidate_table", directed.ROLE_CANDIDATES, "binary")
 _alias("binary_sync_bins", "binary", Op("SELECT trace_id, t, var, x AS bin FROM {binary}"), "binary")
 _alias("binary_sync", "binary_sync_bins", info.SYNC_MI, "bins", cut=True)
@@ -152,9 +150,10 @@ _alias("influences", "series", influence.partial_influence(), "series")
 _alias("odds", "series", influence.ODDS_RATIO, "series")
 add_view("error_scores", Op("SELECT trace_id % 7 AS grp, round(value) AS score, event_type = 'error' AS label FROM {users}"), "users")
 add_view("steps", Op("SELECT trace_id AS grp, t AS k, event_type AS state FROM {users}"), "users")
-add_view("null_samples", Op("SELECT split_part(trace_id, ':', 1) AS trace_id, var, push_in AS score FROM {turned_flows}"), "turned_flows", cut=True)
+#: Rounded, as the observed flow is, so that equal scores are equal whatever the order of their sums.
+add_view("null_samples", Op("SELECT split_part(sample, ':', 1) AS trace_id, var, round(sum(te), 12) AS score FROM (SELECT split_part(pair, '|', 1) AS sample, split_part(pair, '|', 3) AS var, te FROM {turned_transfer}) AS p GROUP BY sample, var"), "turned_transfer", cut=True)
 _alias("floors", "null_samples", influence.NULL_FLOORS, "samples")
-add_view("observed_flow", Op("SELECT trace_id, var, push_in AS score FROM {flows}"), "flows", cut=True)
+add_view("observed_flow", Op("SELECT trace_id, var, round(push_in, 12) AS score FROM {flows}"), "flows", cut=True)
 add_view("busy", Op("SELECT trace_id, t, sum(value) >= 2 AS active FROM {hourly} GROUP BY trace_id, t"), "hourly")
 add_view("activity", Op("SELECT trace_id, t, sum(value) AS value FROM {hourly} GROUP BY trace_id, t"), "hourly")
 add_view("agents", Op("SELECT DISTINCT agent, t FROM {hourly} JOIN {roles} USING (var) WHERE agent >= 0"), "hourly", "roles")

@@ -47,3 +47,8 @@ def test_entry(spark):
 def test_names():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 100
+
+
+def test_nulls_have_as_many_samples_as_the_reference(spark, sf_dir):
+    floors = registry.queries()["null_floors"](spark, sf_dir).collect()
+    assert floors and {r.n for r in floors} == {200}
