@@ -87,8 +87,8 @@ _alias("series_mi", "series_bins", info.lag_max_mi(3), "bins", cut=True)
 _alias("series_entropy", "series_bins", info.ENTROPY, "bins")
 add_view("precursors", Op(grouping.PRECURSOR_STATS.text.replace("{autocorrelation}", "{series_auto}").replace("{information}", "{series_mi}").replace("{entropy}", "{series_entropy}").replace("{labels}", "{clusters}")), "series_auto", "series_mi", "series_entropy", "clusters")
 add_view("chunks", Op("SELECT trace_id, k AS chunk, var FROM {cuts} WHERE cluster = 0"), "cuts")
-add_view("bought", Op("SELECT DISTINCT CAST(o_custkey % 50 AS BIGINT) AS owner, l_partkey % 97 AS item FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey"), "orders", "lineitem")
-add_view("supplied", Op("SELECT DISTINCT CAST(l_suppkey % 20 AS BIGINT) AS owner, l_partkey % 97 AS item FROM {lineitem}"), "lineitem")
+add_view("bought", Op("SELECT DISTINCT o_custkey AS owner, l_partkey AS item FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey"), "orders", "lineitem")
+add_view("supplied", Op("SELECT DISTINCT l_suppkey AS owner, l_partkey AS item FROM {lineitem}"), "lineitem")
 add_view("user_types", Op("SELECT DISTINCT concat(CAST(user_id AS STRING), '|', CAST(HOURNO(ts) AS STRING)) AS owner, event_type AS kind FROM {events}"), "events")
 _alias("joint_states", "binary", info.JOINT_LABELS, "binary")
 add_view("binary_bins", Op("SELECT trace_id, t, var, x AS bin FROM {binary}"), "binary")
@@ -265,6 +265,14 @@ def _components(spark, sf_dir):
     return graph.connected_components(edges)
 
 
+@register("customer_part_components")
+def _customer_part_components(spark, sf_dir):
+    """The whole of what ``components`` has a small, folded part of: every customer and part with an order, as nodes of their own kind."""
+    lines, orders = view(spark, sf_dir, "lineitem"), view(spark, sf_dir, "orders")
+    edges = lines.join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr("concat('customer ', o_custkey) AS src", "concat('part ', l_partkey) AS dst").distinct()
+    return graph.connected_components(edges)
+
+
 @register("detect")
 def _detect(spark, sf_dir):
     return detector.detect(view(spark, sf_dir, "hourly"), most=3)

@@ -52,3 +52,39 @@ def test_names():
 def test_nulls_have_as_many_samples_as_the_reference(spark, sf_dir):
     floors = registry.queries()["null_floors"](spark, sf_dir).collect()
     assert floors and {r.n for r in floors} == {200}
+
+
+def test_sets_are_of_whole_ids(spark, duck, sf_dir):
+    bought = {}
+    for owner, item in duck.execute("SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey").fetchall():
+        bought.setdefault(owner, set()).add(item)
+    got = {(r.a, r.b): (r.shared, r.jaccard) for r in registry.queries()["jaccard"](spark, sf_dir).collect()}
+    want = {(a, b): len(x & y) for a, x in bought.items() for b, y in bought.items() if a < b and x & y}
+    assert {k: v[0] for k, v in got.items()} == want
+    assert all(abs(j - n / len(bought[a] | bought[b])) < 1e-8 for (a, b), (n, j) in got.items())
+    supplied = {}
+    for owner, item in duck.execute("SELECT DISTINCT l_suppkey, l_partkey FROM lineitem").fetchall():
+        supplied.setdefault(owner, set()).add(item)
+    matches = registry.queries()["purity_match"](spark, sf_dir).collect()
+    assert {r.owner for r in matches} == set(bought)
+    for r in matches:
+        x = bought[r.owner]
+        best = min((-len(x & y) / len(x | y), k) for k, y in supplied.items())[1]
+        assert r.known == best and abs(r.recall - len(x & supplied[best]) / len(supplied[best])) < 1e-8
+
+
+def test_components_of_all_customers_and_parts(spark, duck, sf_dir):
+    parent = {}
+
+    def root(i):
+        parent.setdefault(i, i)
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for c, p in duck.execute("SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey").fetchall():
+        a, b = sorted((root(f"customer {c}"), root(f"part {p}")))
+        parent[b] = a
+    got = {r.node: r.component for r in registry.queries()["customer_part_components"](spark, sf_dir).collect()}
+    assert got == {i: root(i) for i in parent}
