@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mutua.llm import decontaminate, packing, quality, secrets, simhash
 from mutua.storage import materialise, table
 
-#: Near duplicates: fingerprints of the distinct words propose, five-word shingles verify.
+#: Near duplicates: any of several fingerprints of the distinct words proposes, five-word shingles verify.
 NEAR_BITS = 5
 NEAR_PRINTS = 6
 NEAR_SIMILARITY = 0.8
