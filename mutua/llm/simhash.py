@@ -11,14 +11,7 @@
    between different groups of the first pass only, so a group of n near copies
    does not give n*n rows. No key is capped or dropped; a hot key is one that the
    adaptive skew join can split.
-4. With several ``prints`` steps 2 and 3 are done for as many independently seeded
-   fingerprints, one after the other, and what they propose is united: texts that are far
-   apart by one are seldom far apart by all.
-5. Where a similarity is asked for, a second fingerprint over five-word shingles must be
-   within ``SECOND_BITS`` too, and links are verified on the texts' shingles; each text
-   moves once to the few links it is in. The first pass then also tries, within a key, each node with
-   the one that has most copies: copies of a text are nearer to it than to each other.
-6. Components of the links are the groups.
+4. Components of the links are the groups.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like
 any other; a text of fewer words than a shingle is one shingle; ties in the bit
@@ -29,8 +22,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +32,12 @@ from pyspark.sql import functions as F
 
 from mutua.llm.text import blank_words
 from mutua.operators.graph import connected_components
-from mutua.storage import materialise, release_shuffles, table
+from mutua.storage import materialise, table
 
 QUERY = "op3_simhash"
 ORACLE_SQL = None  # DuckDB has no XXH64; tests compare with brute force
 SHINGLE_WORDS = 4
 MAX_BITS = 4
-#: Words of the shingles on which a similarity is verified.
-VERIFY_WORDS = 5
-#: Differing bits of shingle fingerprints that texts of similarity 0.8 stay within (half of them are within 10).
-SECOND_BITS = 18
 SEED = 42
 BITS = 64
 
@@ -72,20 +60,23 @@ def _votes(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprint_each(words: list[bytes], shingle_words: int = SHINGLE_WORDS, prints: int = 1) -> list[int]:
-    """Over the shingles, repeats included; over the distinct words for ``shingle_words`` 0. One for each of ``prints`` seeds."""
-    if not words:
-        return [0] * prints
-    if not shingle_words:
-        words, shingle_words = sorted(set(words)), 1
+def shingle_hashes(words: list[bytes], shingle_words: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of the whole sequence where it is shorter."""
     line = b" ".join(words)
     n = len(words) - shingle_words + 1
     if n <= 1:
-        return [int(_mixed(np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64), k)[0]) for k in range(prints)]
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate([[0], ends[: n - 1] + 1])
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(begins.tolist(), ends[shingle_words - 1 :].tolist())], np.uint64)
+    return np.array([digest(line[a:b], SEED) for a, b in zip(begins.tolist(), ends[shingle_words - 1 :].tolist())], np.uint64)
+
+
+def fingerprint_each(words: list[bytes], shingle_words: int = SHINGLE_WORDS, prints: int = 1) -> list[int]:
+    """Over the shingles, repeats included; over the distinct words for ``shingle_words`` 0. One for each of ``prints`` seeds."""
+    if not words:
+        return [0] * prints
+    hashes = shingle_hashes(words, shingle_words) if shingle_words else np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
     return [_votes(_mixed(hashes, k)) for k in range(prints)]
 
 
@@ -94,34 +85,16 @@ def fingerprint(words: list[bytes], shingle_words: int = SHINGLE_WORDS) -> int:
     return fingerprint_each(words, shingle_words)[0]
 
 
-def print_columns(prints: int) -> list[str]:
-    """``fp`` and, for further seeds, ``fp1``, ``fp2``, ..."""
-    return ["fp", *[f"fp{k}" for k in range(1, prints)]]
-
-
-def row_hash() -> Column:
-    """Of the text as it is, to tell rows of one doc_id apart."""
-    return F.xxhash64(F.col("text").cast("string"))
-
-
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle_words: int, second_words: int | None, prints: int) -> Iterator[pa.RecordBatch]:
-    names = [*print_columns(prints), "second", "digest"]
+def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for text in batch.column(1):
-            words = blank_words(text.as_py())
-            second = 0 if second_words is None else fingerprint(words, second_words)
-            rows.append((*fingerprint_each(words, shingle_words, prints), second, xxhash.xxh64_intdigest(b" ".join(words))))
-        signed = np.array(rows, np.uint64).reshape(-1, len(names)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(signed[:, k]) for k in range(len(names)))], names=["doc_id", "row_hash", *names])
+        prints = np.array([fingerprint(blank_words(text), shingle_words) for text in batch.column(1).to_pylist()], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, second_words: int | None = None, prints: int = 1) -> DataFrame:
-    """``doc_id``, the fingerprints (``print_columns``, as signed longs), ``second`` (another one, or 0), ``digest`` of the words and ``row_hash`` (0 without ``second``)."""
-    text_hash = F.lit(0).cast("long") if second_words is None else row_hash()
-    kept = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_hash.alias("row_hash"))
-    longs = ", ".join(f"{c} long" for c in [*print_columns(prints), "second", "digest"])
-    return kept.mapInArrow(lambda b: _fingerprint_batches(b, shingle_words, second_words, prints), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, row_hash long, {longs}")
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """``doc_id`` and the fingerprint ``fp`` as a signed long."""
+    kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return kept.mapInArrow(lambda b: _fingerprint_batches(b, shingle_words), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -147,124 +120,37 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-Verify = Callable[[DataFrame], DataFrame]
-
-
-def links(nodes: DataFrame, max_bits: int = MAX_BITS, verify: Verify | None = None, prints: int = 1) -> DataFrame:
-    """Edges ``src``, ``dst`` whose components are those of all links within ``max_bits`` by any of the ``prints`` that ``verify`` keeps.
-
-    ``nodes`` has distinct ``node`` and their ``print_columns``; with ``verify`` also ``second`` and ``copies``.
-    """
-    kept = ["fp"] if verify is None else ["fp", "second"]
+def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Edges ``src``, ``dst`` whose components are those of all links within ``max_bits``. ``nodes`` has distinct ``node`` and ``fp``."""
     key = Window.partitionBy("bit", "rest")
 
-    def near(a: str, b: str) -> Column:
-        close = F.bit_count(F.col(f"fp{a}").bitwiseXOR(F.col(f"fp{b}"))) <= max_bits
-        return close if verify is None else close & (F.bit_count(F.col(f"second{a}").bitwiseXOR(F.col(f"second{b}"))) <= SECOND_BITS)
-
-    def each(table: DataFrame, propose: Callable[[DataFrame], DataFrame], *others: str, label: str) -> DataFrame:
-        """What is proposed by any of the prints, each of them as ``fp``."""
-        found = []
-        for c in print_columns(prints):
-            of_print = table.select("node", F.col(c).alias("fp"), *kept[1:], *others)
-            found.append(materialise(propose(variant_index(of_print, max_bits)), label))
-            if prints > 1:
-                release_shuffles(table.sparkSession)
-        proposed = found[0] if prints == 1 else materialise(reduce(DataFrame.unionByName, found).distinct(), label)
-        return materialise(verify(proposed), f"{label}-verified") if verify else proposed
-
-    def neighbours(index: DataFrame) -> DataFrame:
-        in_order = key.orderBy("fp", "node")
-        chained = index.withColumns({f"{c}_before": F.lag(c).over(in_order) for c in ["node", *kept]})
-        tries = [F.when(F.col("node_before").isNotNull() & near("", "_before"), F.col("node_before"))]
-        if verify is not None:
-            by_copies = key.orderBy(F.desc("copies"), "fp", "node")
-            chained = chained.withColumns({f"{c}_hub": F.first(c).over(by_copies) for c in ["node", *kept]})
-            tries.append(F.when((F.col("node_hub") != F.col("node")) & near("", "_hub"), F.col("node_hub")))
-        ends = chained.select("node", F.explode(F.array_compact(F.array(*tries))).alias("other"))
-        return ends.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
-
-    def between(index: DataFrame) -> DataFrame:
-        mixed = index.withColumns({"least": F.min("grp").over(key), "most": F.max("grp").over(key)}).where("least <> most").drop("least", "most")
-        mixed = materialise(mixed, "mixed-keys")
-        other = mixed.select(*[F.col(c).alias(f"{c}_b") for c in mixed.columns])
-        pairs = mixed.join(other, (F.col("bit") == F.col("bit_b")) & (F.col("rest") == F.col("rest_b")) & (F.col("grp") < F.col("grp_b")) & near("", "_b"))
-        return pairs.select(F.least("node", "node_b").alias("src"), F.greatest("node", "node_b").alias("dst")).distinct()
-
-    first = each(nodes, neighbours, *(["copies"] if verify else []), label="first-links")
-    held = ["node", *print_columns(prints), *kept[1:]]
-    labelled = nodes.select(held).join(connected_components(first).select(F.col("node").alias("member"), "component"), F.col("node") == F.col("member"), "left")
-    labelled = materialise(labelled.select(*held, F.coalesce("component", "node").alias("grp")), "labelled")
-    return first.unionByName(each(labelled, between, "grp", label="second-links"))
-
-
-def similarity(a: list[bytes], b: list[bytes], shingle_words: int) -> float:
-    """Jaccard similarity of the sets of shingles; of wordless texts 1."""
-    sets = [set(zip(*(w[k:] for k in range(shingle_words)))) if len(w) >= shingle_words else {tuple(w)} for w in (a, b)]
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-
-
-def _similar_batches(batches: Iterator[pa.RecordBatch], least: float, shingle_words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())
-        kept = pa.array([similarity(blank_words(a), blank_words(b), shingle_words) >= least for a, b in texts], pa.bool_())
-        yield batch.select(["src", "dst"]).filter(kept)
-
-
-def similar_texts(docs: DataFrame, nodes: DataFrame, least: float, shingle_words: int) -> Verify:
-    """Keeps the edges whose texts' similarity is at least ``least``; ``nodes`` names a row (``first_id``, ``first_hash``) for each node."""
-
-    def verify(edges: DataFrame) -> DataFrame:
-        ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        wanted = nodes.join(ends, "node").select("node", F.col("first_id").alias("wanted_id"), F.col("first_hash").alias("wanted_hash"))
-        texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), row_hash().alias("row_hash"))
-        texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("row_hash") == F.col("wanted_hash")))
-        texts = materialise(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
-        left = texts.select(F.col("node").alias("src"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("node").alias("dst"), F.col("text").alias("text_b"))
-        pairs = edges.join(left, "src").join(right, "dst").select("src", "dst", "text_a", "text_b")
-        return pairs.mapInArrow(lambda b: _similar_batches(b, least, shingle_words), "src long, dst long")
-
-    return verify
-
-
-def _grouped(docs: DataFrame, shingle_words: int, max_bits: int, least_similarity: float | None, verify_words: int, n_prints: int) -> tuple[DataFrame, DataFrame]:
-    """The rows' fingerprints with their ``node``; and each node's group ``grp`` with the first row of the node (``first_id``, ``first_hash``)."""
-    by = "fp" if least_similarity is None else "digest"
-    second_words = None if least_similarity is None else verify_words
-    prints = materialise(fingerprints(docs, shingle_words, second_words, n_prints).withColumn("node", F.col(by)), "fingerprints")
-    first_hash = F.min("row_hash") if least_similarity is None else F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row_hash")))["row_hash"]
-    nodes = prints.groupBy("node").agg(*[F.min(c).alias(c) for c in print_columns(n_prints)], F.min("second").alias("second"), F.min("doc_id").alias("first_id"), first_hash.alias("first_hash"), F.count(F.lit(1)).alias("copies"))
-    nodes = materialise(nodes, "nodes")
-    verify = None if least_similarity is None else similar_texts(docs, nodes, least_similarity, verify_words)
-    group = materialise(connected_components(materialise(links(nodes, max_bits, verify, n_prints), "links")), "groups")
+    def near(other: str) -> Column:
+        return F.bit_count(F.col("fp").bitwiseXOR(F.col(other))) <= max_bits
+
+    in_order = key.orderBy("fp", "node")
+    chained = variant_index(nodes.select("node", "fp"), max_bits).withColumns({f"{c}_before": F.lag(c).over(in_order) for c in ("node", "fp")})
+    tried = chained.where(F.col("node_before").isNotNull() & near("fp_before"))
+    first = materialise(tried.select(F.least("node", "node_before").alias("src"), F.greatest("node", "node_before").alias("dst")).distinct(), "first-links")
+    labelled = nodes.select("node", "fp").join(connected_components(first).select(F.col("node").alias("member"), "component"), F.col("node") == F.col("member"), "left")
+    labelled = materialise(labelled.select("node", "fp", F.coalesce("component", "node").alias("grp")), "labelled")
+    index = variant_index(labelled, max_bits)
+    mixed = index.withColumns({"least": F.min("grp").over(key), "most": F.max("grp").over(key)}).where("least <> most").drop("least", "most")
+    mixed = materialise(mixed, "mixed-keys")
+    other = mixed.select(*[F.col(c).alias(f"{c}_b") for c in mixed.columns])
+    pairs = mixed.join(other, (F.col("bit") == F.col("bit_b")) & (F.col("rest") == F.col("rest_b")) & (F.col("grp") < F.col("grp_b")) & near("fp_b"))
+    second = pairs.select(F.least("node", "node_b").alias("src"), F.greatest("node", "node_b").alias("dst")).distinct()
+    return first.unionByName(materialise(second, "second-links"))
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row per document: ``doc_id``, ``fp`` and ``component_id``, the smallest doc_id of its group."""
+    prints = materialise(fingerprints(docs, shingle_words), "fingerprints")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.col("fp")), "nodes")
+    group = materialise(connected_components(materialise(links(nodes, max_bits), "links")), "groups")
     member = nodes.join(group.select(F.col("node").alias("member"), "component"), F.col("node") == F.col("member"), "left")
-    return prints, member.select("node", "first_id", "first_hash", F.coalesce("component", "node").alias("grp"))
-
-
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, least_similarity: float | None = None, verify_words: int = VERIFY_WORDS, n_prints: int = 1) -> DataFrame:
-    """One row per document: ``doc_id``, ``fp`` and ``component_id``, the smallest doc_id of its group.
-
-    Without ``least_similarity`` fingerprints within ``max_bits`` are links. With it,
-    links also need that Jaccard similarity of their ``verify_words``-word shingles. Any of
-    ``n_prints`` fingerprints can make a link; the first is ``fp``.
-    """
-    prints, member = _grouped(docs, shingle_words, max_bits, least_similarity, verify_words, n_prints)
+    member = member.select("node", "first_id", F.coalesce("component", "node").alias("grp"))
     least = member.groupBy("grp").agg(F.min("first_id").alias("component_id"))
-    return prints.join(member.join(least, "grp").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, least_similarity: float, max_bits: int = MAX_BITS, verify_words: int = VERIFY_WORDS, n_prints: int = 1) -> DataFrame:
-    """One row of each group by distinct words: of the smallest doc_id, then of the least ``row_hash``. Rows without a doc_id all stay.
-
-    A doc_id may repeat: rows of one id and different texts are different rows.
-    """
-    _, member = _grouped(docs, 0, max_bits, least_similarity, verify_words, n_prints)
-    least = member.where("first_id is not null").groupBy("grp").agg(F.min(F.struct("first_id", "first_hash")).alias("kept"))
-    kept = materialise(least.select(F.col("kept.first_id").alias("kept_id"), F.col("kept.first_hash").alias("kept_hash")), "kept")
-    hashed = docs.withColumn("row_hash", row_hash())
-    one = hashed.join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("row_hash") == F.col("kept_hash")), "left_semi").dropDuplicates(["doc_id", "row_hash"])
-    return one.drop("row_hash").unionByName(docs.where("doc_id is null"))
+    return prints.join(member.join(least, "grp").select("node", "component_id"), F.col("fp") == F.col("node")).select("doc_id", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

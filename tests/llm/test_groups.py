@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from mutua.llm import decontaminate, packing, simhash
+from mutua.llm import decontaminate, packing, similar_texts, simhash
 
 
 def plain_print(text):
@@ -81,6 +81,17 @@ def test_dense_prints_lose_no_link(spark):
     assert {s: got.get(s, s) for s in want} == want
 
 
+def _similar_groups(spark, texts):
+    """For each text the smallest number of a text in its group."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = {r.first_id: r.grp for r in similar_texts.similar_groups(docs, 0.8).collect()}
+    first = {}
+    for k, t in enumerate(texts):
+        first.setdefault(tuple(simhash.blank_words(t)), k)
+    of = [group[first[tuple(simhash.blank_words(t))]] for t in texts]
+    return [of.index(g) for g in of]
+
+
 def test_similarity_is_verified(spark):
     rng = random.Random(1)
     long = [f"w{rng.randrange(500)}" for _ in range(300)]
@@ -88,9 +99,71 @@ def test_similarity_is_verified(spark):
     near[50] = "changed"
     for k in range(0, 300, 6):
         far[k] = "x"
-    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(sorted(long))), (4, " ".join(far)), (5, " ".join(long))], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 0, 5, 0.8).collect()}
-    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
+    texts = [" ".join(long), " ".join(near), " ".join(sorted(long)), " ".join(far), " ".join(long), None, " ", "one", "One"]
+    assert _similar_groups(spark, texts) == [0, 0, 2, 3, 0, 5, 5, 7, 7]
+
+
+def _edited(rng, words, edits):
+    words = words.copy()
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+    return words
+
+
+def _prints(words):
+    return simhash.fingerprint_each(words, 0, similar_texts.prints_of(len(set(similar_texts.shingle_hashes(words, 5).tolist()))))
+
+
+def _proposed(prints_a, prints_b):
+    apart = [x ^ y for x, y in zip(prints_a, prints_b)]
+    return any(d.bit_count() <= similar_texts.NEAR_BITS and any((d >> low & (1 << w) - 1).bit_count() <= 1 for low, w in simhash.segments(4)) for d in apart)
+
+
+def test_similar_groups_lose_no_proposed_link(spark):
+    """Dense groups of near copies, of which many are similar to few others or to none."""
+    rng, texts = random.Random(4), []
+    for size, length, most in ((150, 140, 7), (60, 30, 2), (40, 900, 25), (45, 2000, 60)):
+        base = [f"w{rng.randrange(3000)}" for _ in range(length)]
+        texts += [" ".join(_edited(rng, base, rng.randint(0, most))) for _ in range(size)]
+    texts += [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.choice([3, 10, 60]))) for _ in range(100)]
+    words = [simhash.blank_words(t) for t in texts]
+    prints = [_prints(w) for w in words]
+    links = [(a, b) for a, b in combinations(range(len(texts)), 2) if _proposed(prints[a], prints[b])]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        if similar_texts.similarity(words[a], words[b], 5) >= 0.8:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    assert _similar_groups(spark, texts) == [root(k) for k in range(len(texts))]
+
+
+@pytest.mark.parametrize("length", [8, 20, 60, 300, 1500])
+def test_fingerprints_propose_nearly_all_similar_texts(length):
+    rng, found, n = random.Random(length), 0, 0
+    while n < 250:
+        a = [f"w{int(2000 * rng.random() ** 2)}".encode() for _ in range(length)]
+        b = [x.encode() for x in _edited(rng, [x.decode() for x in a], max(1, length // 45))] if length > 8 else [*a, b"end"]
+        if similar_texts.similarity(a, b, 5) >= 0.8:
+            n += 1
+            found += _proposed(_prints(a), _prints(b))
+    assert found >= 0.93 * n
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(2)
+    for n in (1, 30, 400, similar_texts.EXACT_SHINGLES):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 8 :], rng.integers(0, 2**63, n // 9, dtype=np.uint64)]))
+        (la, x), (lb, y) = similar_texts.sketch(a), similar_texts.sketch(b)
+        assert la == lb == 0
+        assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+    assert [similar_texts.sketch_level(n) for n in (0, 640, 641, 1280, 1281, 2561)] == [0, 0, 1, 1, 2, 3]
 
 
 def _far_pairs(n):
@@ -102,7 +175,7 @@ def _far_pairs(n):
         b = a.copy()
         for _ in range(max(1, len(a) // 60)):
             b[rng.randrange(len(b))] = rng.choice(vocabulary)
-        if (simhash.fingerprint(a, 0) ^ simhash.fingerprint(b, 0)).bit_count() > 5 and simhash.similarity(a, b, 5) >= 0.8:
+        if (simhash.fingerprint(a, 0) ^ simhash.fingerprint(b, 0)).bit_count() > 5 and similar_texts.similarity(a, b, 5) >= 0.8:
             pairs.append((b" ".join(a).decode(), b" ".join(b).decode()))
     return pairs
 
