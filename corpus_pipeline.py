@@ -10,12 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mutua.llm import decontaminate, packing, quality, secrets, simhash
+from mutua.llm import decontaminate, packing, quality, secrets, similar_texts
 from mutua.storage import materialise, table
 
-#: Near duplicates: any of several fingerprints of the distinct words proposes, five-word shingles verify.
-NEAR_BITS = 5
-NEAR_PRINTS = 6
+#: Near duplicates: SimHash deletion variants propose, the similarity of five-word shingles decides.
 NEAR_SIMILARITY = 0.8
 
 ORACLE_SQL = None  # trained trees and a greedy packing have no SQL form; tests use brute force
@@ -26,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, NEAR_SIMILARITY, max_bits=NEAR_BITS, n_prints=NEAR_PRINTS)
+    return similar_texts.keep_one(docs, NEAR_SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
