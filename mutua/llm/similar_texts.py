@@ -40,7 +40,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mutua.llm.simhash import SEED, fingerprint_each, segments, shingle_hashes
@@ -136,6 +136,13 @@ def variants(nodes: DataFrame, *columns: str) -> DataFrame:
     return each.select(F.expr(key).alias("key"), "fp", *columns)
 
 
+def shared_keys(index: DataFrame, by: str) -> DataFrame:
+    """The rows of keys that have two values of ``by`` or more, written once: most keys are of one text and go here, after one exchange of narrow rows."""
+    key = Window.partitionBy("key")
+    found = index.withColumns({"least": F.min(by).over(key), "most": F.max(by).over(key)}).where("least <> most").drop("least", "most")
+    return materialise(found, "shared-keys")
+
+
 def _suffixed(df: DataFrame, suffix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{c}{suffix}") for c in df.columns])
 
@@ -156,11 +163,10 @@ def within_bound(least: float, a: str = "", b: str = "_b") -> Column:
 
 def hub_pairs(nodes: DataFrame, least: float) -> DataFrame:
     """``src`` < ``dst``: within each key, every node near a hub, with that hub."""
-    index = variants(nodes, "node", "n", "copies")
+    index = shared_keys(variants(nodes, "node", "n", "copies"), "node")
     firsts = [F.min_by(F.col(c), F.col("node").bitwiseXOR(F.lit(x))).alias(f"{c}_{k}") for k, x in enumerate(ORDERS) for c in ("node", "fp", "n")]
     most = [F.max_by(F.col(c), F.col("copies")).alias(f"{c}_{len(ORDERS)}") for c in ("node", "fp", "n")]
-    hubs = index.groupBy("key").agg(*firsts, *most, F.max("node").alias("last")).where("node_0 <> last")
-    hubs = hubs.withColumnRenamed("key", "hub_key").drop("last")
+    hubs = index.groupBy("key").agg(*firsts, *most).withColumnRenamed("key", "hub_key")
     near = [(F.col("node") != F.col(f"node_{k}")) & _near(F.col("fp"), F.col(f"fp_{k}"), F.col("n"), F.col(f"n_{k}"), least) for k in range(len(ORDERS) + 1)]
     met = index.join(hubs, (F.col("key") == F.col("hub_key")) & reduce(Column.__or__, near))
     other = F.explode(F.array_distinct(F.array_compact(F.array(*[F.when(x, F.col(f"node_{k}")) for k, x in enumerate(near)]))))
@@ -169,7 +175,7 @@ def hub_pairs(nodes: DataFrame, least: float) -> DataFrame:
 
 def cross_pairs(labelled: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """``src`` < ``dst`` of different groups (``grp``; ``large``), near by a fingerprint and within the bounds."""
-    index = variants(labelled, "node", "n", "grp", "large")
+    index = shared_keys(variants(labelled, "node", "n", "grp", "large"), "grp")
     other = _suffixed(index, "_b")
     meets = (F.col("key") == F.col("key_b")) & (F.col("grp") != F.col("grp_b"))
     near = meets & _near(F.col("fp"), F.col("fp_b"), F.col("n"), F.col("n_b"), least)
