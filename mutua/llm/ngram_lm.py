@@ -1,18 +1,21 @@
 """Language-model scores from a weighted backoff automaton over corpus n-grams.
 
 Counting is one exchange. Documents are dealt by a hash into blocks of about
-``BLOCK_CHARS`` characters. A block sends each bucket (a hash range of n-grams) the
+``BLOCK_CHARS`` characters. A block sends each bucket (a range of n-gram keys) the
 distinct n-grams of its documents with its own training counts; a bucket adds the
 counts of all blocks and answers each block, in the order asked, with the corpus
 counts. A block repeats a frequent n-gram once, so no bucket is hot, and both blocks
-and buckets have bounded sizes whatever the corpus holds. N-grams are known by
-64-bit hashes, as is usual for large models.
+and buckets have bounded sizes whatever the corpus holds. A message without n-grams is
+not sent, so there are never more messages than distinct n-grams of blocks. Words are
+known by 64-bit hashes; longer n-grams by as many bits as keep the share of them that
+meet another one at ``1 / 2**SPARE_BITS`` for any size of the corpus.
 
 Scoring builds the automaton of the block's n-grams: each context is a state, each
 n-gram an arc with its smoothed log-probability, and each state has a failure arc to
 its longest proper suffix with the mass left to shorter contexts. Documents are
-traversed once from left to right, all documents of a block in step; each carries
-its state.
+traversed once from left to right, each with its state; all documents of a block go in
+step. A long one goes in lanes of ``LANE`` tokens: the state at a lane's begin follows
+from the few tokens before it, so lanes change no score.
 
 Smoothing: p(w|h) = k(h) c(hw)/c(h) + (1-k(h)) p(w|h'), with k(h) = WEIGHT c(h)/(c(h)+PRIOR),
 down to (c(w)+0.5)/(N+0.5(V+1)); every context's probabilities sum to one, one unknown
@@ -31,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,10 +46,13 @@ from mutua.storage import table
 
 QUERY = "op4_ngram_lm"
 ORACLE_SQL = None  # the automaton's score has no SQL form; tests sum the recursion by brute force
-ORDER = 2
+ORDER = 3
 WEIGHT, PRIOR = 0.7, 1.0
 ADDED = 0.5
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
+#: Bits of an n-gram's key beyond those that number the corpus's n-grams.
+SPARE_BITS = 16
+LANE = 512
 #: Blocks for each bucket; a bucket holds the n-grams of so many blocks.
 BLOCKS_PER_BUCKET = 2
 _CACHE_WORDS = 100_000
@@ -87,9 +94,15 @@ class Block:
     begins: np.ndarray  # position of each document's leading end
     lengths: np.ndarray  # its tokens after that
     levels: list[Level]
+    bits: int  # of the keys of n-grams of two words or more
 
 
-def read_block(texts: list[str | None], held: list[bool], order: int) -> Block:
+def key_bits(chars: int) -> int:
+    """Bits for the n-grams of a corpus of so many characters, which has a token for each two of them at most."""
+    return min(64, max(1, chars // 2).bit_length() + SPARE_BITS)
+
+
+def read_block(texts: list[str | None], held: list[bool], order: int, bits: int = 64) -> Block:
     hashes = _Hashes()
     parts, lengths = [], []
     for text in texts:
@@ -109,12 +122,13 @@ def read_block(texts: list[str | None], held: list[bool], order: int) -> Block:
         if k > 1:
             key = np.concatenate([words[:1], extend_key(key[:-1], words[1:])])
         ends = np.flatnonzero(after >= k - 1)
-        keys, first, inverse = np.unique(key[ends], return_index=True, return_inverse=True)
+        shown = key[ends] if k == 1 else key[ends] >> np.uint64(64 - bits)
+        keys, first, inverse = np.unique(shown, return_index=True, return_inverse=True)
         at = np.full(len(words), -1, np.int64)
         at[ends] = inverse
         counted = trains[ends] & (after[ends] > 0)
         levels.append(Level(keys, ends[first], at, np.bincount(inverse[counted], minlength=len(keys))))
-    return Block(begins, n, levels)
+    return Block(begins, n, levels, bits)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -126,53 +140,61 @@ def _values(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).reshape(-1).view("<u8")
 
 
-def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each bucket, the places of its keys in ``keys``, in order."""
-    of = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(of, kind="stable")
-    edges = np.searchsorted(of[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        yield b, order[edges[b] : edges[b + 1]]
+def _edges(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Where each bucket's range of the sorted keys begins, and the end."""
+    bounds = np.array([(b << bits) // buckets for b in range(buckets)], np.uint64)
+    return np.append(np.searchsorted(keys, bounds), len(keys))
 
 
 ASKED = "bucket int, block int, level int, grams binary, counts binary"
-ANSWERED = "block int, bucket int, level int, counts binary, n_kinds long, n_all long"
+ANSWERED = "block int, bucket int, level int, counts binary"
 
 
-def _ask(docs: pa.Table, order: int, buckets: int) -> pa.Table:
-    block = read_block(docs.column("text").to_pylist(), docs.column("held_out").to_pylist(), order)
+def _ask(docs: pa.Table, order: int, buckets: int, bits: int) -> pa.Table:
+    block = read_block(docs.column("text").to_pylist(), docs.column("held_out").to_pylist(), order, bits)
     number = docs.column("block")[0].as_py()
     rows: dict[str, list] = {"bucket": [], "block": [], "level": [], "grams": [], "counts": []}
     for k, level in enumerate(block.levels):
-        for b, places in _by_bucket(level.keys, buckets):
-            keys = level.keys[places]
+        edges = _edges(level.keys, buckets, bits if k else 64)
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            part = slice(edges[b], edges[b + 1])
             rows["bucket"].append(b)
             rows["block"].append(number)
             rows["level"].append(k)
-            rows["grams"].append(_planes(np.diff(keys, prepend=np.uint64(0))))
-            rows["counts"].append(_planes(level.trained[places]))
+            rows["grams"].append(_planes(np.diff(level.keys[part], prepend=np.uint64(0))))
+            rows["counts"].append(_planes(level.trained[part]))
     return pa.table(rows, pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("level", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())]))
 
 
+def _summed(part: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Corpus counts of the distinct n-grams of one level; which of them each asked one is; and the number that each message asks."""
+    keys = [np.cumsum(_values(x), dtype=np.uint64) for x in part.column("grams").to_pylist()]
+    counts = np.concatenate([_values(x) for x in part.column("counts").to_pylist()])
+    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return np.bincount(inverse, counts).astype(np.uint64), inverse, [len(x) for x in keys]  # sums below 2**53 are exact
+
+
 def _answer(asked: pa.Table) -> pa.Table:
-    rows: dict[str, list] = {"block": [], "bucket": [], "level": [], "counts": [], "n_kinds": [], "n_all": []}
+    rows: dict[str, list] = {"block": [], "bucket": [], "level": [], "counts": []}
     levels = asked.column("level").to_numpy()
     bucket = asked.column("bucket")[0].as_py()
     for k in np.unique(levels).tolist():
         part = asked.take(np.flatnonzero(levels == k))
-        keys = [np.cumsum(_values(x), dtype=np.uint64) for x in part.column("grams").to_pylist()]
-        counts = np.concatenate([_values(x) for x in part.column("counts").to_pylist()])
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(inverse, counts).astype(np.uint64)  # sums below 2**53 are exact
-        edges = np.cumsum([0, *map(len, keys)])
-        for block, a, b in zip(part.column("block").to_pylist(), edges[:-1].tolist(), edges[1:].tolist()):
+        totals, inverse, lengths = _summed(part)
+        edges = np.cumsum([0, *lengths]).tolist()
+        for block, a, b in zip(part.column("block").to_pylist(), edges, edges[1:]):
             rows["block"].append(block)
             rows["bucket"].append(bucket)
             rows["level"].append(k)
             rows["counts"].append(_planes(totals[inverse[a:b]]))
-            rows["n_kinds"].append(int((totals > 0).sum()))
-            rows["n_all"].append(int(totals.sum()))
-    return pa.table(rows, pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("level", pa.int32()), ("counts", pa.binary()), ("n_kinds", pa.int64()), ("n_all", pa.int64())]))
+    return pa.table(rows, pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("level", pa.int32()), ("counts", pa.binary())]))
+
+
+def _count_words(asked: pa.Table) -> pa.Table:
+    """Distinct and all training tokens of one bucket."""
+    part = asked.filter(pc.equal(asked.column("level"), 0))
+    totals = _summed(part)[0] if part.num_rows else np.zeros(0, np.uint64)
+    return pa.table({"n_kinds": pa.array([int((totals > 0).sum())], pa.int64()), "n_all": pa.array([int(totals.sum())], pa.int64())})
 
 
 class Automaton:
@@ -235,34 +257,39 @@ class Automaton:
 
     def traverse(self, block: Block) -> np.ndarray:
         """The log-probability of each document."""
-        words = block.levels[0].at
-        by_length = np.argsort(-block.lengths, kind="stable")
-        begins, lengths = block.begins[by_length], block.lengths[by_length]
-        alive = np.searchsorted(-lengths, -np.arange(1, int(lengths.max(initial=0)) + 1), "right")
-        states = self.base_next[words[begins]] if len(begins) else np.empty(0, np.int64)
-        total = np.zeros(len(begins))
+        words, order = block.levels[0].at, len(block.levels)
+        lanes = -(-block.lengths // LANE)
+        doc = np.repeat(np.arange(len(lanes)), lanes)
+        start = (np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
+        length = np.minimum(LANE, block.lengths[doc] - start)
+        by_length = np.argsort(-length, kind="stable")
+        doc, start, length = doc[by_length], start[by_length], length[by_length]
+        before = block.begins[doc] + start  # the token before each lane
+        states = np.zeros(len(doc), np.int64)
+        for back in range(order - 2, -1, -1):
+            inside = np.flatnonzero(start >= back)
+            states[inside] = self.step(states[inside], words[before[inside] - back])[1]
+        alive = np.searchsorted(-length, -np.arange(1, int(length.max(initial=0)) + 1), "right")
+        total = np.zeros(len(doc))
         for k, n in enumerate(alive.tolist(), 1):
-            score, states = self.step(states[:n], words[begins[:n] + k])
+            score, states = self.step(states[:n], words[before[:n] + k])
             total[:n] += score
-        out = np.empty(len(begins))
-        out[by_length] = total
-        return out
+        return np.bincount(doc, total, len(lanes))
 
 
-def _score(docs: pa.Table, answers: pa.Table, order: int, buckets: int, out: pa.Schema) -> pa.Table:
+def _score(docs: pa.Table, answers: pa.Table, order: int, buckets: int, bits: int, out: pa.Schema) -> pa.Table:
     if not docs.num_rows:
         return out.empty_table()
     held = docs.column("held_out").to_pylist()
-    block = read_block(docs.column("text").to_pylist(), held, order)
+    block = read_block(docs.column("text").to_pylist(), held, order, bits)
     by = {(b, k): i for i, (b, k) in enumerate(zip(answers.column("bucket").to_pylist(), answers.column("level").to_pylist()))}
     counts = []
     for k, level in enumerate(block.levels):
-        own = np.zeros(len(level.keys), np.int64)
-        for b, places in _by_bucket(level.keys, buckets):
-            own[places] = _values(answers.column("counts")[by[b, k]].as_py())
-        counts.append(own)
-    first = np.flatnonzero(answers.column("level").to_numpy() == 0)
-    n_kinds, n_all = (int(answers.column(c).to_numpy()[first].sum()) for c in ("n_kinds", "n_all"))
+        edges = _edges(level.keys, buckets, bits if k else 64)
+        told = [_values(answers.column("counts")[by[b, k]].as_py()) for b in np.flatnonzero(np.diff(edges)).tolist()]
+        counts.append(np.concatenate([np.empty(0, np.uint64), *told]).astype(np.int64))
+    whole = by[-1, -1]
+    n_kinds, n_all = answers.column("n_kinds")[whole].as_py(), answers.column("n_all")[whole].as_py()
     automaton = Automaton(block, counts, n_all, n_kinds)
     score = automaton.traverse(block)
     words = block.levels[0].at
@@ -285,13 +312,20 @@ def score_texts(docs: DataFrame, held_out: F.Column, order: int = ORDER, block_c
     chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(chars) // block_chars))
     buckets = max(1, -(-blocks // BLOCKS_PER_BUCKET))
+    bits = key_bits(int(chars))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    asked = dealt.groupBy("block").applyInArrow(lambda t: _ask(t, order, buckets), ASKED)
-    answered = asked.groupBy("bucket").applyInArrow(_answer, ANSWERED)
+    asked = dealt.groupBy("block").applyInArrow(lambda t: _ask(t, order, buckets, bits), ASKED)
+    by_bucket = asked.groupBy("bucket")
+    whole = by_bucket.applyInArrow(_count_words, "n_kinds long, n_all long").agg(F.sum("n_kinds").alias("n_kinds"), F.sum("n_all").alias("n_all"))  # one row
+    last = F.lit(blocks - 1)
+    to_each = whole.select("*", F.explode(F.sequence(F.lit(0), F.floor(last / 4096).cast("int"))).alias("k"))
+    to_each = to_each.select("n_kinds", "n_all", F.explode(F.sequence(F.col("k") * 4096, F.least(F.col("k") * 4096 + 4095, last))).alias("block"))
+    answered = by_bucket.applyInArrow(_answer, ANSWERED).withColumns({"n_kinds": F.lit(None).cast("long"), "n_all": F.lit(None).cast("long")})
+    answered = answered.unionByName(to_each.select(F.col("block").cast("int").alias("block"), F.lit(-1).alias("bucket"), F.lit(-1).alias("level"), F.lit(None).cast("binary").alias("counts"), "n_kinds", "n_all"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = to_arrow_schema(StructType.fromDDL(schema))
-    return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(lambda d, a: _score(d, a, order, buckets, out), schema)
+    return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(lambda d, a: _score(d, a, order, buckets, bits, out), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,26 @@ def test_scores(spark, order):
         assert math.isclose(r.base_score, base, rel_tol=1e-9, abs_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_lanes_change_no_score(monkeypatch):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(n)) for n in (0, 1, 2, 3, 7, 50, 200)]
+    for order in (1, 2, 3, 4):
+        block = ngram_lm.read_block(texts, [k % 3 == 1 for k in range(len(texts))], order)
+        automaton = ngram_lm.Automaton(block, [x.trained for x in block.levels], int(block.levels[0].trained.sum()), len(block.levels[0].keys))
+        want = automaton.traverse(block)
+        for lane in (1, 2, 3, 10):
+            monkeypatch.setattr(ngram_lm, "LANE", lane)
+            assert np.allclose(automaton.traverse(block), want, rtol=1e-12)
+        monkeypatch.undo()
+
+
+def test_key_bits():
+    assert ngram_lm.key_bits(0) == 1 + ngram_lm.SPARE_BITS and ngram_lm.key_bits(1 << 62) == 64
+    keys = np.sort(np.random.default_rng(0).integers(0, 1 << 40, 1000, dtype=np.uint64))
+    edges = ngram_lm._edges(keys, 7, 40)
+    assert edges[0] == 0 and edges[-1] == 1000 and all(len(set((int(k) * 7) >> 40 for k in keys[a:b])) == 1 for a, b in zip(edges, edges[1:]))
+
+
 def test_probabilities_sum_to_one():
     rows = _rows(60, 9)
     _, p, counts = plain_scores(rows, 3)
