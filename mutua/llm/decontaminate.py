@@ -3,20 +3,21 @@
 Each shard (one Arrow batch of documents) is numbered with the benchmark's
 vocabulary and gets a suffix array: the positions whose next words can begin a
 match, sorted by the words that follow. Every suffix of every benchmark item is
-binary-searched in it; the range found lists all verbatim occurrences, and each
-occurrence is extended to its longest match. Suffixes are ordered to the depth of
-one window, which is all that a search compares; a position followed by a word
-outside the vocabulary within the shortest window cannot match and is left out.
+binary-searched in it, suffixes with equal windows once; the range found lists all
+verbatim occurrences, and each one that does not begin inside a longer one is extended
+to its longest match. Suffixes are ordered to the depth of one window, which is all
+that a search compares; a position followed by a word outside the vocabulary within the
+shortest window cannot match and is left out.
 
 The benchmark is the only thing sent to every task. Its size is checked against
-``MAX_QUERY_WORDS`` and larger benchmarks are searched in blocks of that size,
-each over all documents, so no task holds more. No documents are shuffled
-unless there are several blocks.
+``MAX_QUERY_WORDS``; a larger benchmark is searched in blocks of that size, each over all
+documents, so no task holds more than a block and its largest item. No documents are
+shuffled unless there are several blocks.
 
 Defined cases: a null or wordless text has no words and is never contaminated;
 a null or wordless item has no window; an item shorter than the window is one
 window; equal items count separately, and repeated rows of an item_id count
-once; repeated documents give repeated results; empty tables give empty or
+once; an item without an id hits words and is not among the items found; repeated documents give repeated results; empty tables give empty or
 clean results; other columns are ignored.
 """
 
@@ -47,25 +48,60 @@ class Suffixes:
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW) -> None:
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        self.item_ids: list[str] = []
         number = self.vocabulary.setdefault
+        by_words: dict[tuple[int, ...], set[str]] = {}
+        for item_id, text in items:
+            ids = tuple(number(w, len(self.vocabulary) + 1) for w in alnum_words(text))
+            if ids:
+                by_words.setdefault(ids, set()).update([item_id] if item_id is not None else [])
+        self.item_ids = [sorted(x) for x in by_words.values()]  # of items with equal words
         words, starts, owners, lengths = [], [], [], []
         at = 0
-        for item_id, text in items:
-            ids = [number(w, len(self.vocabulary) + 1) for w in alnum_words(text)]
-            if not ids:
-                continue
+        for k, ids in enumerate(by_words):
             width = min(window, len(ids))
             own = range(at, at + len(ids) - width + 1)
             starts += own
-            owners += [len(self.item_ids)] * len(own)
+            owners += [k] * len(own)
             lengths += [width] * len(own)
-            self.item_ids.append(item_id)
             words += [*ids, 0]
             at += len(ids) + 1
         self.words = np.array(words + [0] * window, np.int32)
         self.starts, self.owners, self.lengths = (np.array(x, np.int64) for x in (starts, owners, lengths))
         self.shortest = int(self.lengths.min()) if starts else 0
+        self.item_begin = np.zeros(len(by_words), np.int64)
+        self.item_begin[self.owners[::-1]] = self.starts[::-1]
+        # Suffixes with equal windows: their number, and the suffixes of each.
+        low = self._windows(self.starts, self.lengths)
+        _, self.one, inverse = np.unique(low, return_index=True, return_inverse=True) if starts else (None, np.empty(0, np.int64), np.empty(0, np.int64))
+        self.same = np.argsort(inverse, kind="stable")
+        self.same_from = np.searchsorted(inverse[self.same], np.arange(len(self.one) + 1))
+
+    def _windows(self, starts: np.ndarray, lengths: np.ndarray, beyond: int = 0) -> np.ndarray:
+        """Sortable bytes of each window; ``beyond`` is added to its last word."""
+        w = self.window
+        keys = np.zeros((len(starts), w), ">u4")
+        for k in range(w):
+            inside = lengths > k
+            keys[inside, k] = self.words[starts[inside] + k]
+        if beyond and len(starts):
+            np.put_along_axis(keys, (lengths - 1)[:, None], np.take_along_axis(keys, (lengths - 1)[:, None], 1) + beyond, 1)
+        return np.ascontiguousarray(keys).reshape(-1).view(f"S{4 * w}")
+
+    def expand(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of ``which`` (numbers of windows), its place and each suffix that begins with it."""
+        return _ranges(self.same_from[which], self.same_from[which + 1], self.same)
+
+    def search(self, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each distinct window the range of the suffix array whose first words equal it."""
+        starts, lengths = self.starts[self.one], self.lengths[self.one]
+        return np.searchsorted(sorted_keys, self._windows(starts, lengths), "left"), np.searchsorted(sorted_keys, self._windows(starts, lengths, 1), "left")
+
+
+def _ranges(low: np.ndarray, high: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each range, as often as it is long, and the values in it."""
+    n = high - low
+    which = np.repeat(np.arange(len(n)), n)
+    return which, values[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
 
 
 def suffix_array(words: np.ndarray, window: int, shortest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,27 +117,10 @@ def suffix_array(words: np.ndarray, window: int, shortest: int) -> tuple[np.ndar
     return begins[order], flat[order]
 
 
-def _search(sorted_keys: np.ndarray, query: Suffixes) -> tuple[np.ndarray, np.ndarray]:
-    """For each query suffix the range of the suffix array whose first words equal its window."""
-    w = query.window
-    low = np.zeros((len(query.starts), w), ">u4")
-    for k in range(w):
-        inside = query.lengths > k
-        low[inside, k] = query.words[query.starts[inside] + k]
-    high = low.copy()
-    np.put_along_axis(high, (query.lengths - 1)[:, None], np.take_along_axis(high, (query.lengths - 1)[:, None], 1) + 1, 1)
-    as_keys = lambda x: np.ascontiguousarray(x).reshape(-1).view(f"S{4 * w}")
-    return np.searchsorted(sorted_keys, as_keys(low), "left"), np.searchsorted(sorted_keys, as_keys(high), "left")
-
-
-def match_shard(words: np.ndarray, query: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All occurrences in a shard: position, number of the query suffix, and window length."""
+def match_shard(words: np.ndarray, query: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+    """All occurrences in a shard: the number of the window, and its position."""
     places, keys = suffix_array(words, query.window, query.shortest)
-    low, high = _search(keys, query)
-    n = high - low
-    which = np.repeat(np.arange(len(n)), n)
-    ranks = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    return places[ranks], which, query.lengths[which]
+    return _ranges(*query.search(keys), places)
 
 
 def longest_matches(words: np.ndarray, at: np.ndarray, starts: np.ndarray, lengths: np.ndarray, query: Suffixes) -> np.ndarray:
@@ -149,7 +168,8 @@ def _find(batches: Iterator[pa.RecordBatch], query: Suffixes, locate: bool) -> I
             items: list[list[str]] = [[] for _ in shard]
             matches: list[list[dict]] = [[] for _ in shard]
             if len(query.starts):
-                at, which, lengths = match_shard(words, query)
+                which, at = match_shard(words, query)
+                lengths = query.lengths[query.one][which]
                 edge = np.zeros(len(words) + 1, np.int64)
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + lengths, -1)
@@ -158,17 +178,18 @@ def _find(batches: Iterator[pa.RecordBatch], query: Suffixes, locate: bool) -> I
                 for d, p in zip(doc.tolist(), (covered - begins[doc]).tolist()):
                     hits[d].append(p)
                 doc = np.searchsorted(begins, at, "right") - 1
-                for d, o in np.unique(np.stack([doc, query.owners[which]], 1), axis=0).tolist():
-                    items[d].append(query.item_ids[o])
+                found = np.unique(np.stack([doc, which], 1), axis=0)
+                row, suffix = query.expand(found[:, 1])
+                for d, o in np.unique(np.stack([found[row, 0], query.owners[suffix]], 1), axis=0).tolist():
+                    items[d] += query.item_ids[o]
                 if locate:
-                    starts = query.starts[which]
-                    total = longest_matches(words, at, starts, lengths, query)
-                    first = (at == 0) | (starts == 0) | (words[at - 1] != query.words[starts - 1]) | (words[at - 1] == 0)
-                    item_begin = np.zeros(len(query.item_ids), np.int64)
-                    item_begin[query.owners[::-1]] = query.starts[::-1]
-                    for k in np.flatnonzero(first).tolist():
-                        o, d = int(query.owners[which[k]]), int(doc[k])
-                        matches[d].append({"item_id": query.item_ids[o], "word": int(at[k] - begins[d]), "item_word": int(starts[k] - item_begin[o]), "length": int(total[k])})
+                    row, suffix = query.expand(which)
+                    at, doc, starts, owners = at[row], doc[row], query.starts[suffix], query.owners[suffix]
+                    first = (at == 0) | (starts == query.item_begin[owners]) | (words[at - 1] != query.words[starts - 1]) | (words[at - 1] == 0)
+                    at, doc, starts, owners = at[first], doc[first], starts[first], owners[first]
+                    total = longest_matches(words, at, starts, lengths[row[first]], query)
+                    for d, p, o, q, n in zip(doc.tolist(), (at - begins[doc]).tolist(), owners.tolist(), (starts - query.item_begin[owners]).tolist(), total.tolist()):
+                        matches[d] += [{"item_id": x, "word": p, "item_word": q, "length": n} for x in query.item_ids[o] or [None]]
             rows = pa.array([i for i, _ in shard])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(rows), pa.array(counts), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(matches, pa.list_(MATCH_TYPE))],
@@ -188,10 +209,10 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lo
     """Per document: ``id``, ``n_words``, ``hits`` (covered word positions), ``items`` (sorted ids of items found), ``matches`` (maximal verbatim matches)."""
     kept = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     schema = f"id {kept.schema['id'].dataType.simpleString()}, {OUT}"
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     parts = []
     for block in _blocks(items, max_words):
-        query = Suffixes(sorted((r.item_id, r.text) for r in block.collect()), window)  # a block's size is bounded
+        query = Suffixes(sorted(((r.item_id, r.text) for r in block.collect()), key=lambda x: (x[0] is not None, x)), window)  # a block's size is bounded
         parts.append((query, block))
     if len(parts) == 1:
         query = parts[0][0]
@@ -215,18 +236,20 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lo
 
 def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> F.Column:
     """At least one word hit, and at least a twentieth of all words."""
-    return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
+    return F.expr(f"{n_hit} > 0 AND 20 * {n_hit} >= {n_words}")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    found = find_matches(docs, benchmark, window, locate=False)
-    return found.select(
+    """Per document the contract's columns, ``longest_match``, the words of the longest verbatim match."""
+    return find_matches(docs, benchmark, window).select(
         F.col("id").alias("doc_id"),
         "n_words",
         F.size("hits").cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-    ).withColumn("contaminated", is_contaminated())
+        is_contaminated("size(hits)").alias("contaminated"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["length"])), F.lit(0)).cast("long").alias("longest_match"),
+    )
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -245,14 +268,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 ORACLE_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
-i AS (SELECT item_id, w, least({WINDOW}, len(w)) AS m FROM (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
-iw AS (SELECT DISTINCT item_id, m, array_to_string(w[k:k + m - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS k FROM i)),
+i AS (SELECT row_number() OVER () AS i, item_id, w, least({WINDOW}, len(w)) AS m FROM (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT i, item_id, m, k AS q, array_to_string(w[k:k + m - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS k FROM i)),
 ms AS (SELECT DISTINCT m FROM iw),
 dw AS (SELECT r, m, k, array_to_string(w[k:k + m - 1], ' ') AS win FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, ms WHERE len(w) >= m)),
-found AS (SELECT dw.r, dw.k, dw.m, iw.item_id FROM dw JOIN iw ON dw.m = iw.m AND dw.win = iw.win),
+found AS (SELECT dw.r, dw.k, dw.m, iw.item_id, iw.i, iw.q FROM dw JOIN iw ON dw.m = iw.m AND dw.win = iw.win),
 hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + m)) AS p FROM (SELECT DISTINCT r, k, m FROM found)) GROUP BY r),
-its AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM found GROUP BY r)
+its AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM found GROUP BY r),
+runs AS (SELECT r, count(*) + max(m) - 1 AS n FROM (SELECT *, k - row_number() OVER (PARTITION BY r, i, k - q ORDER BY k) AS run FROM found) GROUP BY r, i, k - q, run),
+longest AS (SELECT r, max(n) AS n FROM runs GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(longest.n, 0) AS BIGINT) AS longest_match
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r) LEFT JOIN longest USING (r)
 """

@@ -2,14 +2,15 @@
 
 A page becomes a tree of elements; scripts, styles, comments and other raw text are
 skipped by the tokenizer. Boilerplate is cut first: by element (navigation, forms,
-asides, page headers and footers), by role, and by words of class and id. Paragraphs then pass points for
-their length and commas to their ancestors, less with each level up; a container's
-points are discounted by the share of its text that is inside links. The best
-container is kept, widened to the article or main element around it, together with
-siblings that hold paragraphs of their own. Its blocks are joined in page order.
+page headers and footers, asides outside the article), by role, and by words of class and
+id on containers; headings, code and inline elements are never cut by words. Paragraphs
+then pass points for their length and commas to their ancestors, less with each level up;
+a container's points are discounted by the share of its text that is inside links. The
+best container is kept, widened to the article or main element around it, together with
+siblings, its own and its parent's, that hold paragraphs. Its blocks are joined in page order.
 
-Character references are decoded after tags are read; white space within a block is
-one space; blocks are joined by an empty line.
+Character references are decoded in each piece of text between tags; white space within a
+block is one space; blocks are joined by an empty line.
 
 Defined cases: a null or empty page, or one without text, gives an empty text; unclosed
 and misnested tags are closed as browsers do for paragraphs and list items; repeated
@@ -35,7 +36,7 @@ QUERY = "op8_html"
 ORACLE_SQL = None  # a tree has no SQL form; tests use pages whose articles are known
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object canvas".split())
+RAW = frozenset("script style textarea title template iframe noembed noframes xmp svg canvas".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -51,34 +52,40 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 PARAGRAPHS = frozenset("p pre blockquote td dd li".split())
-CUT_TAGS = frozenset("nav aside form footer menu dialog button select label fieldset head".split())
+CUT_TAGS = frozenset("nav form footer menu dialog button select label fieldset head".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Elements that words of class and id may cut.
+CUTTABLE = frozenset("div section aside ul ol dl table header footer p center details iframe address".split())
 CUT_WORDS = frozenset(
-    """ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner
-    nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside rail widget widgets toolbar pagination pager
-    header masthead topbar footer bottombar copyright legal colophon cookie cookies consent gdpr notice alert popup modal overlay
-    subscribe subscription newsletter signup login share sharing social related recommended recommendations popular trending
-    tags taglist form search skip""".split()
+    """ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion
+    nav navbar navigation submenu breadcrumb breadcrumbs sidebar widget widgets toolbar pagination pager
+    topbar bottombar cookie cookies consent gdpr notice popup modal overlay menu footer
+    subscribe subscription newsletter signup login share sharing social related recommended recommendations popular trending taglist""".split()
 )
+#: Words that cut outside of articles only.
+OUTSIDE_WORDS = frozenset("banner aside rail header masthead copyright legal colophon alert tags form search skip".split())
 COMMENT_WORDS = frozenset("comment comments commentlist commentary disqus replies reply respond responses discussion".split())
 KEEP_TAGS = frozenset("article main body html".split())
 BODY_WORDS = frozenset("article content entry post story text body main".split())
 MIN_PARAGRAPH = 25
+#: Points of a sibling that is kept, and a fifth of the best container's.
+MIN_SIBLING = 2.0
 
-_TOKEN = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*(?:>|$)|/([A-Za-z][^\s/>]*)[^>]*(?:>|$)|([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|$))", re.S)
-_ATTR = re.compile(r"([A-Za-z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# A quotation mark opens a value only after an equals sign.
+_TOKEN = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*(?:>|$)|/([A-Za-z][^\s/>]*)[^>]*(?:>|$)|([A-Za-z][^\s/>]*)((?:=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?|[^>=])*+)(?:>|$))", re.S)
+_ATTR = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "text", "linked", "commas", "points", "kinds", "cut")
+    __slots__ = ("tag", "attrs", "parent", "children", "text", "linked", "commas", "points", "peak", "kinds", "cut")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None) -> None:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
         self.text = self.linked = self.commas = 0
-        self.points = 0.0
+        self.points = self.peak = 0.0
         self.kinds: frozenset[str] = frozenset()
         self.cut = False
 
@@ -197,27 +204,29 @@ def _cut(nodes: list[Node]) -> None:
     inside: set[int] = set()  # elements within an article
     for n in nodes:
         p = n.parent
-        if p is not None and (id(p) in inside or p.tag == "article"):
+        if p is not None and (id(p) in inside or p.tag in ("article", "main")):
             inside.add(id(n))
         if n.tag in ("html", "body"):
             continue
+        if n.tag in ("aside", "noscript") and id(n) not in inside:
+            n.cut = not n.kinds & {"article", "main"}
+            continue
         if n.tag in CUT_TAGS or n.tag == "header" and id(n) not in inside and not n.kinds & {"article", "main"}:
             n.cut = not (n.tag == "form" and n.text > 0.5 * total and n.kinds & {"p", "article"})
             continue
         if not n.attrs:
             continue
         attrs = _attributes(n)
-        if "hidden" in re.split(r"[\s=]+", n.attrs) or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style", "")):
+        if "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style", "")):
             n.cut = True
         elif attrs.get("role", "").lower() in CUT_ROLES:
             n.cut = not n.kinds & {"article", "main"}
-        else:
+        elif n.tag in CUTTABLE:
             words = {w.lower() for w in _WORDS.findall(attrs.get("class", "") + " " + attrs.get("id", ""))}
             if words & COMMENT_WORDS:
                 n.cut = "h1" not in n.kinds and not n.kinds & {"main"}
-            elif words & CUT_WORDS and n.tag not in KEEP_TAGS:
-                heading = id(n) in inside and "header" in words and "h1" in n.kinds
-                n.cut = not heading and not n.kinds & {"article", "main"} and not (n.text > 0.5 * total and ("p" in n.kinds or words & BODY_WORDS))
+            elif words & CUT_WORDS or words & OUTSIDE_WORDS and id(n) not in inside:
+                n.cut = not n.kinds & {"article", "main"} and not (n.text > 0.5 * total and ("p" in n.kinds or words & BODY_WORDS))
 
 
 def _density(n: Node) -> float:
@@ -235,6 +244,8 @@ def _score(nodes: list[Node]) -> None:
         while holder is not None and level < 6:
             holder.points += points / (1, 2, 6, 9, 12, 15)[level]
             holder, level = holder.parent, level + 1
+    for n in reversed(nodes):
+        n.peak = max([n.points * (1 - _density(n)), *(c.peak for c in n.children if not isinstance(c, str) and not c.cut)])
 
 
 def _visible(root: Node) -> list[Node]:
@@ -271,16 +282,24 @@ def best_parts(root: Node) -> list[Node]:
         return [around]
     if best.parent is None or best.tag in ("html", "body"):
         return [best]
-    least = max(10.0, 0.2 * final(best))
-    kept = []
-    for c in best.parent.children:
-        if isinstance(c, str) or c.cut:
-            continue
-        paragraph = c.tag in PARAGRAPHS and c.text and _density(c) < (0.25 if c.text > 80 else 0.01)
-        heading = c.tag in ("h1", "h2", "h3") and _density(c) < 0.25 and c.text > 0
-        if c is best or c.points * (1 - _density(c)) >= least or paragraph or heading:
-            kept.append(c)
-    return kept
+    least = max(MIN_SIBLING, 0.2 * final(best))
+    kept = _with_siblings(best, [best], least)
+    up = best.parent
+    return _with_siblings(up, kept, least) if up.parent is not None and up.tag not in ("html", "body") else kept
+
+
+def _with_siblings(n: Node, kept: list[Node], least: float) -> list[Node]:
+    """``kept``, which stands for ``n``, and the siblings of ``n`` that hold text, in page order."""
+    out: list[Node] = []
+    for c in n.parent.children:
+        if c is n:
+            out += kept
+        elif not isinstance(c, str) and not c.cut:
+            paragraph = c.tag in PARAGRAPHS and c.text and _density(c) < (0.25 if c.text > 80 else 0.01)
+            heading = c.tag in ("h1", "h2", "h3") and _density(c) < 0.25 and c.text > 0
+            if c.peak >= least and _density(c) < 0.5 or paragraph or heading:
+                out.append(c)
+    return out
 
 
 def _ancestors(n: Node) -> Iterator[Node]:
@@ -294,7 +313,7 @@ def block_texts(parts: list[Node]) -> list[str]:
     now: list[str] = []
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(now)).split())
+        text = " ".join("".join(now).split())
         if text:
             out.append(text)
         now.clear()
@@ -305,7 +324,7 @@ def block_texts(parts: list[Node]) -> list[str]:
         if x is None:
             flush()
         elif isinstance(x, str):
-            now.append(x)
+            now.append(html.unescape(x))
         elif not x.cut:
             if x.tag == "br":
                 now.append(" ")

@@ -1,8 +1,10 @@
 """Quality rules: exact base rules, and boosted trees over document statistics.
 
-The trees learn "good and not toxic" from at most ``MAX_LABELLED`` labelled
+The trees learn "good and not toxic" from at most ``MAX_LABELLED`` rows of labelled
 documents (those whose ids hash lowest, a bound on what the driver fits) and score
-every document. The score may only fall as symbols, repeats, capitals, exclamation marks
+every document. The sample is written once. For the fit, each of its documents is
+described with the lexicon of the other folds, so the trees do not see a document's own
+label through the lexicon; every other document with the lexicon of all. The score may only fall as symbols, repeats, capitals, exclamation marks
 and words of the learned lexicon grow: these columns carry monotonic constraints.
 The lexicon holds words, and beginnings of words, that are frequent in toxic labelled
 documents and rare in others.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from mutua.llm import gbt
 from mutua.llm.text import alnum_words
-from mutua.storage import table
+from mutua.storage import materialise, table
 
 QUERY = "op7_quality"
 ORACLE_SQL = None  # the verdict of trained trees has no SQL form; tests hold it against labels and brute force
@@ -37,6 +39,8 @@ MAX_LABELLED = 20_000
 LEXICON_SHARE, LEXICON_DOCS, LEXICON_RATIO = 0.015, 4, 20.0
 #: Bytes of a word's beginnings that the lexicon may hold, so that inflected forms count.
 BEGINNINGS = (4, 5)
+#: Parts of the sample; a document is described for the fit with the lexicon of the other parts.
+FOLDS = 5
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -85,13 +89,15 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     mixed.sort()
     if not (mixed[1:] == mixed[:-1]).any():  # equal windows have equal hashes
         return 0
-    runs = list(zip(*(words[k : k + n] for k in range(window))))
-    found = Counter(runs)
+    number: dict[bytes, int] = {}  # equal hashes need not be equal windows
+    codes = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    code = codes[:n].copy()
+    for k in range(1, window):
+        code = np.unique(code * (codes.max() + 1) + codes[k : k + n], return_inverse=True)[1].astype(np.int64)
+    again = np.flatnonzero(np.bincount(code)[code] > 1)
     edge = np.zeros(len(words) + 1, np.int64)
-    for i, run in enumerate(runs):
-        if found[run] > 1:
-            edge[i] += 1
-            edge[i + window] -= 1
+    np.add.at(edge, again, 1)
+    np.add.at(edge, again + window, -1)
     return int((np.cumsum(edge) > 0).sum())
 
 
@@ -156,49 +162,56 @@ class QualityModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
-    """``doc_id``, ``text``, ``good`` and ``toxic`` of the labelled documents whose ids hash lowest."""
+    """``text``, ``good``, ``toxic`` and ``fold`` of at most ``limit`` rows of labelled documents, those whose ids hash lowest."""
     marks = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     few = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     few = few.select(F.col("doc_id").alias("labelled_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"), (F.col("toxic") == 1).alias("toxic"))
     kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return kept.join(F.broadcast(few), F.col("doc_id") == F.col("labelled_id")).drop("labelled_id")
+    rows = kept.join(F.broadcast(few), F.col("doc_id") == F.col("labelled_id")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(limit)
+    return rows.select("text", "good", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"))
 
 
-def _learn_lexicon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of documents with each word, toxic and other, summed over the task."""
-    counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of documents with each word, toxic and other, by fold, summed over the task."""
+    counts: dict[tuple[int, bool], Counter] = {}
     for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts[toxic].update(pieces(set(alnum_words(text))))
-    words = list(counts[True].keys())
-    if words:
-        yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "n_toxic": [counts[True][w] for w in words], "n_other": [counts[False][w] for w in words]})
-    others = [w for w in counts[False] if w not in counts[True]]
-    if others:
-        yield pa.RecordBatch.from_pydict({"word": pa.array(others, pa.binary()), "n_toxic": [0] * len(others), "n_other": [counts[False][w] for w in others]})
+        for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
+            counts.setdefault((fold, toxic), Counter()).update(pieces(set(alnum_words(text))))
+    for (fold, toxic), of in counts.items():
+        n = list(of.values())
+        none = [0] * len(n)
+        yield pa.RecordBatch.from_pydict({"fold": pa.array([fold] * len(n), pa.int32()), "word": pa.array(list(of), pa.binary()), "n_toxic": pa.array(n if toxic else none, pa.int64()), "n_other": pa.array(none if toxic else n, pa.int64())})
+
+
+def _lexicon(counted: DataFrame, n_toxic: int, n_other: int) -> frozenset[bytes]:
+    """At most (distinct words and beginnings of a toxic document) / ``LEXICON_SHARE`` words."""
+    if not n_toxic:
+        return frozenset()
+    summed = counted.groupBy("word").agg(F.sum("n_toxic").alias("t"), F.sum("n_other").alias("o"))
+    ratio = (F.col("t") / n_toxic) / ((F.col("o") + 0.5) / (n_other + 1))
+    rows = summed.where((F.col("t") >= max(LEXICON_DOCS, LEXICON_SHARE * n_toxic)) & (ratio >= LEXICON_RATIO)).select("word").collect()
+    return frozenset(bytes(r.word) for r in rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> QualityModel:
-    sample = labelled_sample(docs, labels, limit)
-    totals = sample.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
-    n_toxic, n_other = totals[0], totals[1]
-    if n_toxic + n_other == 0:
+    sample = materialise(labelled_sample(docs, labels, limit), "labelled-sample")
+    totals = {r.fold: (r.t, r.o) for r in sample.groupBy("fold").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("o")).collect()}  # a row a fold
+    if not totals:
         return QualityModel(None, frozenset())
-    counted = sample.select("text", "toxic").mapInArrow(_learn_lexicon, "word binary, n_toxic long, n_other long")
-    summed = counted.groupBy("word").agg(F.sum("n_toxic").alias("t"), F.sum("n_other").alias("o"))
-    ratio = (F.col("t") / max(n_toxic, 1)) / ((F.col("o") + 0.5) / (n_other + 1))
-    rows = summed.where((F.col("t") >= max(LEXICON_DOCS, LEXICON_SHARE * n_toxic)) & (ratio >= LEXICON_RATIO)).select("word").collect()  # at most words a toxic document / LEXICON_SHARE
-    lexicon = frozenset(bytes(r.word) for r in rows)
-    described = sample.mapInArrow(lambda b: _sample_features(b, lexicon), "x array<double>, good boolean").toPandas()
+    counted = materialise(sample.mapInArrow(_count_words, "fold int, word binary, n_toxic long, n_other long"), "labelled-words")
+    n_toxic, n_other = (sum(x[k] for x in totals.values()) for k in (0, 1))
+    whole = _lexicon(counted, n_toxic, n_other)
+    others = {f: _lexicon(counted.where(F.col("fold") != f), n_toxic - t, n_other - o) for f, (t, o) in totals.items()}
+    described = sample.mapInArrow(lambda b: _sample_features(b, others), "x array<double>, good boolean").toPandas()  # at most ``limit`` rows
     x = np.array(described["x"].tolist(), float).reshape(-1, len(FEATURES))
     y = described["good"].to_numpy(float)
     order = np.lexsort((*x.T, y))  # the fit does not depend on the order of rows
-    return QualityModel(gbt.fit(x[order], y[order], MONOTONE), lexicon)
+    return QualityModel(gbt.fit(x[order], y[order], MONOTONE), whole)
 
 
-def _sample_features(batches: Iterator[pa.RecordBatch], lexicon: frozenset[bytes]) -> Iterator[pa.RecordBatch]:
+def _sample_features(batches: Iterator[pa.RecordBatch], lexicons: dict[int, frozenset[bytes]]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [list(describe(t, lexicon).features) for t in batch.column("text").to_pylist()]
+        rows = [list(describe(t, lexicons[f]).features) for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist())]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("good")], names=["x", "good"])
 
 

@@ -236,7 +236,7 @@ def plain_hits(text, items, window):
 def test_contamination(spark, max_words):
     rng = random.Random(4)
     vocabulary = ["The", "cat", "é", "sat", "ON", "a", "mat9", "x-y"]
-    items = [(str(k), " ".join(rng.choice(vocabulary) for _ in range(n))) for k, n in enumerate([0, 1, 3, 6, 9, 12, 30])] + [("9", None), ("10", " ".join(["cat"] * 8))]
+    items = [(str(k), " ".join(rng.choice(vocabulary) for _ in range(n))) for k, n in enumerate([0, 1, 3, 6, 9, 12, 30])] + [("9", None), ("10", " ".join(["cat"] * 8)), ("11", " ".join(["CAT"] * 8))]
     texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 120))) for _ in range(60)] + [None, "", "cat " * 20, items[6][1], "zzz " + items[6][1] + " zzz"]
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, n_words int").repartition(3)
     bench = spark.createDataFrame(items, "item_id string, text string")
@@ -248,6 +248,14 @@ def test_contamination(spark, max_words):
     assert max(m.length for m in whole) >= 30
 
 
+def test_items_without_ids_hit_words(spark):
+    item = " ".join(f"q{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, "x " + item + " y")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (None, None), ("b", "y"), ("b", "y")], "item_id string, text string")
+    r = decontaminate.contamination(docs, bench).first()
+    assert (r.n_words, r.n_hit, r.n_items, r.contaminated, r.longest_match) == (22, 21, 1, True, 20)
+
+
 def test_contaminated_rows_go(spark):
     item = " ".join(f"q{k}" for k in range(20))
     docs = spark.createDataFrame([(1, item, "a"), (2, "clean words " * 30, "b"), (None, item, "c"), (None, "clean", "d"), (5, None, "e")], "doc_id long, text string, digest string")
