@@ -136,11 +136,22 @@ def variants(nodes: DataFrame, *columns: str) -> DataFrame:
     return each.select(F.expr(key).alias("key"), "fp", *columns)
 
 
-def shared_keys(index: DataFrame, by: str) -> DataFrame:
-    """The rows of keys that have two values of ``by`` or more, written once: most keys are of one text and go here, after one exchange of narrow rows."""
+def shared_keys(index: DataFrame, by: str, least: float) -> DataFrame:
+    """The rows that may have a partner, written once: their key has two values of ``by`` or more, and the next smaller or larger text of the key is of a size that allows the similarity.
+
+    Most rows are alone in their key and go here, after one exchange of narrow rows.
+    """
     key = Window.partitionBy("key")
-    found = index.withColumns({"least": F.min(by).over(key), "most": F.max(by).over(key)}).where("least <> most").drop("least", "most")
-    return materialise(found, "shared-keys")
+    in_order = key.orderBy("n")
+    found = index.withColumns({"least": F.min(by).over(key), "most": F.max(by).over(key), "smaller": F.lag("n").over(in_order), "larger": F.lead("n").over(in_order)})
+    fits = F.coalesce(_sizes_allow(F.col("n"), F.col("smaller"), least), F.lit(False)) | F.coalesce(_sizes_allow(F.col("n"), F.col("larger"), least), F.lit(False))
+    kept = materialise(found.where((F.col("least") != F.col("most")) & fits).drop("least", "most", "smaller", "larger"), "shared-keys")
+    release_shuffles(index.sparkSession)
+    return kept
+
+
+def _sizes_allow(n: Column, n_b: Column, least: float) -> Column:
+    return (n >= n_b * F.lit(least) - 1e-9) & (n_b >= n * F.lit(least) - 1e-9)
 
 
 def _suffixed(df: DataFrame, suffix: str) -> DataFrame:
@@ -149,7 +160,7 @@ def _suffixed(df: DataFrame, suffix: str) -> DataFrame:
 
 def _near(fp: Column, fp_b: Column, n: Column, n_b: Column, least: float) -> Column:
     """Within ``NEAR_BITS``, and of sizes that allow the similarity."""
-    return (F.bit_count(fp.bitwiseXOR(fp_b)) <= NEAR_BITS) & (F.least(n, n_b) >= F.greatest(n, n_b) * F.lit(least) - 1e-9)
+    return (F.bit_count(fp.bitwiseXOR(fp_b)) <= NEAR_BITS) & _sizes_allow(n, n_b, least)
 
 
 def within_bound(least: float, a: str = "", b: str = "_b") -> Column:
@@ -158,12 +169,12 @@ def within_bound(least: float, a: str = "", b: str = "_b") -> Column:
     bits = reduce(Column.__add__, [F.bit_count(F.col(f"{c}{a}").bitwiseXOR(F.col(f"{c}{b}"))) for c in _SKETCH])
     most = (n + n_b) * F.lit((1 - least) / (1 + least)) / F.pow(F.lit(2.0), level)
     wider = F.when(level > 0, most + DEVIATIONS * F.sqrt(most)).otherwise(most)
-    return (F.least(n, n_b) >= F.greatest(n, n_b) * F.lit(least) - 1e-9) & ((level != level_b) | (bits <= wider + 1e-6))
+    return _sizes_allow(n, n_b, least) & ((level != level_b) | (bits <= wider + 1e-6))
 
 
 def hub_pairs(nodes: DataFrame, least: float) -> DataFrame:
     """``src`` < ``dst``: within each key, every node near a hub, with that hub."""
-    index = shared_keys(variants(nodes, "node", "n", "copies"), "node")
+    index = shared_keys(variants(nodes, "node", "n", "copies"), "node", least)
     firsts = [F.min_by(F.col(c), F.col("node").bitwiseXOR(F.lit(x))).alias(f"{c}_{k}") for k, x in enumerate(ORDERS) for c in ("node", "fp", "n")]
     most = [F.max_by(F.col(c), F.col("copies")).alias(f"{c}_{len(ORDERS)}") for c in ("node", "fp", "n")]
     hubs = index.groupBy("key").agg(*firsts, *most).withColumnRenamed("key", "hub_key")
@@ -175,7 +186,7 @@ def hub_pairs(nodes: DataFrame, least: float) -> DataFrame:
 
 def cross_pairs(labelled: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """``src`` < ``dst`` of different groups (``grp``; ``large``), near by a fingerprint and within the bounds."""
-    index = shared_keys(variants(labelled, "node", "n", "grp", "large"), "grp")
+    index = shared_keys(variants(labelled, "node", "n", "grp", "large"), "grp", least)
     other = _suffixed(index, "_b")
     meets = (F.col("key") == F.col("key_b")) & (F.col("grp") != F.col("grp_b"))
     near = meets & _near(F.col("fp"), F.col("fp_b"), F.col("n"), F.col("n_b"), least)
