@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from mutua.operators import detector
 from mutua.plans.registry import queries
 from mutua.sources import readers
+from mutua.storage import remove_scratch
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -36,6 +37,7 @@ def main(argv: list[str] | None = None) -> None:
         print(readers.write_result(out, args.output))
     else:
         out.show(50, truncate=False)
+    remove_scratch(spark)
 
 
 if __name__ == "__main__":

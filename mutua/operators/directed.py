@@ -18,10 +18,10 @@ SELECT i.trace_id, i.var, flow AS push_in, sys AS out_sys, env AS out_env, CASE
 
 
 def fused_scores(alpha: float = 0.1) -> Op:
-    """Flow between each variable and the joint state of all others, both ways."""
+    """Flow between each variable and the joint state of all others, both ways. The joint state is the sorted list of the others' names and values."""
     return Op(f"""
-WITH l AS (SELECT trace_id, t, JOINED(SETOF(concat(var, CAST(x AS STRING))), '') AS state FROM {{binary}} GROUP BY trace_id, t),
-r AS (SELECT b.trace_id, b.t, b.var, b.x, replace(l.state, concat(b.var, CAST(b.x AS STRING)), '') AS rest FROM {{binary}} AS b JOIN l ON l.trace_id = b.trace_id AND l.t = b.t),
+WITH l AS (SELECT trace_id, t, SETOF(concat(var, '=', CAST(x AS STRING))) AS state FROM {{binary}} GROUP BY trace_id, t),
+r AS (SELECT b.trace_id, b.t, b.var, b.x, JOINED(WITHOUT(l.state, concat(b.var, '=', CAST(b.x AS STRING))), chr(31)) AS rest FROM {{binary}} AS b JOIN l ON l.trace_id = b.trace_id AND l.t = b.t),
 n AS (SELECT *, lead(x) OVER (PARTITION BY trace_id, var ORDER BY t) AS x1, lead(rest) OVER (PARTITION BY trace_id, var ORDER BY t) AS rest1 FROM r),
 both_ways AS (SELECT concat(trace_id, '|', var, '|in') AS keys, CAST(x1 AS STRING) AS x, rest AS y, CAST(x AS STRING) AS z FROM n WHERE x1 IS NOT NULL UNION ALL SELECT concat(trace_id, '|', var, '|out'), rest1, CAST(x AS STRING), rest FROM n WHERE x1 IS NOT NULL),
 cells AS (SELECT keys, x, y, z, count(*) AS n FROM both_ways GROUP BY keys, x, y, z),
@@ -40,11 +40,21 @@ cells AS (SELECT keys, x, y, z, count(*) AS n FROM o GROUP BY keys, x, y, z),
 SELECT split_part(keys, '|', 1) AS trace_id, split_part(keys, '|', 2) AS src, split_part(keys, '|', 3) AS dst, max(CASE WHEN split_part(keys, '|', 4) = split_part(keys, '|', 3) THEN cmi END) AS plain, max(cmi) AS best FROM cmi GROUP BY split_part(keys, '|', 1), split_part(keys, '|', 2), split_part(keys, '|', 3)""")
 
 
-#: Flags of each variable: drives beyond its floor and sends nine times what it takes in.
-SIGNATURE_FLAGS = Op("""
-WITH n AS (SELECT s.trace_id, s.var, s.push_in, s.out_sys, f.p95, f.sd, f.mean, greatest(CAST(0 AS DOUBLE), s.push_in - f.mean) AS net_in, greatest(CAST(0 AS DOUBLE), s.out_sys - f.mean) AS net_out FROM {scores} AS s JOIN {floors} AS f ON f.trace_id = s.trace_id AND f.var = s.var)
-SELECT trace_id, var, net_in, net_out, out_sys > p95 AS drives, net_out >= 9 * net_in AND net_out > 0 AS one_way, CASE WHEN sd > 0 THEN (out_sys - mean) / sd END AS z, coalesce(sd > 0 AND (out_sys - mean) / sd >= 2 AND out_sys > p95, false) AS signature FROM n
-""")
+def signature_flags(ratio: float = 9.0, least_z: float | None = None) -> Op:
+    """Flags of each variable: drives beyond its floor, has flow beyond its floor, and sends ``ratio`` times what it takes in, each net of its floor.
+
+    ``floors`` has (trace_id, var, name, p95, mean, sd) for the names push_in, out_sys and total_flow. With ``least_z`` drive and
+    flow must also be that many null deviations above the null's mean; a null without spread then never passes.
+    """
+    z = lambda name: f" AND sd_{name} > 0 AND ({name} - mean_{name}) / sd_{name} >= {least_z:e}" if least_z is not None else ""
+    names = ("push_in", "out_sys", "total_flow")
+    pivot = ", ".join(f"max(CASE WHEN name = '{k}' THEN {c} END) AS {c}_{k}" for k in names for c in ("p95", "mean", "sd"))
+    return Op(f"""
+WITH f AS (SELECT trace_id, var, {pivot} FROM {{floors}} GROUP BY trace_id, var),
+n AS (SELECT s.trace_id, s.var, out_sys > p95_out_sys{z('out_sys')} AS drives, total_flow > p95_total_flow{z('total_flow')} AS rankable,
+  greatest(CAST(0 AS DOUBLE), push_in - p95_push_in) AS net_in, greatest(CAST(0 AS DOUBLE), out_sys - p95_out_sys) AS net_out FROM {{scores}} AS s JOIN f ON f.trace_id = s.trace_id AND f.var = s.var)
+SELECT trace_id, var, drives, rankable, net_in = 0 AS intake_at_floor, net_in, net_out, net_out > 0 AND net_out >= {ratio:e} * net_in AS one_way, coalesce(drives AND rankable AND net_out > 0 AND net_out >= {ratio:e} * net_in, false) AS signature FROM n""")
+
 
 #: Number of flagged variables against the bound for chance at 5 percent.
 SCRAMBLE_VERDICT = Op("""
@@ -66,13 +76,26 @@ SELECT b.trace_id, b.var AS b, s.var AS s, a.var AS a, g.var AS g, e.var AS e FR
 JOIN v AS g ON g.trace_id = b.trace_id AND g.var NOT IN (b.var, s.var, a.var) JOIN v AS e ON e.trace_id = b.trace_id AND e.var NOT IN (b.var, s.var, a.var, g.var)
 """)
 
-#: Passive score of each candidate from information of ordered pairs (i, j, w), transfer entropies and change rates.
+#: Observations (keys, x, y, z) of what candidates are scored by, over ticks with a next one: keys name the term and its variables.
+LOOP_OBSERVATIONS = Op("""
+WITH n AS (SELECT * FROM (SELECT trace_id, t, var, CAST(x AS STRING) AS x, CAST(lead(x) OVER (PARTITION BY trace_id, var ORDER BY t) AS STRING) AS x1 FROM {binary}) AS l WHERE x1 IS NOT NULL)
+SELECT concat('flow|', p.trace_id, '|', p.var, '|', q.var) AS keys, q.x1 AS x, p.x AS y, q.x AS z FROM n AS p JOIN n AS q ON q.trace_id = p.trace_id AND q.t = p.t AND q.var <> p.var
+UNION ALL SELECT concat('policy|', a.trace_id, '|', a.var, '|', b.var, '|', g.var), a.x, concat(b.x, g.x), '' FROM n AS a JOIN n AS b ON b.trace_id = a.trace_id AND b.t = a.t AND b.var <> a.var JOIN n AS g ON g.trace_id = a.trace_id AND g.t = a.t AND g.var > b.var AND g.var <> a.var
+UNION ALL SELECT concat('blanket|', b.trace_id, '|', b.var, '|', e.var, '|', s.var, '|', a.var), b.x1, e.x1, concat(s.x, a.x) FROM n AS b JOIN n AS e ON e.trace_id = b.trace_id AND e.t = b.t AND e.var > b.var
+  JOIN n AS s ON s.trace_id = b.trace_id AND s.t = b.t AND s.var NOT IN (b.var, e.var) JOIN n AS a ON a.trace_id = b.trace_id AND a.t = b.t AND a.var > s.var AND a.var NOT IN (b.var, e.var)
+""")
+
+#: Passive score of each candidate: does its sensor update its base, do base and goal explain its action, does its action control its effect, do sensor and action screen base from effect, and are all active. ``terms`` has (keys, cmi_bits) of LOOP_OBSERVATIONS, ``entropies`` (trace_id, var, bits).
 PASSIVE_SCORE = Op("""
-WITH f AS (SELECT split_part(pair, '|', 1) AS trace_id, split_part(pair, '|', 2) AS src, split_part(pair, '|', 3) AS dst, te FROM {transfer}),
-s AS (SELECT c.*, 115e-2 * bs.w + sa.te + 12e-1 * ae.te - 11e-1 * eg.w + 8e-2 * r.rate AS score FROM {candidates} AS c
-  JOIN {sync} AS bs ON bs.trace_id = c.trace_id AND bs.i = c.b AND bs.j = c.s JOIN f AS sa ON sa.trace_id = c.trace_id AND sa.src = c.s AND sa.dst = c.a
-  JOIN f AS ae ON ae.trace_id = c.trace_id AND ae.src = c.a AND ae.dst = c.e JOIN {sync} AS eg ON eg.trace_id = c.trace_id AND eg.i = c.e AND eg.j = c.g JOIN {rates} AS r ON r.trace_id = c.trace_id AND r.var = c.a)
-SELECT trace_id, b, s, a, g, e, score, row_number() OVER (PARTITION BY trace_id ORDER BY round(score, 9) DESC, b, s, a, g, e) AS place FROM s
+WITH k AS (SELECT *, concat('flow|', trace_id, '|', s, '|', b) AS k_sensor, concat('policy|', trace_id, '|', a, '|', least(b, g), '|', greatest(b, g)) AS k_policy, concat('flow|', trace_id, '|', a, '|', e) AS k_control,
+  concat('blanket|', trace_id, '|', least(b, e), '|', greatest(b, e), '|', least(s, a), '|', greatest(s, a)) AS k_blanket FROM {candidates}),
+r AS (SELECT k.trace_id, b, s, a, g, e, greatest(CAST(0 AS DOUBLE), x1.cmi_bits) AS sensor, greatest(CAST(0 AS DOUBLE), x2.cmi_bits) AS policy, greatest(CAST(0 AS DOUBLE), x3.cmi_bits) AS control, greatest(CAST(0 AS DOUBLE), x4.cmi_bits) AS blanket,
+  (hb.bits + hs.bits + ha.bits + hg.bits + he.bits) / 5 AS activity
+  FROM k JOIN {terms} AS x1 ON x1.keys = k_sensor JOIN {terms} AS x2 ON x2.keys = k_policy JOIN {terms} AS x3 ON x3.keys = k_control JOIN {terms} AS x4 ON x4.keys = k_blanket
+  JOIN {entropies} AS hb ON hb.trace_id = k.trace_id AND hb.var = b JOIN {entropies} AS hs ON hs.trace_id = k.trace_id AND hs.var = s JOIN {entropies} AS ha ON ha.trace_id = k.trace_id AND ha.var = a
+  JOIN {entropies} AS hg ON hg.trace_id = k.trace_id AND hg.var = g JOIN {entropies} AS he ON he.trace_id = k.trace_id AND he.var = e),
+p AS (SELECT *, 115e-2 * sensor + policy + 12e-1 * control - 11e-1 * blanket + 8e-2 * activity AS score FROM r)
+SELECT trace_id, b, s, a, g, e, sensor, policy, control, blanket, activity, score, row_number() OVER (PARTITION BY trace_id ORDER BY round(score, 9) DESC, b, s, a, g, e) AS place FROM p
 """)
 
 
@@ -90,7 +113,10 @@ SELECT trace_id, role, var, sum(p) AS mass FROM (SELECT trace_id, 'b' AS role, b
   UNION ALL SELECT trace_id, 'g', g, p FROM {posterior} UNION ALL SELECT trace_id, 'e', e, p FROM {posterior}) AS r GROUP BY trace_id, role, var
 """)
 
-#: The next variable to act on: the likeliest action not tried yet. ``tried`` has (trace_id, var).
+#: The next handle to test: of the best candidate its action, sensor or goal, the first not tried; with all tried, the handle of most expected gain. ``tried`` has (trace_id, role, var).
 NEXT_OPERATION = Op("""
-SELECT trace_id, var, mass, mass * (25e-2 + 1 - mass) AS gain FROM (SELECT m.*, row_number() OVER (PARTITION BY m.trace_id ORDER BY m.mass DESC, m.var) AS place FROM {masses} AS m LEFT JOIN {tried} AS t ON t.trace_id = m.trace_id AND t.var = m.var WHERE m.role = 'a' AND t.var IS NULL) AS r WHERE place = 1
+WITH handles AS (SELECT trace_id, 'a' AS role, a AS var, 1 AS turn FROM {posterior} WHERE place = 1 UNION ALL SELECT trace_id, 's', s, 2 FROM {posterior} WHERE place = 1 UNION ALL SELECT trace_id, 'g', g, 3 FROM {posterior} WHERE place = 1),
+o AS (SELECT m.trace_id, m.role, m.var, m.mass, m.mass * (25e-2 + 1 - m.mass) AS gain, coalesce(h.turn, 9) AS turn FROM {masses} AS m LEFT JOIN handles AS h ON h.trace_id = m.trace_id AND h.role = m.role AND h.var = m.var
+  LEFT JOIN {tried} AS t ON t.trace_id = m.trace_id AND t.role = m.role AND t.var = m.var WHERE m.role IN ('a', 's', 'g') AND t.var IS NULL)
+SELECT trace_id, role, var, mass, gain, turn < 9 AS of_best FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY turn, round(gain, 9) DESC, role, var) AS place FROM o) AS r WHERE place = 1
 """)

@@ -36,23 +36,31 @@ SELECT concat(m.trace_id, '|', CAST(k.cluster AS STRING)) AS trace_id, m.t, CASE
 FROM m JOIN k ON k.trace_id = m.trace_id GROUP BY m.trace_id, k.cluster, m.t, CASE WHEN m.cluster = k.cluster THEN 'own' ELSE 'rest' END
 """)
 
-#: Persistence, contingency, richness and size of each cluster from its series' autocorrelation, pair information and entropy.
-PRECURSOR_STATS = Op("""
-SELECT a.trace_id, a.halves AS persistence, m.mi AS contingency, e.nats AS richness, s.n AS size, s.n >= 2 AS passes
-FROM {autocorrelation} AS a JOIN {information} AS m ON m.trace_id = a.trace_id JOIN {entropy} AS e ON e.trace_id = a.trace_id AND e.var = 'own'
-JOIN (SELECT concat(trace_id, '|', CAST(cluster AS STRING)) AS trace_id, count(*) AS n FROM {labels} GROUP BY trace_id, cluster) AS s ON s.trace_id = a.trace_id WHERE a.var = 'own'
-""")
+def precursor_stats(persistence: float = 0.12, contingency: float = 0.015) -> Op:
+    """Persistence, contingency, richness and size of each cluster from its series' autocorrelation, pair information and entropy; passes with two members and both floors."""
+    return Op(f"""
+SELECT a.trace_id, a.paired AS persistence, m.mi AS contingency, e.nats AS richness, s.n AS size, s.n >= 2 AND a.paired >= {persistence:e} AND m.mi >= {contingency:e} AS passes
+FROM {{autocorrelation}} AS a JOIN {{information}} AS m ON m.trace_id = a.trace_id JOIN {{entropy}} AS e ON e.trace_id = a.trace_id AND e.var = 'own'
+JOIN (SELECT concat(trace_id, '|', CAST(cluster AS STRING)) AS trace_id, count(*) AS n FROM {{labels}} GROUP BY trace_id, cluster) AS s ON s.trace_id = a.trace_id WHERE a.var = 'own'""")
+
+
+#: The trace of a cluster's series.
+_TRACE_OF = "regexp_replace(trace_id, '[|][^|]*$', '')"
+
+
+def cluster_rank(by_size: bool = False, within_weight: float = 0.3, tiny: float = 0.25) -> Op:
+    """Clusters of each trace, best first: persistence above 0, contingency and similarity within, times the root of the size if asked; small ones count a part. Less ``penalties`` (trace_id, penalty), of the roles that they lack."""
+    root = " * sqrt(size)" if by_size else ""
+    return Op(f"""
+WITH inside AS (SELECT concat(a.trace_id, '|', CAST(a.cluster AS STRING)) AS trace_id, avg(w) AS within FROM {{labels}} AS a JOIN {{similarity}} AS p ON p.trace_id = a.trace_id AND p.i = a.var JOIN {{labels}} AS b ON b.trace_id = a.trace_id AND b.var = p.j AND b.cluster = a.cluster GROUP BY a.trace_id, a.cluster),
+s AS (SELECT trace_id, (greatest(persistence, CAST(0 AS DOUBLE)) + contingency + {within_weight:e} * coalesce(within, CAST(0 AS DOUBLE))){root} * CASE WHEN size <= 2 THEN {tiny:e} ELSE 1 END - coalesce(penalty, CAST(0 AS DOUBLE)) AS score FROM {{stats}} LEFT JOIN inside USING (trace_id) LEFT JOIN {{penalties}} USING (trace_id))
+SELECT trace_id, score, row_number() OVER (PARTITION BY {_TRACE_OF} ORDER BY round(score, 9) DESC, trace_id) AS place FROM s""")
 
-#: Ranked clusters: persistence above 0, contingency and within-similarity, small ones at a quarter.
-CLUSTER_RANK = Op("""
-WITH inside AS (SELECT concat(a.trace_id, '|', CAST(a.cluster AS STRING)) AS trace_id, avg(w) AS within FROM {labels} AS a JOIN {similarity} AS p ON p.trace_id = a.trace_id AND p.i = a.var JOIN {labels} AS b ON b.trace_id = a.trace_id AND b.var = p.j AND b.cluster = a.cluster GROUP BY a.trace_id, a.cluster),
-s AS (SELECT trace_id, (greatest(persistence, CAST(0 AS DOUBLE)) + contingency + 3e-1 * coalesce(within, CAST(0 AS DOUBLE))) * CASE WHEN size <= 2 THEN 25e-2 ELSE 1 END AS score FROM {stats} LEFT JOIN inside USING (trace_id))
-SELECT trace_id, score, row_number() OVER (ORDER BY score DESC, trace_id) AS place FROM s
-""")
 
-#: Pass rate times mean signal, and a little for every cluster.
-PARTITION_SCORE = Op("""
-SELECT substr(trace_id, 1, 1) AS trace_id, avg(CAST(passes AS INT)) * (avg(CASE WHEN passes THEN contingency ELSE 0 END) + 1e-6) + 2e-2 * count(*) AS score FROM {stats} GROUP BY substr(trace_id, 1, 1)
+#: Pass rate times the mean signal (persistence and contingency) of the clusters that pass, and a little for every cluster.
+PARTITION_SCORE = Op(f"""
+SELECT {_TRACE_OF} AS trace_id, avg(CAST(passes AS INT)) AS pass_rate, coalesce(avg(CASE WHEN passes THEN persistence + contingency END), CAST(0 AS DOUBLE)) AS mean_signal, count(*) AS n,
+  avg(CAST(passes AS INT)) * (coalesce(avg(CASE WHEN passes THEN persistence + contingency END), CAST(0 AS DOUBLE)) + 1e-6) + 2e-2 * count(*) AS score FROM {{stats}} GROUP BY {_TRACE_OF}
 """)
 
 

@@ -115,20 +115,24 @@ cells AS (SELECT concat(s.trace_id, '|', s.var, '|', d.var) AS keys, d.y1 AS x,
 SELECT keys AS pair, cmi AS te FROM cmi""")
 
 
-def turned_transfer(shifts: int = 200, lag: int = 1, alpha: float = 0.1) -> Op:
-    """Transfer entropy into each variable turned by some ticks, from the others as they are: ``shifts`` null samples of each ordered pair.
+def turned_transfer(shifts: int = 200, lag: int = 1, alpha: float = 0.1, both: bool = False) -> Op:
+    """Transfer entropy into each variable turned by some ticks, from the others as they are: ``shifts`` null samples of each ordered pair. With ``both`` also out of it.
 
-    A sample's trace is named trace:shift. The offset is a hash of shift and variable, from lag + 1 to
-    n - lag - 2, so that only the variable's own sequence stays. The series of a trace have the same ticks.
+    A pair's key is trace:shift|source|target|turned. The offset is a hash of trace, shift and variable, from
+    lag + 1 to n - lag - 2, so that only the variable's own sequence stays. The series of a trace have the same ticks.
     """
+    out = """
+  UNION ALL SELECT s.trace_id, s.shift, s.var, d.var, s.var, d.y1, s.x, d.x, count(*) FROM later AS s JOIN plain AS d ON d.trace_id = s.trace_id AND d.t = s.t WHERE s.var <> d.var AND d.y1 IS NOT NULL GROUP BY s.trace_id, s.shift, s.var, d.var, d.y1, s.x, d.x"""
     return Op(f"""
 WITH span AS (SELECT trace_id, min(t) AS lo, max(t) - min(t) + 1 AS n FROM {{binary}} GROUP BY trace_id),
-b AS (SELECT trace_id, t, var, x, SEQ(1, {shifts}) AS shift FROM {{binary}}),
-turned AS (SELECT b.trace_id, b.var, b.x, b.shift, lo + (b.t - lo + {lag + 1} + (b.shift * 2654435761 + length(b.var) * 40503 + ascii(b.var) * 97) % 2147483647 % greatest(n - {2 * lag + 2}, 1)) % n AS t FROM b JOIN span ON span.trace_id = b.trace_id),
+o AS (SELECT trace_id, var, lo, n, shift, {lag + 1} + HASHNO(concat(CAST(trace_id AS STRING), '|', var, '|', CAST(shift AS STRING))) % greatest(n - {2 * lag + 2}, 1) AS turn
+  FROM (SELECT v.trace_id, v.var, lo, n, SEQ(1, {shifts}) AS shift FROM (SELECT DISTINCT trace_id, var FROM {{binary}}) AS v JOIN span ON span.trace_id = v.trace_id) AS e),
+turned AS (SELECT b.trace_id, b.var, b.x, o.shift, lo + (b.t - lo + turn) % n AS t FROM {{binary}} AS b JOIN o ON o.trace_id = b.trace_id AND o.var = b.var),
 later AS (SELECT *, lead(x, {lag}) OVER (PARTITION BY trace_id, var, shift ORDER BY t) AS y1 FROM turned),
-counted AS (SELECT d.trace_id, d.shift, s.var AS src, d.var AS dst, d.y1 AS x, s.x AS y, d.x AS z, count(*) AS n FROM {{binary}} AS s JOIN later AS d ON d.trace_id = s.trace_id AND d.t = s.t
-  WHERE s.var <> d.var AND d.y1 IS NOT NULL GROUP BY d.trace_id, d.shift, s.var, d.var, d.y1, s.x, d.x),
-cells AS (SELECT concat(trace_id, ':', CAST(shift AS STRING), '|', src, '|', dst) AS keys, x, y, z, n FROM counted),
+plain AS (SELECT trace_id, t, var, x, lead(x, {lag}) OVER (PARTITION BY trace_id, var ORDER BY t) AS y1 FROM {{binary}}),
+counted AS (SELECT d.trace_id, d.shift, s.var AS src, d.var AS dst, d.var AS of, d.y1 AS x, s.x AS y, d.x AS z, count(*) AS n FROM plain AS s JOIN later AS d ON d.trace_id = s.trace_id AND d.t = s.t
+  WHERE s.var <> d.var AND d.y1 IS NOT NULL GROUP BY d.trace_id, d.shift, s.var, d.var, d.y1, s.x, d.x{out if both else ''}),
+cells AS (SELECT concat(trace_id, ':', CAST(shift AS STRING), '|', src, '|', dst, '|', of) AS keys, x, y, z, n FROM counted),
 {_entropy_terms(alpha)}
 SELECT keys AS pair, cmi AS te FROM cmi""")
 
@@ -150,11 +154,11 @@ def _prefix(c: str, length: int) -> str:
 #: Correlation of each pair at lag 1, the larger of both directions; 0 for a variable with itself.
 LAGGED_CORRELATION = Op("""
 WITH n AS (SELECT trace_id, t, var, value, lead(value) OVER (PARTITION BY trace_id, var ORDER BY t) AS later FROM {trace}),
-c AS (SELECT a.trace_id, a.var AS i, b.var AS j, coalesce(corr(a.value, b.later), CAST(0 AS DOUBLE)) AS r FROM n AS a JOIN n AS b ON b.trace_id = a.trace_id AND b.t = a.t WHERE a.var <> b.var GROUP BY a.trace_id, a.var, b.var)
+c AS (SELECT a.trace_id, a.var AS i, b.var AS j, coalesce(CORR(a.value, b.later), CAST(0 AS DOUBLE)) AS r FROM n AS a JOIN n AS b ON b.trace_id = a.trace_id AND b.t = a.t WHERE a.var <> b.var GROUP BY a.trace_id, a.var, b.var)
 SELECT trace_id, least(i, j) AS i, greatest(i, j) AS j, max(abs(r)) AS w FROM c GROUP BY trace_id, least(i, j), greatest(i, j)
 """)
 
-#: corr(past of i, future of j) with 1e-12 added to the deviations.
+#: Correlation (past of i, future of j) with 1e-12 added to the deviations.
 CROSS_CORRELATION = Op("""
 WITH n AS (SELECT trace_id, t, var, value, lead(value) OVER (PARTITION BY trace_id, var ORDER BY t) AS later FROM {trace})
 SELECT a.trace_id, a.var AS past, b.var AS future, covar_pop(a.value, b.later) / ((stddev_pop(a.value) + 1e-12) * (stddev_pop(b.later) + 1e-12)) AS r
@@ -163,7 +167,7 @@ FROM n AS a JOIN n AS b ON b.trace_id = a.trace_id AND b.t = a.t WHERE b.later I
 
 #: Gaussian I(x; y | z) of each pair given a third variable: -ln(1 - r**2) / 2 with the partial correlation r.
 SCALAR_GAUSSIAN_CMI = Op("""
-WITH c AS (SELECT a.trace_id, a.var AS i, b.var AS j, corr(a.value, b.value) AS r FROM {trace} AS a JOIN {trace} AS b ON b.trace_id = a.trace_id AND b.t = a.t WHERE a.var <> b.var GROUP BY a.trace_id, a.var, b.var),
+WITH c AS (SELECT a.trace_id, a.var AS i, b.var AS j, CORR(a.value, b.value) AS r FROM {trace} AS a JOIN {trace} AS b ON b.trace_id = a.trace_id AND b.t = a.t WHERE a.var <> b.var GROUP BY a.trace_id, a.var, b.var),
 p AS (SELECT ij.trace_id, ij.i, ij.j, ik.j AS given, (ij.r - ik.r * jk.r) / sqrt((1 - ik.r * ik.r) * (1 - jk.r * jk.r)) AS r FROM c AS ij JOIN c AS ik ON ik.trace_id = ij.trace_id AND ik.i = ij.i AND ik.j <> ij.j JOIN c AS jk ON jk.trace_id = ij.trace_id AND jk.i = ij.j AND jk.j = ik.j WHERE ij.i < ij.j)
 SELECT trace_id, i, j, given, greatest(CAST(0 AS DOUBLE), -5e-1 * ln(1 - r * r)) AS cmi FROM p
 """)
@@ -172,7 +176,7 @@ SELECT trace_id, i, j, given, greatest(CAST(0 AS DOUBLE), -5e-1 * ln(1 - r * r))
 ROLE_LAG_MATRIX = Op("""
 WITH m AS (SELECT trace_id, agent, role, t, avg(value) AS v FROM {trace} JOIN {variables} USING (var) GROUP BY trace_id, agent, role, t),
 n AS (SELECT *, lead(v) OVER (PARTITION BY trace_id, agent, role ORDER BY t) AS later FROM m)
-SELECT a.trace_id, a.agent AS source_agent, a.role AS source_role, b.agent AS target_agent, b.role AS target_role, corr(a.v, b.later) AS r
+SELECT a.trace_id, a.agent AS source_agent, a.role AS source_role, b.agent AS target_agent, b.role AS target_role, CORR(a.v, b.later) AS r
 FROM n AS a JOIN n AS b ON b.trace_id = a.trace_id AND b.t = a.t WHERE a.role = 'action' AND b.role = 'sensor' GROUP BY a.trace_id, a.agent, a.role, b.agent, b.role
 """)
 

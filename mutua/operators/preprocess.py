@@ -59,15 +59,15 @@ w AS (SELECT trace_id, clock, k,
 SELECT w.trace_id, w.k AS t, w.clock, CASE WHEN clock1 IS NULL OR clock0 = clock1 THEN a.value ELSE a.value + (b2.value - a.value) * (w.clock - clock0) / (clock1 - clock0) END AS value
 FROM w JOIN s AS a ON a.trace_id = w.trace_id AND a.clock = w.clock0 LEFT JOIN s AS b2 ON b2.trace_id = w.trace_id AND b2.clock = w.clock1 WHERE w.k IS NOT NULL
 UNION ALL
-SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY clock) - 1, clock, value FROM s WHERE trace_id NOT IN (SELECT trace_id FROM b)
+SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY clock) - 1, clock, value FROM s WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.trace_id = s.trace_id)
 """)
 
-#: Both definitions: over the whole sum of squares, and normalised by both halves.
+#: Three definitions: over the whole sum of squares, as the correlation of both halves, and around the whole mean normalised by both halves.
 LAG1_AUTOCORRELATION = Op(f"""
 WITH c AS (SELECT trace_id, var, t, value - avg(value) OVER (PARTITION BY trace_id, var) AS x FROM {{trace}}),
 p AS (SELECT trace_id, var, x, lag(x) OVER ({SERIES}) AS x0, value0, value1 FROM (SELECT c.*, r.value AS value1, lag(r.value) OVER (PARTITION BY trace_id, var ORDER BY t) AS value0 FROM c JOIN {{trace}} AS r USING (trace_id, var, t)) AS j),
-h AS (SELECT trace_id, var, sum(x * x0) AS cross_sum, sum(x * x) AS squares, count(*) AS n, corr(value1, value0) AS r FROM p GROUP BY trace_id, var)
-SELECT trace_id, var, CASE WHEN squares > 0 THEN cross_sum / squares ELSE 0 END AS whole, CASE WHEN n < 3 THEN 0 ELSE coalesce(r, 0) END AS halves FROM h
+h AS (SELECT trace_id, var, sum(x * x0) AS cross_sum, sum(x * x) AS squares, sum(x0 * x0) AS early, sum(CASE WHEN x0 IS NOT NULL THEN x * x END) AS late, count(*) AS n, CORR(value1, value0) AS r FROM p GROUP BY trace_id, var)
+SELECT trace_id, var, CASE WHEN squares > 0 THEN cross_sum / squares ELSE 0 END AS whole, CASE WHEN n < 3 THEN 0 ELSE coalesce(r, 0) END AS halves, CASE WHEN n >= 3 AND early * late >= 1e-24 THEN cross_sum / sqrt(early * late) ELSE 0 END AS paired FROM h
 """)
 
 

@@ -49,12 +49,15 @@ SELECT k.trace_id, k.cluster, CASE WHEN k.n = 1 THEN NULL WHEN n_internal = 0 OR
 FROM k JOIN vars ON vars.trace_id = k.trace_id LEFT JOIN cmi ON cmi.keys = concat(k.trace_id, '|', CAST(k.cluster AS STRING))""")
 
 
-#: A cluster looks like an agent when it has every role; the score counts the roles it has.
-ROLE_SIGNATURE = Op("""
+#: Weights of the roles that a cluster lacks.
+PENALTIES = {"A": 0.85, "S": 0.35, "I": 0.15}
+
+#: A cluster looks like an agent when it has every role (strict gate), or an action at least; the penalty is the sum of the weights of the roles that it lacks.
+ROLE_SIGNATURE = Op(f"""
 SELECT trace_id, cluster, count_if(role = 'S') AS n_sensors, count_if(role = 'A') AS n_actions, count_if(role = 'I') AS n_internal,
-  count_if(role = 'S') > 0 AND count_if(role = 'A') > 0 AS passes_soft, count_if(role = 'S') > 0 AND count_if(role = 'A') > 0 AND count_if(role = 'I') > 0 AS passes_strict,
-  (CASE WHEN count_if(role = 'S') = 0 THEN 1 ELSE 0 END + CASE WHEN count_if(role = 'A') = 0 THEN 1 ELSE 0 END + CASE WHEN count_if(role = 'I') = 0 THEN 1 ELSE 0 END) / CAST(3 AS DOUBLE) AS penalty
-FROM {roles} GROUP BY trace_id, cluster
+  count_if(role = 'S') > 0 AND count_if(role = 'A') > 0 AND count_if(role = 'I') > 0 AS passes_strict, count_if(role = 'A') > 0 AS passes_actions_only,
+  {' + '.join(f"CASE WHEN count_if(role = '{r}') = 0 THEN {w:e} ELSE 0 END" for r, w in PENALTIES.items())} AS penalty
+FROM {{roles}} GROUP BY trace_id, cluster
 """)
 
 #: Share of clusters that pass at each threshold; a null violation passes.

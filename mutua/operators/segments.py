@@ -22,15 +22,25 @@ a AS (SELECT trace_id, min(t) AS start_t, max(t) + 1 AS end_t FROM r WHERE activ
 SELECT trace_id, start_t, end_t FROM w UNION SELECT a.trace_id, start_t, least(greatest(end_t, start_t + {width}), n) FROM a JOIN n ON n.trace_id = a.trace_id""")
 
 
-#: Window length T / 6 between 80 and 300, step and least run from it, and the spread of activity (null without a median).
+#: Window length T / 6 between 80 and 300, step and least run from it, and the coefficient of the activity threshold: smaller for sparse activity, null (no mask) for constant activity.
 SEGMENT_PARAMETERS = Op("""
-WITH s AS (SELECT trace_id, count(*) AS n, PCT(value, 0.5) AS mid, stddev_pop(value) AS sd, avg(value) AS mean FROM {activity} GROUP BY trace_id)
-SELECT trace_id, CAST(least(300, greatest(80, DIV(n, 6))) AS INT) AS width, CAST(greatest(1, DIV(least(300, greatest(80, DIV(n, 6))), 2)) AS INT) AS step, CAST(greatest(4, DIV(least(300, greatest(80, DIV(n, 6))), 20)) AS INT) AS least_run,
-  CASE WHEN sd > 0 THEN mid + 5e-1 * sd END AS threshold FROM s
+WITH m AS (SELECT trace_id, PCT(value, 0.5) AS mid FROM {activity} GROUP BY trace_id),
+s AS (SELECT trace_id, count(*) AS n, avg(abs(value)) AS size, stddev_pop(value) AS sd, avg(CASE WHEN value > mid THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS share FROM {activity} JOIN m USING (trace_id) GROUP BY trace_id),
+w AS (SELECT *, least(300, greatest(80, DIV(n, 6))) AS width FROM s)
+SELECT trace_id, CAST(width AS INT) AS width, CAST(greatest(DIV(width, 2), 20) AS INT) AS step, CAST(greatest(40, least(DIV(width, 2), 120)) AS INT) AS least_run,
+  CASE WHEN size >= 1e-6 AND sd / (size + 1e-6) >= 8e-2 THEN 15e-2 + 45e-2 * (1 - share) END AS coefficient FROM w
 """)
 
-#: Share of active ticks and whether to segment: active at times, but not mostly.
-SHOULD_SEGMENT = Op("SELECT trace_id, avg(CAST(active AS INT)) AS share, avg(CAST(active AS INT)) BETWEEN 2e-2 AND 6e-1 AS segment FROM {mask} GROUP BY trace_id")
+
+def should_segment(ticks: int = 250, least_share: float = 0.22, middle_share: float = 0.40) -> Op:
+    """Whether a long trace has a clearly sparse agent and low activity in the middle. ``activity`` has (trace_id, agent, t, value).
+
+    An agent is active above its median and a quarter deviation; always where its activity is constant, never where it is none.
+    """
+    return Op(f"""
+WITH m AS (SELECT trace_id, agent, PCT(value, 0.5) AS mid, avg(abs(value)) AS size, stddev_pop(value) AS sd, count(*) AS n FROM {{activity}} GROUP BY trace_id, agent),
+a AS (SELECT trace_id, agent, max(n) AS n, CASE WHEN max(size) < 1e-6 THEN CAST(0 AS DOUBLE) WHEN max(sd) / (max(size) + 1e-6) < 8e-2 THEN CAST(1 AS DOUBLE) ELSE avg(CASE WHEN value > mid + 25e-2 * sd THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) END AS share FROM {{activity}} JOIN m USING (trace_id, agent) GROUP BY trace_id, agent)
+SELECT trace_id, min(share) AS least_share, PCT(share, 0.5) AS middle_share, max(n) >= {ticks} AND min(share) < {least_share:e} AND PCT(share, 0.5) < {middle_share:e} AS segment FROM a GROUP BY trace_id""")
 
 
 def episode_mask(period: int = 80, length: int = 12) -> Op:

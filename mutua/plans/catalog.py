@@ -44,7 +44,7 @@ put("zscore", prep.ZSCORE, "z", trace="hourly")
 put("first_difference", prep.FIRST_DIFFERENCE, "value", trace="hourly")
 put("whitened", prep.PREPROCESS, "w", trace="hourly")
 put("resample_uniform", prep.RESAMPLE_UNIFORM, "clock value", samples="user_samples")
-put("lag1_autocorrelation", prep.LAG1_AUTOCORRELATION, "whole halves", trace="hourly")
+put("lag1_autocorrelation", prep.LAG1_AUTOCORRELATION, "whole halves paired", trace="hourly")
 put("edge_shift", prep.edge_shift(2), trace="hourly")
 put("edge_shift_back", prep.edge_shift(-3), trace="hourly")
 put("active_rows", prep.ACTIVE_ROWS, trace="hourly", mask="hour_mask")
@@ -85,7 +85,7 @@ _alias("series_bins", "cluster_series", prep.quantile_bins(4))
 _alias("series_auto", "cluster_series", prep.LAG1_AUTOCORRELATION)
 _alias("series_mi", "series_bins", info.lag_max_mi(3), "bins", cut=True)
 _alias("series_entropy", "series_bins", info.ENTROPY, "bins")
-add_view("precursors", Op(grouping.PRECURSOR_STATS.text.replace("{autocorrelation}", "{series_auto}").replace("{information}", "{series_mi}").replace("{entropy}", "{series_entropy}").replace("{labels}", "{clusters}")), "series_auto", "series_mi", "series_entropy", "clusters")
+add_view("precursors", Op(grouping.precursor_stats().text.replace("{autocorrelation}", "{series_auto}").replace("{information}", "{series_mi}").replace("{entropy}", "{series_entropy}").replace("{labels}", "{clusters}")), "series_auto", "series_mi", "series_entropy", "clusters")
 add_view("chunks", Op("SELECT trace_id, k AS chunk, var FROM {cuts} WHERE cluster = 0"), "cuts")
 add_view("bought", Op("SELECT DISTINCT o_custkey AS owner, l_partkey AS item FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey"), "orders", "lineitem")
 add_view("supplied", Op("SELECT DISTINCT l_suppkey AS owner, l_partkey AS item FROM {lineitem}"), "lineitem")
@@ -95,12 +95,17 @@ add_view("binary_bins", Op("SELECT trace_id, t, var, x AS bin FROM {binary}"), "
 add_view("role_table", Op(roles.classify_roles().text.replace("{bins}", "{hour_bins}").replace("{labels}", "{clusters}")), "hour_bins", "clusters", cut=True)
 add_view("blanket", Op(roles.blanket_test().text.replace("{states}", "{binary_bins}").replace("{roles}", "{role_table}")), "binary_bins", "role_table", cut=True)
 
+_alias("signatures", "role_table", roles.ROLE_SIGNATURE, "roles")
+add_view("role_penalties", Op("SELECT concat(trace_id, '|', CAST(cluster AS STRING)) AS trace_id, penalty FROM {signatures}"), "signatures")
+add_view("no_penalties", Op("SELECT trace_id, penalty FROM {role_penalties} WHERE false"), "role_penalties")
+
 put("weak_members", grouping.weak_members(), "mean_w cluster_mean", similarity="hour_sim", labels="clusters")
 put("mdl_score", grouping.mdl_score(), "within score", "k", cuts="cuts", similarity="hour_sim")
 put("cluster_series", grouping.CLUSTER_SERIES, "value", trace="hourly", labels="clusters")
-put("precursor_stats", grouping.PRECURSOR_STATS, "persistence contingency richness", "size", autocorrelation="series_auto", information="series_mi", entropy="series_entropy", labels="clusters")
-put("cluster_rank", grouping.CLUSTER_RANK, "score", "place", labels="clusters", similarity="hour_sim", stats="precursors")
-put("partition_score", grouping.PARTITION_SCORE, "score", stats="precursors")
+put("precursor_stats", grouping.precursor_stats(), "persistence contingency richness", "size", autocorrelation="series_auto", information="series_mi", entropy="series_entropy", labels="clusters")
+put("cluster_rank", grouping.cluster_rank(), "score", "place", labels="clusters", similarity="hour_sim", stats="precursors", penalties="role_penalties")
+put("cluster_rank_by_size", grouping.cluster_rank(by_size=True), "score", "place", labels="clusters", similarity="hour_sim", stats="precursors", penalties="no_penalties")
+put("partition_score", grouping.PARTITION_SCORE, "pass_rate mean_signal score", "n", stats="precursors")
 put("fusion_edges", grouping.fusion_edges(), "weight", "pairs a b", chunks="chunks", similarity="hour_sim")
 put("purity_match", grouping.PURITY_MATCH, "recall extra", found="bought", known="supplied")
 put("cluster_kind", grouping.CLUSTER_KIND, "", "size n_agent n_world", labels="clusters", variables="roles")
@@ -123,23 +128,25 @@ add_view("flows", Op(directed.PAIRWISE_SCORES.text.replace("{variables}", "{role
 SHIFTS = 200
 _alias("turned_transfer", "binary", info.turned_transfer(SHIFTS), "binary", cut=True)
 add_view("candidate_table", directed.ROLE_CANDIDATES, "binary")
-_alias("binary_sync_bins", "binary", Op("SELECT trace_id, t, var, x AS bin FROM {binary}"), "binary")
-_alias("binary_sync", "binary_sync_bins", info.SYNC_MI, "bins", cut=True)
-_alias("rates", "binary", info.CHANGE_RATE, "binary")
-add_view("scored", Op(directed.PASSIVE_SCORE.text.replace("{sync}", "{binary_sync}").replace("{candidates}", "{candidate_table}")), "binary_sync", "transfer", "candidate_table", "rates", cut=True)
+_alias("loop_observations", "binary", directed.LOOP_OBSERVATIONS, "binary")
+_alias("loop_terms", "loop_observations", info.PLUGIN_CMI, "observed", cut=True)
+add_view("later_bins", Op("SELECT trace_id, t, var, x AS bin FROM (SELECT *, lead(x) OVER (PARTITION BY trace_id, var ORDER BY t) AS x1 FROM {binary}) AS n WHERE x1 IS NOT NULL"), "binary")
+_alias("later_entropies", "later_bins", info.ENTROPY, "bins")
+add_view("scored", Op(directed.PASSIVE_SCORE.text.replace("{terms}", "{loop_terms}").replace("{candidates}", "{candidate_table}").replace("{entropies}", "{later_entropies}")), "loop_terms", "candidate_table", "later_entropies", cut=True)
 _alias("posterior", "scored", directed.posterior(), "scored", cut=True)
 _alias("masses", "posterior", directed.ROLE_MASS, "posterior")
-add_view("tried", Op("SELECT trace_id, min(var) AS var FROM {binary} GROUP BY trace_id"), "binary")
+#: One trace has tried all handles of its best candidate, others only its action or nothing.
+add_view("tried", Op("SELECT trace_id, 'a' AS role, a AS var FROM {posterior} WHERE place = 1 AND trace_id <> '0' UNION ALL SELECT trace_id, 's', s FROM {posterior} WHERE place = 1 AND trace_id IN ('2', '3') UNION ALL SELECT trace_id, 'g', g FROM {posterior} WHERE place = 1 AND trace_id = '3'"), "posterior")
 
 put("pairwise_scores", directed.PAIRWISE_SCORES, "push_in out_sys out_env polarity total_flow", transfer="transfer", variables="roles")
 put("fused_scores", directed.fused_scores(), "push_in push_out", binary="binary")
 put("best_key_scores", directed.best_key_scores(), "plain best", binary="binary")
 put("changes_within", directed.changes_within(), "rate rate_after_one", binary="binary")
 put("role_candidates", directed.ROLE_CANDIDATES, binary="binary")
-put("passive_score", directed.PASSIVE_SCORE, "score", "place", sync="binary_sync", transfer="transfer", candidates="candidate_table", rates="rates")
+put("passive_score", directed.PASSIVE_SCORE, "sensor policy control blanket activity score", "place", terms="loop_terms", candidates="candidate_table", entropies="later_entropies")
 put("posterior", directed.posterior(), "p", "place", scored="scored")
 put("role_mass", directed.ROLE_MASS, "mass", posterior="posterior")
-put("next_operation", directed.NEXT_OPERATION, "mass gain", masses="masses", tried="tried")
+put("next_operation", directed.NEXT_OPERATION, "mass gain", posterior="posterior", masses="masses", tried="tried")
 
 # ---- influence, nulls, segments and metrics
 from mutua.operators import influence, metrics, segments  # noqa: E402
@@ -148,11 +155,24 @@ add_view("series", Op("SELECT trace_id, t, max(CASE WHEN var = 'click' THEN valu
 add_view("points", Op("SELECT trace_id AS grp, t AS k, action AS y, control AS x FROM {series}"), "series")
 _alias("influences", "series", influence.partial_influence(), "series")
 _alias("odds", "series", influence.ODDS_RATIO, "series")
+_alias("odds_bounds", "series", influence.bootstrap_odds(), "series")
+add_view("agent_activity", Op("SELECT trace_id, var AS agent, t, value FROM {hourly}"), "hourly")
 add_view("error_scores", Op("SELECT trace_id % 7 AS grp, round(value) AS score, event_type = 'error' AS label FROM {users}"), "users")
 add_view("steps", Op("SELECT trace_id AS grp, t AS k, event_type AS state FROM {users}"), "users")
 #: Rounded, as the observed flow is, so that equal scores are equal whatever the order of their sums.
 add_view("null_samples", Op("SELECT split_part(sample, ':', 1) AS trace_id, var, round(sum(te), 12) AS score FROM (SELECT split_part(pair, '|', 1) AS sample, split_part(pair, '|', 3) AS var, te FROM {turned_transfer}) AS p GROUP BY sample, var"), "turned_transfer", cut=True)
-_alias("floors", "null_samples", influence.NULL_FLOORS, "samples")
+_alias("turned_both", "binary", info.turned_transfer(SHIFTS, both=True), "binary", cut=True)
+#: What each turned variable takes in, sends to the system, and both with what it sends to the environment.
+add_view(
+    "turned_flows",
+    Op("""SELECT trace_id, var, name, round(CASE WHEN name = 'push_in' THEN flow WHEN name = 'out_sys' THEN sys ELSE flow + sys + env END, 12) AS score FROM (
+  SELECT trace_id, var, sample, sum(CASE WHEN dst = var THEN te ELSE 0 END) AS flow, sum(CASE WHEN src = var AND agent >= 0 THEN te ELSE 0 END) AS sys, sum(CASE WHEN src = var AND agent < 0 THEN te ELSE 0 END) AS env
+  FROM (SELECT split_part(split_part(pair, '|', 1), ':', 1) AS trace_id, split_part(pair, '|', 1) AS sample, split_part(pair, '|', 2) AS src, split_part(pair, '|', 3) AS dst, split_part(pair, '|', 4) AS var, te FROM {turned_both}) AS p
+  JOIN (SELECT var AS target, agent FROM {roles}) AS r ON r.target = p.dst GROUP BY trace_id, var, sample) AS s
+  JOIN (SELECT 'push_in' AS name UNION ALL SELECT 'out_sys' UNION ALL SELECT 'total_flow') AS k ON true"""),
+    "turned_both", "roles", cut=True,
+)
+add_view("floors", Op("SELECT trace_id, var, name, PCT(score, 0.95) AS p95, avg(score) AS mean, stddev_pop(score) AS sd FROM {turned_flows} GROUP BY trace_id, var, name"), "turned_flows")
 add_view("observed_flow", Op("SELECT trace_id, var, round(push_in, 12) AS score FROM {flows}"), "flows", cut=True)
 add_view("busy", Op("SELECT trace_id, t, sum(value) >= 2 AS active FROM {hourly} GROUP BY trace_id, t"), "hourly")
 add_view("activity", Op("SELECT trace_id, t, sum(value) AS value FROM {hourly} GROUP BY trace_id, t"), "hourly")
@@ -166,14 +186,14 @@ add_view("flow_tests", Op("SELECT var AS grp, p, z FROM {flow_p}"), "flow_p")
 add_view("flow_p", Op(influence.NULL_P_VALUE.text.replace("{observed}", "{observed_flow}").replace("{samples}", "{null_samples}")), "observed_flow", "null_samples")
 add_view("cube_rows", Op("SELECT l_returnflag AS a, l_linestatus AS b, l_quantity AS v FROM {lineitem}"), "lineitem")
 add_view("records", Op("SELECT user_id AS id, event_id AS arrival, event_type AS payload FROM {events}"), "events")
-add_view("flags", Op(directed.SIGNATURE_FLAGS.text.replace("{scores}", "{flows}")), "flows", "floors")
+add_view("flags", Op(directed.signature_flags().text.replace("{scores}", "{flows}")), "flows", "floors")
 
 put("residuals", influence.RESIDUALS, "residual", points="points")
 put("partial_influence", influence.partial_influence(), "influence", "n", series="series")
 put("odds_ratio", influence.ODDS_RATIO, "odds selectivity", series="series")
 put("bootstrap_odds", influence.bootstrap_odds(), "low middle", "n", series="series")
-put("influence_flag", influence.INFLUENCE_FLAG, "influence odds combined", influence="influences", odds="odds")
-put("regulation", influence.REGULATION, "flatness active compensation regulation", series="series")
+put("influence_flag", influence.INFLUENCE_FLAG, "influence odds low selectivity combined", influence="influences", odds="odds", bootstrap="odds_bounds")
+put("regulation", influence.REGULATION, "flatness ratio compensation regulation", series="series")
 put("auroc", influence.AUROC, "auroc", scored="error_scores")
 put("circular_shift", influence.circular_shift(), "", "perm t", trace="hourly")
 put("scramble", influence.scramble(), "", "t", trace="hourly")
@@ -181,12 +201,13 @@ put("transition_matrix", influence.TRANSITION_MATRIX, "p", "n", steps="steps")
 put("null_floors", influence.NULL_FLOORS, "p95 p995 mean sd", "n", samples="null_samples")
 put("pooled_floors", influence.POOLED_FLOORS, "p95 p995 mean sd", "n", samples="null_samples")
 put("null_p_value", influence.NULL_P_VALUE, "p z", observed="observed_flow", samples="null_samples")
-put("signature_flags", directed.SIGNATURE_FLAGS, "net_in net_out z", scores="flows", floors="floors")
+put("signature_flags", directed.signature_flags(), "net_in net_out", scores="flows", floors="floors")
+put("signature_flags_with_margin", directed.signature_flags(least_z=2.0), "net_in net_out", scores="flows", floors="floors")
 put("scramble_verdict", directed.SCRAMBLE_VERDICT, "bound", "n n_drives", flags="flags")
 put("active_runs", segments.active_runs(), "", "n", mask="busy")
 put("sliding_segments", segments.sliding_segments(120, 60), mask="busy")
-put("segment_parameters", segments.SEGMENT_PARAMETERS, "threshold", activity="activity")
-put("should_segment", segments.SHOULD_SEGMENT, "share", mask="busy")
+put("segment_parameters", segments.SEGMENT_PARAMETERS, "coefficient", activity="activity")
+put("should_segment", segments.should_segment(), "least_share middle_share", activity="agent_activity")
 put("episode_mask", segments.episode_mask(), agents="agents")
 put("window_majority", segments.window_majority(), binary="binary")
 put("winner_persistence", segments.WINNER_PERSISTENCE, "stays", "n", trace="hourly")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mutua.sources.views import view, view_sql
+from mutua.sources.views import one_query, view, view_sql
 from mutua.sqltext import Op
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,11 +18,22 @@ _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
 
 
+def _scoped(query: Query) -> Query:
+    """``query`` with each of its views built once."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with one_query():
+            return query(spark, sf_dir)
+
+    return run
+
+
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register the decorated function under ``name``."""
 
     def put(query: Query) -> Query:
-        _QUERIES[name] = query
+        _QUERIES[name] = _scoped(query)
         if sql is not None:
             _ORACLE[name] = sql
         return query
@@ -39,7 +51,7 @@ def put(name: str, op: Op, floats: str = "", ints: str = "", **inputs: str) -> N
 
     replaced = [f"round(CAST({c} AS DOUBLE), {DIGITS}) + 0.0 AS {c}" for c in floats.split()] + [f"CAST({c} AS BIGINT) AS {c}" for c in ints.split()]
     inner = op.duckdb(**{k: view_sql(v) for k, v in inputs.items()})
-    _QUERIES[name] = query
+    _QUERIES[name] = _scoped(query)
     _ORACLE[name] = f"SELECT * {'REPLACE (' + ', '.join(replaced) + ')' if replaced else ''} FROM ({inner}) AS q"
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 
 from mutua.sqltext import Op
@@ -36,23 +40,11 @@ USERS = Op("""
 SELECT user_id AS trace_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, event_id, ts, event_type, value, props FROM {events}
 """)
 
-#: Each user's daily counts and errors.
-DAILY = Op("""
-SELECT user_id AS trace_id, CAST(DAYNO(ts, 2024-01-01) AS BIGINT) AS t, CAST(count(*) AS DOUBLE) AS n, sum(value) AS total,
-       CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS DOUBLE) AS errors
-FROM {events} GROUP BY user_id, DAYNO(ts, 2024-01-01)
-""")
-
-#: The parts of each supplier.
-PART_SETS = Op("""SELECT l_suppkey AS owner, SETOF(l_partkey) AS items FROM {lineitem} GROUP BY l_suppkey""")
-
 _VIEWS: dict[str, tuple[Op, tuple[str, ...]]] = {
     "hourly": (HOURLY, ("events",)),
     "shipped": (SHIPPED, ("lineitem",)),
     "binary": (BINARY, ("hourly",)),
     "users": (USERS, ("events",)),
-    "daily": (DAILY, ("events",)),
-    "part_sets": (PART_SETS, ("lineitem",)),
 }
 
 
@@ -61,13 +53,34 @@ _VIEWS: dict[str, tuple[Op, tuple[str, ...]]] = {
 _CUT = {"hourly", "shipped", "binary"}
 
 
+#: Views already built for the query at hand, by folder and name.
+_BUILT: ContextVar[dict[tuple[str, str], DataFrame] | None] = ContextVar("built", default=None)
+
+
+@contextmanager
+def one_query() -> Iterator[None]:
+    """Within it, each view of a folder is built, and written where it is cut, once."""
+    token = _BUILT.set({})
+    try:
+        yield
+    finally:
+        _BUILT.reset(token)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view, or a table of the folder."""
-    if name not in _VIEWS:
-        return table(spark, sf_dir, name)
-    op, inputs = _VIEWS[name]
-    found = op(**{k: view(spark, sf_dir, k) for k in inputs})
-    return materialise(found, name) if name in _CUT else found
+    built = _BUILT.get()
+    if built is None:
+        with one_query():
+            return view(spark, sf_dir, name)
+    if (sf_dir, name) not in built:
+        if name not in _VIEWS:
+            found = table(spark, sf_dir, name)
+        else:
+            op, inputs = _VIEWS[name]
+            found = op(**{k: view(spark, sf_dir, k) for k in inputs})
+        built[sf_dir, name] = materialise(found, name) if name in _CUT else found
+    return built[sf_dir, name]
 
 
 def view_sql(name: str) -> str:

@@ -83,23 +83,6 @@ def test_transfer_entropy_has_a_direction(spark):
     assert math.isclose(scores["x"].out_env, te["a|x|y"]) and math.isclose(scores["y"].push_in, te["a|x|y"])
 
 
-def test_turned_transfer_matches_numpy(spark):
-    rng = np.random.default_rng(12)
-    x = rng.integers(0, 2, 60)
-    series = {"click": x, "error": np.concatenate([[0], x[:-1]])}  # names of one length, coupled
-    binary = _trace(spark, series).selectExpr("trace_id", "t + 7 AS t", "var", "cast(value as int) as x")
-    got = {r.pair: r.te for r in information.turned_transfer(30)(binary=binary).collect()}
-    assert len(got) == 60
-    for shift in range(1, 31):
-        for src, dst in (("click", "error"), ("error", "click")):
-            offset = 2 + (shift * 2654435761 + 5 * 40503 + ord(dst[0]) * 97) % 2147483647 % 56
-            d = np.roll(series[dst], offset)
-            assert math.isclose(got[f"a:{shift}|{src}|{dst}"], max(0, _dense_cmi(d[1:], series[src][:-1], d[:-1], 0.1)), rel_tol=1e-9, abs_tol=1e-12)
-    assert np.mean([te for pair, te in got.items() if pair.endswith("error")]) < 0.1
-    real = {r.pair: r.te for r in information.transfer_entropy()(binary=binary).collect()}
-    assert real["a|click|error"] > 0.4
-
-
 def test_preparation(spark):
     trace = _trace(spark, {"x": [1, 2, 4, 7], "c": [5, 5, 5, 5]})
     assert [r.var for r in preprocess.ACTIVE(trace=trace).collect()] == ["x"]
