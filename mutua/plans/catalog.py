@@ -232,6 +232,50 @@ put("dot_lines", metrics.DOT_LINES, similarity="hour_sim")
 put("widen", metrics.widen(["click", "view", "error"]), trace="hourly")
 put("pad_aligned", metrics.PAD_ALIGNED, "value", "t", trace="hourly")
 
+# ---- small relational operators
+from mutua.operators import relational  # noqa: E402
+
+add_view("alias_names", Op("SELECT DISTINCT event_type AS var FROM {events} WHERE event_type LIKE '%p'"), "events")
+add_view("agent_list", Op("SELECT trace_id, var, row_number() OVER (PARTITION BY trace_id ORDER BY var) AS place FROM (SELECT DISTINCT trace_id, var FROM {hourly}) AS v JOIN {roles} USING (var) WHERE role = 'sensor'"), "hourly", "roles")
+add_view("world_list", Op("SELECT trace_id, var, row_number() OVER (PARTITION BY trace_id ORDER BY var DESC) AS place FROM (SELECT DISTINCT trace_id, var FROM {hourly}) AS v JOIN {roles} USING (var) WHERE agent <= 0"), "hourly", "roles")
+add_view("operations", Op("SELECT trace_id, t, CASE WHEN event_type IN ('click', 'purchase') THEN event_type END AS op, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS handle FROM {users}"), "users")
+add_view("guesses", Op("SELECT trace_id AS grp, event_id AS item, value AS score FROM {users}"), "users")
+add_view("facts", Op("SELECT user_id AS grp, event_id AS item, event_type = 'error' AS label FROM {events} WHERE event_type IN ('error', 'view')"), "events")
+add_view("order_counts", Op("SELECT o_custkey AS k, count(*) AS n FROM {orders} GROUP BY o_custkey"), "orders")
+add_view("supplier_counts", Op("SELECT l_suppkey AS k, count(*) AS n FROM {lineitem} GROUP BY l_suppkey"), "lineitem")
+add_view("communities", Op("SELECT l_orderkey AS community, concat(l_returnflag, l_linestatus, CAST(l_linenumber AS STRING)) AS class FROM {lineitem}"), "lineitem")
+add_view("known_sets", Op("SELECT l_suppkey AS grp, l_partkey AS item FROM {lineitem}"), "lineitem")
+add_view("admitted_sets", Op("SELECT l_suppkey AS grp, l_partkey AS item FROM {lineitem} WHERE l_discount > 5e-2"), "lineitem")
+add_view("trials", Op("SELECT l_suppkey AS seed, l_linenumber AS slots, l_orderkey AS place, l_quantity AS score FROM {lineitem}"), "lineitem")
+add_view("rounds", Op("SELECT l_returnflag AS grp, l_linenumber AS round, l_orderkey AS place, l_extendedprice AS value FROM {lineitem}"), "lineitem")
+add_view("agent_records", Op("SELECT o_orderkey AS agent, o_orderstatus = 'F' AS admitted, o_totalprice / 400000 AS proposal, o_totalprice / 800000 AS trained, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey % 3 = 1 END AS agency_passed, o_orderkey % 7 = 0 AS peeled, o_orderkey % 5 = 0 AS gate_blocked FROM {orders}"), "orders")
+add_view("method_rows", Op("SELECT l_returnflag AS kind, CAST(l_quantity AS INT) AS width, l_linestatus AS method, avg(l_discount) AS ari, CASE WHEN l_linestatus = 'O' THEN avg(l_tax) END AS own FROM {lineitem} GROUP BY l_returnflag, CAST(l_quantity AS INT), l_linestatus"), "lineitem")
+add_view("references", Op("SELECT l_returnflag AS kind, CAST(l_quantity AS INT) AS width, max(l_discount) AS ari FROM {lineitem} WHERE l_quantity > 25 GROUP BY l_returnflag, CAST(l_quantity AS INT)"), "lineitem")
+add_view("family_rows", Op("SELECT o_orderpriority AS family, o_totalprice > 150000 AS flagged, o_orderstatus = 'O' AS expected FROM {orders}"), "orders")
+add_view("page_texts", Op("SELECT page_id AS id, html AS text FROM {pages}"), "pages")
+add_view("true_loops", Op("SELECT trace_id, b, s, a, g, e FROM {candidate_table} WHERE b = 'click' AND s = 'error' AND a = 'purchase' AND g = 'signup' AND e = 'view'"), "candidate_table")
+add_view("next_rows", Op("SELECT concat(s.trace_id, '|', s.var, '|', d.var) AS keys, row_number() OVER (PARTITION BY s.trace_id, s.var, d.var ORDER BY s.t) - 1 AS k, d.x1 AS x, s.x AS y, d.x AS z FROM {binary} AS s JOIN (SELECT *, lead(x) OVER (PARTITION BY trace_id, var ORDER BY t) AS x1 FROM {binary}) AS d ON d.trace_id = s.trace_id AND d.t = s.t AND d.var <> s.var WHERE d.x1 IS NOT NULL"), "binary", cut=True)
+
+put("drop_aliases", relational.DROP_ALIASES, "value", trace="hourly", aliases="alias_names")
+put("append", relational.APPEND, "value", first="hourly", second="shipped")
+put("controls", relational.CONTROLS, ints="place", first="agent_list", second="world_list")
+put("operation_mask", relational.operation_mask("click", "high", or_none=True), transitions="operations")
+put("with_truth", relational.WITH_TRUTH, "score", predictions="guesses", truth="facts")
+put("full_outer", relational.FULL_OUTER, ints="n_left n_right", left="order_counts", right="supplier_counts")
+put("class_sets", relational.class_sets(), members="communities")
+put("admitted_recall", relational.ADMITTED_RECALL, "recall", "admitted known", known="known_sets", admitted="admitted_sets")
+put("best_of_group", relational.BEST_OF_GROUP, "score", rows="trials")
+put("round_summary", relational.ROUND_SUMMARY, "mean middle", "n", rows="rounds")
+put("miss_reason", relational.miss_reason(), agents="agent_records")
+put("reference_gap", relational.REFERENCE_GAP, "reference gap", rows="method_rows", reference="references")
+put("family_rates", relational.FAMILY_RATES, "flagged_rate accuracy", "n", rows="family_rows")
+put("checksum", relational.CHECKSUM, texts="page_texts")
+put("soft_zscore", relational.SOFT_ZSCORE, "z", trace="hourly")
+put("truncate_aligned", relational.TRUNCATE_ALIGNED, "value", "agent t", trace="shipped")
+put("rank_of_truth", relational.RANK_OF_TRUTH, ints="place n", scored="scored", truth="true_loops")
+put("conservation", relational.conservation(3), "total forward backward residual", runs="runs")
+put("bootstrap_cmi", relational.bootstrap_cmi(), "mean sd low high", "n", observed="next_rows")
+
 # ---- dense operators: grouped pandas functions, checked in tests
 from mutua.operators import dense, detector, graph, independence  # noqa: E402
 from mutua.plans.registry import register  # noqa: E402
@@ -258,6 +302,19 @@ def _match_clusters(spark, sf_dir):
     return dense.match_clusters(view(spark, sf_dir, "vector_labels").groupBy("grp", "a", "b").count().withColumnRenamed("count", "n"))
 
 
+@register("greedy_match")
+def _greedy_match(spark, sf_dir):
+    return relational.greedy_match(view(spark, sf_dir, "vector_labels").groupBy("grp", "a", "b").count().withColumnRenamed("count", "n"))
+
+
+@register("null_of_synchrony")
+def _null_of_synchrony(spark, sf_dir):
+    def synchrony(trace):
+        return info.SYNC_MI(bins=prep.quantile_bins(4)(trace=trace)).where("i < j").groupBy("trace_id").agg({"w": "sum"}).withColumnRenamed("sum(w)", "score")
+
+    return relational.null_p_value(view(spark, sf_dir, "hourly"), synchrony, 100)
+
+
 @register("phase_surrogate")
 def _phase_surrogate(spark, sf_dir):
     return dense.phase_surrogate(view(spark, sf_dir, "hourly"))

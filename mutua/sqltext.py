@@ -31,6 +31,7 @@ MACROS: dict[str, tuple[Render, Render]] = {
     "JOINED": (lambda a, s: f"array_join({a}, {s})", lambda a, s: f"array_to_string({a}, {s})"),
     "ELEMENT": (lambda a, k: f"element_at({a}, {k})", lambda a, k: f"{a}[{k}]"),
     "HASHNO": (lambda x: f"CAST(conv(substr(md5({x}), 1, 12), 16, 10) AS BIGINT)", lambda x: f"CAST(('0x' || substr(md5({x}), 1, 12)) AS BIGINT)"),
+    "SHA256": (lambda x: f"sha2({x}, 256)", lambda x: f"sha256({x})"),
     "WITHOUT": (lambda a, x: f"array_remove({a}, {x})", lambda a, x: f"list_filter({a}, lambda w: w <> {x})"),
     "CORR": (lambda a, b: f"(regr_sxy({a}, {b}) / nullif(sqrt(regr_sxx({a}, {b}) * regr_syy({a}, {b})), 0))", lambda a, b: f"(regr_sxy({a}, {b}) / nullif(sqrt(regr_sxx({a}, {b}) * regr_syy({a}, {b})), 0))"),  # null without spread, where corr fails or gives not-a-number
     "MATCHES": (lambda a, p: f"({a} rlike {p})", lambda a, p: f"regexp_matches({a}, {p})"),

@@ -4,22 +4,34 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from mutua.plans import registry
 
 #: A query of each kind; the driver compares all of them.
-CHOSEN = ("quantile_bins", "lag_max_mi", "smoothed_cmi", "transfer_entropy", "role_classification", "weak_members", "pairwise_scores", "auroc", "null_floors", "sliding_segments", "adjusted_rand", "fisher_pool", "resample_uniform", "components", "json_field", "jaccard")
+CHOSEN = ("quantile_bins", "lag_max_mi", "smoothed_cmi", "transfer_entropy", "role_classification", "weak_members", "pairwise_scores", "auroc", "sliding_segments", "adjusted_rand", "fisher_pool", "resample_uniform", "components", "json_field", "jaccard", "next_operation", "conservation", "truncate_aligned", "full_outer", "controls")
+
+
+def _cell(v):
+    if pd.isna(v):
+        return None
+    if isinstance(v, (bool, np.bool_)):
+        return bool(v)
+    return float(v) if isinstance(v, (int, float, np.number)) else str(v)
 
 
 def _plain(df: pd.DataFrame) -> list[tuple]:
-    def cell(v):
-        return None if v is None or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "fiu" else str(v)
+    """Cells of every row, columns by name, in an order that close numbers do not change."""
+    rows = [tuple(_cell(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)]
+    return sorted(rows, key=lambda r: repr([round(v, 6) + 0.0 if isinstance(v, float) else v for v in r]))
+
 
-    rows = [tuple(cell(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)]
-    return sorted(rows, key=repr)
+def _same(a, b) -> bool:
+    return a == pytest.approx(b, rel=1e-9, abs=2e-9) if isinstance(a, float) and isinstance(b, float) else a == b
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +49,7 @@ def test_same_rows(spark, duck, sf_dir, name):
     assert sorted(want.columns) == sorted(got.columns)
     assert len(want) == len(got)
     for a, b in zip(_plain(want), _plain(got)):
-        assert a == pytest.approx(b, abs=2e-9) if all(isinstance(x, float) for x in a) else [x for x in a if isinstance(x, str)] == [x for x in b if isinstance(x, str)]
+        assert all(map(_same, a, b)), (a, b)
 
 
 def test_entry(spark):
@@ -49,6 +61,48 @@ def test_names():
     assert set(sql) <= set(queries) and len(queries) > 100
 
 
+def test_each_view_of_a_query_is_written_once(spark, sf_dir, monkeypatch):
+    from mutua.sources import views
+
+    written, put = [], views.materialise
+    monkeypatch.setattr(views, "materialise", lambda df, name: (written.append(name), put(df, name))[1])
+    for name in ("next_operation", "cluster_rank"):
+        written.clear()
+        registry.queries()[name](spark, sf_dir)
+        assert len(written) == len(set(written)) > 1
+
+
+def test_scratch_is_under_one_folder(spark, sf_dir):
+    from mutua import storage
+
+    assert storage.scratch(spark, "x").startswith(storage.run_dir(spark)) and spark.sparkContext.applicationId in storage.run_dir(spark)
+
+
+def test_greedy_match(spark):
+    from mutua.operators import relational
+
+    rows = [("g", 1, 1, 5), ("g", 1, 2, 9), ("g", 2, 2, 8), ("g", 2, 1, 1), ("g", 3, 2, 7), ("h", 1, 1, 2)]
+    got = relational.greedy_match(spark.createDataFrame(rows, "grp string, a long, b long, n long")).collect()
+    assert sorted((r.grp, r.a, r.b, r.n) for r in got) == [("g", 1, 2, 9), ("g", 2, 1, 1), ("h", 1, 1, 2)]
+
+
+def test_null_of_a_users_statistic(spark):
+    from mutua.operators import relational
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=200)
+    series = {"a": {"x": x, "y": x + 0.1 * rng.normal(size=200)}, "b": {"x": x, "y": rng.normal(size=200)}}
+    trace = spark.createDataFrame([(k, t, v, float(z)) for k, by in series.items() for v, zs in by.items() for t, z in enumerate(zs)], "trace_id string, t long, var string, value double")
+
+    def coupling(table):
+        wide = table.groupBy("trace_id", "t").pivot("var", ["x", "y"]).sum("value")
+        return wide.groupBy("trace_id").agg({"*": "count"}).drop("count(1)").join(wide.groupBy("trace_id").agg(F.abs(F.corr("x", "y")).alias("score")), "trace_id")
+
+    got = {r.trace_id: r for r in relational.null_p_value(trace, coupling, 49).collect()}
+    assert got["a"].p == 1 / 50 and got["a"].z > 5 and got["b"].p > 0.05
+    assert relational.null_distribution(trace, coupling, 7).count() == 14
+
+
 def test_nulls_have_as_many_samples_as_the_reference(spark, sf_dir):
     floors = registry.queries()["null_floors"](spark, sf_dir).collect()
     assert floors and {r.n for r in floors} == {200}
