@@ -8,7 +8,7 @@ counts. A block repeats a frequent n-gram once, so no bucket is hot, and both bl
 and buckets have bounded sizes whatever the corpus holds. A message without n-grams is
 not sent, so there are never more messages than distinct n-grams of blocks. Words are
 known by 64-bit hashes; longer n-grams by as many bits as keep the share of them that
-meet another one at ``1 / 2**SPARE_BITS`` for any size of the corpus.
+meet another one under ``1 / 2**SPARE_BITS`` for any size of the corpus.
 
 Scoring builds the automaton of the block's n-grams: each context is a state, each
 n-gram an arc with its smoothed log-probability, and each state has a failure arc to
@@ -51,10 +51,10 @@ WEIGHT, PRIOR = 0.7, 1.0
 ADDED = 0.5
 BLOCK_CHARS = 4 << 20
 #: Bits of an n-gram's key beyond those that number the corpus's n-grams.
-SPARE_BITS = 16
+SPARE_BITS = 13
 LANE = 512
 #: Blocks for each bucket; a bucket holds the n-grams of so many blocks.
-BLOCKS_PER_BUCKET = 2
+BLOCKS_PER_BUCKET = 1
 _CACHE_WORDS = 100_000
 
 
