@@ -40,20 +40,18 @@ SYNC_MI = Op(f"WITH {pair_cells([0])} SELECT trace_id, i, j, mi AS w FROM mi UNI
 
 
 def _entropy_terms(alpha: float) -> str:
-    """Smoothed conditional mutual information from cells (keys, x, y, z, n); card has the numbers of labels."""
-    f = lambda part, keys, beta, cells: f"""{part} AS (SELECT c.keys, sum((m + {beta}) / d * ln((m + {beta}) / d)) + ({cells} - count(*)) * ({beta}) / max(d) * ln(({beta}) / max(d)) AS s
-  FROM (SELECT keys, {keys}, sum(n) AS m FROM cells GROUP BY keys, {keys}) AS c JOIN card ON card.keys = c.keys GROUP BY c.keys, kx, ky, kz)"""
+    """Smoothed conditional mutual information ``cmi`` (keys, cmi, n) from cells (keys, x, y, z, n).
+
+    All marginals come from one pass over the cells; the rest is by keys, on one partitioning. Cells that never occur are added in closed form.
+    """
     a = f"{alpha:e}"
-    return ",\n".join(
-        [
-            f"card AS (SELECT keys, count(DISTINCT x) AS kx, count(DISTINCT y) AS ky, count(DISTINCT z) AS kz, sum(n) AS total, sum(n) + {a} * count(DISTINCT x) * count(DISTINCT y) * count(DISTINCT z) AS d FROM cells GROUP BY keys)",
-            f("sxyz", "x, y, z", a, "kx * ky * kz"),
-            f("sz", "z", f"{a} * kx * ky", "kz"),
-            f("sxz", "x, z", f"{a} * ky", "kx * kz"),
-            f("syz", "y, z", f"{a} * kx", "ky * kz"),
-            "cmi AS (SELECT card.keys, CASE WHEN total < 10 THEN CAST(0 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), sxyz.s + sz.s - sxz.s - syz.s) END AS cmi, total AS n FROM card JOIN sxyz ON sxyz.keys = card.keys JOIN sz ON sz.keys = card.keys JOIN sxz ON sxz.keys = card.keys JOIN syz ON syz.keys = card.keys)",
-        ]
-    )
+    return f"""marginals AS (SELECT keys, concat(CASE WHEN grouping(x) = 0 THEN 'x' ELSE '' END, CASE WHEN grouping(y) = 0 THEN 'y' ELSE '' END, CASE WHEN grouping(z) = 0 THEN 'z' ELSE '' END) AS of, sum(n) AS m
+  FROM cells GROUP BY GROUPING SETS ((keys, x, y, z), (keys, x, z), (keys, y, z), (keys, z), (keys, x), (keys, y))),
+counted AS (SELECT keys, of, m, count_if(of = 'x') OVER w AS kx, count_if(of = 'y') OVER w AS ky, count_if(of = 'z') OVER w AS kz, sum(CASE WHEN of = 'xyz' THEN m ELSE 0 END) OVER w AS total FROM marginals WINDOW w AS (PARTITION BY keys)),
+weighed AS (SELECT keys, of, m, total, total + {a} * kx * ky * kz AS d, CASE of WHEN 'xyz' THEN {a} WHEN 'z' THEN {a} * kx * ky WHEN 'xz' THEN {a} * ky ELSE {a} * kx END AS beta,
+  CASE of WHEN 'xyz' THEN kx * ky * kz WHEN 'z' THEN kz WHEN 'xz' THEN kx * kz ELSE ky * kz END AS possible FROM counted WHERE of NOT IN ('x', 'y')),
+entropies AS (SELECT keys, of, max(total) AS total, sum((m + beta) / d * ln((m + beta) / d)) + (max(possible) - count(*)) * max(beta / d) * ln(max(beta / d)) AS s FROM weighed GROUP BY keys, of),
+cmi AS (SELECT keys, CASE WHEN max(total) < 10 THEN CAST(0 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), sum(CASE WHEN of IN ('xyz', 'z') THEN s ELSE -s END)) END AS cmi, max(total) AS n FROM entropies GROUP BY keys)"""
 
 
 def smoothed_cmi(alpha: float = 0.1) -> Op:
@@ -119,7 +117,8 @@ def turned_transfer(shifts: int = 200, lag: int = 1, alpha: float = 0.1, both: b
     """Transfer entropy into each variable turned by some ticks, from the others as they are: ``shifts`` null samples of each ordered pair. With ``both`` also out of it.
 
     A pair's key is trace:shift|source|target|turned. The offset is a hash of trace, shift and variable, from
-    lag + 1 to n - lag - 2, so that only the variable's own sequence stays. The series of a trace have the same ticks.
+    lag + 1 to n - lag - 2, so that only the variable's own sequence stays. The series of a trace have the same ticks, one after another.
+    Values and the ones after them are paired before they are turned, so the samples need no sort.
     """
     out = """
   UNION ALL SELECT s.trace_id, s.shift, s.var, d.var, s.var, d.y1, s.x, d.x, count(*) FROM later AS s JOIN plain AS d ON d.trace_id = s.trace_id AND d.t = s.t WHERE s.var <> d.var AND d.y1 IS NOT NULL GROUP BY s.trace_id, s.shift, s.var, d.var, d.y1, s.x, d.x"""
@@ -127,12 +126,13 @@ def turned_transfer(shifts: int = 200, lag: int = 1, alpha: float = 0.1, both: b
 WITH span AS (SELECT trace_id, min(t) AS lo, max(t) - min(t) + 1 AS n FROM {{binary}} GROUP BY trace_id),
 o AS (SELECT trace_id, var, lo, n, shift, {lag + 1} + HASHNO(concat(CAST(trace_id AS STRING), '|', var, '|', CAST(shift AS STRING))) % greatest(n - {2 * lag + 2}, 1) AS turn
   FROM (SELECT v.trace_id, v.var, lo, n, SEQ(1, {shifts}) AS shift FROM (SELECT DISTINCT trace_id, var FROM {{binary}}) AS v JOIN span ON span.trace_id = v.trace_id) AS e),
-turned AS (SELECT b.trace_id, b.var, b.x, o.shift, lo + (b.t - lo + turn) % n AS t FROM {{binary}} AS b JOIN o ON o.trace_id = b.trace_id AND o.var = b.var),
-later AS (SELECT *, lead(x, {lag}) OVER (PARTITION BY trace_id, var, shift ORDER BY t) AS y1 FROM turned),
+k AS (SELECT trace_id, var, t, x, row_number() OVER (PARTITION BY trace_id, var ORDER BY t) - 1 AS k FROM {{binary}}),
+ring AS (SELECT a.trace_id, a.var, a.k, a.x, b.x AS y1 FROM k AS a JOIN span ON span.trace_id = a.trace_id JOIN k AS b ON b.trace_id = a.trace_id AND b.var = a.var AND b.k = (a.k + {lag}) % n),
+later AS (SELECT r.trace_id, r.var, r.x, r.y1, o.shift, lo + (r.k + turn) % n AS t FROM ring AS r JOIN o ON o.trace_id = r.trace_id AND o.var = r.var WHERE (r.k + turn) % n < n - {lag}),
 plain AS (SELECT trace_id, t, var, x, lead(x, {lag}) OVER (PARTITION BY trace_id, var ORDER BY t) AS y1 FROM {{binary}}),
-counted AS (SELECT d.trace_id, d.shift, s.var AS src, d.var AS dst, d.var AS of, d.y1 AS x, s.x AS y, d.x AS z, count(*) AS n FROM plain AS s JOIN later AS d ON d.trace_id = s.trace_id AND d.t = s.t
+pair_counts AS (SELECT d.trace_id, d.shift, s.var AS src, d.var AS dst, d.var AS of, d.y1 AS x, s.x AS y, d.x AS z, count(*) AS n FROM plain AS s JOIN later AS d ON d.trace_id = s.trace_id AND d.t = s.t
   WHERE s.var <> d.var AND d.y1 IS NOT NULL GROUP BY d.trace_id, d.shift, s.var, d.var, d.y1, s.x, d.x{out if both else ''}),
-cells AS (SELECT concat(trace_id, ':', CAST(shift AS STRING), '|', src, '|', dst, '|', of) AS keys, x, y, z, n FROM counted),
+cells AS (SELECT concat(trace_id, ':', CAST(shift AS STRING), '|', src, '|', dst, '|', of) AS keys, x, y, z, n FROM pair_counts),
 {_entropy_terms(alpha)}
 SELECT keys AS pair, cmi AS te FROM cmi""")
 

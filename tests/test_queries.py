@@ -13,7 +13,7 @@ import __spark_entry__
 from mutua.plans import registry
 
 #: A query of each kind; the driver compares all of them.
-CHOSEN = ("quantile_bins", "lag_max_mi", "smoothed_cmi", "transfer_entropy", "role_classification", "weak_members", "pairwise_scores", "auroc", "sliding_segments", "adjusted_rand", "fisher_pool", "resample_uniform", "components", "json_field", "jaccard", "next_operation", "conservation", "truncate_aligned", "full_outer", "controls")
+CHOSEN = ("quantile_bins", "lag_max_mi", "smoothed_cmi", "transfer_entropy", "role_classification", "weak_members", "pairwise_scores", "auroc", "sliding_segments", "adjusted_rand", "fisher_pool", "resample_uniform", "json_field", "jaccard", "next_operation", "conservation", "truncate_aligned", "full_outer", "controls")
 
 
 def _cell(v):
@@ -127,7 +127,8 @@ def test_sets_are_of_whole_ids(spark, duck, sf_dir):
         assert r.known == best and abs(r.recall - len(x & supplied[best]) / len(supplied[best])) < 1e-8
 
 
-def test_components_of_all_customers_and_parts(spark, duck, sf_dir):
+@pytest.mark.parametrize(("name", "kind", "column"), [("customer_part_components", "part", "l_partkey"), ("components", "supplier", "l_suppkey")])
+def test_components_of_whole_tables(spark, duck, sf_dir, name, kind, column):
     parent = {}
 
     def root(i):
@@ -137,8 +138,8 @@ def test_components_of_all_customers_and_parts(spark, duck, sf_dir):
             i = parent[i]
         return i
 
-    for c, p in duck.execute("SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey").fetchall():
-        a, b = sorted((root(f"customer {c}"), root(f"part {p}")))
+    for c, p in duck.execute(f"SELECT DISTINCT o_custkey, {column} FROM orders JOIN lineitem ON l_orderkey = o_orderkey").fetchall():
+        a, b = sorted((root(f"customer {c}"), root(f"{kind} {p}")))
         parent[b] = a
-    got = {r.node: r.component for r in registry.queries()["customer_part_components"](spark, sf_dir).collect()}
+    got = {r.node: r.component for r in registry.queries()[name](spark, sf_dir).collect()}
     assert got == {i: root(i) for i in parent}
