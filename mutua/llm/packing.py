@@ -7,7 +7,7 @@ still to be packed: each capacity's cost is shared over the pieces that it would
 take, the new piece first, filled greedily from the lengths that remain. At the end
 every bin is downsized to the smallest capacity that holds its contents.
 
-Documents are dealt by a hash of their ids into shards of about ``SHARD_TOKENS``
+Documents are dealt by a hash of ids and texts into shards of about ``SHARD_TOKENS``
 tokens; a shard packs lengths and ids alone. What sharding costs is at most a few
 partly filled bins for each shard. Longer documents are cut into pieces of the
 largest capacity and a rest, each piece with its offset, so every token is in
@@ -21,7 +21,7 @@ counts as 0.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -45,19 +45,10 @@ SHARD_TOKENS = 4_000_000
 
 def fill(left: dict[int, int], ordered: list[int], capacity: int, first: int) -> int:
     """Tokens that a new bin of ``capacity`` would hold: ``first``, then the longest remaining lengths that fit, once each."""
-    room, held = capacity - first, first
-    while room > 0:
-        k = bisect_left(ordered, room + 1) - 1
-        if k < 0:
-            break
+    room, held, k = capacity - first, first, len(ordered)
+    while room > 0 and (k := min(k, bisect_right(ordered, room)) - 1) >= 0:
         length = ordered[k]
         take = min(left[length] - (length == first), room // length)
-        if take <= 0:
-            k -= 1
-            if k < 0:
-                break
-            length = ordered[k]
-            take = min(left[length], room // length)
         room -= take * length
         held += take * length
     return held
@@ -75,7 +66,6 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, bin_cost
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     size: list[int] = []
     used: list[int] = []
-    chosen: dict[int, int] = {}
     for i, x in enumerate(lengths.tolist()):
         k = bisect_left(rooms, x)
         if k < len(rooms):
@@ -84,10 +74,8 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, bin_cost
             if not open_bins[room]:
                 del open_bins[room], rooms[k]
         else:
-            if x not in chosen:
-                fits = [int(c) for c in caps[np.searchsorted(caps, x) :]]
-                chosen[x] = min(fits, key=lambda c: ((c + bin_cost) / fill(left, ordered, c, x), c))
-            b, room = len(size), chosen[x]
+            fits = [int(c) for c in caps[np.searchsorted(caps, x) :]]
+            b, room = len(size), min(fits, key=lambda c: ((c + bin_cost) / fill(left, ordered, c, x), c))
             size.append(room)
             used.append(0)
         bins[i], offsets[i] = b, used[b]
@@ -132,12 +120,12 @@ def word_count(text: str = "text") -> F.Column:
 def pack_documents(docs: DataFrame, length: F.Column, capacities: tuple[int, ...] = CAPACITIES, bin_cost: float = BIN_COST, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per piece: document, start and length of the piece, bin, offset in it, its capacity and what it holds."""
     most = max(capacities)
-    sized = docs.select("doc_id", F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0)).alias("n"))
-    pieces = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(most).cast("long"))).alias("start"))
-    pieces = pieces.select("doc_id", "start", F.least(F.col("n") - F.col("start"), F.lit(most)).alias("length"))
+    sized = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0)).alias("n"))
+    pieces = sized.select("doc_id", "digest", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(most).cast("long"))).alias("start"))
+    pieces = pieces.select("doc_id", "digest", "start", F.least(F.col("n") - F.col("start"), F.lit(most)).alias("length"))
     total = docs.select(F.octet_length("text").alias("b")).agg(F.sum("b")).first()[0] or 0
     shards = max(1, -(-int(total) // (4 * shard_tokens)))  # a word has more than four bytes with its blank, more often than not
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int"))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "digest", "start"), F.lit(shards)).cast("int")).drop("digest")
     schema = OUT.replace("doc_id long", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
     out = to_arrow_schema(StructType.fromDDL(schema))
     return dealt.groupBy("shard").applyInArrow(lambda t: _pack_shard(t, capacities, bin_cost, out), schema)

@@ -109,6 +109,20 @@ def test_trees_keep_their_constraints():
     assert gbt.fit(x[:0], y[:0], np.zeros(3, int)).score(x).shape == (800,)
 
 
+def test_flat_trees_score_as_recursion_does():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    model = gbt.fit(x, (x[:, 0] * x[:, 1] > 0).astype(float), np.zeros(4, int), trees=12, depth=3)
+
+    def walk(k, row):
+        if model.left[k] == k:
+            return model.value[k]
+        return walk(model.left[k] if row[model.feature[k]] <= model.threshold[k] else model.right[k], row)
+
+    want = [model.bias + sum(walk(r, row) for r in model.roots) for row in x]
+    assert np.allclose(model.score(x), want) and len(model.feature) > 40
+
+
 def test_quality_model_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")

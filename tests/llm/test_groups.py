@@ -301,3 +301,66 @@ def test_packing_is_best_fit():
     plain_best_fit(lengths.tolist(), bins.tolist(), {b: 100 for b in range(len(caps))})
     several = packing.pack(lengths, (40, 70, 100), 4)
     assert several[2].sum() <= caps.size * 100
+
+
+def plain_pack(lengths, caps, cost):
+    """Best fit with least-cost opening over plain lists."""
+    left, bins, out = list(lengths), [], []
+    for x in lengths:
+        fitting = [(room, -k) for k, (room, _) in enumerate(bins) if room >= x]
+        left.remove(x)
+        if not fitting:
+
+            def price(c):
+                room, held = c - x, x
+                for y in left:  # decreasing
+                    if y <= room:
+                        room, held = room - y, held + y
+                return (c + cost) / held
+
+            bins.append([min((c for c in sorted(caps) if c >= x), key=lambda c: (price(c), c)), 0])
+            k = len(bins) - 1
+        else:
+            room = min(r for r, _ in fitting)
+            k = -min(j for r, j in fitting if r == room)
+        out.append((bins[k][0], x))
+        bins[k] = [bins[k][0] - x, bins[k][1] + x]
+    return out, sorted(min(c for c in caps if c >= used) for _, used in bins)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_opens_the_cheapest_bins(seed):
+    rng = np.random.default_rng(seed)
+    caps, cost = [((16, 40, 100), 4), ((50, 100), 0), ((30, 60, 90, 120), 32)][seed % 3]
+    lengths = np.sort(rng.integers(1, caps[-1] + 1, 250) if seed < 3 else rng.integers(1, 30, 250))[::-1]
+    bins, _, sizes = packing.pack(lengths, caps, cost)
+    want, want_sizes = plain_pack(lengths.tolist(), caps, cost)
+    assert sorted(sizes.tolist()) == want_sizes
+    assert len(bins) == 250
+
+
+def test_groups_of_a_whole_table_are_those_of_similar_texts(spark):
+    """Every pair of similarity 0.8 in sf0.01 against the groups: recall, and no group that similar pairs do not connect."""
+    from collections import defaultdict
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {}
+    for r in docs.orderBy("doc_id").collect():
+        texts.setdefault(b" ".join(simhash.blank_words(r.text)), r.doc_id)
+    shingles = {k: set(similar_texts.distinct_shingles(t.split(), 5).tolist()) for t, k in texts.items() if t}
+    holders = defaultdict(list)
+    for k, own in shingles.items():
+        for x in own:
+            holders[x].append(k)
+    shared = defaultdict(int)
+    for own in holders.values():
+        for a, b in combinations(own, 2):
+            shared[a, b] += 1
+    similar = {p for p, n in shared.items() if n / (len(shingles[p[0]]) + len(shingles[p[1]]) - n) >= 0.8}
+    group = {r.first_id: r.grp for r in similar_texts.similar_groups(docs, 0.8).collect()}
+    assert len(similar) > 3 and sum(group[a] == group[b] for a, b in similar) >= 0.9 * len(similar)
+    linked = {i for p in similar for i in p}
+    members = defaultdict(list)
+    for k, g in group.items():
+        members[g].append(k)
+    assert all(len(m) == 1 or set(m) <= linked for m in members.values())

@@ -147,3 +147,32 @@ def test_running_folds(spark):
     rows = df.select("x", secrets.running(F.col("x"), F.lit(0), lambda a, b: a + b).alias("sums"), secrets.running(F.col("x"), F.lit(0), lambda a, b: F.greatest(a, b)).alias("peaks")).collect()
     for r in rows:
         assert list(r.sums) == _spans_of(r.x, lambda a, b: a + b) and list(r.peaks) == _spans_of(r.x, max)
+
+
+def plain_entropy_spans(text):
+    chars = list(text)
+    for start, _, end in plain_secrets(text):
+        chars[start:end] = " " * (end - start)
+    found = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", "".join(chars)):
+        x = m[0]
+        names = x.strip("/").split("/")
+        path = re.fullmatch(r"[a-z0-9_/-]*", x) and "/" in x.lstrip("/") and "//" not in x and all(len(n) <= 15 for n in names)
+        if path or any(re.search(p, x) for p in secrets.ALLOWED):
+            continue
+        least = secrets.THRESHOLDS["hex" if re.fullmatch("[0-9a-fA-F]+", x) else "base36" if re.fullmatch("[0-9a-z]+|[0-9A-Z]+", x) else "base64"]
+        if _peak(x) >= least:
+            found.append((m.start(), 3, m.end()))
+    return found
+
+
+def test_added_secrets(spark):
+    rng = random.Random(12)
+    pieces = ["aB3xY9kLmQ2zR7tWpV5n", "usr/lib1/", "a1b2c3d4e5f6g7h8i9j0k1", "0123456789", "word-and-word-", "DEADBEEF0123", " ", " ", "token=abcdefgh1", "zz", "9", "/", "=", "e7f1-4c", "example"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.row.doc_id: [(s.start, s.rank, s.end) for s in r.spans if s.rank == 3] for r in secrets.find_secrets(docs).collect()}
+    want = {k: plain_entropy_spans(t) for k, t in enumerate(texts)}
+    assert sum(map(len, want.values())) > 50
+    for k in want:
+        assert got[k] == want[k], texts[k]
