@@ -144,9 +144,10 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.col("text")
     kept = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counted = {"assign": lambda m: m.rlike(_VALUE), "access": lambda m: F.length(m) >= 20, "hex": lambda m: m.isNotNull()}
+    blank = lambda kind, counts: lambda t: _blanked(t, PATTERNS[kind], counts)
     rest = text
     for kind, counts in counted.items():
-        rest = _blanked(rest, PATTERNS[kind], counts)
+        rest = _let(rest, blank(kind, counts))
     base_of = lambda k, counts: _spans(F.filter(_located(text, PATTERNS[k]), lambda m: counts(m["match"])), k)
     matched = kept.select("row", "text", F.concat(*[base_of(k, counts) for k, counts in counted.items()]).alias("base"), rest.alias("rest"))
 
