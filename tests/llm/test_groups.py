@@ -63,7 +63,8 @@ def test_near_duplicates(spark):
         assert r.component_id == want[r.doc_id]
 
 
-def test_dense_prints_lose_no_link(spark):
+@pytest.mark.parametrize("held", [1, 2])
+def test_dense_prints_lose_no_link(spark, held):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(6)]
     prints = {b for b in base}
@@ -77,7 +78,7 @@ def test_dense_prints_lose_no_link(spark):
     nodes = spark.createDataFrame([(s, s) for s in want], "node long, fp long")
     from mutua.operators.graph import connected_components
 
-    got = {r.node: r.component for r in connected_components(simhash.links(nodes)).collect()}
+    got = {r.node: r.component for r in connected_components(simhash.links(nodes, held=held)).collect()}
     assert {s: got.get(s, s) for s in want} == want
 
 
@@ -92,6 +93,16 @@ def _similar_groups(spark, texts):
     return [of.index(g) for g in of]
 
 
+def test_some_segments_differ_by_one_bit_at_most():
+    rng = random.Random(7)
+    for held in (1, 2, 3):
+        parts = simhash.segments(4, held)
+        assert sum(w for _, w in parts) == 64 and len(parts) == 2 * held + 1
+        for _ in range(200):
+            apart = sum(1 << b for b in rng.sample(range(64), 4))
+            assert any(sum((apart >> low & (1 << w) - 1).bit_count() for low, w in some) <= 1 for some in combinations(parts, held))
+
+
 def test_similarity_is_verified(spark):
     rng = random.Random(1)
     long = [f"w{rng.randrange(500)}" for _ in range(300)]
