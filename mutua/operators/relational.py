@@ -122,7 +122,7 @@ def null_distribution(trace: DataFrame, statistic: Callable[[DataFrame], DataFra
     """
     turned = influence.circular_shift(permutations)(trace=trace)
     named = turned.select(F.concat_ws("|", "perm", "trace_id").alias("trace_id"), "t", "var", "value")
-    split = F.split("trace_id", r"\\|", 2)
+    split = F.split("trace_id", "[|]", 2)
     return statistic(named).select(F.get(split, F.lit(1)).alias("trace_id"), F.get(split, F.lit(0)).cast("int").alias("perm"), "score")
 
 
