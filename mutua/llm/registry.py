@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mutua.llm import chat, collocations, decontaminate, html_extract, ngram_lm, packing, pii, quality, resample, secrets, simhash, warc
+from mutua.llm import chat, collocations, decontaminate, html_extract, ngram_lm, packing, pii, quality, resample, secrets, simhash, toxicity, warc
 
-_MODULES = (packing, warc, simhash, ngram_lm, pii, chat, quality, html_extract, secrets, decontaminate, resample, collocations)
+_MODULES = (packing, warc, simhash, ngram_lm, pii, chat, quality, html_extract, secrets, decontaminate, resample, toxicity, collocations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
