@@ -24,6 +24,7 @@ each for itself; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -97,6 +98,13 @@ class Reached:
     def empty(bits: int = SLOT_BITS) -> Reached:
         return Reached(np.full(1 << bits, NEVER, np.uint8))
 
+    def packed(self) -> bytes:
+        return zlib.compress(self.slots.tobytes(), 1)
+
+    @staticmethod
+    def unpacked(data: bytes) -> Reached:
+        return Reached(np.frombuffer(zlib.decompress(data), np.uint8))
+
     def since(self, keys: np.ndarray) -> np.ndarray:
         mask = np.uint64(len(self.slots) - 1)
         return np.where(keys == 0, np.uint8(NEVER), np.maximum(self.slots[keys >> np.uint64(1) & mask], self.slots[keys >> np.uint64(35) & mask]))
@@ -154,8 +162,9 @@ def _summed(keys: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[n
     return keys[first], starts[order][first], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
-def _scan(batches: Iterator[pa.RecordBatch], reached: Reached, scan: int, shards: int, longest: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], packed: bytes, scan: int, shards: int, longest: int) -> Iterator[pa.RecordBatch]:
     """Counts of the active phrases of a shard, summed over the task, with the scan in which each began."""
+    reached = Reached.unpacked(packed)
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     n_held = 0
 
@@ -188,9 +197,9 @@ def _scan(batches: Iterator[pa.RecordBatch], reached: Reached, scan: int, shards
         yield sent()
 
 
-def _name(batches: Iterator[pa.RecordBatch], reached: Reached, longest: int) -> Iterator[pa.RecordBatch]:
+def _name(batches: Iterator[pa.RecordBatch], packed: bytes, longest: int) -> Iterator[pa.RecordBatch]:
     """Phrases that may have reached the threshold, by their words, counted exactly within each group of documents."""
-    codes = _Codes()
+    reached, codes = Reached.unpacked(packed), _Codes()
     for langs, found in _texts(batches):
         by_lang: dict[str, list[bytes]] = {}
         for lang, own in zip(langs, found):
@@ -241,7 +250,7 @@ def dynamic_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = L
     encoded = spark.read.schema("lang string, codes binary, n_words long, shard int").parquet(path)
     reached, running, scan, end = Reached.empty(slot_bits), None, 0, shards
     while scan < end:
-        sent = spark.sparkContext.broadcast(reached)
+        sent = spark.sparkContext.broadcast(reached.packed())
         rows = encoded.where(F.col("shard") == scan % shards).select("lang", "codes")
         counted = rows.mapInArrow(lambda b, scan=scan, sent=sent: _scan(b, sent.value, scan, shards, longest), "key long, start int, n long").withColumn("before", F.lit(0).cast("long"))
         if running is not None:
@@ -250,7 +259,7 @@ def dynamic_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = L
         new = state.where((F.col("n") >= min_count) & (F.col("before") < min_count)).select(F.explode(reached.places()).alias("place")).distinct()
         places = new.toArrow().column("place").to_numpy()  # never more than there are slots
         running = state.where(F.col("start") + shards - 1 > scan)
-        sent.unpersist()
+        sent.destroy()
         scan += 1
         if len(places):  # what they make active needs a full cycle
             reached, end = reached.with_new(places, scan), scan + shards
@@ -260,10 +269,12 @@ def dynamic_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = L
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, shards: int = SHARDS, slot_bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
     """(``lang``, ``phrase``, ``size``, ``n``) of all phrases of up to ``longest`` words with at least ``min_count`` occurrences; and (``lang``, ``total``) words of each language."""
     scans = dynamic_counts(docs, min_count, longest, shards, slot_bits)
-    sent = docs.sparkSession.sparkContext.broadcast(scans.reached)
+    sent = docs.sparkSession.sparkContext.broadcast(scans.reached.packed())
     named = _documents(docs).mapInArrow(lambda b: _name(b, sent.value, longest), "lang string, phrase string, size int, n long")
     frequent = named.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    return materialise(frequent, "frequent-phrases"), scans.shards.groupBy("lang").agg(F.sum("n_words").alias("total"))
+    frequent = materialise(frequent, "frequent-phrases")
+    sent.destroy()
+    return frequent, scans.shards.groupBy("lang").agg(F.sum("n_words").alias("total"))
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, top: int = TOP, shards: int = SHARDS, slot_bits: int = SLOT_BITS, absorbed_percent: int = ABSORBED_PERCENT) -> DataFrame:
