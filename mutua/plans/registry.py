@@ -56,7 +56,7 @@ def put(name: str, op: Op, floats: str = "", ints: str = "", **inputs: str) -> N
 
 
 def _load() -> None:
-    from mutua.plans import catalog  # noqa: F401  fills the registry
+    from mutua.plans import catalog, wide  # noqa: F401  they fill the registry
 
 
 def queries() -> dict[str, Query]:
