@@ -27,6 +27,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +46,12 @@ TOP = 2000
 #: A phrase goes if a longer candidate that contains it has at least this share of its occurrences.
 ABSORBED_PERCENT = 100
 SLOT_BITS = 25
-#: Words that a task holds arrays for at a time, and distinct keys that it sums before it sends them.
-GROUP_WORDS, GROUP_KEYS = 500_000, 2_000_000
+#: Words that a task holds arrays for at a time, and keys and phrases that it sums before it sends them.
+GROUP_WORDS, GROUP_KEYS, NAMES = 500_000, 4_000_000, 500_000
 NEVER = 255
+#: Low bits of a key that tell the scan in which it began; above them is a bit that no key lacks.
+START_BITS = 5
+_MARK, _LEFT = np.uint64(1 << START_BITS), np.uint64((1 << 64) - (1 << START_BITS))
 
 #: All separators become this one, which no word has.
 _BREAK = b"."
@@ -73,19 +77,23 @@ class _Codes(dict):
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ x >> np.uint64(29)
+    return (x ^ x >> np.uint64(29)) & _LEFT
+
+
+@lru_cache(maxsize=1)
+def _unpacked(data: bytes) -> Reached:
+    """Once a worker, whatever the number of its tasks."""
+    return Reached(np.frombuffer(zlib.decompress(data), np.uint8))
 
 
 def word_keys(codes: np.ndarray, lang: str) -> np.ndarray:
-    """Keys of words in a language; 0 stays a break."""
-    return np.where(codes == 0, np.uint64(0), _mixed(codes ^ np.uint64(xxhash.xxh64_intdigest(lang.encode()))) | np.uint64(1))
+    """Keys of words in a language; 0 stays a break. The low ``START_BITS`` of any key are left for the scan in which it began."""
+    return np.where(codes == 0, np.uint64(0), _mixed(codes ^ np.uint64(xxhash.xxh64_intdigest(lang.encode()))) | _MARK)
 
 
-def longer_keys(shorter: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
-    """Keys of all runs of ``n`` words from those of ``n - 1`` words and the last word's; 0 where a break is inside."""
-    first, last = shorter[: len(words) - n + 1], words[n - 1 :]
-    made = _mixed(first * np.uint64(0xC2B2AE3D27D4EB4F) + last * np.uint64(2 * n + 1)) | np.uint64(1)
-    return np.where((first == 0) | (last == 0), np.uint64(0), made)
+def longer_keys(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Keys of phrases of ``n`` words from those of their first ``n - 1`` words and of their last word."""
+    return _mixed(first * np.uint64(0xC2B2AE3D27D4EB4F) + last * np.uint64(2 * n + 1)) | _MARK
 
 
 @dataclass(frozen=True)
@@ -101,18 +109,17 @@ class Reached:
     def packed(self) -> bytes:
         return zlib.compress(self.slots.tobytes(), 1)
 
-    @staticmethod
-    def unpacked(data: bytes) -> Reached:
-        return Reached(np.frombuffer(zlib.decompress(data), np.uint8))
-
     def since(self, keys: np.ndarray) -> np.ndarray:
+        """``NEVER`` for breaks too."""
         mask = np.uint64(len(self.slots) - 1)
-        return np.where(keys == 0, np.uint8(NEVER), np.maximum(self.slots[keys >> np.uint64(1) & mask], self.slots[keys >> np.uint64(35) & mask]))
+        found = np.maximum(self.slots[keys >> np.uint64(START_BITS + 1) & mask], self.slots[keys >> np.uint64(35) & mask])
+        found[keys == 0] = NEVER
+        return found
 
     def places(self, key: str = "key") -> F.Column:
         """The two slots of a key as Spark expressions."""
         mask = len(self.slots) - 1
-        return F.array(F.shiftrightunsigned(key, 1).bitwiseAND(F.lit(mask)), F.shiftrightunsigned(key, 35).bitwiseAND(F.lit(mask)))
+        return F.array(F.shiftrightunsigned(key, START_BITS + 1).bitwiseAND(F.lit(mask)), F.shiftrightunsigned(key, 35).bitwiseAND(F.lit(mask)))
 
     def with_new(self, places: np.ndarray, scan: int) -> Reached:
         slots = self.slots.copy()
@@ -137,96 +144,124 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[
 
 
 def _encode(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Documents dealt to shards in turn; a row has the codes of a language's documents in one shard."""
+    """Documents dealt to shards in turn; a row has the word keys of a language's documents in one shard."""
     codes, turn = _Codes(), 0
     for langs, found in _texts(batches):
         parts: dict[tuple[str, int], list[np.ndarray]] = {}
         for lang, words in zip(langs, found):
             parts.setdefault((lang, turn % shards), []).append(np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)))
             turn += 1
-        joined = [np.concatenate(x) for x in parts.values()]
+        joined = [word_keys(np.concatenate(x), lang) for (lang, _), x in parts.items()]
         yield pa.RecordBatch.from_pydict(
             {
                 "lang": pa.array([lang for lang, _ in parts], pa.string()),
-                "codes": pa.array([x.tobytes() for x in joined], pa.binary()),
+                "words": pa.array([x.tobytes() for x in joined], pa.binary()),
                 "n_words": pa.array([int(np.count_nonzero(x)) for x in joined], pa.int64()),
                 "shard": pa.array([k for _, k in parts], pa.int32()),
             }
         )
 
 
-def _summed(keys: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+def _active(words: np.ndarray, reached: Reached, scan: int, shards: int, longest: int) -> Iterator[np.ndarray]:
+    """Keys, with their starts, of all occurrences of active phrases, by length."""
+    if scan < shards:
+        yield words[words != 0]
+    since = reached.since(words)
+    at = np.flatnonzero(since <= scan)
+    since, keys = since[at], words[at]
+    for n in range(2, longest + 1):
+        first = np.flatnonzero(at[1:] == at[:-1] + 1)  # without the last word, and next to it without the first
+        if not len(first):
+            return
+        at, start = at[first], np.maximum(since[first], since[first + 1])
+        keys = longer_keys(keys[first], words[at + n - 1], n)
+        on = start + np.uint64(shards) > scan
+        if on.any():
+            yield keys[on] | start[on]
+        if n < longest:
+            since = reached.since(keys)
+            known = since <= scan
+            at, since, keys = at[known], since[known], keys[known]
+
+
+def _counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sum of their counts, each 1 unless given."""
+    if counts is None:
+        return np.unique(keys, return_counts=True)
+    order = np.argsort(keys)
     keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
-    return keys[first], starts[order][first], np.add.reduceat(counts[order], first) if len(first) else counts
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order], first)
 
 
 def _scan(batches: Iterator[pa.RecordBatch], packed: bytes, scan: int, shards: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the active phrases of a shard, summed over the task, with the scan in which each began."""
-    reached = Reached.unpacked(packed)
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    """Counts of the active phrases of a shard, summed over the task."""
+    reached = _unpacked(packed)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     n_held = 0
-
-    def sent() -> pa.RecordBatch:
-        keys, starts, counts = _summed(*(np.concatenate(x) for x in zip(*held)))
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(starts.astype(np.int32)), pa.array(counts)], names=["key", "start", "n"])
-
     for batch in batches:
-        for lang, codes in zip(batch.column("lang"), batch.column("codes")):
-            words = word_keys(np.frombuffer(codes.as_buffer(), np.uint64), lang.as_py())
-            keys, start = words, np.where(words == 0, NEVER, 0).astype(np.uint8)
-            for n in range(1, min(longest, len(words)) + 1):
-                if n > 1:
-                    since = reached.since(keys)
-                    start = np.maximum(since[:-1], since[1:])  # without the last word, without the first
-                    if not (start <= scan).any():
-                        break
-                    keys = np.where(start <= scan, longer_keys(keys, words, n), np.uint64(0))
-                active = np.flatnonzero((keys != 0) & (start <= scan) & (start.astype(np.int64) + shards > scan))
-                if len(active):
-                    held.append(_summed(keys[active], start[active], np.ones(len(active), np.int64)))
-                    n_held += len(held[-1][0])
-            if n_held > 2 * GROUP_KEYS:
-                held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
+        for words in batch.column("words"):
+            for keys in _active(np.frombuffer(words.as_buffer(), np.uint64), reached, scan, shards, longest):
+                held.append(_counted(keys))
+                n_held += len(held[-1][0])
+            if n_held > GROUP_KEYS:
+                held = [_counted(*(np.concatenate(x) for x in zip(*held)))]
                 n_held = len(held[0][0])
-                if n_held > GROUP_KEYS:
-                    yield sent()
+                if n_held > GROUP_KEYS // 2:
+                    yield _rows(*held[0])
                     held, n_held = [], 0
     if held:
-        yield sent()
+        yield _rows(*_counted(*(np.concatenate(x) for x in zip(*held))))
+
+
+def _rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "n"])
+
+
+def _phrases(words: list[bytes], keys: np.ndarray, ids: np.ndarray, n_ids: int, reached: Reached, longest: int) -> Iterator[tuple[bytes, int]]:
+    """Phrases that may have reached the threshold, and their exact counts in these words. ``ids`` number the words."""
+    at = np.flatnonzero(reached.since(keys) != NEVER)
+    same, own = ids[at], keys[at]
+    for n in range(1, longest + 1):
+        if n > 1:
+            first = np.flatnonzero(at[1:] == at[:-1] + 1)
+            at, own = at[first], longer_keys(own[first], keys[at[first] + n - 1], n)
+            known = reached.since(own) != NEVER
+            # Equal phrases of n words are equal phrases of n - 1 words with an equal last word.
+            same = same[first][known] * n_ids + ids[at[known] + n - 1]
+            at, own = at[known], own[known]
+        if not len(at):
+            return
+        _, begin, same, times = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
+        for k, times_k in zip(at[begin].tolist(), times.tolist()):
+            yield b" ".join(words[k : k + n]), times_k
 
 
 def _name(batches: Iterator[pa.RecordBatch], packed: bytes, longest: int) -> Iterator[pa.RecordBatch]:
-    """Phrases that may have reached the threshold, by their words, counted exactly within each group of documents."""
-    reached, codes = Reached.unpacked(packed), _Codes()
+    """Phrases that may have reached the threshold by their words, summed over the task as far as ``NAMES`` of them are held."""
+    reached = _unpacked(packed)
+    held: dict[str, dict[bytes, int]] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, counts in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array([p.decode("utf-8", "replace") for p in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "phrase", "n"])
+        held.clear()
+
     for langs, found in _texts(batches):
         by_lang: dict[str, list[bytes]] = {}
         for lang, own in zip(langs, found):
             by_lang.setdefault(lang, []).extend(own)
-        for lang, own in by_lang.items():
-            vocabulary: dict[bytes, int] = {}
-            ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in own), np.int64, len(own))
-            words = word_keys(np.fromiter(map(codes.__getitem__, own), np.uint64, len(own)), lang)
-            keys, at, same = words, np.arange(len(own)), ids
-            phrases, sizes, counts = [], [], []
-            for n in range(1, min(longest, len(own)) + 1):
-                if n > 1:
-                    keys = longer_keys(keys, words, n)
-                kept = np.flatnonzero(at < len(keys))
-                kept = kept[reached.since(keys[at[kept]]) != NEVER]
-                if not len(kept):
-                    break
-                at = at[kept]
-                # Equal phrases of n words are equal phrases of n - 1 words with an equal last word.
-                _, first, same, times = np.unique(same[kept] * len(vocabulary) + ids[at + n - 1] if n > 1 else same[kept], return_index=True, return_inverse=True, return_counts=True)
-                phrases += [b" ".join(own[k : k + n]) for k in at[first].tolist()]
-                sizes += [n] * len(first)
-                counts.append(times)
-            if phrases:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(phrases)), pa.array([p.decode("utf-8", "replace") for p in phrases]), pa.array(sizes, pa.int32()), pa.array(np.concatenate(counts))], names=["lang", "phrase", "size", "n"]
-                )
+        for lang, words in by_lang.items():
+            number: dict[bytes, int] = {}
+            ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+            codes = _Codes()
+            keys = word_keys(np.fromiter(map(codes.__getitem__, number), np.uint64, len(number)), lang)[ids]
+            counts = held.setdefault(lang, {})
+            for phrase, n in _phrases(words, keys, ids, len(number), reached, longest):
+                counts[phrase] = counts.get(phrase, 0) + n
+        if sum(map(len, held.values())) > NAMES:
+            yield from rows()
+    yield from rows()
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -243,22 +278,24 @@ class Scans:
 
 
 def dynamic_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, shards: int = SHARDS, slot_bits: int = SLOT_BITS) -> Scans:
+    if not 1 <= shards * longest < 1 << START_BITS:
+        raise ValueError("shards times the longest phrase must be under 32")
     spark = docs.sparkSession
     path = scratch(spark, "shards")
-    encoded = _documents(docs).mapInArrow(lambda b: _encode(b, shards), "lang string, codes binary, n_words long, shard int")
+    encoded = _documents(docs).mapInArrow(lambda b: _encode(b, shards), "lang string, words binary, n_words long, shard int")
     encoded.write.partitionBy("shard").option("compression", "zstd").parquet(path)
-    encoded = spark.read.schema("lang string, codes binary, n_words long, shard int").parquet(path)
+    encoded = spark.read.schema("lang string, words binary, n_words long, shard int").parquet(path)
     reached, running, scan, end = Reached.empty(slot_bits), None, 0, shards
     while scan < end:
         sent = spark.sparkContext.broadcast(reached.packed())
-        rows = encoded.where(F.col("shard") == scan % shards).select("lang", "codes")
-        counted = rows.mapInArrow(lambda b, scan=scan, sent=sent: _scan(b, sent.value, scan, shards, longest), "key long, start int, n long").withColumn("before", F.lit(0).cast("long"))
+        rows = encoded.where(F.col("shard") == scan % shards).select("words")
+        counted = rows.mapInArrow(lambda b, scan=scan, sent=sent: _scan(b, sent.value, scan, shards, longest), "key long, n long").withColumn("before", F.lit(0).cast("long"))
         if running is not None:
-            counted = counted.unionByName(running.select("key", "start", "n", F.col("n").alias("before")))
-        state = materialise(counted.groupBy("key").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.sum("before").alias("before")), "active-phrases")
+            counted = counted.unionByName(running.select("key", "n", F.col("n").alias("before")))
+        state = materialise(counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("before").alias("before")), "active-phrases")
         new = state.where((F.col("n") >= min_count) & (F.col("before") < min_count)).select(F.explode(reached.places()).alias("place")).distinct()
         places = new.toArrow().column("place").to_numpy()  # never more than there are slots
-        running = state.where(F.col("start") + shards - 1 > scan)
+        running = state.where(F.col("key").bitwiseAND(F.lit((1 << START_BITS) - 1)) + shards - 1 > scan)
         sent.destroy()
         scan += 1
         if len(places):  # what they make active needs a full cycle
@@ -270,8 +307,8 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     """(``lang``, ``phrase``, ``size``, ``n``) of all phrases of up to ``longest`` words with at least ``min_count`` occurrences; and (``lang``, ``total``) words of each language."""
     scans = dynamic_counts(docs, min_count, longest, shards, slot_bits)
     sent = docs.sparkSession.sparkContext.broadcast(scans.reached.packed())
-    named = _documents(docs).mapInArrow(lambda b: _name(b, sent.value, longest), "lang string, phrase string, size int, n long")
-    frequent = named.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    named = _documents(docs).mapInArrow(lambda b: _name(b, sent.value, longest), "lang string, phrase string, n long")
+    frequent = named.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).withColumn("size", F.size(F.split("phrase", " ")))
     frequent = materialise(frequent, "frequent-phrases")
     sent.destroy()
     return frequent, scans.shards.groupBy("lang").agg(F.sum("n_words").alias("total"))
