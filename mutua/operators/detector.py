@@ -43,11 +43,11 @@ def detect(trace: DataFrame, bins: int = 4, max_lag: int = 3, most: int = 8, wea
     return out.select(F.get(name, F.lit(0)).alias("trace_id"), F.get(name, F.lit(1)).cast("int").alias("k"), F.col("cluster").cast("string").alias("label"), "sensors", "actions", "internal", "violation", "valid")
 
 
-def choose_k(detected: DataFrame, least_rate: float = 0.5) -> DataFrame:
-    """For each trace the largest k with a valid cluster and enough of them valid, else the k with the most valid ones."""
+def choose_k(detected: DataFrame, least_rate: float = 0.7) -> DataFrame:
+    """For each trace the largest k with a valid cluster and enough of them valid, else the k with the most valid ones, by rate and then the larger k."""
     rates = detected.groupBy("trace_id", "k").agg(F.count_if(F.coalesce("valid", F.lit(True))).alias("n_valid"), F.avg(F.coalesce("valid", F.lit(True)).cast("int")).alias("rate"))
     good = (F.col("n_valid") > 0) & (F.col("rate") >= least_rate)
-    best = rates.groupBy("trace_id").agg(F.max_by(F.struct("k", "n_valid", "rate"), F.struct(good.cast("int"), F.when(good, F.col("k")).otherwise(F.col("n_valid")), F.col("rate"), -F.col("k"))).alias("b"))
+    best = rates.groupBy("trace_id").agg(F.max_by(F.struct("k", "n_valid", "rate"), F.struct(good.cast("int"), F.when(good, F.col("k")).otherwise(F.col("n_valid")), F.col("rate"), F.col("k"))).alias("b"))
     return best.select("trace_id", "b.k", "b.n_valid", "b.rate")
 
 

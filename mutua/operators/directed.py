@@ -58,7 +58,7 @@ SELECT trace_id, var, drives, rankable, net_in = 0 AS intake_at_floor, net_in, n
 
 #: Number of flagged variables against the bound for chance at 5 percent.
 SCRAMBLE_VERDICT = Op("""
-SELECT trace_id, count(*) AS n, count_if(drives) AS n_drives, 5e-2 * count(*) + 1645e-3 * sqrt(475e-4 * count(*)) AS bound, count_if(drives) <= 5e-2 * count(*) + 1645e-3 * sqrt(475e-4 * count(*)) AS passes FROM {flags} GROUP BY trace_id
+SELECT trace_id, count(*) AS n, count_if(drives) AS n_drives, DBL(0.05) * count(*) + DBL(1.645) * sqrt(DBL(0.0475) * count(*)) AS bound, count_if(drives) <= DBL(0.05) * count(*) + DBL(1.645) * sqrt(DBL(0.0475) * count(*)) AS passes FROM {flags} GROUP BY trace_id
 """)
 
 
@@ -94,7 +94,7 @@ r AS (SELECT k.trace_id, b, s, a, g, e, greatest(CAST(0 AS DOUBLE), x1.cmi_bits)
   FROM k JOIN {terms} AS x1 ON x1.keys = k_sensor JOIN {terms} AS x2 ON x2.keys = k_policy JOIN {terms} AS x3 ON x3.keys = k_control JOIN {terms} AS x4 ON x4.keys = k_blanket
   JOIN {entropies} AS hb ON hb.trace_id = k.trace_id AND hb.var = b JOIN {entropies} AS hs ON hs.trace_id = k.trace_id AND hs.var = s JOIN {entropies} AS ha ON ha.trace_id = k.trace_id AND ha.var = a
   JOIN {entropies} AS hg ON hg.trace_id = k.trace_id AND hg.var = g JOIN {entropies} AS he ON he.trace_id = k.trace_id AND he.var = e),
-p AS (SELECT *, 115e-2 * sensor + policy + 12e-1 * control - 11e-1 * blanket + 8e-2 * activity AS score FROM r)
+p AS (SELECT *, DBL(1.15) * sensor + policy + DBL(1.2) * control - DBL(1.1) * blanket + DBL(0.08) * activity AS score FROM r)
 SELECT trace_id, b, s, a, g, e, sensor, policy, control, blanket, activity, score, row_number() OVER (PARTITION BY trace_id ORDER BY round(score, 9) DESC, b, s, a, g, e) AS place FROM p
 """)
 
@@ -116,7 +116,7 @@ SELECT trace_id, role, var, sum(p) AS mass FROM (SELECT trace_id, 'b' AS role, b
 #: The next handle to test: of the best candidate its action, sensor or goal, the first not tried; with all tried, the handle of most expected gain. ``tried`` has (trace_id, role, var).
 NEXT_OPERATION = Op("""
 WITH handles AS (SELECT trace_id, 'a' AS role, a AS var, 1 AS turn FROM {posterior} WHERE place = 1 UNION ALL SELECT trace_id, 's', s, 2 FROM {posterior} WHERE place = 1 UNION ALL SELECT trace_id, 'g', g, 3 FROM {posterior} WHERE place = 1),
-o AS (SELECT m.trace_id, m.role, m.var, m.mass, m.mass * (25e-2 + 1 - m.mass) AS gain, coalesce(h.turn, 9) AS turn FROM {masses} AS m LEFT JOIN handles AS h ON h.trace_id = m.trace_id AND h.role = m.role AND h.var = m.var
+o AS (SELECT m.trace_id, m.role, m.var, m.mass, m.mass * (DBL(0.25) + 1 - m.mass) AS gain, coalesce(h.turn, 9) AS turn FROM {masses} AS m LEFT JOIN handles AS h ON h.trace_id = m.trace_id AND h.role = m.role AND h.var = m.var
   LEFT JOIN {tried} AS t ON t.trace_id = m.trace_id AND t.role = m.role AND t.var = m.var WHERE m.role IN ('a', 's', 'g') AND t.var IS NULL)
 SELECT trace_id, role, var, mass, gain, turn < 9 AS of_best FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY turn, round(gain, 9) DESC, role, var) AS place FROM o) AS r WHERE place = 1
 """)

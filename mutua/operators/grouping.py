@@ -60,7 +60,7 @@ SELECT trace_id, score, row_number() OVER (PARTITION BY {_TRACE_OF} ORDER BY rou
 #: Pass rate times the mean signal (persistence and contingency) of the clusters that pass, and a little for every cluster.
 PARTITION_SCORE = Op(f"""
 SELECT {_TRACE_OF} AS trace_id, avg(CAST(passes AS INT)) AS pass_rate, coalesce(avg(CASE WHEN passes THEN persistence + contingency END), CAST(0 AS DOUBLE)) AS mean_signal, count(*) AS n,
-  avg(CAST(passes AS INT)) * (coalesce(avg(CASE WHEN passes THEN persistence + contingency END), CAST(0 AS DOUBLE)) + 1e-6) + 2e-2 * count(*) AS score FROM {{stats}} GROUP BY {_TRACE_OF}
+  avg(CAST(passes AS INT)) * (coalesce(avg(CASE WHEN passes THEN persistence + contingency END), CAST(0 AS DOUBLE)) + 1e-6) + DBL(0.02) * count(*) AS score FROM {{stats}} GROUP BY {_TRACE_OF}
 """)
 
 
@@ -75,13 +75,13 @@ crossed AS (
 SELECT trace_id, a, b, avg(w) AS weight, count(*) AS pairs FROM crossed GROUP BY trace_id, a, b HAVING avg(w) > {threshold}""")
 
 
-#: Each found set with its best known one by shared items: recall, share of others, clean when nothing else is in it.
+#: Each found set with its best known one by shared items (-1 if it shares none): recall, share of others, clean when nothing else is in it.
 PURITY_MATCH = Op("""
 WITH f AS (SELECT owner, item FROM {found}), k AS (SELECT owner AS known, item FROM {known}),
 hits AS (SELECT owner, known, count(*) AS shared FROM f JOIN k USING (item) GROUP BY owner, known),
 fs AS (SELECT owner, count(*) AS n FROM f GROUP BY owner), ks AS (SELECT known, count(*) AS n FROM k GROUP BY known),
 r AS (SELECT h.owner, h.known, h.shared, fs.n AS size, ks.n AS known_size, row_number() OVER (PARTITION BY h.owner ORDER BY CAST(h.shared AS DOUBLE) / (fs.n + ks.n - h.shared) DESC, h.known) AS place FROM hits AS h JOIN fs ON fs.owner = h.owner JOIN ks ON ks.known = h.known)
-SELECT owner, known, CAST(shared AS DOUBLE) / known_size AS recall, CAST(size - shared AS DOUBLE) / size AS extra, shared = size AS clean FROM r WHERE place = 1
+SELECT fs.owner, coalesce(known, -1) AS known, coalesce(CAST(shared AS DOUBLE) / known_size, CAST(0 AS DOUBLE)) AS recall, CAST(fs.n - coalesce(shared, 0) AS DOUBLE) / fs.n AS extra, coalesce(shared, 0) = fs.n AS clean FROM fs LEFT JOIN (SELECT * FROM r WHERE place = 1) AS b ON b.owner = fs.owner
 """)
 
 #: Kind of each cluster by the agents of its variables (agent < 0 is the world).

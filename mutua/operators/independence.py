@@ -19,7 +19,7 @@ xs AS (SELECT keys, z, x, sum(n) AS nx FROM c GROUP BY keys, z, x), ys AS (SELEC
 s AS (SELECT keys, z, sum(n) AS total, count(DISTINCT x) AS kx, count(DISTINCT y) AS ky FROM c GROUP BY keys, z),
 t AS (SELECT s.keys, s.z, total, kx, ky, nx * ny / total AS e, coalesce(c.n, CAST(0 AS DOUBLE)) AS o FROM s JOIN xs ON xs.keys = s.keys AND xs.z = s.z JOIN ys ON ys.keys = s.keys AND ys.z = s.z
   LEFT JOIN c ON c.keys = s.keys AND c.z = s.z AND c.x = xs.x AND c.y = ys.y WHERE total >= 5 AND kx > 1 AND ky > 1)
-SELECT keys, z, CAST(max((kx - 1) * (ky - 1)) AS BIGINT) AS dof, sum(power(abs(o - e) - CASE WHEN kx = 2 AND ky = 2 THEN least(5e-1, abs(o - e)) ELSE 0 END, 2) / e) AS chi2 FROM t GROUP BY keys, z
+SELECT keys, z, CAST(max((kx - 1) * (ky - 1)) AS BIGINT) AS dof, sum(power(abs(o - e) - CASE WHEN kx = 2 AND ky = 2 THEN least(DBL(0.5), abs(o - e)) ELSE 0 END, 2) / e) AS chi2 FROM t GROUP BY keys, z
 """)
 
 

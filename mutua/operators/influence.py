@@ -52,31 +52,32 @@ SELECT trace_id, CASE WHEN n < 40 THEN CAST(1 AS DOUBLE) ELSE odds END AS odds,
 
 
 def bootstrap_odds(replicates: int = 120) -> Op:
-    """The odds ratio's 10th percentile over resamples of ticks; resamples with fewer than 3 bad or good ticks are left out. 1 where the odds ratio is not defined."""
+    """The odds ratio's 10th percentile over resamples of ticks; resamples with fewer than 3 bad or good ticks are left out, and the odds ratio itself stands where none is left. 1 where that is not defined."""
     return Op(f"""
 WITH {_DEFENCE},
 i AS (SELECT *, count_if(bad) OVER (PARTITION BY trace_id) AS bads FROM m),
 e AS (SELECT trace_id, n, k, SEQ(1, {replicates}) AS rep FROM i WHERE n >= 40 AND bads >= 5 AND n - bads >= 5),
 d2 AS (SELECT trace_id, rep, HASHNO(concat(CAST(trace_id AS STRING), '|', CAST(k AS STRING), '|', CAST(rep AS STRING))) % n AS pick FROM e),
 r AS (SELECT d2.trace_id, d2.rep, (avg(CASE WHEN bad THEN y END) + 1e-6) / (avg(CASE WHEN NOT bad THEN y END) + 1e-6) AS odds FROM d2 JOIN i ON i.trace_id = d2.trace_id AND i.k = d2.pick GROUP BY d2.trace_id, d2.rep HAVING count_if(bad) >= 3 AND count_if(NOT bad) >= 3),
-g AS (SELECT trace_id, PCT(odds, 0.1) AS low, PCT(odds, 0.5) AS middle, count(*) AS n FROM r GROUP BY trace_id)
-SELECT trace_id, coalesce(low, CAST(1 AS DOUBLE)) AS low, coalesce(middle, CAST(1 AS DOUBLE)) AS middle, coalesce(g.n, 0) AS n FROM (SELECT DISTINCT trace_id FROM m) AS s LEFT JOIN g USING (trace_id)""")
+g AS (SELECT trace_id, PCT(odds, 0.1) AS low, PCT(odds, 0.5) AS middle, count(*) AS n FROM r GROUP BY trace_id),
+p AS (SELECT trace_id, CASE WHEN max(n) < 40 THEN CAST(1 AS DOUBLE) ELSE {_ratio('true', 5)} END AS point FROM m GROUP BY trace_id)
+SELECT trace_id, coalesce(low, point) AS low, coalesce(middle, point) AS middle, coalesce(g.n, 0) AS n FROM p LEFT JOIN g USING (trace_id)""")
 
 
-#: Influence by defence (odds and their lower bound) or by control (partial influence with selectivity, or strong), and the largest of the three in units of its threshold.
+#: The numbers are fixed values. Influence by defence (odds and their lower bound) or by control (partial influence with selectivity, or strong), and the largest of the three in units of its threshold.
 INFLUENCE_FLAG = Op("""
 SELECT trace_id, influence, odds, low, selectivity,
-  (odds >= 140e-2 AND low >= 108e-2 AND influence > 0) OR (odds >= 165e-2 AND low >= 115e-2) OR (abs(influence) >= 25e-2 AND (selectivity >= 78e-2 OR abs(influence) >= 30e-2)) AS flagged,
-  greatest(odds / 140e-2, abs(influence) / 25e-2, selectivity / 105e-2) AS combined
+  (odds >= DBL(1.40) AND low >= DBL(1.08) AND influence > 0) OR (odds >= DBL(1.65) AND low >= DBL(1.15)) OR (abs(influence) >= DBL(0.25) AND (selectivity >= DBL(0.78) OR abs(influence) >= DBL(0.30))) AS flagged,
+  greatest(odds / DBL(1.40), abs(influence) / DBL(0.25), selectivity / DBL(1.05)) AS combined
 FROM {influence} JOIN {odds} USING (trace_id) JOIN {bootstrap} USING (trace_id)
 """)
 
-#: Of a controlled series (outcome) against a disturbance (control): flatness, ratio of their variances (null without disturbance), how the action one tick before opposes the disturbance, and the regulation index, 0 where the controlled series moves too much.
+#: Of a controlled series (outcome) against a disturbance (control): flatness, ratio of their variances (null without disturbance), how the action one tick before opposes the disturbance, and the regulation index, 0 where the controlled series moves too much (a ratio over the fixed value).
 REGULATION = Op("""
 WITH d AS (SELECT trace_id, outcome, control, lag(action) OVER (PARTITION BY trace_id ORDER BY t) AS a FROM {series}),
 g AS (SELECT trace_id, var_pop(outcome) AS vc, var_pop(control) AS vd, stddev_pop(a) * stddev_pop(CASE WHEN a IS NOT NULL THEN control END) AS spread, covar_pop(a, control) AS r FROM d GROUP BY trace_id),
 f AS (SELECT trace_id, CASE WHEN vd <= 1e-9 THEN CAST(0 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), 1 - vc / (vd + 1e-9)) END AS flatness, CASE WHEN vd > 1e-9 THEN vc / (vd + 1e-9) END AS ratio, CASE WHEN spread > 1e-9 THEN greatest(CAST(0 AS DOUBLE), -r / spread) ELSE CAST(0 AS DOUBLE) END AS compensation FROM g)
-SELECT trace_id, flatness, ratio, compensation, CASE WHEN ratio <= 12e-3 THEN flatness * compensation ELSE CAST(0 AS DOUBLE) END AS regulation FROM f
+SELECT trace_id, flatness, ratio, compensation, CASE WHEN ratio <= DBL(0.012) THEN flatness * compensation ELSE CAST(0 AS DOUBLE) END AS regulation FROM f
 """)
 
 #: Area under the receiver's curve by group, ties as trapezoids; null when a class is missing. ``scored`` has (grp, score, label).
@@ -108,7 +109,7 @@ SELECT trace_id, var, place AS t, value FROM h""")
 TRANSITION_MATRIX = Op("""
 WITH n AS (SELECT grp, state, lead(state) OVER (PARTITION BY grp ORDER BY k) AS after FROM {steps}),
 c AS (SELECT state, after, count(*) AS n FROM n WHERE after IS NOT NULL GROUP BY state, after), s AS (SELECT DISTINCT state FROM {steps}),
-f AS (SELECT a.state AS state, b.state AS after, 5e-1 + coalesce(c.n, 0) AS w, coalesce(c.n, 0) AS n FROM s AS a JOIN s AS b ON true LEFT JOIN c ON c.state = a.state AND c.after = b.state)
+f AS (SELECT a.state AS state, b.state AS after, DBL(0.5) + coalesce(c.n, 0) AS w, coalesce(c.n, 0) AS n FROM s AS a JOIN s AS b ON true LEFT JOIN c ON c.state = a.state AND c.after = b.state)
 SELECT state, after, n, w / sum(w) OVER (PARTITION BY state) AS p FROM f
 """)
 

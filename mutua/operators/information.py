@@ -169,7 +169,7 @@ FROM n AS a JOIN n AS b ON b.trace_id = a.trace_id AND b.t = a.t WHERE b.later I
 SCALAR_GAUSSIAN_CMI = Op("""
 WITH c AS (SELECT a.trace_id, a.var AS i, b.var AS j, CORR(a.value, b.value) AS r FROM {trace} AS a JOIN {trace} AS b ON b.trace_id = a.trace_id AND b.t = a.t WHERE a.var <> b.var GROUP BY a.trace_id, a.var, b.var),
 p AS (SELECT ij.trace_id, ij.i, ij.j, ik.j AS given, (ij.r - ik.r * jk.r) / sqrt((1 - ik.r * ik.r) * (1 - jk.r * jk.r)) AS r FROM c AS ij JOIN c AS ik ON ik.trace_id = ij.trace_id AND ik.i = ij.i AND ik.j <> ij.j JOIN c AS jk ON jk.trace_id = ij.trace_id AND jk.i = ij.j AND jk.j = ik.j WHERE ij.i < ij.j)
-SELECT trace_id, i, j, given, greatest(CAST(0 AS DOUBLE), -5e-1 * ln(1 - r * r)) AS cmi FROM p
+SELECT trace_id, i, j, given, greatest(CAST(0 AS DOUBLE), -DBL(0.5) * ln(1 - r * r)) AS cmi FROM p
 """)
 
 #: Means over copies of a role, then the correlation of each role now with each role one tick later. ``variables`` has (var, agent, role).

@@ -37,9 +37,9 @@ SELECT grp, count_if(relevant AND place <= {k}) / CAST(greatest(1, count_if(rele
 
 #: Mean, pass rate, median z and Fisher's combined p over groups of tests (grp, p, z). -2 sum ln p has 2n degrees of freedom, an even number, so its tail is a finite sum.
 FISHER_POOL = Op("""
-WITH s AS (SELECT grp, count(*) AS n, -sum(ln(greatest(p, 1e-300))) AS half, avg(p) AS mean_p, avg(CAST(p < 5e-2 AS INT)) AS pass_rate, PCT(z, 0.5) AS median_z FROM {tests} GROUP BY grp),
+WITH s AS (SELECT grp, count(*) AS n, -sum(ln(greatest(p, 1e-12))) AS half, avg(p) AS mean_p, avg(CAST(p < DBL(0.05) AS INT)) AS pass_rate, PCT(z, 0.5) AS median_z FROM {tests} GROUP BY grp),
 t AS (SELECT grp, n, half, mean_p, pass_rate, median_z, SEQ(CAST(1 AS BIGINT), n) AS k FROM s),
-l AS (SELECT *, CASE WHEN k = 1 THEN CAST(0 AS DOUBLE) ELSE (k - 1) * ln(half) - sum(ln(CAST(greatest(k - 1, 1) AS DOUBLE))) OVER (PARTITION BY grp ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS term FROM t WHERE half > 0)
+l AS (SELECT *, CASE WHEN k = 1 THEN CAST(0 AS DOUBLE) WHEN half > 0 THEN (k - 1) * ln(greatest(half, 1e-300)) - sum(ln(CAST(greatest(k - 1, 1) AS DOUBLE))) OVER (PARTITION BY grp ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS term FROM t)
 SELECT grp, n, mean_p, pass_rate, median_z, least(CAST(1 AS DOUBLE), sum(exp(term - half))) AS combined_p FROM l GROUP BY grp, n, mean_p, pass_rate, median_z
 """)
 

@@ -28,7 +28,7 @@ WITH m AS (SELECT trace_id, PCT(value, 0.5) AS mid FROM {activity} GROUP BY trac
 s AS (SELECT trace_id, count(*) AS n, avg(abs(value)) AS size, stddev_pop(value) AS sd, avg(CASE WHEN value > mid THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS share FROM {activity} JOIN m USING (trace_id) GROUP BY trace_id),
 w AS (SELECT *, least(300, greatest(80, DIV(n, 6))) AS width FROM s)
 SELECT trace_id, CAST(width AS INT) AS width, CAST(greatest(DIV(width, 2), 20) AS INT) AS step, CAST(greatest(40, least(DIV(width, 2), 120)) AS INT) AS least_run,
-  CASE WHEN size >= 1e-6 AND sd / (size + 1e-6) >= 8e-2 THEN 15e-2 + 45e-2 * (1 - share) END AS coefficient FROM w
+  CASE WHEN size >= 1e-6 AND sd / (size + 1e-6) >= DBL(0.08) THEN DBL(0.15) + DBL(0.45) * (1 - share) END AS coefficient FROM w
 """)
 
 
@@ -39,7 +39,7 @@ def should_segment(ticks: int = 250, least_share: float = 0.22, middle_share: fl
     """
     return Op(f"""
 WITH m AS (SELECT trace_id, agent, PCT(value, 0.5) AS mid, avg(abs(value)) AS size, stddev_pop(value) AS sd, count(*) AS n FROM {{activity}} GROUP BY trace_id, agent),
-a AS (SELECT trace_id, agent, max(n) AS n, CASE WHEN max(size) < 1e-6 THEN CAST(0 AS DOUBLE) WHEN max(sd) / (max(size) + 1e-6) < 8e-2 THEN CAST(1 AS DOUBLE) ELSE avg(CASE WHEN value > mid + 25e-2 * sd THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) END AS share FROM {{activity}} JOIN m USING (trace_id, agent) GROUP BY trace_id, agent)
+a AS (SELECT trace_id, agent, max(n) AS n, CASE WHEN max(size) < 1e-6 THEN CAST(0 AS DOUBLE) WHEN max(sd) / (max(size) + 1e-6) < DBL(0.08) THEN CAST(1 AS DOUBLE) ELSE avg(CASE WHEN value > mid + DBL(0.25) * sd THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) END AS share FROM {{activity}} JOIN m USING (trace_id, agent) GROUP BY trace_id, agent)
 SELECT trace_id, min(share) AS least_share, PCT(share, 0.5) AS middle_share, max(n) >= {ticks} AND min(share) < {least_share:e} AND PCT(share, 0.5) < {middle_share:e} AS segment FROM a GROUP BY trace_id""")
 
 
@@ -51,7 +51,7 @@ def episode_mask(period: int = 80, length: int = 12) -> Op:
 def window_majority(width: int = 32) -> Op:
     """At every ``width``-th tick, whether most of the ticks before were ones."""
     return Op(f"""
-SELECT trace_id, t, var, CAST(share > 5e-1 AS INT) AS meter FROM (SELECT trace_id, t, var, avg(CAST(x AS DOUBLE)) OVER (PARTITION BY trace_id, var ORDER BY t ROWS BETWEEN {width} PRECEDING AND 1 PRECEDING) AS share FROM {{binary}}) AS w WHERE t % {width} = 0 AND share IS NOT NULL""")
+SELECT trace_id, t, var, CAST(share > DBL(0.5) AS INT) AS meter FROM (SELECT trace_id, t, var, avg(CAST(x AS DOUBLE)) OVER (PARTITION BY trace_id, var ORDER BY t ROWS BETWEEN {width} PRECEDING AND 1 PRECEDING) AS share FROM {{binary}}) AS w WHERE t % {width} = 0 AND share IS NOT NULL""")
 
 
 #: Which variable leads at each tick, and how often the leader stays.

@@ -34,6 +34,7 @@ MACROS: dict[str, tuple[Render, Render]] = {
     "SHA256": (lambda x: f"sha2({x}, 256)", lambda x: f"sha256({x})"),
     "WITHOUT": (lambda a, x: f"array_remove({a}, {x})", lambda a, x: f"list_filter({a}, lambda w: w <> {x})"),
     "CORR": (lambda a, b: f"(regr_sxy({a}, {b}) / nullif(sqrt(regr_sxx({a}, {b}) * regr_syy({a}, {b})), 0))", lambda a, b: f"(regr_sxy({a}, {b}) / nullif(sqrt(regr_sxx({a}, {b}) * regr_syy({a}, {b})), 0))"),  # null without spread, where corr fails or gives not-a-number
+    "DBL": (lambda x: f"CAST({x} AS DOUBLE)", lambda x: f"CAST({x} AS DOUBLE)"),  # plain numbers are decimals in both engines
     "MATCHES": (lambda a, p: f"({a} rlike {p})", lambda a, p: f"regexp_matches({a}, {p})"),
 }
 _MACRO = re.compile(r"\b(" + "|".join(MACROS) + r")\(")

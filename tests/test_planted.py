@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from mutua.operators import directed, grouping, influence, information, preprocess, roles, segments
+from mutua.operators import detector, directed, grouping, influence, information, metrics, preprocess, roles, segments
 
 
 def _frame(spark, rows, schema):
@@ -357,3 +357,40 @@ def test_empty_inputs(spark):
     for op in (influence.ODDS_RATIO, influence.bootstrap_odds(5), influence.REGULATION):
         assert op(series=none).count() == 0
     assert influence.scramble()(trace=_trace(spark, {})).count() == 0 and directed.fused_scores()(binary=_binary(spark, {})).count() == 0
+
+
+def test_choice_of_k(spark):
+    """The largest k with enough valid clusters; without any, the most valid ones, then the rate, then the larger k."""
+    rows = [("a", 8, c, c < 1) for c in range(2)] + [("a", 6, c, c < 3) for c in range(4)] + [("a", 3, c, True) for c in range(2)]
+    rows += [("b", 6, 0, True), ("b", 6, 1, False), ("b", 3, 0, True), ("b", 3, 1, False)]
+    rows += [("c", 2, 0, None), ("c", 1, 0, False)]
+    detected = spark.createDataFrame([(t, k, str(c), v) for t, k, c, v in rows], "trace_id string, k int, label string, valid boolean")
+    got = {r.trace_id: (r.k, r.n_valid, r.rate) for r in detector.choose_k(detected).collect()}
+    assert got == {"a": (6, 3, 0.75), "b": (6, 1, 0.5), "c": (2, 1, 1.0)}
+
+
+def test_pooled_p_of_one(spark):
+    tests = spark.createDataFrame([("none", 1.0, 0.0), ("none", 1.0, 1.0), ("mixed", 1.0, 0.0), ("mixed", 0.01, 3.0)], "grp string, p double, z double")
+    got = {r.grp: r.combined_p for r in metrics.FISHER_POOL(tests=tests).collect()}
+    half = -math.log(0.01)
+    assert got["none"] == 1 and got["mixed"] == pytest.approx(math.exp(-half) * (1 + half))
+
+
+def test_found_sets_without_a_match(spark):
+    found = spark.createDataFrame([(1, 10), (1, 11), (2, 90)], "owner long, item long")
+    known = spark.createDataFrame([(7, 10), (7, 12)], "owner long, item long")
+    got = {r.owner: (r.known, r.recall, r.extra, r.clean) for r in grouping.PURITY_MATCH(found=found, known=known).collect()}
+    assert got == {1: (7, 0.5, 0.5, False), 2: (-1, 0.0, 1.0, False)}
+
+
+def test_bootstrap_without_replicates_is_the_point_estimate(spark):
+    """One resample of 40 ticks, 8 of them bad, now and then holds fewer than 3 bad ones."""
+    rng = np.random.default_rng(4)
+    rows = [(f"a{k}", t, float(a), float(o), float(c)) for k in range(500) for t, (a, o, c) in enumerate(rng.normal(size=(40, 3)))]
+    series = _frame(spark, rows, "trace_id string, t long, action double, outcome double, control double")
+    odds = {r.trace_id: r.odds for r in influence.ODDS_RATIO(series=series).collect()}
+    got = {r.trace_id: r for r in influence.bootstrap_odds(1)(series=series).collect()}
+    assert len(got) == 500
+    without = [r for r in got.values() if r.n == 0]
+    assert without and all(r.low == pytest.approx(odds[r.trace_id]) for r in without)
+    assert any(abs(r.low - odds[r.trace_id]) > 1e-6 for r in got.values())
