@@ -7,14 +7,17 @@ subphrases (without the last word, without the first) reached the threshold, and
 one full cycle, in which it meets every shard once. The scans end a cycle after
 the last phrase that reached the threshold.
 
-Phrases are known by 64-bit keys, of language and words. Which of them have reached the
-threshold, and after which scan, is in a table of ``2 ** SLOT_BITS`` bytes with two slots a
-phrase: all that is sent to tasks, of fixed size. Where phrases share slots, one is active too
-early or needlessly, which costs counting and changes no result: a last pass lists what has
-reached the threshold by its words and counts it exactly.
+Words are 64-bit codes of language and word, phrases are known by two numbers made of
+their words' codes: a key, whose low bits tell the scan in which it began, and a check. Which keys
+have reached the threshold, and after which scan, is in a table of ``2 ** SLOT_BITS`` bytes with two
+slots a phrase: all that is sent to tasks, of fixed size. Where phrases share slots, one is active too
+early or needlessly, which costs counting and changes no result: counts are by key and check.
 
 Each task sums its own counts before they are shuffled. The counts of active phrases are a
-table of their own, and those that have completed their cycle leave it. Scans are written
+table of their own; those that have completed their cycle leave it, and are kept if they
+reached the threshold. In the end each frequent phrase is spelled: a pass over the shards sends
+the words of some ``SPELLED`` occurrences of each, however many there are (a hash of the place
+decides), and passes go on for those that none was sent of, then with every occurrence. Scans are written
 before the next begins, so a lost executor repeats a part of one scan.
 
 Defined cases: a null text is empty; a null lang is ``und``; a piece without words has no
@@ -46,12 +49,14 @@ TOP = 2000
 #: A phrase goes if a longer candidate that contains it has at least this share of its occurrences.
 ABSORBED_PERCENT = 100
 SLOT_BITS = 25
-#: Words that a task holds arrays for at a time, and keys and phrases that it sums before it sends them.
-GROUP_WORDS, GROUP_KEYS, NAMES = 500_000, 4_000_000, 500_000
+#: Words that a task holds arrays for at a time, and distinct phrases that it sums before it sends them.
+GROUP_WORDS, GROUP_KEYS = 500_000, 4_000_000
 NEVER = 255
 #: Low bits of a key that tell the scan in which it began; above them is a bit that no key lacks.
 START_BITS = 5
 _MARK, _LEFT = np.uint64(1 << START_BITS), np.uint64((1 << 64) - (1 << START_BITS))
+#: Occurrences of each frequent phrase that are sent to spell it, on average.
+SPELLED = 16
 
 #: All separators become this one, which no word has.
 _BREAK = b"."
@@ -77,23 +82,32 @@ class _Codes(dict):
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ x >> np.uint64(29)) & _LEFT
+    return x ^ x >> np.uint64(29)
 
 
-@lru_cache(maxsize=1)
-def _unpacked(data: bytes) -> Reached:
-    """Once a worker, whatever the number of its tasks."""
-    return Reached(np.frombuffer(zlib.decompress(data), np.uint8))
+def coded(codes: np.ndarray, lang: str) -> np.ndarray:
+    """Codes of a language's words from those of words; 0 stays a break."""
+    return np.where(codes == 0, np.uint64(0), np.maximum(_mixed(codes ^ np.uint64(xxhash.xxh64_intdigest(lang.encode()))), np.uint64(1)))
 
 
-def word_keys(codes: np.ndarray, lang: str) -> np.ndarray:
-    """Keys of words in a language; 0 stays a break. The low ``START_BITS`` of any key are left for the scan in which it began."""
-    return np.where(codes == 0, np.uint64(0), _mixed(codes ^ np.uint64(xxhash.xxh64_intdigest(lang.encode()))) | _MARK)
+def word_keys(words: np.ndarray) -> np.ndarray:
+    return words & _LEFT | _MARK
 
 
 def longer_keys(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
-    """Keys of phrases of ``n`` words from those of their first ``n - 1`` words and of their last word."""
-    return _mixed(first * np.uint64(0xC2B2AE3D27D4EB4F) + last * np.uint64(2 * n + 1)) | _MARK
+    """Keys of phrases of ``n`` words from the keys of their first ``n - 1`` words and the codes of their last."""
+    return _mixed(first * np.uint64(0xC2B2AE3D27D4EB4F) + last * np.uint64(2 * n + 1)) & _LEFT | _MARK
+
+
+def longer_checks(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Checks of phrases of ``n`` words: a sum of codes, each times a power."""
+    return first + last * np.uint64(pow(0x9FB21C651E98DF25, n - 1, 1 << 64))
+
+
+@lru_cache(maxsize=1)
+def _unpacked(data: bytes) -> Reached:
+    """Once a worker, whatever the number of its tasks."""
+    return Reached(np.frombuffer(zlib.decompress(data), np.uint8))
 
 
 @dataclass(frozen=True)
@@ -110,10 +124,8 @@ class Reached:
         return zlib.compress(self.slots.tobytes(), 1)
 
     def since(self, keys: np.ndarray) -> np.ndarray:
-        """``NEVER`` for breaks too."""
         mask = np.uint64(len(self.slots) - 1)
         found = np.maximum(self.slots[keys >> np.uint64(START_BITS + 1) & mask], self.slots[keys >> np.uint64(35) & mask])
-        found[keys == 0] = NEVER
         return found
 
     def places(self, key: str = "key") -> F.Column:
@@ -144,65 +156,76 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[
 
 
 def _encode(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Documents dealt to shards in turn; a row has the word keys of a language's documents in one shard."""
+    """Documents dealt to shards in turn; a row has the codes of a language's documents in one shard, and the words that the task had not met before."""
     codes, turn = _Codes(), 0
+    told: set[int] = set()
     for langs, found in _texts(batches):
         parts: dict[tuple[str, int], list[np.ndarray]] = {}
+        words_of: dict[str, set[bytes]] = {}
         for lang, words in zip(langs, found):
             parts.setdefault((lang, turn % shards), []).append(np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)))
+            words_of.setdefault(lang, set()).update(words)
             turn += 1
-        joined = [word_keys(np.concatenate(x), lang) for (lang, _), x in parts.items()]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "lang": pa.array([lang for lang, _ in parts], pa.string()),
-                "words": pa.array([x.tobytes() for x in joined], pa.binary()),
-                "n_words": pa.array([int(np.count_nonzero(x)) for x in joined], pa.int64()),
-                "shard": pa.array([k for _, k in parts], pa.int32()),
-            }
-        )
-
-
-def _active(words: np.ndarray, reached: Reached, scan: int, shards: int, longest: int) -> Iterator[np.ndarray]:
-    """Keys, with their starts, of all occurrences of active phrases, by length."""
+        if len(told) > 1_000_000:
+            told.clear()
+        for (lang, shard), codes_of in parts.items():
+            joined = coded(np.concatenate(codes_of), lang)
+            names = [w for w in words_of.pop(lang, ()) if w != _BREAK]
+            own = coded(np.fromiter(map(codes.__getitem__, names), np.uint64, len(names)), lang).tolist()
+            new = [(c, w) for c, w in zip(own, names) if c not in told]
+            told.update(c for c, _ in new)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "lang": pa.array([lang], pa.string()),
+                    "words": pa.array([joined.tobytes()], pa.binary()),
+                    "n_words": pa.array([int(np.count_nonzero(joined))], pa.int64()),
+                    "new": pa.array([[{"code": c - (c >> 63 << 64), "word": w.decode("utf-8", "replace")} for c, w in new]], pa.list_(pa.struct([("code", pa.int64()), ("word", pa.string())]))),
+                    "shard": pa.array([shard], pa.int32()),
+                }
+            )
+
+
+def _active(words: np.ndarray, reached: Reached, scan: int, shards: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys, with their starts, and checks of all occurrences of active phrases, by length."""
+    at = np.flatnonzero(words)
+    keys, checks = word_keys(words[at]), words[at]
     if scan < shards:
-        yield words[words != 0]
-    since = reached.since(words)
-    at = np.flatnonzero(since <= scan)
-    since, keys = since[at], words[at]
+        yield keys, checks
     for n in range(2, longest + 1):
+        since = reached.since(keys)
+        known = np.flatnonzero(since <= scan)
+        at, since, keys, checks = at[known], since[known], keys[known], checks[known]
         first = np.flatnonzero(at[1:] == at[:-1] + 1)  # without the last word, and next to it without the first
         if not len(first):
             return
         at, start = at[first], np.maximum(since[first], since[first + 1])
-        keys = longer_keys(keys[first], words[at + n - 1], n)
+        last = words[at + n - 1]
+        keys, checks = longer_keys(keys[first], last, n), longer_checks(checks[first], last, n)
         on = start + np.uint64(shards) > scan
-        if on.any():
-            yield keys[on] | start[on]
-        if n < longest:
-            since = reached.since(keys)
-            known = since <= scan
-            at, since, keys = at[known], since[known], keys[known]
-
-
-def _counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sum of their counts, each 1 unless given."""
-    if counts is None:
-        return np.unique(keys, return_counts=True)
+        if on.all():
+            yield keys | start, checks
+        elif on.any():
+            yield keys[on] | start[on], checks[on]
+
+
+def _counted(keys: np.ndarray, checks: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys and checks and the sum of their counts, each 1 unless given."""
     order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts[order], first)
+    keys, checks = keys[order], checks[order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])]))
+    summed = np.diff(first, append=len(keys)) if counts is None else np.add.reduceat(counts[order], first)
+    return keys[first], checks[first], summed
 
 
 def _scan(batches: Iterator[pa.RecordBatch], packed: bytes, scan: int, shards: int, longest: int) -> Iterator[pa.RecordBatch]:
     """Counts of the active phrases of a shard, summed over the task."""
     reached = _unpacked(packed)
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, ...]] = []
     n_held = 0
     for batch in batches:
         for words in batch.column("words"):
-            for keys in _active(np.frombuffer(words.as_buffer(), np.uint64), reached, scan, shards, longest):
-                held.append(_counted(keys))
+            for keys, checks in _active(np.frombuffer(words.as_buffer(), np.uint64), reached, scan, shards, longest):
+                held.append(_counted(keys, checks))
                 n_held += len(held[-1][0])
             if n_held > GROUP_KEYS:
                 held = [_counted(*(np.concatenate(x) for x in zip(*held)))]
@@ -214,54 +237,36 @@ def _scan(batches: Iterator[pa.RecordBatch], packed: bytes, scan: int, shards: i
         yield _rows(*_counted(*(np.concatenate(x) for x in zip(*held))))
 
 
-def _rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "n"])
+def _rows(keys: np.ndarray, checks: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(checks.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "check", "n"])
 
 
-def _phrases(words: list[bytes], keys: np.ndarray, ids: np.ndarray, n_ids: int, reached: Reached, longest: int) -> Iterator[tuple[bytes, int]]:
-    """Phrases that may have reached the threshold, and their exact counts in these words. ``ids`` number the words."""
-    at = np.flatnonzero(reached.since(keys) != NEVER)
-    same, own = ids[at], keys[at]
-    for n in range(1, longest + 1):
-        if n > 1:
-            first = np.flatnonzero(at[1:] == at[:-1] + 1)
-            at, own = at[first], longer_keys(own[first], keys[at[first] + n - 1], n)
-            known = reached.since(own) != NEVER
-            # Equal phrases of n words are equal phrases of n - 1 words with an equal last word.
-            same = same[first][known] * n_ids + ids[at[known] + n - 1]
-            at, own = at[known], own[known]
-        if not len(at):
-            return
-        _, begin, same, times = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
-        for k, times_k in zip(at[begin].tolist(), times.tolist()):
-            yield b" ".join(words[k : k + n]), times_k
-
-
-def _name(batches: Iterator[pa.RecordBatch], packed: bytes, longest: int) -> Iterator[pa.RecordBatch]:
-    """Phrases that may have reached the threshold by their words, summed over the task as far as ``NAMES`` of them are held."""
-    reached = _unpacked(packed)
-    held: dict[str, dict[bytes, int]] = {}
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        for lang, counts in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array([p.decode("utf-8", "replace") for p in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "phrase", "n"])
-        held.clear()
-
-    for langs, found in _texts(batches):
-        by_lang: dict[str, list[bytes]] = {}
-        for lang, own in zip(langs, found):
-            by_lang.setdefault(lang, []).extend(own)
-        for lang, words in by_lang.items():
-            number: dict[bytes, int] = {}
-            ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-            codes = _Codes()
-            keys = word_keys(np.fromiter(map(codes.__getitem__, number), np.uint64, len(number)), lang)[ids]
-            counts = held.setdefault(lang, {})
-            for phrase, n in _phrases(words, keys, ids, len(number), reached, longest):
-                counts[phrase] = counts.get(phrase, 0) + n
-        if sum(map(len, held.values())) > NAMES:
-            yield from rows()
-    yield from rows()
+def _spell(batches: Iterator[pa.RecordBatch], packed: bytes, longest: int, spelled: int | None) -> Iterator[pa.RecordBatch]:
+    """Words of phrases whose slots tell the size of their count; about ``spelled`` occurrences of each, or all of them."""
+    sizes = _unpacked(packed)
+    for batch in batches:
+        for row in batch.column("words"):
+            words = np.frombuffer(row.as_buffer(), np.uint64)
+            salt = np.uint64(xxhash.xxh64_intdigest(row.as_buffer()))
+            at = np.flatnonzero(words)
+            keys, checks = word_keys(words[at]), words[at]
+            for n in range(1, longest + 1):
+                if n > 1:
+                    first = np.flatnonzero(at[1:] == at[:-1] + 1)
+                    at = at[first]
+                    last = words[at + n - 1]
+                    keys, checks = longer_keys(keys[first], last, n), longer_checks(checks[first], last, n)
+                size = sizes.since(keys)
+                known = size != NEVER
+                if spelled is not None:  # every frequent phrase is in the table, and so are its parts
+                    at, keys, checks, size = (x[known] for x in (at, keys, checks, size))
+                    known = np.ones(len(at), bool)
+                sent = known if spelled is None else known & (_mixed(checks + at.astype(np.uint64) + salt) >> np.uint64(40) < np.uint64(spelled << 24) >> np.minimum(size, 63).astype(np.uint64))
+                some = np.flatnonzero(sent)
+                if len(some):
+                    own = words[at[some][:, None] + np.arange(n)].view(np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, n, dtype=np.int32)), pa.array(own.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(checks[some].view(np.int64)), lists], names=["key", "check", "words"])
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -270,48 +275,76 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Scans:
-    """What dynamic counting leaves: the encoded shards, the table of what reached the threshold, and the scans that it took."""
+    """What dynamic counting leaves: the encoded shards, the frequent phrases by key and check (without starts), and the scans that it took."""
 
     shards: DataFrame
-    reached: Reached
+    frequent: DataFrame
     n_scans: int
 
 
+_ENCODED = "lang string, words binary, n_words long, new array<struct<code:bigint,word:string>>, shard int"
+
+
 def dynamic_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, shards: int = SHARDS, slot_bits: int = SLOT_BITS) -> Scans:
     if not 1 <= shards * longest < 1 << START_BITS:
         raise ValueError("shards times the longest phrase must be under 32")
     spark = docs.sparkSession
     path = scratch(spark, "shards")
-    encoded = _documents(docs).mapInArrow(lambda b: _encode(b, shards), "lang string, words binary, n_words long, shard int")
-    encoded.write.partitionBy("shard").option("compression", "zstd").parquet(path)
-    encoded = spark.read.schema("lang string, words binary, n_words long, shard int").parquet(path)
-    reached, running, scan, end = Reached.empty(slot_bits), None, 0, shards
+    _documents(docs).mapInArrow(lambda b: _encode(b, shards), _ENCODED).write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    encoded = spark.read.schema(_ENCODED).parquet(path)
+    reached, running, frequent, scan, end = Reached.empty(slot_bits), None, None, 0, shards
+    start = F.col("key").bitwiseAND(F.lit((1 << START_BITS) - 1))
     while scan < end:
         sent = spark.sparkContext.broadcast(reached.packed())
         rows = encoded.where(F.col("shard") == scan % shards).select("words")
-        counted = rows.mapInArrow(lambda b, scan=scan, sent=sent: _scan(b, sent.value, scan, shards, longest), "key long, n long").withColumn("before", F.lit(0).cast("long"))
+        counted = rows.mapInArrow(lambda b, scan=scan, sent=sent: _scan(b, sent.value, scan, shards, longest), "key long, check long, n long").withColumn("before", F.lit(0).cast("long"))
         if running is not None:
-            counted = counted.unionByName(running.select("key", "n", F.col("n").alias("before")))
-        state = materialise(counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("before").alias("before")), "active-phrases")
+            counted = counted.unionByName(running.select("key", "check", "n", F.col("n").alias("before")))
+        state = materialise(counted.groupBy("key", "check").agg(F.sum("n").alias("n"), F.sum("before").alias("before")), "active-phrases")
         new = state.where((F.col("n") >= min_count) & (F.col("before") < min_count)).select(F.explode(reached.places()).alias("place")).distinct()
         places = new.toArrow().column("place").to_numpy()  # never more than there are slots
-        running = state.where(F.col("key").bitwiseAND(F.lit((1 << START_BITS) - 1)) + shards - 1 > scan)
+        running = state.where(start + shards - 1 > scan)
+        complete = state.where((start + shards - 1 == scan) & (F.col("n") >= min_count)).select(F.col("key").bitwiseAND(F.lit(-(1 << START_BITS))).alias("key"), "check", "n")
+        frequent = complete if frequent is None else frequent.unionByName(complete)
         sent.destroy()
         scan += 1
         if len(places):  # what they make active needs a full cycle
             reached, end = reached.with_new(places, scan), scan + shards
-    return Scans(encoded, reached, scan)
+    return Scans(encoded, materialise(frequent, "frequent-keys"), scan)
+
+
+def _sizes(frequent: DataFrame, slot_bits: int) -> Reached:
+    """For the slots of each phrase, the larger binary logarithm of a count."""
+    empty = Reached.empty(slot_bits)
+    by_place = frequent.select(F.explode(empty.places()).alias("place"), F.floor(F.log2("n")).cast("int").alias("size")).groupBy("place").agg(F.max("size").alias("size")).toArrow()
+    slots = empty.slots
+    slots[by_place.column("place").to_numpy()] = by_place.column("size").to_numpy()
+    return Reached(slots)
+
+
+def spell(scans: Scans, longest: int = LONGEST, slot_bits: int = SLOT_BITS, spelled: int = SPELLED) -> DataFrame:
+    """(lang, phrase, size, n) of the frequent phrases."""
+    missing, found, rate = scans.frequent, None, spelled
+    while True:
+        sent = scans.frequent.sparkSession.sparkContext.broadcast(_sizes(missing, slot_bits).packed())
+        some = scans.shards.select("words").mapInArrow(lambda b, sent=sent, rate=rate: _spell(b, sent.value, longest, rate), "key long, check long, words array<bigint>")
+        some = materialise(some.join(missing, ["key", "check"]).dropDuplicates(["key", "check"]), "spelled")
+        sent.destroy()
+        found = some if found is None else found.unionByName(some)
+        missing = materialise(missing.join(some.select("key", "check"), ["key", "check"], "left_anti"), "not-spelled")
+        if rate is None or missing.isEmpty():
+            break
+        rate = None
+    named = scans.shards.select("lang", F.explode("new").alias("new")).select("lang", "new.code", "new.word").groupBy("code").agg(F.min("lang").alias("lang"), F.min("word").alias("word"))
+    parts = found.select("key", "check", "n", F.size("words").alias("size"), F.posexplode("words").alias("place", "code"))
+    joined = parts.join(named, "code").groupBy("key", "check", "n", "size").agg(F.min("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("place", "word"))).alias("words"))
+    return joined.select("lang", F.array_join(F.transform("words", lambda w: w["word"]), " ").alias("phrase"), "size", "n")
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, shards: int = SHARDS, slot_bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
     """(``lang``, ``phrase``, ``size``, ``n``) of all phrases of up to ``longest`` words with at least ``min_count`` occurrences; and (``lang``, ``total``) words of each language."""
     scans = dynamic_counts(docs, min_count, longest, shards, slot_bits)
-    sent = docs.sparkSession.sparkContext.broadcast(scans.reached.packed())
-    named = _documents(docs).mapInArrow(lambda b: _name(b, sent.value, longest), "lang string, phrase string, n long")
-    frequent = named.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).withColumn("size", F.size(F.split("phrase", " ")))
-    frequent = materialise(frequent, "frequent-phrases")
-    sent.destroy()
-    return frequent, scans.shards.groupBy("lang").agg(F.sum("n_words").alias("total"))
+    return materialise(spell(scans, longest, slot_bits), "frequent-phrases"), scans.shards.groupBy("lang").agg(F.sum("n_words").alias("total"))
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, top: int = TOP, shards: int = SHARDS, slot_bits: int = SLOT_BITS, absorbed_percent: int = ABSORBED_PERCENT) -> DataFrame:
