@@ -122,3 +122,43 @@ def _class_set_null(spark, sf_dir):
     brands = view(spark, sf_dir, "brand_sets")
     classes = brands.select("trace_id", "var", F.col("var").alias("class"))
     return members.class_set_null(members.lagged_moments(view(spark, sf_dir, "brands")), classes, brands.select("set_id", F.col("var").alias("class")).distinct())
+
+
+# ---- agents scored whole and by segments, and their regulation
+from mutua.operators import scoring  # noqa: E402
+from mutua.plans.registry import put  # noqa: E402
+
+#: Five agents of five brands each, dealt by number: two sensors, two internal ones, one action.
+add_view(
+    "brand_agents",
+    Op("""
+SELECT var, agent, CAST(place AS INT) AS place, CASE WHEN place <= 2 THEN 'sensor' WHEN place <= 4 THEN 'internal' ELSE 'action' END AS role
+FROM (SELECT var, agent, row_number() OVER (PARTITION BY agent ORDER BY number) AS place FROM (SELECT DISTINCT var, CAST(substr(var, 7) AS INT) AS number, CAST(substr(var, 7) AS INT) % 5 AS agent FROM {brands}) AS v) AS p
+"""),
+    "brands",
+)
+#: The days on which anything at all was shipped.
+add_view("brand_days", Op("SELECT trace_id, t, sum(value) > 0 AS active FROM {brands} GROUP BY trace_id, t"), "brands")
+_REGULATION = scoring.regulation_scores(ratio_max=2.0)
+add_view("brand_regulation", Op(_REGULATION.text.replace("{trace}", "{brands}").replace("{roles}", "{brand_agents}").replace("{active}", "{brand_days}")), "brands", "brand_agents", "brand_days", cut=True)
+put("regulation_scores", _REGULATION, "flatness ratio compensation regulation", trace="brands", roles="brand_agents", active="brand_days")
+put("regulation_by_agent", scoring.regulation_by_agent(), "max_regulation", trace="brands", roles="brand_agents", scores="brand_regulation")
+
+
+def _outcomes(spark):
+    outcomes = spark.createDataFrame([("first", "Brand#1", "lower_is_better"), ("last", "Brand#25", "higher_is_better")], "name string, var string, direction string")
+    return outcomes, spark.createDataFrame([("Brand#2",), ("Brand#3",)], "var string")
+
+
+@register("segment_scores")
+def _segment_scores(spark, sf_dir):
+    """Every agent on two outcomes, by segments of every trace."""
+    trace, roles = view(spark, sf_dir, "brands"), view(spark, sf_dir, "brand_agents")
+    activity = scoring.agent_activity(trace, roles)
+    series = scoring.agent_series(trace, roles, *_outcomes(spark), activity)
+    return scoring.score_outcomes(series, activity, trace.select("trace_id").distinct())
+
+
+@register("recording_scores")
+def _recording_scores(spark, sf_dir):
+    return scoring.score_recordings(view(spark, sf_dir, "brands"), view(spark, sf_dir, "brand_agents"), *_outcomes(spark))[1]
