@@ -87,7 +87,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def coded(codes: np.ndarray, lang: str) -> np.ndarray:
     """Codes of a language's words from those of words; 0 stays a break."""
-    return np.where(codes == 0, np.uint64(0), np.maximum(_mixed(codes ^ np.uint64(xxhash.xxh64_intdigest(lang.encode()))), np.uint64(1)))
+    return np.where(codes == 0, np.uint64(0), np.maximum(_mixed(codes ^ np.uint64(xxhash.xxh64_intdigest(lang.encode(), 1))), np.uint64(1)))
 
 
 def word_keys(words: np.ndarray) -> np.ndarray:
