@@ -189,7 +189,7 @@ def _active(words: np.ndarray, reached: Reached, scan: int, shards: int, longest
     """Keys, with their starts, and checks of all occurrences of active phrases, by length."""
     at = np.flatnonzero(words)
     keys, checks = word_keys(words[at]), words[at]
-    if scan < shards:
+    if scan < shards and len(at):
         yield keys, checks
     for n in range(2, longest + 1):
         since = reached.since(keys)
