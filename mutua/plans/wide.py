@@ -162,3 +162,33 @@ def _segment_scores(spark, sf_dir):
 @register("recording_scores")
 def _recording_scores(spark, sf_dir):
     return scoring.score_recordings(view(spark, sf_dir, "brands"), view(spark, sf_dir, "brand_agents"), *_outcomes(spark))[1]
+
+
+# ---- flows given grown keys, and scores against blocks
+from mutua.operators import directed, keys  # noqa: E402
+
+_ONE_KEY = directed.best_key_scores().duckdb(binary=view_sql("binary"))
+
+
+@register("one_key_flows", f"SELECT trace_id, src, dst, round(plain, 9) + 0.0 AS plain, round(best, 9) + 0.0 AS best FROM ({_ONE_KEY})")
+def _one_key_flows(spark, sf_dir):
+    flows = keys.grown_flows(keys.variable_labels(view(spark, sf_dir, "binary")), depth=1)
+    return _rounded(flows.select("trace_id", F.col("src.var").alias("src"), F.col("dst.var").alias("dst"), "plain", "best"), "plain", "best")
+
+
+@register("grown_scores")
+def _grown_scores(spark, sf_dir):
+    binary = view(spark, sf_dir, "binary")
+    return keys.grown_scores(keys.grown_flows(keys.variable_labels(binary)), directed.fused_scores()(binary=binary), "error")
+
+
+@register("keyring_scores")
+def _keyring_scores(spark, sf_dir):
+    blocks = view(spark, sf_dir, "clusters").select("trace_id", "var", F.col("cluster").alias("block"))
+    return keys.block_scores(view(spark, sf_dir, "binary"), blocks, "keyring", "error")
+
+
+@register("menu_scores")
+def _menu_scores(spark, sf_dir):
+    blocks = view(spark, sf_dir, "clusters").select("trace_id", "var", F.col("cluster").alias("block"))
+    return keys.block_scores(view(spark, sf_dir, "binary"), blocks, "menu", "error")
