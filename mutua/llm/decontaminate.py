@@ -4,10 +4,13 @@ Each shard (one Arrow batch of documents) is numbered with the benchmark's
 vocabulary and gets a suffix array: the positions whose next words can begin a
 match, sorted by the words that follow. Every suffix of every benchmark item is
 binary-searched in it, suffixes with equal windows once; the range found lists all
-verbatim occurrences, and each one that does not begin inside a longer one is extended
-to its longest match. Suffixes are ordered to the depth of one window, which is all
-that a search compares; a position followed by a word outside the vocabulary within the
-shortest window cannot match and is left out.
+verbatim occurrences. The shard's suffixes are ordered to the depth of one window, which is all
+that this search compares; a position followed by a word outside the vocabulary within the
+shortest window cannot match and is left out. The benchmark's own suffixes are ordered
+to their ends: the longest match of a place is found by narrowing the range of suffixes
+with its window word by word, so that items with a common beginning cost no more than one.
+Locations of all maximal matches are listed only on request (``locate``): there are as many as
+items and places that match.
 
 The benchmark is the only thing sent to every task. Its size is checked against
 ``MAX_QUERY_WORDS``; a larger benchmark is searched in blocks of that size, each over all
@@ -23,6 +26,7 @@ clean results; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Any
 
@@ -55,6 +59,10 @@ class Suffixes:
             if ids:
                 by_words.setdefault(ids, set()).update([item_id] if item_id is not None else [])
         self.item_ids = [sorted(x) for x in by_words.values()]  # of items with equal words
+        self.ids = sorted(x for own in self.item_ids for x in own)
+        place = {x: k for k, x in enumerate(self.ids)}
+        self.id_places = np.array([place[x] for own in self.item_ids for x in own], np.int64)
+        self.ids_from = np.concatenate([[0], np.cumsum([len(own) for own in self.item_ids])]).astype(np.int64)
         words, starts, owners, lengths = [], [], [], []
         at = 0
         for k, ids in enumerate(by_words):
@@ -73,7 +81,7 @@ class Suffixes:
         # Suffixes with equal windows: their number, and the suffixes of each.
         low = self._windows(self.starts, self.lengths)
         _, self.one, inverse = np.unique(low, return_index=True, return_inverse=True) if starts else (None, np.empty(0, np.int64), np.empty(0, np.int64))
-        self.same = np.argsort(inverse, kind="stable")
+        self.same = np.lexsort((self._ranks()[self.starts], inverse))
         self.same_from = np.searchsorted(inverse[self.same], np.arange(len(self.one) + 1))
 
     def _windows(self, starts: np.ndarray, lengths: np.ndarray, beyond: int = 0) -> np.ndarray:
@@ -87,10 +95,54 @@ class Suffixes:
             np.put_along_axis(keys, (lengths - 1)[:, None], np.take_along_axis(keys, (lengths - 1)[:, None], 1) + beyond, 1)
         return np.ascontiguousarray(keys).reshape(-1).view(f"S{4 * w}")
 
+    def _ranks(self) -> np.ndarray:
+        """The order of all suffixes to their items' ends, by doubling the words compared."""
+        ranks, depth = self.words.astype(np.int64), 1
+        longest = int(np.diff(np.flatnonzero(np.concatenate([[True], self.words == 0]))).max(initial=1))
+        while depth < longest:
+            after = np.concatenate([ranks[depth:], np.zeros(min(depth, len(ranks)), np.int64)])[: len(ranks)]
+            ranks = np.unique(ranks * (ranks.max() + 1) + after, return_inverse=True)[1].astype(np.int64)
+            depth *= 2
+        return ranks
+
+    def longest(self, words: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """For each place ``at`` where the window ``which`` occurs, how many words agree with some item from there."""
+        low, high = self.same_from[which].copy(), self.same_from[which + 1].copy()
+        depth = self.lengths[self.one][which].copy()
+        live = np.arange(len(at))
+        while len(live):
+            ahead = at[live] + depth[live]
+            live = live[ahead < len(words)]
+            word = words[at[live] + depth[live]]
+            live, word = live[word != 0], word[word != 0]
+            begin, end = (self._first(low[live], high[live], depth[live], word + k) for k in (0, 1))
+            found = begin < end
+            live, begin, end = live[found], begin[found], end[found]
+            low[live], high[live] = begin, end
+            depth[live] += 1
+        return depth
+
+    def _first(self, low: np.ndarray, high: np.ndarray, depth: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The first suffix of each range whose word at ``depth`` is ``word`` or more."""
+        low, high = low.copy(), high.copy()
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            less = np.zeros(len(low), bool)
+            less[open_] = self.words[self.starts[self.same[middle[open_]]] + depth[open_]] < word[open_]
+            low, high = np.where(open_ & less, middle + 1, low), np.where(open_ & ~less, middle, high)
+        return low
+
     def expand(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each of ``which`` (numbers of windows), its place and each suffix that begins with it."""
         return _ranges(self.same_from[which], self.same_from[which + 1], self.same)
 
+    def ids_of(self, windows: np.ndarray) -> list[str]:
+        """Sorted ids of the items that have any of these windows."""
+        _, suffix = self.expand(windows)
+        owners = np.unique(self.owners[suffix])
+        _, places = _ranges(self.ids_from[owners], self.ids_from[owners + 1], self.id_places)
+        return [self.ids[k] for k in np.unique(places).tolist()]
+
     def search(self, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each distinct window the range of the suffix array whose first words equal it."""
         starts, lengths = self.starts[self.one], self.lengths[self.one]
@@ -151,11 +203,13 @@ def _shards(batch: pa.RecordBatch) -> Iterator[list[Any]]:
         yield shard
 
 
+_NO_ITEMS = hashlib.sha256(b"").hexdigest()
 MATCH_TYPE = pa.struct([("item_id", pa.string()), ("word", pa.int32()), ("item_word", pa.int32()), ("length", pa.int32())])
-OUT = "n_words long, hits array<int>, items array<string>, matches array<struct<item_id:string,word:int,item_word:int,length:int>>"
+OUT = "n_words long, longest int, hits array<int>, items array<string>, n_items long, items_sha256 string, matches array<struct<item_id:string,word:int,item_word:int,length:int>>"
 
 
-def _find(batches: Iterator[pa.RecordBatch], query: Suffixes, locate: bool) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], query: Suffixes, locate: bool, lists: bool = True) -> Iterator[pa.RecordBatch]:
+    """``lists``: whether ids of items are sent, or only their number and digest."""
     number = query.vocabulary.get
     for batch in batches:
         for shard in _shards(batch):
@@ -166,6 +220,8 @@ def _find(batches: Iterator[pa.RecordBatch], query: Suffixes, locate: bool) -> I
                 words[b : b + len(own)] = [number(w, 0) for w in own]
             hits: list[list[int]] = [[] for _ in shard]
             items: list[list[str]] = [[] for _ in shard]
+            digests = [(0, _NO_ITEMS)] * len(shard)
+            longest = np.zeros(len(shard), np.int64)
             matches: list[list[dict]] = [[] for _ in shard]
             if len(query.starts):
                 which, at = match_shard(words, query)
@@ -179,9 +235,19 @@ def _find(batches: Iterator[pa.RecordBatch], query: Suffixes, locate: bool) -> I
                     hits[d].append(p)
                 doc = np.searchsorted(begins, at, "right") - 1
                 found = np.unique(np.stack([doc, which], 1), axis=0)
-                row, suffix = query.expand(found[:, 1])
-                for d, o in np.unique(np.stack([found[row, 0], query.owners[suffix]], 1), axis=0).tolist():
-                    items[d] += query.item_ids[o]
+                cuts = np.flatnonzero(np.diff(found[:, 0], prepend=-1))
+                for d, windows in zip(found[cuts, 0].tolist(), np.split(found[:, 1], cuts[1:])):
+                    own = query.ids_of(windows)
+                    digests[d] = len(own), hashlib.sha256(",".join(own).encode("utf-8", "replace")).hexdigest()
+                    if lists:
+                        items[d] = own
+                # A match from inside a run of hits is shorter than one from its beginning could be.
+                doc, on = np.searchsorted(begins, at, "right") - 1, np.cumsum(edge)[:-1] > 0
+                run_end = np.minimum.accumulate(np.where(on, len(words), np.arange(len(words)))[::-1])[::-1]
+                opens = (at == 0) | ~on[at - 1]
+                for part in (opens, ~opens):
+                    part &= run_end[at] - at > longest[doc]
+                    np.maximum.at(longest, doc[part], query.longest(words, at[part], which[part]))
                 if locate:
                     row, suffix = query.expand(which)
                     at, doc, starts, owners = at[row], doc[row], query.starts[suffix], query.owners[suffix]
@@ -192,8 +258,8 @@ def _find(batches: Iterator[pa.RecordBatch], query: Suffixes, locate: bool) -> I
                         matches[d] += [{"item_id": x, "word": p, "item_word": q, "length": n} for x in query.item_ids[o] or [None]]
             rows = pa.array([i for i, _ in shard])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), pa.array(counts), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(matches, pa.list_(MATCH_TYPE))],
-                names=["id", "n_words", "hits", "items", "matches"],
+                [batch.column(0).take(rows), pa.array(counts), pa.array(longest.astype(np.int32)), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array([n for n, _ in digests], pa.int64()), pa.array([x for _, x in digests]), pa.array(matches, pa.list_(MATCH_TYPE))],
+                names=["id", "n_words", "longest", "hits", "items", "n_items", "items_sha256", "matches"],
             )
 
 
@@ -205,8 +271,8 @@ def _blocks(benchmark: DataFrame, max_words: int) -> list[DataFrame]:
     return [benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)] if n > 1 else [benchmark]
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, locate: bool = True, max_words: int = MAX_QUERY_WORDS) -> DataFrame:
-    """Per document: ``id``, ``n_words``, ``hits`` (covered word positions), ``items`` (sorted ids of items found), ``matches`` (maximal verbatim matches)."""
+def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, locate: bool = False, lists: bool = True, max_words: int = MAX_QUERY_WORDS) -> DataFrame:
+    """Per document: ``id``, ``n_words``, ``hits`` (covered word positions), ``items`` (sorted ids of items found), ``longest`` (words of the longest verbatim match); with ``locate``, ``matches`` (all maximal ones); ``n_items`` and ``items_sha256``, all that is sent of the items without ``lists``."""
     kept = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     schema = f"id {kept.schema['id'].dataType.simpleString()}, {OUT}"
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
@@ -216,7 +282,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lo
         parts.append((query, block))
     if len(parts) == 1:
         query = parts[0][0]
-        return kept.mapInArrow(lambda b: _find(b, query, locate), schema).withColumn("items", F.array_sort(F.array_distinct("items")))
+        return kept.mapInArrow(lambda b: _find(b, query, locate, lists), schema)
     keyed = kept.withColumn("id", F.struct("id", F.xxhash64("text").alias("digest")))
     schema = f"id {keyed.schema['id'].dataType.simpleString()}, {OUT}"
     found = None
@@ -226,12 +292,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lo
     n = len(parts)
     merged = found.groupBy("id").agg(
         F.max("n_words").alias("n_words"),
+        F.max("longest").alias("longest"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_distinct(F.flatten(F.collect_list("matches"))).alias("matches"),
         (F.count(F.lit(1)) / n).cast("int").alias("copies"),
     )
-    return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("id.id", "n_words", "hits", "items", "matches")
+    return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("id.id", "n_words", "longest", "hits", "items", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "matches")
 
 
 def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> F.Column:
@@ -241,24 +308,24 @@ def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> F.Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document the contract's columns, ``longest_match``, the words of the longest verbatim match."""
-    return find_matches(docs, benchmark, window).select(
+    return find_matches(docs, benchmark, window, lists=False).select(
         F.col("id").alias("doc_id"),
         "n_words",
         F.size("hits").cast("long").alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "n_items",
+        "items_sha256",
         is_contaminated("size(hits)").alias("contaminated"),
-        F.coalesce(F.array_max(F.transform("matches", lambda m: m["length"])), F.lit(0)).cast("long").alias("longest_match"),
+        F.col("longest").cast("long").alias("longest_match"),
     )
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated. Rows are known by id and text, so a null id is no exception."""
-    digest = F.xxhash64("text")
-    keyed = docs.select(F.struct("doc_id", digest.alias("digest")).alias("doc_id"), "text")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_digest"))
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("doc_id"), "text")
     bad = contamination(keyed, benchmark, window).where("contaminated").select(F.col("doc_id.doc_id").alias("bad_id"), F.col("doc_id.digest").alias("bad_digest"))
     bad = materialise(bad.distinct(), "contaminated")  # its size then decides how it is joined
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")) & (digest == F.col("bad_digest")), "left_anti")
+    return rows.join(bad, F.col("own_id").eqNullSafe(F.col("bad_id")) & (F.col("own_digest") == F.col("bad_digest")), "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,6 +275,6 @@ def keep_one(docs: DataFrame, least: float, shingle_words: int = SHINGLE_WORDS)
     member = similar_groups(docs, least, shingle_words).where("first_id is not null")
     first = member.groupBy("grp").agg(F.min(F.struct("first_id", "first_hash")).alias("kept"))
     kept = materialise(first.select(F.col("kept.first_id").alias("kept_id"), F.col("kept.first_hash").alias("kept_hash")), "kept")
-    hashed = docs.withColumn("row_hash", row_hash())
-    one = hashed.join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("row_hash") == F.col("kept_hash")), "left_semi").dropDuplicates(["doc_id", "row_hash"])
-    return one.drop("row_hash").unionByName(docs.where("doc_id is null"))
+    rows = docs.where("doc_id is not null").select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), row_hash().alias("own_hash"))
+    one = rows.join(kept, (F.col("own_id") == F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash")), "left_semi").dropDuplicates(["own_id", "own_hash"])
+    return one.select("row.*").unionByName(docs.where("doc_id is null"))

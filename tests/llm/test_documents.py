@@ -217,3 +217,56 @@ def test_pipeline_stages(spark, sf_dir):
         stage(spark, odd, sf_dir).count()
     got = corpus_pipeline.run(spark, sf_dir).toPandas()
     assert got.doc_id.nunique() > 0 and (got.bin_used.dropna() <= got.bin_capacity.dropna()).all()
+
+
+@pytest.mark.parametrize("names", ["row_hash kept_id kept_hash node grp n key src", "bad_id bad_digest digest own_id own_digest id hits n_words", "row spans text_col changed masked kept own_hash component"])
+def test_clashing_columns_pass_every_stage(spark, sf_dir, names):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    docs = docs.withColumns({c: F.lit(c) for c in names.split()})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf_dir)
+        assert kept.columns == docs.columns and kept.count() > 0, name
+        assert {tuple(r) for r in kept.select(*names.split()).collect()} == {tuple(names.split())}, name
+
+
+def test_what_stages_keep(spark, sf_dir):
+    """Every stage against its operator's rule written again: which rows stay, and that they stay as they are."""
+    import duckdb
+
+    import corpus_pipeline
+    from mutua.llm import decontaminate, quality
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    kept = {name: {r.doc_id: r for r in stage(spark, docs, sf_dir).collect()} for name, stage in corpus_pipeline.STAGES[:-1]}
+    failed = {k for k, r in rows.items() if (s := quality.describe(r.text)) and quality.base_failed(s.n_words, s.n_repeat_words)}
+    assert failed and not failed & set(kept["quality rules"])
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    bad = {k for k, c in con.execute(f"SELECT doc_id, contaminated FROM ({decontaminate.ORACLE_SQL})").fetchall() if c}
+    assert set(kept["decontamination"]) == set(rows) - bad
+    for name in ("quality rules", "near duplicates", "decontamination"):
+        assert all(r == rows[k] for k, r in kept[name].items()), name
+    assert set(kept["secret scan"]) == set(rows)
+    changed = [k for k, r in kept["secret scan"].items() if r.text != rows[k].text]
+    assert changed and all("[SECRET]" in kept["secret scan"][k].text and kept["secret scan"][k].n_chars == len(kept["secret scan"][k].text) for k in changed)
+    # Near duplicates: pairs found by brute force over five-word shingles lose a row, all others stay.
+    shingles = {}
+    for k, r in rows.items():
+        w = (r.text or "").encode().lower().split()
+        shingles[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    ids = sorted(k for k in rows if shingles[k])
+    linked = {k: {k} for k in ids}
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+                joined = linked[a] | linked[b]
+                for c in joined:
+                    linked[c] = joined
+    want = {min(g) for g in linked.values()} | {k for k in rows if not shingles[k]}
+    got = set(kept["near duplicates"])
+    wordless = {k for k in rows if not shingles[k]}
+    assert want - got <= wordless and len(got - want) <= 0.02 * len(want)

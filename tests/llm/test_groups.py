@@ -251,14 +251,54 @@ def test_contamination(spark, max_words):
     texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 120))) for _ in range(60)] + [None, "", "cat " * 20, items[6][1], "zzz " + items[6][1] + " zzz"]
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, n_words int").repartition(3)
     bench = spark.createDataFrame(items, "item_id string, text string")
-    got = {r.id: r for r in decontaminate.find_matches(docs, bench, window=6, max_words=max_words).collect()}
+    got = {r.id: r for r in decontaminate.find_matches(docs, bench, window=6, locate=True, max_words=max_words).collect()}
     for k, t in enumerate(texts):
         n, hits, found = plain_hits(t, items, 6)
         assert (got[k].n_words, len(got[k].hits), list(got[k].items)) == (n, hits, found), t
+        assert got[k].longest == plain_longest(t, items, 6) == max((m.length for m in got[k].matches), default=0), t
     whole = [m for m in got[len(texts) - 1].matches if m.item_id == "6"]
     assert max(m.length for m in whole) >= 30
 
 
+def plain_longest(text, items, window):
+    """The most words in a row that a text and an item share, at least a window of the item."""
+    w, most = _words(text), 0
+    for _, item in items:
+        v = _words(item)
+        for at in range(len(w)):
+            for k in range(len(v)):
+                n = 0
+                while at + n < len(w) and k + n < len(v) and w[at + n] == v[k + n]:
+                    n += 1
+                most = max(most, n if n >= min(window, len(v)) else 0)
+    return most
+
+
+def test_templated_benchmark_costs_no_more_than_its_items():
+    """20,000 items with one beginning against texts that have it: nothing grows with both."""
+    import time
+    import tracemalloc
+
+    import pyarrow as pa
+
+    opening = " ".join(f"common{k}" for k in range(15))
+    items = [(str(k), f"{opening} own{k} own{k}b own{k}c") for k in range(20_000)]
+    texts = [f"lead {opening} own{k} own{k}b other" for k in range(199)] + [f"lead {opening}"]
+    query = decontaminate.Suffixes(items)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(200)), "text": texts})
+    plain = list(decontaminate._find(iter([batch.slice(0, 2)]), query, False))[0]
+    assert plain.column("longest").to_pylist() == [17, 17]
+    tracemalloc.start()
+    begin = time.perf_counter()
+    lengths = []
+    for part in decontaminate._find(iter([batch]), query, False, lists=False):
+        lengths += part.column("longest").to_pylist()
+    took, peak = time.perf_counter() - begin, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lengths == [17] * 199 + [15]
+    assert peak < 200e6 and took < 30, (peak, took)  # some seconds, with tracing on a busy machine
+
+
 def test_items_without_ids_hit_words(spark):
     item = " ".join(f"q{k}" for k in range(20))
     docs = spark.createDataFrame([(1, "x " + item + " y")], "doc_id long, text string")
