@@ -44,8 +44,13 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 def remove_scratch(spark: SparkSession) -> None:
     """Delete what this application has written to the shared folder. Results not read yet need it: call it at the application's end."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    discard(spark, run_dir(spark))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
