@@ -8,7 +8,7 @@ one full cycle, in which it meets every shard once. The scans end a cycle after
 the last phrase that reached the threshold.
 
 Words are 64-bit codes of language and word, phrases are known by two numbers made of
-their words' codes: a key, whose low bits tell the scan in which it began, and a check. Which keys
+their words' codes: a key of 58 bits, whose low bits tell the scan in which it began, and a check of 32. Which keys
 have reached the threshold, and after which scan, is in a table of ``2 ** SLOT_BITS`` bytes with two
 slots a phrase: all that is sent to tasks, of fixed size. Where phrases share slots, one is active too
 early or needlessly, which costs counting and changes no result: counts are by key and check.
@@ -38,19 +38,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mutua.storage import materialise, scratch, table
+from mutua.storage import discard, materialise, scratch, table
 
 QUERY = "op13_collocations"
 NO_LANG = "und"
 MIN_COUNT = 100
 LONGEST = 5
-SHARDS = 4
+SHARDS = 3
 TOP = 2000
 #: A phrase goes if a longer candidate that contains it has at least this share of its occurrences.
 ABSORBED_PERCENT = 100
 SLOT_BITS = 25
 #: Words that a task holds arrays for at a time, and distinct phrases that it sums before it sends them.
-GROUP_WORDS, GROUP_KEYS = 500_000, 4_000_000
+GROUP_WORDS, GROUP_KEYS = 500_000, 3_000_000
 NEVER = 255
 #: Low bits of a key that tell the scan in which it began; above them is a bit that no key lacks.
 START_BITS = 5
@@ -100,7 +100,7 @@ def longer_keys(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
 
 
 def longer_checks(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
-    """Checks of phrases of ``n`` words: a sum of codes, each times a power."""
+    """What checks of phrases of ``n`` words are made of: a sum of codes, each times a power."""
     return first + last * np.uint64(pow(0x9FB21C651E98DF25, n - 1, 1 << 64))
 
 
@@ -186,7 +186,7 @@ def _encode(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Recor
 
 
 def _active(words: np.ndarray, reached: Reached, scan: int, shards: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys, with their starts, and checks of all occurrences of active phrases, by length."""
+    """Keys, with their starts, and sums for checks of all occurrences of active phrases, by length."""
     at = np.flatnonzero(words)
     keys, checks = word_keys(words[at]), words[at]
     if scan < shards and len(at):
@@ -208,6 +208,10 @@ def _active(words: np.ndarray, reached: Reached, scan: int, shards: int, longest
             yield keys[on] | start[on], checks[on]
 
 
+def _check(sums: np.ndarray) -> np.ndarray:
+    return (sums * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32)
+
+
 def _counted(keys: np.ndarray, checks: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys and checks and the sum of their counts, each 1 unless given."""
     order = np.argsort(keys)
@@ -225,7 +229,7 @@ def _scan(batches: Iterator[pa.RecordBatch], packed: bytes, scan: int, shards: i
     for batch in batches:
         for words in batch.column("words"):
             for keys, checks in _active(np.frombuffer(words.as_buffer(), np.uint64), reached, scan, shards, longest):
-                held.append(_counted(keys, checks))
+                held.append(_counted(keys, _check(checks)))
                 n_held += len(held[-1][0])
             if n_held > GROUP_KEYS:
                 held = [_counted(*(np.concatenate(x) for x in zip(*held)))]
@@ -238,7 +242,7 @@ def _scan(batches: Iterator[pa.RecordBatch], packed: bytes, scan: int, shards: i
 
 
 def _rows(keys: np.ndarray, checks: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(checks.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "check", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(checks.view(np.int32)), pa.array(counts.astype(np.int64))], names=["key", "check", "n"])
 
 
 def _spell(batches: Iterator[pa.RecordBatch], packed: bytes, longest: int, spelled: int | None) -> Iterator[pa.RecordBatch]:
@@ -266,7 +270,7 @@ def _spell(batches: Iterator[pa.RecordBatch], packed: bytes, longest: int, spell
                 if len(some):
                     own = words[at[some][:, None] + np.arange(n)].view(np.int64)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, n, dtype=np.int32)), pa.array(own.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(checks[some].view(np.int64)), lists], names=["key", "check", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(_check(checks[some]).view(np.int32)), lists], names=["key", "check", "words"])
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -289,24 +293,29 @@ def dynamic_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = L
     if not 1 <= shards * longest < 1 << START_BITS:
         raise ValueError("shards times the longest phrase must be under 32")
     spark = docs.sparkSession
-    path = scratch(spark, "shards")
-    _documents(docs).mapInArrow(lambda b: _encode(b, shards), _ENCODED).write.partitionBy("shard").option("compression", "zstd").parquet(path)
-    encoded = spark.read.schema(_ENCODED).parquet(path)
+    folder, path = scratch(spark, "shards"), None
+    _documents(docs).mapInArrow(lambda b: _encode(b, shards), _ENCODED).write.partitionBy("shard").option("compression", "zstd").parquet(folder)
+    encoded = spark.read.schema(_ENCODED).parquet(folder)
     reached, running, frequent, scan, end = Reached.empty(slot_bits), None, None, 0, shards
     start = F.col("key").bitwiseAND(F.lit((1 << START_BITS) - 1))
     while scan < end:
         sent = spark.sparkContext.broadcast(reached.packed())
         rows = encoded.where(F.col("shard") == scan % shards).select("words")
-        counted = rows.mapInArrow(lambda b, scan=scan, sent=sent: _scan(b, sent.value, scan, shards, longest), "key long, check long, n long").withColumn("before", F.lit(0).cast("long"))
+        counted = rows.mapInArrow(lambda b, scan=scan, sent=sent: _scan(b, sent.value, scan, shards, longest), "key long, check int, n long").withColumn("before", F.lit(0).cast("long"))
         if running is not None:
             counted = counted.unionByName(running.select("key", "check", "n", F.col("n").alias("before")))
-        state = materialise(counted.groupBy("key", "check").agg(F.sum("n").alias("n"), F.sum("before").alias("before")), "active-phrases")
+        before, path = path, scratch(spark, "active-phrases")
+        counted.groupBy("key", "check").agg(F.sum("n").alias("n"), F.sum("before").alias("before")).write.parquet(path)
+        state = spark.read.schema("key long, check int, n long, before long").parquet(path)
         new = state.where((F.col("n") >= min_count) & (F.col("before") < min_count)).select(F.explode(reached.places()).alias("place")).distinct()
         places = new.toArrow().column("place").to_numpy()  # never more than there are slots
         running = state.where(start + shards - 1 > scan)
         complete = state.where((start + shards - 1 == scan) & (F.col("n") >= min_count)).select(F.col("key").bitwiseAND(F.lit(-(1 << START_BITS))).alias("key"), "check", "n")
+        complete = materialise(complete, "complete-phrases")
         frequent = complete if frequent is None else frequent.unionByName(complete)
         sent.destroy()
+        if before is not None:
+            discard(spark, before)
         scan += 1
         if len(places):  # what they make active needs a full cycle
             reached, end = reached.with_new(places, scan), scan + shards
@@ -327,7 +336,7 @@ def spell(scans: Scans, longest: int = LONGEST, slot_bits: int = SLOT_BITS, spel
     missing, found, rate = scans.frequent, None, spelled
     while True:
         sent = scans.frequent.sparkSession.sparkContext.broadcast(_sizes(missing, slot_bits).packed())
-        some = scans.shards.select("words").mapInArrow(lambda b, sent=sent, rate=rate: _spell(b, sent.value, longest, rate), "key long, check long, words array<bigint>")
+        some = scans.shards.select("words").mapInArrow(lambda b, sent=sent, rate=rate: _spell(b, sent.value, longest, rate), "key long, check int, words array<bigint>")
         some = materialise(some.join(missing, ["key", "check"]).dropDuplicates(["key", "check"]), "spelled")
         sent.destroy()
         found = some if found is None else found.unionByName(some)
