@@ -192,3 +192,26 @@ def _keyring_scores(spark, sf_dir):
 def _menu_scores(spark, sf_dir):
     blocks = view(spark, sf_dir, "clusters").select("trace_id", "var", F.col("cluster").alias("block"))
     return keys.block_scores(view(spark, sf_dir, "binary"), blocks, "menu", "error")
+
+
+# ---- interventions: every fourth hour is undisturbed, the others' kinds and handles follow the hour
+from mutua.operators import interventions  # noqa: E402
+from mutua.operators.information import PLUGIN_CMI  # noqa: E402
+
+add_view(
+    "hour_operations",
+    Op("""
+WITH v AS (SELECT trace_id, var, row_number() OVER (PARTITION BY trace_id ORDER BY var) - 1 AS place, count(*) OVER (PARTITION BY trace_id) AS n FROM (SELECT DISTINCT trace_id, var FROM {binary}) AS d),
+k AS (SELECT DISTINCT trace_id, t FROM {binary})
+SELECT k.trace_id, k.t, CASE k.t % 4 WHEN 1 THEN 'sensor_flip' WHEN 2 THEN 'action_block' WHEN 3 THEN 'goal_flip' END AS op, CASE WHEN k.t % 4 > 0 THEN v.var END AS handle FROM k JOIN v ON v.trace_id = k.trace_id AND v.place = DIV(k.t, 4) % v.n
+"""),
+    "binary", cut=True,
+)
+add_view("test_observations", Op(interventions.OBSERVATIONS.text.replace("{operations}", "{hour_operations}").replace("{candidates}", "{candidate_table}")), "binary", "hour_operations", "candidate_table", cut=True)
+add_view("test_terms", Op(PLUGIN_CMI.text.replace("{observed}", "{test_observations}")), "test_observations", cut=True)
+put("interventional_score", interventions.INTERVENTIONAL_SCORE, "sensor_int action_int goal_int interventional", terms="test_terms", candidates="candidate_table")
+
+
+@register("active_loop")
+def _active_loop(spark, sf_dir):
+    return interventions.active_loop(view(spark, sf_dir, "binary"), view(spark, sf_dir, "hour_operations"), view(spark, sf_dir, "scored"), rounds=3, batch=30)
