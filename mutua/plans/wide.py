@@ -215,3 +215,32 @@ put("interventional_score", interventions.INTERVENTIONAL_SCORE, "sensor_int acti
 @register("active_loop")
 def _active_loop(spark, sf_dir):
     return interventions.active_loop(view(spark, sf_dir, "binary"), view(spark, sf_dir, "hour_operations"), view(spark, sf_dir, "scored"), rounds=3, batch=30)
+
+
+# ---- communities by lagged affinity, cut at many thresholds
+from mutua.operators import communities  # noqa: E402
+
+
+def _cuts(spark, sf_dir):
+    thresholds = spark.createDataFrame([(0.6,), (0.9,), (0.94,), (0.97,)], "threshold double")
+    return communities.cut(communities.dendrogram(communities.lagged_affinity(members.lagged_moments(view(spark, sf_dir, "brands")))), thresholds)
+
+
+@register("communities")
+def _communities(spark, sf_dir):
+    return communities.communities(_cuts(spark, sf_dir))
+
+
+@register("community_coverage")
+def _community_coverage(spark, sf_dir):
+    return communities.coverage(_cuts(spark, sf_dir))
+
+
+_AFFINITY = """
+WITH p AS (SELECT a.trace_id, a.var AS i, b.var AS j, covar_pop(a.value, b.value) / ((stddev_pop(a.value) + 1e-12) * (stddev_pop(b.value) + 1e-12)) AS r FROM h AS a JOIN h AS b ON b.trace_id = a.trace_id AND b.t = a.t + 1 AND b.var <> a.var GROUP BY a.trace_id, a.var, b.var)
+SELECT trace_id, least(i, j) AS i, greatest(i, j) AS j, round(max(abs(r)), 9) + 0.0 AS w FROM p GROUP BY trace_id, least(i, j), greatest(i, j)"""
+
+
+@register("lagged_affinity", f"WITH h AS ({view_sql('brands')}) SELECT * FROM ({_AFFINITY})")
+def _lagged_affinity(spark, sf_dir):
+    return _rounded(communities.lagged_affinity(members.lagged_moments(view(spark, sf_dir, "brands"))), "w")
