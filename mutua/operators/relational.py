@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mutua.operators import influence
 from mutua.operators.information import PLUGIN_BITS, _entropy_terms, _prefix
-from mutua.sqltext import Op
+from mutua.sqltext import Op, quoted
 
 #: Series of a trace without the alias variables.
 DROP_ALIASES = Op("SELECT t.trace_id, t.t, t.var, t.value FROM {trace} AS t WHERE NOT EXISTS (SELECT 1 FROM {aliases} AS a WHERE a.var = t.var)")
@@ -32,7 +32,7 @@ SELECT trace_id, var, row_number() OVER (PARTITION BY trace_id ORDER BY part, pl
 
 def operation_mask(op: str, handle: str | None = None, or_none: bool = False) -> Op:
     """Transitions (trace_id, t, op, handle) of an operation, of one handle if named, with those of no operation if asked."""
-    chosen = f"op = '{op}'" + (f" AND handle = '{handle}'" if handle is not None else "")
+    chosen = f"op = {quoted(op)}" + (f" AND handle = {quoted(handle)}" if handle is not None else "")
     return Op(f"SELECT trace_id, t, op, handle, ({chosen}){' OR op IS NULL' if or_none else ''} AS chosen FROM {{transitions}}")
 
 
@@ -86,8 +86,8 @@ i AS (SELECT trace_id, var, value, row_number() OVER (PARTITION BY trace_id, var
 SELECT i.trace_id, a.agent + o.before AS agent, i.var, i.k AS t, i.value FROM i JOIN a ON a.trace_id = i.trace_id AND a.var = i.var JOIN o ON o.trace_id = i.trace_id WHERE k < (SELECT min(n) FROM n)
 """)
 
-#: Place of the true candidate among the scored ones, 1 for the best; the share of candidates that it leaves behind.
-RANK_OF_TRUTH = Op("SELECT s.trace_id, min(CASE WHEN t.trace_id IS NOT NULL THEN place END) AS place, count(*) AS n FROM {scored} AS s LEFT JOIN {truth} AS t ON t.trace_id = s.trace_id AND t.b = s.b AND t.s = s.s AND t.a = s.a AND t.g = s.g AND t.e = s.e GROUP BY s.trace_id")
+#: Place of the true candidate among the scored ones, 1 for the best, and the share of candidates that it leaves behind; both null if it is not among them.
+RANK_OF_TRUTH = Op("SELECT s.trace_id, min(CASE WHEN t.trace_id IS NOT NULL THEN place END) AS place, count(*) AS n, CAST(count(*) - min(CASE WHEN t.trace_id IS NOT NULL THEN place END) AS DOUBLE) / count(*) AS left_behind FROM {scored} AS s LEFT JOIN {truth} AS t ON t.trace_id = s.trace_id AND t.b = s.b AND t.s = s.s AND t.a = s.a AND t.g = s.g AND t.e = s.e GROUP BY s.trace_id")
 
 
 def conservation(length: int = 3, alpha: float = 1e-6) -> Op:

@@ -272,7 +272,7 @@ put("family_rates", relational.FAMILY_RATES, "flagged_rate accuracy", "n", rows=
 put("checksum", relational.CHECKSUM, texts="page_texts")
 put("soft_zscore", relational.SOFT_ZSCORE, "z", trace="hourly")
 put("truncate_aligned", relational.TRUNCATE_ALIGNED, "value", "agent t", trace="shipped")
-put("rank_of_truth", relational.RANK_OF_TRUTH, ints="place n", scored="scored", truth="true_loops")
+put("rank_of_truth", relational.RANK_OF_TRUTH, "left_behind", "place n", scored="scored", truth="true_loops")
 put("conservation", relational.conservation(3), "total forward backward residual", runs="runs")
 put("bootstrap_cmi", relational.bootstrap_cmi(), "mean sd low high", "n", observed="next_rows")
 

@@ -40,6 +40,11 @@ MACROS: dict[str, tuple[Render, Render]] = {
 _MACRO = re.compile(r"\b(" + "|".join(MACROS) + r")\(")
 
 
+def quoted(text: str) -> str:
+    """``text`` as a literal of both engines."""
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _expand(text: str, engine: int) -> str:
     while m := _MACRO.search(text):
         depth, args, start, quoted = 1, [], m.end(), False
