@@ -5,7 +5,8 @@ A scan counts all phrases that are active, of every length at once. Words are ac
 first scan; a longer phrase becomes active after the scan in which the later of its two
 subphrases (without the last word, without the first) reached the threshold, and stays so for
 one full cycle, in which it meets every shard once. The scans end a cycle after
-the last phrase that reached the threshold.
+the last phrase that reached the threshold, and after ``shards`` scans for each length at the latest: words have
+then had their cycle, and each length begins its own when the length before has ended.
 
 Words are 64-bit codes of language and word, phrases are known by two numbers made of
 their words' codes: a key of 58 bits, whose low bits tell the scan in which it began, and a check of 32. Which keys
@@ -15,7 +16,7 @@ early or needlessly, which costs counting and changes no result: counts are by k
 
 Each task sums its own counts before they are shuffled. The counts of active phrases are a
 table of their own; those that have completed their cycle leave it, and are kept if they
-reached the threshold. In the end each frequent phrase is spelled: a pass over the shards sends
+reached the threshold. In the end each frequent phrase is spelled: a pass over the shards, which hold the texts beside the codes, sends
 the words of some ``SPELLED`` occurrences of each, however many there are (a hash of the place
 decides), and passes go on for those that none was sent of, then with every occurrence. Scans are written
 before the next begins, so a lost executor repeats a part of one scan.
@@ -49,8 +50,10 @@ TOP = 2000
 #: A phrase goes if a longer candidate that contains it has at least this share of its occurrences.
 ABSORBED_PERCENT = 100
 SLOT_BITS = 25
-#: Words that a task holds arrays for at a time, and distinct phrases that it sums before it sends them.
-GROUP_WORDS, GROUP_KEYS = 500_000, 3_000_000
+#: Bytes of text that a task holds arrays for at a time, and distinct phrases that it sums before it sends them.
+GROUP_BYTES, GROUP_KEYS = 3_000_000, 3_000_000
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 NEVER = 255
 #: Low bits of a key that tell the scan in which it began; above them is a bit that no key lacks.
 START_BITS = 5
@@ -58,26 +61,39 @@ _MARK, _LEFT = np.uint64(1 << START_BITS), np.uint64((1 << 64) - (1 << START_BIT
 #: Occurrences of each frequent phrase that are sent to spell it, on average.
 SPELLED = 16
 
-#: All separators become this one, which no word has.
-_BREAK = b"."
-_TO_BREAK = bytes.maketrans(b",;:!?\n\v\f\r", _BREAK * 9)
+#: A-Z are lower-cased, all separators become this one, which no word has, and tabs blanks.
+_BREAK, _BLANK = b".", b" "
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\v\f\r\t", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 9 + _BLANK)
+#: The first bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words in order, A-Z lower-cased, with a break at every separator and at the end."""
-    data = (text or "").encode("utf-8", "replace").lower().translate(_TO_BREAK)
-    return [*data.replace(_BREAK, b" . ").split(), _BREAK]
+def _hashed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ x >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ x >> np.uint64(33)
 
 
-class _Codes(dict):
-    """64-bit codes of words; a break is 0."""
+def word_places(data: bytes) -> tuple[np.ndarray, ...]:
+    """In a plain text that ends with a break: the blanks and breaks, which of them end a word, and begins and sizes of those words."""
+    plain = np.frombuffer(data, np.uint8)
+    stops = np.flatnonzero((plain == _BREAK[0]) | (plain == _BLANK[0]))
+    sizes = np.diff(stops, prepend=-1) - 1
+    ending = np.flatnonzero(sizes)
+    return stops, ending, stops[ending] - sizes[ending], sizes[ending]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        code = 0 if word == _BREAK else xxhash.xxh64_intdigest(word) or 1
-        self[word] = code
-        return code
+
+def word_codes(data: bytes, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit codes of the words at ``begins``, eight bytes at a time; never 0."""
+    eights = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
+    codes = _hashed(eights[begins] & _FIRST[np.minimum(sizes, 8)] ^ sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    at = np.flatnonzero(sizes > 8)
+    for k in range(8, LONG_WORD, 8):
+        at = at[sizes[at] > k]
+        codes[at] = _hashed(codes[at] ^ eights[begins[at] + k] & _FIRST[np.minimum(sizes[at] - k, 8)])
+    for k in at[sizes[at] > LONG_WORD].tolist():
+        codes[k] = xxhash.xxh64_intdigest(data[begins[k] : begins[k] + sizes[k]])
+    return np.maximum(codes, np.uint64(1))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -85,9 +101,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def coded(codes: np.ndarray, lang: str) -> np.ndarray:
-    """Codes of a language's words from those of words; 0 stays a break."""
-    return np.where(codes == 0, np.uint64(0), np.maximum(_mixed(codes ^ np.uint64(xxhash.xxh64_intdigest(lang.encode(), 1))), np.uint64(1)))
+def coded(codes: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """Codes of words of languages from those of words and of their languages."""
+    return np.maximum(_mixed(codes ^ langs), np.uint64(1))
 
 
 def word_keys(words: np.ndarray) -> np.ndarray:
@@ -99,9 +115,12 @@ def longer_keys(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
     return _mixed(first * np.uint64(0xC2B2AE3D27D4EB4F) + last * np.uint64(2 * n + 1)) & _LEFT | _MARK
 
 
-def longer_checks(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
-    """What checks of phrases of ``n`` words are made of: a sum of codes, each times a power."""
-    return first + last * np.uint64(pow(0x9FB21C651E98DF25, n - 1, 1 << 64))
+def phrase_checks(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Checks of the phrases of ``n`` words at places: of a sum of codes, each times a power."""
+    sums = words[at]
+    for k in range(1, n):
+        sums += words[at + k] * np.uint64(pow(0x9FB21C651E98DF25, k, 1 << 64))
+    return (sums * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32)
 
 
 @lru_cache(maxsize=1)
@@ -123,10 +142,14 @@ class Reached:
     def packed(self) -> bytes:
         return zlib.compress(self.slots.tobytes(), 1)
 
-    def since(self, keys: np.ndarray) -> np.ndarray:
+    def known(self, keys: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys have at most ``last`` in both slots, and the larger of the two."""
         mask = np.uint64(len(self.slots) - 1)
-        found = np.maximum(self.slots[keys >> np.uint64(START_BITS + 1) & mask], self.slots[keys >> np.uint64(35) & mask])
-        return found
+        one = self.slots[keys >> np.uint64(START_BITS + 1) & mask]
+        at = np.flatnonzero(one <= last)
+        both = np.maximum(one[at], self.slots[keys[at] >> np.uint64(35) & mask])
+        some = both <= last
+        return (at, both) if some.all() else (at[some], both[some])
 
     def places(self, key: str = "key") -> F.Column:
         """The two slots of a key as Spark expressions."""
@@ -140,76 +163,70 @@ class Reached:
         return Reached(slots)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[list[bytes]]]]:
-    """Languages and tokens of documents, as many at a time as hold about ``GROUP_WORDS``."""
-    langs, found, n = [], [], 0
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[bytes]]]:
+    """Languages and texts of documents, as many at a time as hold about ``GROUP_BYTES``."""
+    langs, texts, n = [], [], 0
     for batch in batches:
-        for lang, text in zip(batch.column("lang"), batch.column("text")):
-            langs.append(lang.as_py())
-            found.append(tokens(text.as_py()))
-            n += len(found[-1])
-            if n >= GROUP_WORDS:
-                yield langs, found
-                langs, found, n = [], [], 0
-    if found:
-        yield langs, found
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+            langs.append(lang)
+            texts.append(text)
+            n += len(text)
+            if n >= GROUP_BYTES:
+                yield langs, texts
+                langs, texts, n = [], [], 0
+    if texts:
+        yield langs, texts
 
 
 def _encode(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Documents dealt to shards in turn; a row has the codes of a language's documents in one shard, and the words that the task had not met before."""
-    codes, turn = _Codes(), 0
-    told: set[int] = set()
-    for langs, found in _texts(batches):
-        parts: dict[tuple[str, int], list[np.ndarray]] = {}
-        words_of: dict[str, set[bytes]] = {}
-        for lang, words in zip(langs, found):
-            parts.setdefault((lang, turn % shards), []).append(np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)))
-            words_of.setdefault(lang, set()).update(words)
+    """Documents dealt to shards in turn; a row has the plain text of a language's documents in one shard and its words' codes, 0 for a break."""
+    turn = 0
+    for langs, texts in _texts(batches):
+        data = (_BREAK.join(texts) + _BREAK).translate(_PLAIN)
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        stops, ending, begins, sizes = word_places(data)
+        numbers = {lang: k for k, lang in enumerate(dict.fromkeys(langs))}
+        salts = np.array([xxhash.xxh64_intdigest(lang.encode(), 1) for lang in numbers], np.uint64)
+        of = np.array([numbers[lang] for lang in langs])[np.searchsorted(bounds, begins, "right")]
+        both = np.zeros((len(stops), 2), np.uint64)  # what ends at a stop: a word, a piece, or both
+        both[ending, 0] = coded(word_codes(data, begins, sizes), salts[of])
+        there = np.stack([both[:, 0] != 0, np.frombuffer(data, np.uint8)[stops] == _BREAK[0]], axis=1)
+        codes = both[there]
+        ends = np.cumsum(there.sum(axis=1))[np.searchsorted(stops, bounds - 1)].tolist()
+        parts: dict[tuple[str, int], list[tuple[np.ndarray, bytes]]] = {}
+        for lang, size, bound, begin, end in zip(langs, map(len, texts), bounds.tolist(), [0, *ends], ends):
+            parts.setdefault((lang, turn % shards), []).append((codes[begin:end], data[bound - size - 1 : bound]))
             turn += 1
-        if len(told) > 1_000_000:
-            told.clear()
-        for (lang, shard), codes_of in parts.items():
-            joined = coded(np.concatenate(codes_of), lang)
-            names = [w for w in words_of.pop(lang, ()) if w != _BREAK]
-            own = coded(np.fromiter(map(codes.__getitem__, names), np.uint64, len(names)), lang).tolist()
-            new = [(c, w) for c, w in zip(own, names) if c not in told]
-            told.update(c for c, _ in new)
+        for (lang, shard), own in parts.items():
+            words = np.concatenate([c for c, _ in own])
             yield pa.RecordBatch.from_pydict(
                 {
                     "lang": pa.array([lang], pa.string()),
-                    "words": pa.array([joined.tobytes()], pa.binary()),
-                    "n_words": pa.array([int(np.count_nonzero(joined))], pa.int64()),
-                    "new": pa.array([[{"code": c - (c >> 63 << 64), "word": w.decode("utf-8", "replace")} for c, w in new]], pa.list_(pa.struct([("code", pa.int64()), ("word", pa.string())]))),
+                    "words": pa.array([words.tobytes()], pa.binary()),
+                    "n_words": pa.array([int(np.count_nonzero(words))], pa.int64()),
+                    "text": pa.array([b"".join([t for _, t in own])], pa.binary()),
                     "shard": pa.array([shard], pa.int32()),
                 }
             )
 
 
 def _active(words: np.ndarray, reached: Reached, scan: int, shards: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys, with their starts, and sums for checks of all occurrences of active phrases, by length."""
+    """Keys, with their starts, and checks of all occurrences of active phrases, by length."""
     at = np.flatnonzero(words)
-    keys, checks = word_keys(words[at]), words[at]
+    keys = word_keys(words[at])
     if scan < shards and len(at):
-        yield keys, checks
+        yield keys, phrase_checks(words, at, 1)
     for n in range(2, longest + 1):
-        since = reached.since(keys)
-        known = np.flatnonzero(since <= scan)
-        at, since, keys, checks = at[known], since[known], keys[known], checks[known]
-        first = np.flatnonzero(at[1:] == at[:-1] + 1)  # without the last word, and next to it without the first
+        known, since = reached.known(keys, scan)
+        own = at[known]
+        first = np.flatnonzero(own[1:] == own[:-1] + 1)  # without the last word, and next to it without the first
         if not len(first):
             return
-        at, start = at[first], np.maximum(since[first], since[first + 1])
-        last = words[at + n - 1]
-        keys, checks = longer_keys(keys[first], last, n), longer_checks(checks[first], last, n)
-        on = start + np.uint64(shards) > scan
-        if on.all():
-            yield keys | start, checks
-        elif on.any():
-            yield keys[on] | start[on], checks[on]
-
-
-def _check(sums: np.ndarray) -> np.ndarray:
-    return (sums * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32)
+        at, start = own[first], np.maximum(since[first], since[first + 1])
+        keys = longer_keys(keys[known[first]], words[at + n - 1], n)
+        on = np.flatnonzero(start > scan - shards) if scan >= shards else np.arange(len(at))
+        if len(on):
+            yield keys[on] | start[on], phrase_checks(words, at[on], n)
 
 
 def _counted(keys: np.ndarray, checks: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,7 +246,7 @@ def _scan(batches: Iterator[pa.RecordBatch], packed: bytes, scan: int, shards: i
     for batch in batches:
         for words in batch.column("words"):
             for keys, checks in _active(np.frombuffer(words.as_buffer(), np.uint64), reached, scan, shards, longest):
-                held.append(_counted(keys, _check(checks)))
+                held.append(_counted(keys, checks))
                 n_held += len(held[-1][0])
             if n_held > GROUP_KEYS:
                 held = [_counted(*(np.concatenate(x) for x in zip(*held)))]
@@ -246,31 +263,30 @@ def _rows(keys: np.ndarray, checks: np.ndarray, counts: np.ndarray) -> pa.Record
 
 
 def _spell(batches: Iterator[pa.RecordBatch], packed: bytes, longest: int, spelled: int | None) -> Iterator[pa.RecordBatch]:
-    """Words of phrases whose slots tell the size of their count; about ``spelled`` occurrences of each, or all of them."""
+    """Phrases whose slots tell the size of their count; about ``spelled`` occurrences of each, or all of them."""
     sizes = _unpacked(packed)
     for batch in batches:
-        for row in batch.column("words"):
+        for lang, row, text in zip(batch.column("lang").to_pylist(), batch.column("words"), batch.column("text").to_pylist()):
             words = np.frombuffer(row.as_buffer(), np.uint64)
             salt = np.uint64(xxhash.xxh64_intdigest(row.as_buffer()))
-            at = np.flatnonzero(words)
-            keys, checks = word_keys(words[at]), words[at]
+            every = at = np.flatnonzero(words)
+            keys = word_keys(words[at])
+            _, _, begins, lengths = word_places(text)
             for n in range(1, longest + 1):
                 if n > 1:
                     first = np.flatnonzero(at[1:] == at[:-1] + 1)
                     at = at[first]
-                    last = words[at + n - 1]
-                    keys, checks = longer_keys(keys[first], last, n), longer_checks(checks[first], last, n)
-                size = sizes.since(keys)
-                known = size != NEVER
+                    keys = longer_keys(keys[first], words[at + n - 1], n)
+                some, size = sizes.known(keys, NEVER - 1)
                 if spelled is not None:  # every frequent phrase is in the table, and so are its parts
-                    at, keys, checks, size = (x[known] for x in (at, keys, checks, size))
-                    known = np.ones(len(at), bool)
-                sent = known if spelled is None else known & (_mixed(checks + at.astype(np.uint64) + salt) >> np.uint64(40) < np.uint64(spelled << 24) >> np.minimum(size, 63).astype(np.uint64))
-                some = np.flatnonzero(sent)
+                    at, keys = at[some], keys[some]
+                    some = np.flatnonzero(_mixed(keys + at.astype(np.uint64) + salt) >> np.uint64(40) < np.uint64(spelled << 24) >> np.minimum(size, 63).astype(np.uint64))
                 if len(some):
-                    own = words[at[some][:, None] + np.arange(n)].view(np.int64)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, n, dtype=np.int32)), pa.array(own.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(_check(checks[some]).view(np.int32)), lists], names=["key", "check", "words"])
+                    word = np.searchsorted(every, at[some])
+                    ends = begins[word + n - 1] + lengths[word + n - 1]
+                    phrases = [b" ".join(text[b:e].split()).decode("utf-8", "replace") for b, e in zip(begins[word].tolist(), ends.tolist())]
+                    columns = [pa.array(keys[some].view(np.int64)), pa.array(phrase_checks(words, at[some], n).view(np.int32)), pa.array([lang] * len(some), pa.string()), pa.array(phrases, pa.string()), pa.array([n] * len(some), pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "check", "lang", "phrase", "size"])
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -286,7 +302,7 @@ class Scans:
     n_scans: int
 
 
-_ENCODED = "lang string, words binary, n_words long, new array<struct<code:bigint,word:string>>, shard int"
+_ENCODED = "lang string, words binary, n_words long, text binary, shard int"
 
 
 def dynamic_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, shards: int = SHARDS, slot_bits: int = SLOT_BITS) -> Scans:
@@ -318,7 +334,7 @@ def dynamic_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = L
             discard(spark, before)
         scan += 1
         if len(places):  # what they make active needs a full cycle
-            reached, end = reached.with_new(places, scan), scan + shards
+            reached, end = reached.with_new(places, scan), min(scan + shards, shards * longest)
     return Scans(encoded, materialise(frequent, "frequent-keys"), scan)
 
 
@@ -336,7 +352,7 @@ def spell(scans: Scans, longest: int = LONGEST, slot_bits: int = SLOT_BITS, spel
     missing, found, rate = scans.frequent, None, spelled
     while True:
         sent = scans.frequent.sparkSession.sparkContext.broadcast(_sizes(missing, slot_bits).packed())
-        some = scans.shards.select("words").mapInArrow(lambda b, sent=sent, rate=rate: _spell(b, sent.value, longest, rate), "key long, check int, words array<bigint>")
+        some = scans.shards.select("lang", "words", "text").mapInArrow(lambda b, sent=sent, rate=rate: _spell(b, sent.value, longest, rate), "key long, check int, lang string, phrase string, size int")
         some = materialise(some.join(missing, ["key", "check"]).dropDuplicates(["key", "check"]), "spelled")
         sent.destroy()
         found = some if found is None else found.unionByName(some)
@@ -344,16 +360,13 @@ def spell(scans: Scans, longest: int = LONGEST, slot_bits: int = SLOT_BITS, spel
         if rate is None or missing.isEmpty():
             break
         rate = None
-    named = scans.shards.select("lang", F.explode("new").alias("new")).select("lang", "new.code", "new.word").groupBy("code").agg(F.min("lang").alias("lang"), F.min("word").alias("word"))
-    parts = found.select("key", "check", "n", F.size("words").alias("size"), F.posexplode("words").alias("place", "code"))
-    joined = parts.join(named, "code").groupBy("key", "check", "n", "size").agg(F.min("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("place", "word"))).alias("words"))
-    return joined.select("lang", F.array_join(F.transform("words", lambda w: w["word"]), " ").alias("phrase"), "size", "n")
+    return found.select("lang", "phrase", "size", "n")
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, shards: int = SHARDS, slot_bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
     """(``lang``, ``phrase``, ``size``, ``n``) of all phrases of up to ``longest`` words with at least ``min_count`` occurrences; and (``lang``, ``total``) words of each language."""
     scans = dynamic_counts(docs, min_count, longest, shards, slot_bits)
-    return materialise(spell(scans, longest, slot_bits), "frequent-phrases"), scans.shards.groupBy("lang").agg(F.sum("n_words").alias("total"))
+    return spell(scans, longest, slot_bits), scans.shards.groupBy("lang").agg(F.sum("n_words").alias("total"))
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, top: int = TOP, shards: int = SHARDS, slot_bits: int = SLOT_BITS, absorbed_percent: int = ABSORBED_PERCENT) -> DataFrame:

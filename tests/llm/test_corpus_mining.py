@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mutua.llm import collocations, resample, toxicity
@@ -197,6 +198,37 @@ def test_collocations_late_in_the_scans(spark):
     assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got.collect()) == plain_collocations(docs, 12, 5, 2000)
 
 
+def test_collocations_end_when_the_longest_have_had_their_cycle(spark):
+    """Each length reaches the threshold in the last scan of its cycle; nothing is left to count after the fifth."""
+    docs = [("en", "alpha beta gamma delta epsilon")] * 12
+    scans = collocations.dynamic_counts(spark.createDataFrame(docs, "lang string, text string").coalesce(1), 12, slot_bits=12)
+    assert scans.n_scans == 3 * 5
+    assert sorted(r.n for r in scans.frequent.collect()) == [12] * 15
+
+
+def test_words_are_coded_from_the_bytes_of_all_texts():
+    """Words of all lengths, also around eight and 64 bytes, are those of plain splitting, and have a code each in a language."""
+    rng = random.Random(9)
+    some = ["a", "A\0", "a\0", "seven77", "eight888", "eight888x", "é" * 8, "x" * 63, "x" * 64, "x" * 65, "x" * 300, "漢字", "\x1f", "non\xa0breaking", "it's"]
+    texts = ["".join(rng.choice(some) + rng.choice([" ", "\t", "  ", ".", ", ", "\n", "?! "]) for _ in range(rng.choice([0, 1, 50]))) for _ in range(60)] + ["", " .", "end"]
+    langs = [rng.choice(["en", "de"]) for _ in texts]
+    rows = [r.to_pylist()[0] for r in collocations._encode(iter([pa.RecordBatch.from_pydict({"lang": langs, "text": texts})]), 3)]
+    want, names, codes = {}, {}, set()
+    for k, (lang, text) in enumerate(zip(langs, texts)):
+        own = re.sub(r"[.,;:!?\n\x0b\x0c\r]", " . ", text.translate(LOWER))
+        want.setdefault((lang, k % 3), []).extend([w.encode() for w in re.split(r"[ \t]+", own) if w] + [b"."])
+    for r in rows:
+        got = np.frombuffer(r["words"], np.uint64).tolist()
+        _, _, begins, sizes = collocations.word_places(r["text"])
+        words = iter([r["text"][b : b + n] for b, n in zip(begins, sizes)])
+        spelled = [next(words) if code else b"." for code in got]
+        assert spelled == want.pop((r["lang"], r["shard"])) and r["n_words"] == len(sizes)
+        for code, word in zip(got, spelled):
+            assert names.setdefault((r["lang"] if code else "", word), code) == code
+        codes |= set(got)
+    assert not want and len(codes) == len(names)
+
+
 def test_collocations_spelled_by_a_second_pass(spark):
     docs = spark.createDataFrame([("en", "one two three")] * 40, "lang string, text string")
     scans = collocations.dynamic_counts(docs, 20, slot_bits=12)
