@@ -27,6 +27,9 @@ Two texts are linked when the Jaccard similarity of their sets of five-word shin
    the bound is five standard deviations wider; texts of different ranges pass.
 6. Pairs within the bounds are verified on the texts. No key, group or pair is capped or dropped.
 
+Joins by key and with texts are always sort-merge joins (``_merged``): Spark sizes an index by its nodes, of
+which it has hundreds of rows each, and texts by their compressed files, so it would broadcast either through the driver.
+
 Defined cases: null and wordless texts are one node without shingles, alone in its
 group; a text of fewer words than a shingle is one shingle; repeated rows are copies; a null
 doc_id does not count as smallest; an empty table gives an empty table.
@@ -158,6 +161,11 @@ def _suffixed(df: DataFrame, suffix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{c}{suffix}") for c in df.columns])
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast, whatever size Spark estimates."""
+    return df.hint("merge")
+
+
 def _near(fp: Column, fp_b: Column, n: Column, n_b: Column, least: float) -> Column:
     """Within ``NEAR_BITS``, and of sizes that allow the similarity."""
     return (F.bit_count(fp.bitwiseXOR(fp_b)) <= NEAR_BITS) & _sizes_allow(n, n_b, least)
@@ -179,7 +187,7 @@ def hub_pairs(nodes: DataFrame, least: float) -> DataFrame:
     most = [F.max_by(F.col(c), F.col("copies")).alias(f"{c}_{len(ORDERS)}") for c in ("node", "fp", "n")]
     hubs = index.groupBy("key").agg(*firsts, *most).withColumnRenamed("key", "hub_key")
     near = [(F.col("node") != F.col(f"node_{k}")) & _near(F.col("fp"), F.col(f"fp_{k}"), F.col("n"), F.col(f"n_{k}"), least) for k in range(len(ORDERS) + 1)]
-    met = index.join(hubs, (F.col("key") == F.col("hub_key")) & reduce(Column.__or__, near))
+    met = index.join(_merged(hubs), (F.col("key") == F.col("hub_key")) & reduce(Column.__or__, near))
     other = F.explode(F.array_distinct(F.array_compact(F.array(*[F.when(x, F.col(f"node_{k}")) for k, x in enumerate(near)]))))
     return met.select("node", other.alias("other")).select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
 
@@ -192,9 +200,9 @@ def cross_pairs(labelled: DataFrame, nodes: DataFrame, least: float) -> DataFram
     near = meets & _near(F.col("fp"), F.col("fp_b"), F.col("n"), F.col("n_b"), least)
     shared = index.where("large").groupBy("key").agg(F.min("grp").alias("g"), F.max("grp").alias("h")).where("g <> h").select(F.col("key").alias("key_b"))
     left = [
-        index.where("not large").join(other, near, "left_semi"),
-        index.where("large").join(other.where("not large_b"), near, "left_semi"),
-        index.where("large").join(shared, F.col("key") == F.col("key_b"), "left_semi"),
+        index.where("not large").join(_merged(other), near, "left_semi"),
+        index.where("large").join(_merged(other.where("not large_b")), near, "left_semi"),
+        index.where("large").join(_merged(shared), F.col("key") == F.col("key_b"), "left_semi"),
     ]
     member = materialise(reduce(DataFrame.unionByName, [x.select("node") for x in left]).distinct(), "nodes-between")
     full = labelled.select("node", "grp", "large").join(nodes.drop("copies", "first_id", "first_hash"), "node").join(member, "node", "left_semi")
@@ -203,8 +211,8 @@ def cross_pairs(labelled: DataFrame, nodes: DataFrame, least: float) -> DataFram
     fat_b = _suffixed(fat, "_b")
     linked = near & within_bound(least)
     pairs = [
-        fat.where("not large").join(fat_b, linked & (F.col("large_b") | (F.col("node") < F.col("node_b")))),
-        fat.where("large").join(shared, F.col("key") == F.col("key_b"), "left_semi").join(fat_b.where("large_b"), linked & (F.col("grp") < F.col("grp_b"))),
+        fat.where("not large").join(_merged(fat_b), linked & (F.col("large_b") | (F.col("node") < F.col("node_b")))),
+        fat.where("large").join(_merged(shared), F.col("key") == F.col("key_b"), "left_semi").join(_merged(fat_b.where("large_b")), linked & (F.col("grp") < F.col("grp_b"))),
     ]
     ends = reduce(DataFrame.unionByName, [x.select("node", "node_b") for x in pairs])
     return ends.select(F.least("node", "node_b").alias("src"), F.greatest("node", "node_b").alias("dst")).distinct()
@@ -236,7 +244,7 @@ def verified(edges: DataFrame, docs: DataFrame, nodes: DataFrame, least: float,
     texts = materialise(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
     left = texts.select(F.col("node").alias("src"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("dst"), F.col("text").alias("text_b"))
-    pairs = likely.join(left, "src").join(right, "dst").select("src", "dst", "text_a", "text_b")
+    pairs = likely.join(_merged(left), "src").join(_merged(right), "dst").select("src", "dst", "text_a", "text_b")
     return pairs.mapInArrow(lambda b: _similar_batches(b, least, shingle_words), "src long, dst long")
 
 

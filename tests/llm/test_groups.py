@@ -415,3 +415,24 @@ def test_groups_of_a_whole_table_are_those_of_similar_texts(spark):
     for k, g in group.items():
         members[g].append(k)
     assert all(len(m) == 1 or set(m) <= linked for m in members.values())
+
+
+def test_no_index_is_broadcast(spark, monkeypatch):
+    """Spark sizes an exploded index by its nodes, some hundred times too low; a default session would send it through the driver."""
+    plans = {}
+
+    def kept(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return put(df, label)
+
+    put = similar_texts.materialise
+    monkeypatch.setattr(similar_texts, "materialise", kept)
+    rng = random.Random(5)
+    words = [rng.choice("abcdefghijkl") + str(rng.randrange(99)) for _ in range(60)]
+    texts = [" ".join(words + [f"end{k}"]) for k in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len({r.grp for r in similar_texts.similar_groups(docs, 0.8).collect()}) == 1
+    for label in ("hub-pairs", "nodes-between", "cross-pairs"):
+        assert "SortMergeJoin" in plans[label] and "Broadcast" not in plans[label]
+    for label in ("first-links", "second-links"):
+        assert plans[label].count("SortMergeJoin") == 2 and "Broadcast" not in plans[label]
