@@ -55,7 +55,7 @@ def test_an_owner_of_many_batches_is_counted_whole():
         assert got == want
 
 
-@pytest.mark.parametrize("name", ["purity_match"])
+@pytest.mark.parametrize("name", ["jaccard", "purity_match"])
 def test_pairs_of_owners_are_not_shuffled(spark, sf_dir, name):
     plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     dealt = re.findall(r"hashpartitioning\(([^()]*)\)", plan)
