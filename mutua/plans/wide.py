@@ -75,7 +75,7 @@ def _background_of_brands(spark, sf_dir):
 
 @register("background_of_parts")
 def _background_of_parts(spark, sf_dir):
-    """Every part by month. The leading component is close to the next ones, so four passes leave an error that the tests bound on like data."""
+    """Every part by month. Months are few, so the component is exact; passes are for traces of many ticks."""
     return background.remove_background(view(spark, sf_dir, "parts"), 1, passes=4)
 
 

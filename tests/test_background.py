@@ -59,3 +59,31 @@ def test_defined_cases(spark):
     assert background.remove_background(empty, 1).collect() == []
     some = _frame(spark, {"x": np.arange(6.0).reshape(3, 2)})
     assert sorted(r.value for r in background.remove_background(some, 0).collect()) == [0, 1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("components", [1, 2])
+def test_traces_of_few_ticks_are_exact_without_passes(spark, components):
+    """Noise has no gap between its components, so passes would leave an error; a trace of many ticks lies beside short ones, and some values are missing."""
+    rng = np.random.default_rng(4)
+    traces = {"noise": rng.normal(size=(12, 150)) + 50, "other": rng.normal(size=(20, 30)) * 3, "still": np.full((3, 9), 2.0), "one": np.arange(1.0, 4.0).reshape(1, 3), "long": np.cumsum(rng.normal(size=(60, 4)), 0)}
+    frame = _frame(spark, traces).where("not (trace_id = 'noise' and t = 3 and var < 'v04')")
+    got = background.remove_background(frame, components, passes=1).collect()
+    assert len(got) == sum(m.size for m in traces.values()) - 4
+    for name, m in traces.items():
+        filled, missing = m.copy(), np.zeros(m.shape, bool)
+        if name == "noise":
+            missing[3, :4] = True
+            filled[3, :4] = np.delete(m, 3, 0)[:, :4].mean(0)
+        want, share = _plain(filled, components) if name not in ("still", "one") else (m, 0.0)
+        found = _matrix(got, name, m.shape)
+        assert np.allclose(found[~missing], want[~missing], atol=1e-9)
+        assert {round(r.share, 9) for r in got if r.trace_id == name} == {round(share, 9)}
+
+
+def test_the_trace_of_parts_is_dealt_over_tasks(spark, sf_dir):
+    """Its variables are one trace's, and no exchange of its values is by the trace alone."""
+    from mutua.plans import registry
+
+    left = registry.queries()["background_of_parts"](spark, sf_dir)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(trace_id" not in plan
